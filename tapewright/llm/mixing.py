@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.llm.common import WORD
@@ -12,6 +12,8 @@ from tapewright.llm.common import WORD
 #: Documents of one source that draw from one sequence; a larger source is split by hash.
 STRATUM = 20_000
 GOLDEN = 0.6180339887498949
+#: Hashed starts that are tried for each sequence.
+STARTS = 16
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -42,12 +44,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: float = 3.0,
     Size: words in the text, null 0. rate = target / source_size. A document is
     taken floor(rate) times, and once more with the rest as probability. The
     draws of a source, by falling size, follow each other by the golden ratio
-    from a hashed start: each is uniform, reruns agree, and the taken words of
-    a source come nearer to its target than those of independent draws. A
-    source of more than STRATUM documents is split by hash of the id, so no
-    task gets more of it. Rows that repeat each count and are drawn for.
-    Sources without words have the rate 0. Columns of docs with one of the
-    result's names are replaced.
+    from a hashed start; of STARTS hashed starts the one counts whose taken
+    words come nearest to the source's target. Reruns agree. A source of more
+    than STRATUM documents is split by hash of the id into sequences of their
+    own, so no task gets more of it. Rows that repeat each count and are drawn
+    for. Sources without words have the rate 0. Columns of docs with one of
+    the result's names are replaced.
     """
     own = docs.drop("size", "source_size", "target", "copies", "taken", "n_docs")
     sized = own.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
@@ -56,11 +58,20 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: float = 3.0,
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     strata = F.ceil(F.col("n_docs") / STRATUM)
     joined = joined.withColumn("_stratum", F.pmod(F.xxhash64("doc_id", F.lit(seed)), strata)).withColumn("_rate", rate)
-    place = F.row_number().over(Window.partitionBy("source", "_stratum").orderBy(F.col("size").desc(), F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id"))
-    start = F.pmod(F.xxhash64("source", "_stratum", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    draw = F.pmod(start + place * F.lit(GOLDEN), F.lit(1.0))
-    copies = F.floor("_rate") + (draw < F.col("_rate") - F.floor("_rate")).cast("long")
-    return joined.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies")).drop("_stratum", "_rate", "n_docs")
+    stratum = Window.partitionBy("source", "_stratum")
+    joined = joined.withColumn("_place", F.row_number().over(stratum.orderBy(F.col("size").desc(), F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")))
+    part = F.col("_rate") - F.floor("_rate")
+
+    def once_more(k: int) -> Column:
+        start = F.pmod(F.xxhash64("source", "_stratum", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
+        return F.pmod(start + F.col("_place") * F.lit(GOLDEN), F.lit(1.0)) < part
+
+    wanted = F.sum(F.col("size") * part).over(stratum)
+    misses = [F.struct(F.abs(F.sum(F.when(once_more(k), F.col("size")).otherwise(0)).over(stratum) - wanted).alias("miss"), F.lit(k).alias("k")) for k in range(STARTS)]
+    joined = joined.withColumn("_best", F.array_min(F.array(*misses))["k"])
+    more = F.element_at(F.array(*[once_more(k) for k in range(STARTS)]), F.col("_best") + 1)
+    copies = F.floor("_rate") + more.cast("long")
+    return joined.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies")).drop("_stratum", "_rate", "_place", "_best", "n_docs")
 
 
 def repeated(docs: DataFrame) -> DataFrame:

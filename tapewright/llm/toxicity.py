@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from tapewright.llm import spans
 from tapewright.llm.common import document_text, fold, kept
 
-LABELLED, WORDS, SEED = 40_000, 4096, 5
-STEPS, RATE, DECAY, START = 600, 0.05, 2e-4, -7.0
+LABELLED, WORDS, SEED = 40_000, 2048, 5
+#: A word of the vocabulary is in LEAST labelled documents, of which more are toxic than chance gives, by LIFT standard deviations.
+LEAST, LIFT = 3, 4.5
+STEPS, RATE, DECAY, START = 800, 0.05, 5e-6, -7.0
 #: A sentence is named as offending from this score on.
 OFFENDS = 0.3
 
@@ -129,16 +131,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> NoisyOr:
     if not totals.n or not totals.bad:
         return NoisyOr(np.zeros(0, np.uint64), np.zeros(0), -30.0)
     share = totals.bad / totals.n
-    seen = train.select("y", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("bad")).where("n >= 3")
+    seen = train.select("y", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("bad")).where(F.col("n") >= LEAST)
     lift = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    chosen = np.sort(np.array([r.word for r in seen.orderBy(F.abs(lift).desc(), "word").limit(WORDS).select("word").collect()], np.int64).view(np.uint64))
+    chosen = np.sort(np.array([r.word for r in seen.withColumn("lift", lift).where(F.col("lift") >= LIFT).orderBy(F.desc("lift"), "word").limit(WORDS).select("word").collect()], np.int64).view(np.uint64))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch["words"].value_lengths().to_numpy()
             h, sentence = batch["words"].flatten().to_numpy().view(np.uint64), batch["sentence"].flatten().to_numpy()
-            where = np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)
-            hit = chosen[where] == h
+            where = np.minimum(np.searchsorted(chosen, h), max(len(chosen) - 1, 0))
+            hit = chosen[where] == h if len(chosen) else np.zeros(len(h), bool)
             owner = np.repeat(np.arange(len(lengths)), lengths)
             cut = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[hit], minlength=len(lengths)))]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch["rid"], batch["y"], batch["n"], pa.ListArray.from_arrays(cut, pa.array(where[hit].astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(sentence[hit]))], ["rid", "y", "n", "word", "sentence"])
