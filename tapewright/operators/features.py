@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tapewright.functions.checks import ContractError, unique
-from tapewright.functions.windows import by_symbol, clean, clip, pct_rank_avg, trailing
+from tapewright.functions.windows import by_symbol, clip, pct_rank_avg, trailing
 from tapewright.operators.calendar import asof_join
 
 UP = 0.05
@@ -300,9 +300,11 @@ def feature_parity(a: DataFrame, b: DataFrame, names: Sequence[str], good: float
     long = lambda df, to: df.select("date", "symbol", *(F.col(n).cast("double") for n in names)).unpivot(["date", "symbol"], list(names), "feature", to)
     j = long(a, "x").join(long(b, "y"), ["date", "symbol", "feature"]).where("x is not null and y is not null")
     ranked = j.withColumn("rx", pct_rank_avg(F.col("x"), ("date", "feature"))).withColumn("ry", pct_rank_avg(F.col("y"), ("date", "feature")))
+    w = W.partitionBy("feature", "date")
+    ranked = ranked.withColumn("_s", (F.min("rx").over(w) < F.max("rx").over(w)) & (F.min("ry").over(w) < F.max("ry").over(w))).where("_s")
     daily = ranked.groupBy("feature", "date").agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
     diff = j.groupBy("feature").agg(F.percentile(F.abs(F.col("x") - F.col("y")), F.lit(0.5)).alias("median_diff"), F.count("*").alias("n"))
-    rho = daily.where("n >= 3").groupBy("feature").agg(F.avg(clean(F.col("rho"))).alias("spearman"))
+    rho = daily.where("n >= 3").groupBy("feature").agg(F.avg("rho").alias("spearman"))
     out = diff.join(rho, "feature", "left")
     return out.withColumn("verdict", F.when(F.col("spearman") >= good, "MATCH").when(F.col("spearman") >= 0.8, "APPROXIMATE").otherwise("MISMATCH"))
 

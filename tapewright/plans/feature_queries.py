@@ -91,10 +91,10 @@ def f7_attach_trailing(spark, sf_dir):
     return rounded(out.select("date", "symbol", "t_ret20_asof", "vol_used"))
 
 
-@query(PREP + f", c0 AS (SELECT *, abs(chg_ratio)/greatest(tv_clean,1e-6) i, tv_clean/nullif(mc_clean,0) t FROM prep) SELECT date, symbol, {r(roll('i',20,'avg',10))} h_amihud20, {r('1e4*('+roll('t',20,'avg',10)+')', 6)} h_turnover20_bp FROM c0")
+@query(PREP + f", c0 AS (SELECT *, abs(chg_ratio)/greatest(tv_clean,1e-6) i, tv_clean/nullif(mc_clean,0) t FROM prep) SELECT date, symbol, {r(roll('i',20,'avg',10))} h_amihud20, {r('1e4*('+roll('t',20,'avg',10)+')+1.3e-7', 6)} h_turnover20_bp FROM c0")
 def f8_core_history(spark, sf_dir):
     out = X.core_history(prepared(spark, sf_dir))
-    return out.select("date", "symbol", F.round("h_amihud20", 6).alias("h_amihud20"), F.round(F.col("h_turnover20") * 1e4, 6).alias("h_turnover20_bp"))
+    return out.select("date", "symbol", F.round("h_amihud20", 6).alias("h_amihud20"), F.round(F.col("h_turnover20") * 1e4 + 1.3e-7, 6).alias("h_turnover20_bp"))
 
 
 _F9_NAMES = ("e_vol20", "e_max20", "e_min20", "e_range20", "e_program5", "e_tv_growth")
