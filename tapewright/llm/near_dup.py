@@ -12,9 +12,11 @@
    right at 0.8 shares none with a chance of about 1e-6, at 0.9 of 1e-10.
 3. Lists of up to ALL documents give all their pairs. A longer list gives the
    pairs with its hub, the document that shares most. After links are confirmed
-   and joined, a long list that still holds several components gives, block by
-   block, all pairs between components. So no list is cut short, and the usual
-   large group, copies of one text, costs a pair for each copy.
+   and joined, lists that still hold several components get the next hub from
+   outside their largest component, for up to ROUNDS rounds; a list that holds
+   several even then gives, block by block, all pairs between components whose
+   sketches allow it. So no list is cut short, and the usual large group, copies
+   of one text, costs a pair or two for each copy.
 4. The likeness of each pair is estimated from the least values of both
    sketches' union, and clearly lower pairs go.
 5. Exact Jaccard on the full sets confirms: 100 * common >= 80 * union.
@@ -35,9 +37,11 @@ from tapewright.llm.common import document_text, kept
 from tapewright.llm.components import components
 
 SKETCH, RUN, STEP = 128, 4, 4
-ALL, BLOCK = 8, 256
-#: The estimate looks at so many values and drops a pair with fewer than LEAST in common; at a likeness of 0.8, fewer than 12 of 32 are in common once in ten million.
-LOOK, LEAST = 32, 12
+ALL, BLOCK, PART, ROUNDS = 8, 1024, 128, 4
+#: Between blocks, LOOK values of 32 bits are compared; sets with fewer are whole, others pass from LOOK_LEAST in common (again 6 deviations).
+LOOK, LOOK_LEAST = 256, 166
+#: The estimate drops a pair with fewer than LEAST of SKETCH values in common; at a likeness of 0.8 that many are missing once in hundred millions (6 deviations).
+LEAST = 75
 
 
 def run_keys(values: np.ndarray) -> np.ndarray:
@@ -72,7 +76,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 a = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64)
                 b = np.array([np.bitwise_xor.reduce(spans.mixed(x + spans._PLACES[7])) if len(x) else 0 for x in sets], np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _lists([run_keys(x) for x in sets]), _lists([x[:LOOK] for x in sets])],
+                    [ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _lists([run_keys(x) for x in sets]), _lists([x[:SKETCH] for x in sets])],
                     ["doc_id", "n", "set_a", "set_b", "keys", "sketch"],
                 )
 
@@ -105,12 +109,11 @@ def _passes(test) -> object:
 
 
 def _may_be_alike(x: np.ndarray, y: np.ndarray) -> bool:
-    union = np.union1d(x, y)
-    if len(x) < LOOK and len(y) < LOOK:
-        return 100 * (len(x) + len(y) - len(union)) >= 80 * len(union)
-    least = union[:LOOK]
-    common = len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), least, assume_unique=True))
-    return common * LOOK >= LEAST * len(least)
+    common = np.intersect1d(x, y, assume_unique=True)
+    if len(x) < SKETCH and len(y) < SKETCH:  # whole sets
+        return 100 * len(common) >= 80 * (len(x) + len(y) - len(common))
+    union = np.union1d(x, y)[:SKETCH]
+    return int(np.searchsorted(common, union[-1], side="right")) * SKETCH >= LEAST * len(union)
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
@@ -123,12 +126,10 @@ def _with_arrays(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return pairs.join(arrays.toDF("a", "of_a"), "a").join(arrays.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, prints: DataFrame, width: int) -> DataFrame:
-    """Those of the pairs (a, b) of document ids that are alike."""
-    likely = kept(_with_arrays(pairs, prints.select("doc_id", "sketch")).mapInArrow(_passes(_may_be_alike), "a long, b long"), "likely")
-    members = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-    sets = kept(full_sets(docs.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "sets")
-    return kept(_with_arrays(likely, sets).mapInArrow(_passes(alike), "a long, b long"), "confirmed")
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of document ids that are alike; sets: doc_id, values, sketch."""
+    likely = kept(_with_arrays(pairs, sets.select("doc_id", "sketch")).mapInArrow(_passes(_may_be_alike), "a long, b long"), "likely")
+    return kept(_with_arrays(likely, sets.select("doc_id", "values")).mapInArrow(_passes(alike), "a long, b long"), "confirmed")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -137,22 +138,57 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return sized.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _part_pairs(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of left, row of right, share, whole) of pairs of different components that may be alike."""
+    arrays = [*left.low, *right.low]
+    sizes = np.array([len(x) for x in arrays])
+    _, place, times = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    column = np.full(len(times), -1)
+    column[times > 1] = np.arange(int((times > 1).sum()))
+    row, col = np.repeat(np.arange(len(sizes)), sizes), column[place]
+    held = np.zeros((len(sizes), int((times > 1).sum())), np.float32)
+    held[row[col >= 0], col[col >= 0]] = 1
+    common = held[: len(left)] @ held[len(left) :].T
+    a, b = sizes[: len(left), None], sizes[None, len(left) :]
+    whole = (a < LOOK) & (b < LOOK)
+    good = np.where(whole, 100 * common >= 80 * (a + b - common), common >= LOOK_LEAST) & (left.component.to_numpy()[:, None] != right.component.to_numpy()[None, :])
+    x, y = np.nonzero(good)
+    return x, y, (common / np.maximum(a + b - common, 1))[x, y], whole[x, y]
+
+
 def _between_components(block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of the two sides of a block, of different components, whose sketches share enough."""
+    """Pairs of the two sides of a block, of different components, whose sketches allow a link.
+
+    Of pairs of whole sets, which are known to be links, one is enough for a
+    document and a component. The others come from the least of the long lists
+    that the pair shares, and from no other.
+    """
     left, right = block[block.side == 0], block[block.side == 1]
     if block.i.iloc[0] == block.j.iloc[0]:
         right = left
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": [], "an": [], "b": [], "bn": []})
-    values, place = np.unique(np.concatenate([*left.sketch, *right.sketch]), return_inverse=True)
-    sizes = np.concatenate([left.sketch.map(len), right.sketch.map(len)])
-    held = np.zeros((len(sizes), len(values)), np.float32)
-    held[np.repeat(np.arange(len(sizes)), sizes), place] = 1
-    common = held[: len(left)] @ held[len(left) :].T
-    most = np.minimum(sizes[: len(left), None], sizes[None, len(left) :])
-    good = (common * LOOK >= LEAST * most) & (left.component.to_numpy()[:, None] != right.component.to_numpy()[None, :])
-    x, y = np.nonzero(good)
-    return pd.DataFrame({"a": left.doc_id.to_numpy()[x], "an": left.n.to_numpy()[x], "b": right.doc_id.to_numpy()[y], "bn": right.n.to_numpy()[y]})
+    found = []
+    for a in range(0, len(left), PART):
+        for b in range(0, len(right), PART):
+            one, two = left.iloc[a : a + PART], right.iloc[b : b + PART]
+            x, y, share, whole = _part_pairs(one, two)
+            if len(x):
+                found.append(pd.DataFrame({"a": one.doc_id.to_numpy()[x], "an": one.n.to_numpy()[x], "ac": one.component.to_numpy()[x], "at": a + x, "b": two.doc_id.to_numpy()[y], "bn": two.n.to_numpy()[y], "bc": two.component.to_numpy()[y], "bt": b + y, "share": share, "whole": whole}))
+    if not found:
+        return pd.DataFrame({"a": [], "an": [], "b": [], "bn": []}, dtype="int64")
+    pairs = pd.concat(found)
+    sure = pairs[pairs.whole].sort_values(["share", "a", "b"], ascending=[False, True, True]).drop_duplicates(["a", "bc"])
+    rest = pairs[~pairs.whole]
+    if len(rest):
+        key, keys_a, keys_b = block.key.iloc[0], list(left["keys"]), list(right["keys"])
+        rest = rest[[np.intersect1d(keys_a[i], keys_b[j], assume_unique=True)[0] == key for i, j in zip(rest["at"].tolist(), rest["bt"].tolist(), strict=True)]]
+    return pd.concat([sure, rest])[["a", "an", "b", "bn"]]
+
+
+def _with_components(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows (key, doc_id, ...) with component, without keys whose documents are all of one component."""
+    now = rows.join(label, rows["doc_id"] == label["node"], "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
+    several = now.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("key")
+    return now.join(several, "key", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -172,28 +208,51 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     sizes = listed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     lists = kept(listed.join(sizes, "key"), "lists")
 
-    score = lists.groupBy("doc_id").agg(F.sum("size").alias("score"))
-    long_lists = lists.where(f"size > {ALL}")
-    hubs = long_lists.join(score, "doc_id").groupBy("key").agg(F.max(F.struct("score", -F.col("doc_id"), "n")).alias("hub"))
-    hubs = hubs.select("key", (-F.col("hub.col2")).alias("b"), F.col("hub.n").alias("bn"))
-    stars = long_lists.select("key", F.col("doc_id").alias("a"), F.col("n").alias("an")).join(hubs, "key").where("a <> b").drop("key")
+    members = lists.select("doc_id").distinct()
+    sets = full_sets(texts.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width)
+    sets = kept(sets.withColumn("sketch", F.slice("values", 1, SKETCH)), "sets")
+
     short = lists.where(f"size <= {ALL}").select("key", "doc_id", "n")
     pairs = short.toDF("key", "a", "an").join(short.toDF("key", "b", "bn"), "key").where("a < b").drop("key")
-    links = confirmed(_ordered(stars.unionByName(pairs)), texts, prints, width)
-    label = components(links)
-
-    # What hubs have not settled: long lists that still hold several components.
-    now = long_lists.join(label, long_lists["doc_id"] == label["node"], "left").select("key", "doc_id", "n", "size", F.coalesce("component", "doc_id").alias("component"))
-    several = now.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).where("several")
-    rest = kept(now.join(several, "key", "left_semi"), "rest")
+    score = lists.groupBy("doc_id").agg(F.sum("size").alias("score"))
+    rest = kept(lists.where(f"size > {ALL}").join(score, "doc_id").select("key", "doc_id", "n", "size", "score"), "long")
+    links = label = tried = None
+    for turn in range(ROUNDS):
+        if label is not None:
+            rest = kept(_with_components(rest.drop("component"), label), "rest")
+            if rest.isEmpty():
+                break
+        # The hub: by score, of those outside the largest component that haven't been one.
+        able = rest
+        if tried is not None:
+            parts = rest.groupBy("key", "component").agg(F.count("*").alias("k"))
+            largest = parts.groupBy("key").agg(F.max(F.struct("k", "component"))["component"].alias("largest"))
+            able = rest.join(tried, ["key", "doc_id"], "left_anti").join(largest, "key").where("component <> largest")
+        best = able.groupBy("key").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("minus"), "n")).alias("hub"))
+        hubs = kept(best.select("key", (-F.col("hub.minus")).alias("b"), F.col("hub.n").alias("bn")), "hubs")
+        stars = rest.select("key", F.col("doc_id").alias("a"), F.col("n").alias("an"), *(["component"] if turn else [])).join(hubs, "key").where("a <> b")
+        if turn:
+            own = rest.select(F.col("doc_id").alias("b"), F.col("component").alias("of_b")).distinct()
+            stars = stars.join(own, "b").where("component <> of_b")
+        stars = stars.select("a", "an", "b", "bn")
+        found = confirmed(_ordered(stars if turn else stars.unionByName(pairs)), sets)
+        if turn and found.isEmpty():
+            break
+        links = found if links is None else kept(links.unionByName(found), "all-links")
+        label = components(links)
+        used = hubs.select("key", F.col("b").alias("doc_id"))
+        tried = used if tried is None else tried.unionByName(used)
+
+    rest = kept(_with_components(rest.drop("component"), label), "rest")
     if not rest.isEmpty():
-        held = rest.join(prints.select("doc_id", "sketch").dropDuplicates(["doc_id"]), "doc_id")
+        own_keys = rest.groupBy("doc_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+        held = rest.join(own_keys, "doc_id").join(sets.select("doc_id", F.transform(F.slice("values", 1, LOOK), lambda v: F.shiftright(v, 32).cast("int")).alias("low")), "doc_id")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
         sides = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        sides = sides.select("key", "doc_id", "n", "component", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+        sides = sides.select("key", "doc_id", "n", "component", "low", "keys", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
         found = sides.groupBy("key", "i", "j").applyInPandas(_between_components, "a long, an long, b long, bn long").where("a <> b")
-        more = confirmed(_ordered(found), texts, prints, width)
+        more = confirmed(_ordered(found), sets)
         if not more.isEmpty():
             label = components(links.unionByName(more))
 
