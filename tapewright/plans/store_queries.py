@@ -509,3 +509,20 @@ def g20_completeness_matrix(spark, sf_dir):
     p = prepared(spark, sf_dir)
     kinds = p.where("is_ceiling").select("date", F.lit("ceiling").alias("kind")).unionByName(p.where("chg_ratio > 0.1").select("date", F.lit("strong").alias("kind")))
     return G.completeness_matrix(calendar(spark, sf_dir), kinds, ["ceiling", "strong"])
+
+
+@query("SELECT lpad(CAST(s.s_suppkey AS VARCHAR),6,'0') AS symbol, a.v, b.q FROM supplier s LEFT JOIN (SELECT lpad(CAST(user_id AS VARCHAR),6,'0') k, max(value) v FROM events GROUP BY 1) a ON a.k=lpad(CAST(s.s_suppkey AS VARCHAR),6,'0') LEFT JOIN (SELECT lpad(CAST(user_id AS VARCHAR),6,'0') k, count(*) q FROM events WHERE event_type='click' GROUP BY 1) b ON b.k=lpad(CAST(s.s_suppkey AS VARCHAR),6,'0')")
+def n14_assemble_extras(spark, sf_dir):
+    e = fixtures.base(spark, sf_dir, "events").withColumn("symbol", F.lpad(F.col("user_id").cast("string"), 6, "0"))
+    cohort = fixtures.base(spark, sf_dir, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("symbol"))
+    return N.assemble_extras(cohort, e.groupBy("symbol").agg(F.max("value").alias("v")), e.where("event_type='click'").groupBy("symbol").agg(F.count("*").alias("q")))
+
+
+@query(
+    TICKS
+    + ", o AS (SELECT event_id AS order_id, symbol, ts AS placed_at, CASE WHEN event_id%3=0 THEN 'market' ELSE 'limit' END AS rule, CASE WHEN event_id%2=0 THEN 'buy' ELSE 'sell' END side, price AS limit_price FROM ticks WHERE event_id%200=7), j AS (SELECT order_id, min((t.ts, t.event_id, t.price)) p FROM o JOIN ticks t ON t.symbol=o.symbol AND t.ts>placed_at AND (rule='market' OR (side='buy' AND t.price<=limit_price) OR (side='sell' AND t.price>=limit_price)) GROUP BY 1) SELECT o.order_id, p[3] AS price, CASE WHEN p IS NULL THEN 'UNFILLED' ELSE 'FILLED' END status FROM o LEFT JOIN j ON j.order_id=o.order_id"
+)
+def g8_fill_decision(spark, sf_dir):
+    t = fixtures.ticks(spark, sf_dir)
+    orders = t.where("event_id%200=7").select(F.col("event_id").alias("order_id"), "symbol", F.col("ts").alias("placed_at"), F.when(F.col("event_id") % 3 == 0, "market").otherwise("limit").alias("rule"), F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), F.col("price").alias("limit_price"))
+    return G.fill_decision(orders, t.select("symbol", F.col("ts").alias("printed_at"), F.col("event_id").alias("print_id"), "price")).select("order_id", "price", "status")
