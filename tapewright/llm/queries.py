@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from tapewright.llm import fingerprint, line_dedup, lm_score, mixing, near_dup, packing, quality_qda, quality_rules, token_files, toxicity
 from tapewright.llm.common import table
 
-QDA = "score", "predicted"
-
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
@@ -73,5 +71,18 @@ FROM marked GROUP BY doc_id
 """
 
 
+NEAR_DUP_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), CASE WHEN len(w) = 1 THEN 2 ELSE 1 END))) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node)
+SELECT c.node AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.node = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": LINE_DEDUP_SQL}
+    return {"op2_near_dup": NEAR_DUP_SQL, "op7_line_dedup": LINE_DEDUP_SQL}
