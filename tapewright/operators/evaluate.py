@@ -7,14 +7,18 @@ from collections.abc import Sequence
 from itertools import combinations
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tapewright.functions.windows import pct_rank_avg
 
 YEAR = 252
-ONE = W.partitionBy(F.lit(1))  # for tables of dates only
+
+
+def one() -> WindowSpec:
+    """All rows in one partition: for tables of dates only."""
+    return W.partitionBy(F.lit(1))
 
 
 def series_metrics(daily: DataFrame, value: str = "net", by: Sequence[str] = ()) -> DataFrame:
@@ -48,7 +52,7 @@ def block_bootstrap(daily: DataFrame, value: str = "net", block: int = 10, reps:
     by hash and joins two rows of the table of dates.
     """
     x = daily.where(F.col(value).isNotNull())
-    w = ONE.orderBy("date")
+    w = one().orderBy("date")
     sums = x.select(F.row_number().over(w).alias("i"), F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("s"))
     sums = sums.unionByName(daily.sparkSession.createDataFrame([(0, 0.0)], "i int, s double"))
     n = x.agg(F.count("*").alias("n"))
@@ -74,7 +78,7 @@ def deflated_sharpe(daily: DataFrame, trials: int, value: str = "net", sharpe_st
 def newey_west(daily: DataFrame, lags: int = 5, value: str = "net") -> DataFrame:
     """T of the mean with Bartlett-weighted lag covariances."""
     x = daily.where(F.col(value).isNotNull())
-    w = ONE.orderBy("date")
+    w = one().orderBy("date")
     d = x.crossJoin(F.broadcast(x.agg(F.avg(value).alias("_m"), F.count("*").alias("_n")))).withColumn("_d", F.col(value) - F.col("_m"))
     prods = d.select("_m", "_n", (F.col("_d") * F.col("_d")).alias("c0"), *((F.col("_d") * F.lag("_d", k).over(w)).alias(f"c{k}") for k in range(1, lags + 1)))
     var = F.sum("c0")
@@ -86,14 +90,14 @@ def newey_west(daily: DataFrame, lags: int = 5, value: str = "net") -> DataFrame
 
 def nav(daily: DataFrame, cal: DataFrame, value: str = "net") -> DataFrame:
     """Compounded value on the calendar (a missing day earns 0) and its drawdown."""
-    w = ONE.orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    w = one().orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     d = cal.select("date").join(daily, "date", "left").withColumn("nav", F.exp(F.sum(F.log1p(F.coalesce(F.col(value), F.lit(0.0)))).over(w)))
     return d.withColumn("drawdown", F.col("nav") / F.greatest(F.max("nav").over(w), F.lit(1.0)) - 1).select("date", "nav", "drawdown")
 
 
 def nav_summary(path: DataFrame, daily: DataFrame, value: str = "net") -> DataFrame:
     """Final value, largest drawdown, Calmar, mean of the worst 5 %, the worst five days' sum."""
-    worst = daily.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(ONE.orderBy(value, "date"))).withColumn("_n", F.count("*").over(ONE))
+    worst = daily.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(one().orderBy(value, "date"))).withColumn("_n", F.count("*").over(one()))
     tail = worst.agg(F.avg(F.when(F.col("_r") <= F.greatest(F.floor(F.col("_n") * 0.05), F.lit(1)), F.col(value))).alias("cvar5"), F.sum(F.when(F.col("_r") <= 5, F.col(value))).alias("worst5"))
     g = path.agg(F.max_by("nav", "date").alias("final"), F.min("drawdown").alias("max_drawdown"), F.count("*").alias("n"))
     annual = F.pow("final", YEAR / F.col("n")) - 1
@@ -111,7 +115,7 @@ def rank_ic(rows: DataFrame, score: str, target: str, by: Sequence[str] = ("date
 
 def cpcv_folds(cal: DataFrame, bins: int = 8, held: int = 2) -> DataFrame:
     """Date, fold, role for every pair of test bins; the bin before and the one after each test bin is in neither."""
-    n = F.count("*").over(ONE)
+    n = F.count("*").over(one())
     binned = cal.select("date", F.least(F.floor((F.col("pos") - 1) * bins / n), F.lit(bins - 1)).cast("int").alias("bin"))
     table = []
     for fold, test in enumerate(combinations(range(bins), held)):
@@ -166,7 +170,7 @@ def age_weight(date: Column, as_of: Column, half_life: float) -> Column:
 def trial_leaderboard(trials: DataFrame) -> DataFrame:
     """The latest record of each trial, ordered by its Sharpe, with the number of trials beside it."""
     latest = trials.groupBy("trial").agg(F.max_by(F.struct("n", "mean", "sharpe"), F.struct("recorded", "seq")).alias("_r")).select("trial", "_r.*")
-    return latest.withColumn("n_trials", F.count("*").over(ONE)).withColumn("place", F.row_number().over(ONE.orderBy(F.desc_nulls_last("sharpe"), "trial")).cast("long"))
+    return latest.withColumn("n_trials", F.count("*").over(one())).withColumn("place", F.row_number().over(one().orderBy(F.desc_nulls_last("sharpe"), "trial")).cast("long"))
 
 
 def breakdown(daily: DataFrame, value: str, first: str, second: str) -> DataFrame:
