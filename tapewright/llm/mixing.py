@@ -75,6 +75,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: float = 3.0,
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """Each document as often as the mix takes it, with the columns of docs."""
-    mixed = mix(docs).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Each document as often as the mix takes it, with the columns of docs.
+
+    The draws are made on ids, sources and sizes alone; texts are shuffled once
+    to meet their copies and go through no window. Rows that repeat an id with
+    the same source and size are taken alike, as the most taken of them.
+    """
+    keys = F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")
+    drawn = mix(docs.select("doc_id", "source", "text")).groupBy(*keys).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    met = docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["_id"]) & docs["source"].eqNullSafe(drawn["_source"]) & (size == drawn["_size"]))
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -168,6 +168,8 @@ def test_mixing(docs, data, empty):
         longest = max(len(WORD.findall(r[1] or "")) for r in data if r[3] == s)
         assert abs(taken[s] - target[s]) <= max(0.1 * target[s], longest / 2) + 1
     assert sorted(r.taken for r in got) == sorted(r.taken for r in mixing.mix(docs.repartition(7)).collect())
+    again = collections.Counter(r.doc_id for r in mixing.repeated(docs).collect())
+    assert again == collections.Counter({r.doc_id: r.copies for r in got if r.copies})
     assert mixing.mix(empty).count() == 0 and mixing.repeated(docs).columns == docs.columns
 
 
