@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import kept
+from tapewright.llm.common import kept, least_hashed
 from tapewright.llm.statistics import NAMES, matrix, shares, statistics
 
 TREES, LEAVES, SAMPLE, SEED = 200, 256, 20_000, 11
@@ -111,7 +111,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     without labels of bad documents only the base rule rejects.
     """
     stats = kept(statistics(docs), "statistics")
-    sample = stats.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", *NAMES).limit(SAMPLE).select(*NAMES).toPandas()  # SAMPLE rows of counts
+    sample = least_hashed(stats, SAMPLE, SEED, *NAMES).select(*NAMES).toPandas()  # SAMPLE rows of counts
     forest = grow(shares(sample.to_numpy(np.int64).reshape(-1, len(NAMES)))[:, RULES])
     scored = kept(_scored(stats, forest), "scored")
     limit = threshold(scored, labels)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.llm import spans
-from tapewright.llm.common import document_text, fold, kept
+from tapewright.llm.common import document_text, fold, kept, least_hashed
 
 LABELLED, WORDS, SEED = 40_000, 2048, 5
 #: A word of the vocabulary is in LEAST labelled documents, of which more are toxic than chance gives, by LIFT standard deviations.
@@ -124,7 +124,7 @@ def learn(words: np.ndarray, docs: np.ndarray, y: np.ndarray, sentences: np.ndar
 
 def fit(docs: DataFrame, labels: DataFrame) -> NoisyOr:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(fold(5) != 0)
-    sample = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(LABELLED)
+    sample = least_hashed(known, LABELLED, SEED)
     rows = document_text(docs).join(F.broadcast(sample), "doc_id").select("text", "y")  # LABELLED rows at most are sent
     train = kept(rows.mapInArrow(_train_words, "rid long, y int, n long, words array<long>, sentence array<int>"), "labelled")
     totals = train.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("bad")).first()

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tapewright.llm import fingerprint, line_dedup, lm_score, mixing, near_dup, packing, quality_qda, quality_rules, spans, statistics, subwords, token_files, toxicity
+from tapewright.llm import common, fingerprint, line_dedup, lm_score, mixing, near_dup, packing, quality_qda, quality_rules, spans, statistics, subwords, token_files, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, size string, key string, n string"
@@ -25,14 +25,14 @@ def rows(seed=1, n=120):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdeéß한") for _ in range(rng.randint(1, 7))) for _ in range(400)]
     base = [[rng.choice(vocabulary) for _ in range(rng.randint(3, 260))] for _ in range(30)]
-    common = " ".join(rng.choice(vocabulary) for _ in range(12))
+    shared = " ".join(rng.choice(vocabulary) for _ in range(12))
     out = []
     for i in range(n):
         words = list(base[i % 30]) if i % 2 else [rng.choice(vocabulary) for _ in range(rng.randint(1, 300))]
         for _ in range(rng.randint(0, 1 + len(words) // 12)):
             words[rng.randrange(len(words))] = rng.choice(vocabulary)
         text = "".join(w + rng.choice([" ", " ", " ", "\n", "  ", ". "]) for w in words)
-        out.append((3 * i, text + ("\n" + common if i % 5 == 0 else ""), "en", rng.choice(["a", "b", None]), len(text), "x", "y", "z", "w"))
+        out.append((3 * i, text + ("\n" + shared if i % 5 == 0 else ""), "en", rng.choice(["a", "b", None]), len(text), "x", "y", "z", "w"))
     out += [(1001, None, None, None, None, None, None, None, None), (1002, "", "en", "a", 0, "", "", "", ""), (1003, " \n\t ", "en", "b", 4, "", "", "", "")]
     out += [(1004, "The Word", "en", "b", 8, "", "", "", ""), (1005, "the word", "en", "a", 8, "", "", "", ""), (1006, "x" * 50_000, "en", "a", 1, "", "", "", ""), (1007, ("long text " * 9000) + "end", "en", "a", 1, "", "", "", "")]
     return out
@@ -220,6 +220,14 @@ def test_statistics(data):
         assert c[:6].tolist() == [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), len(t)]
 
 
+def test_least_hashed(spark, empty):
+    df = spark.range(5000).withColumnRenamed("id", "doc_id")
+    for bound in (1, 40, 4999, 5000, 9000):
+        want = [r.doc_id for r in df.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(bound).collect()]
+        assert [r.doc_id for r in common.least_hashed(df, bound, 3).collect()] == want
+    assert common.least_hashed(empty, 5, 3).count() == 0
+
+
 def test_quality_rules(spark, docs, labels, empty):
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels).collect()}
     assert got[1001].base_failed and not got[1001].kept and got[1007].base_failed
