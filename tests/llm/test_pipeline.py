@@ -1,4 +1,4 @@
-"""The pipeline on a small folder against a plain version."""
+"""The pipeline on a small folder: run() against its stages one by one. A brute-force version is still to be written."""
 
 import os
 import tempfile
