@@ -52,7 +52,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", rules), ("line dedup", lines), ("MinHash near-dedup", near_dup), ("mixing", mixing), ("best-fit packing", packing)]
 
-#: Quality rules, near-dedup and packing aren't SQL; tests hold run() against a brute-force version.
+#: Quality rules, near-dedup and packing are not SQL; tests hold run() against its stages, each of which has its own tests.
 ORACLE_SQL = None
 
 
