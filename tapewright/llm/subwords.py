@@ -112,11 +112,8 @@ class Subwords:
         self.first = np.insert(self.first, where, first + base)
         self.count = np.insert(self.count, where, count)
 
-    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, n): the ids of all texts, and how many each text has."""
-        starts, ends, n = pieces(data, at)
-        if not len(starts):
-            return np.zeros(0, np.uint32), n
+    def of_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, back, first, count): the distinct pieces' hashes, which of them each piece is, and where in `ids` those of each begin and how many they are."""
         keys, one, back = np.unique(spans.hashes(data, starts, ends), return_index=True, return_inverse=True)
         where = np.minimum(np.searchsorted(self.known, keys), max(len(self.known) - 1, 0))
         new = self.known[where] != keys if len(self.known) else np.ones(len(keys), bool)
@@ -126,11 +123,22 @@ class Subwords:
                 new[:] = True
             self._learn(keys[new], data, starts[one[new]], ends[one[new]])
             where = np.searchsorted(self.known, keys)
-        first, count = self.first[where][back], self.count[where][back]
+        return keys, back, self.first[where], self.count[where]
+
+    def laid_out(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The ids that begin at each `first`, `count` of each, end to end."""
         laid = np.cumsum(count) - count
-        ids = self.ids[np.repeat(first - laid, count) + np.arange(int(count.sum()))]
+        return self.ids[np.repeat(first - laid, count) + np.arange(int(count.sum()))]
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, n): the ids of all texts, and how many each text has."""
+        starts, ends, n = pieces(data, at)
+        if not len(starts):
+            return np.zeros(0, np.uint32), n
+        _, back, first, count = self.of_pieces(data, starts, ends)
+        count = count[back]
         total = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(n)])]
-        return ids, np.diff(total)
+        return self.laid_out(first[back], count), np.diff(total)
 
 
 def encoded(texts: pa.Array, path: str, most: int = 8 << 20):

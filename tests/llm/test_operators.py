@@ -261,6 +261,43 @@ def test_lm_base_is_exact(docs, data, empty):
     assert lm_score.score_texts(empty).count() == 0
 
 
+def test_lm_score_counts_pieces_of_the_whole_corpus(spark, monkeypatch):
+    words = ["".join(random.Random(i).choices("bcdfghjklmnpqrstvwxz", k=9)) for i in range(4500)]
+    docs = spark.createDataFrame([(i, words[i % 4500]) for i in range(9000)], "doc_id long, text string")  # a word and a piece each
+    got = {r.doc_id: r for r in lm_score.score_texts(docs).collect()}
+    train = collections.Counter(words[i % 4500] for i in got if not got[i].held_out)
+    again, whole = sum(n for n in train.values() if n > 1), sum(train.values())
+    known = min(again / whole, 0.98) * 0.98
+    n_ids = sum(len(ids) for _, ids, _ in subwords.encoded(pa.array(list(train.elements())), subwords.default_path()))
+    end = np.log10(1 / (1 + n_ids / whole))
+    for i, r in got.items():
+        if (n := train[words[i % 4500]]) > 1:
+            assert r.score >= np.log10(n / again * known) + end - 1e-5
+    monkeypatch.setattr(lm_score, "HEAD", 50)  # most pieces are joined, not sent
+    for r in lm_score.score_texts(docs.repartition(7)).collect():
+        assert r.score == pytest.approx(got[r.doc_id].score, rel=1e-5) and r.base_score == pytest.approx(got[r.doc_id].base_score)
+
+
+def test_lm_score_windows_hold_each_id_once(data):
+    path, chosen = subwords.default_path(), [r for r in data if r[1]]
+    own = subwords.Subwords.at(path)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in chosen]), pa.array([r[1] for r in chosen])], ["doc_id", "text"])
+
+    def ids(share):
+        rows = [x for b in lm_score._windows(path, share, 8)(iter([batch])) for x in lm_score._matrix(b["ids"])]
+        return rows, collections.Counter(int(i) for row in rows for i in row[1:] if i >= 0)
+
+    rows, seen = ids(1.0)
+    whole = collections.Counter()
+    for _, found, _ in subwords.encoded(batch["text"], path):
+        whole.update(found.tolist())
+    # The first id of a later block of a text stands only before the block's other ids.
+    firsts = sum(whole.values()) - sum(seen.values())
+    assert not seen - whole and 0 <= firsts <= sum(-(-len(r[1].encode()) // lm_score.BLOCK) for r in chosen)
+    assert sum(row[0] == len(own.bytes_of) for row in rows) == len(chosen)
+    assert 0 < len(ids(0.25)[0]) < len(rows) / 2
+
+
 def test_attention_gradients_and_windows():
     model = lm_score.Attention(np.arange(50) % lm_score.CLASSES, np.zeros(50))
     rng = np.random.default_rng(0)
