@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -99,15 +102,89 @@ def effective_fills(fills: DataFrame, voids: DataFrame) -> DataFrame:
     return fills.join(voids.select("order_id").distinct(), "order_id", "left_anti")
 
 
-def fill_decision(orders: DataFrame, prints: DataFrame) -> DataFrame:
+def _first_within(values: np.ndarray, start: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """For each query the first place from `start` on whose value is at most `limit`; len(values) if there is none."""
+    least, size = [values], 1  # minima of 1, 2, 4 .. values from each place on
+    while 2 * size <= len(values):
+        least.append(np.minimum(least[-1][:-size], least[-1][size:]))
+        size *= 2
+    at = start.copy()
+    for table in reversed(least):
+        if len(table):
+            whole = at < len(table)
+            at += np.where(whole & (table[np.minimum(at, len(table) - 1)] > limit), size, 0)
+        size //= 2
+    return at
+
+
+def _fill_side(values: np.ndarray, start: np.ndarray, side: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """_first_within for buys (1: at or under the limit), sells (-1: at or over it) and market orders (0: any); values: (least, most) a place."""
+    low, high = values
+    return np.where(side < 0, _first_within(-high, start, -limit), _first_within(low, start, np.where(side == 0, np.inf, limit)))
+
+
+def fill_decision(orders: DataFrame, prints: DataFrame, rows: int = 4000) -> DataFrame:
     """The first print after placement that the order's rule lets fill it.
 
     orders: order_id, symbol, side, placed_at, rule, limit_price. A market order
     takes any print, a limit buy one at or under its limit, a sell at or over.
+
+    Symbols are cut into slices of time of about `rows` prints. An order is
+    settled in its own slice; if that has no print for it, the least and
+    highest prices of the slices tell which later one has, and there
+    only the distinct limits are settled. So no pair of an order and a print is
+    made. The driver holds a row for each slice.
     """
-    ok = (F.col("rule") == "market") | ((F.col("side") == "buy") & (F.col("price") <= F.col("limit_price"))) | ((F.col("side") == "sell") & (F.col("price") >= F.col("limit_price")))
-    j = orders.join(prints, "symbol").where((F.col("printed_at") > F.col("placed_at")) & ok)
-    first = j.groupBy("order_id").agg(F.min(F.struct("printed_at", "print_id", "price")).alias("p")).select("order_id", F.col("p.printed_at").alias("printed_at"), F.col("p.price").alias("price"))
+    kind = F.when(F.col("rule") == "market", 0).when(F.col("side") == "buy", 1).when(F.col("side") == "sell", -1)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    size = prints.agg(F.count("*").alias("n"), F.min(micros("printed_at")).alias("lo"), F.max(micros("printed_at")).alias("hi"), F.approx_count_distinct("symbol").alias("k")).first()
+    many = max(1, size.n // (rows * max(size.k, 1)))
+    lo, width = size.lo or 0, max(1, -(-((size.hi or 0) - (size.lo or 0) + 1) // many))
+    slice_ = lambda c: F.least(F.greatest(F.floor((micros(c) - lo) / width), F.lit(0)), F.lit(many - 1)).cast("int")
+    kinds = dict(prints.select("printed_at", "print_id", "price").dtypes) | dict(orders.select("order_id").dtypes)
+    p = prints.select("symbol", slice_("printed_at").alias("slice"), "printed_at", "print_id", "price").where("printed_at is not null")
+    null = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    # Without a side, a limit or a time an order has no print.
+    able = orders.where(kind.isNotNull() & F.col("placed_at").isNotNull() & (F.col("limit_price").isNotNull() | (kind == 0)))
+    o = able.select("symbol", slice_("placed_at").alias("slice"), F.col("placed_at").cast(kinds["printed_at"]).alias("printed_at"), null("print_id"), null("price"), "order_id", kind.alias("kind"), F.coalesce(F.col("limit_price").cast("double"), F.lit(0.0)).alias("limit"))
+    as_print = lambda df: df.select("symbol", "slice", "printed_at", "print_id", "price", null("order_id"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("double").alias("limit"))
+
+    def settle(table):
+        is_print = pc.is_null(table["kind"])
+        prints_, orders_ = table.filter(is_print).sort_by([("printed_at", "ascending"), ("print_id", "ascending")]), table.filter(pc.invert(is_print))
+        at = lambda t: t["printed_at"].cast(pa.int64()).to_numpy()
+        price = prints_["price"].cast(pa.float64()).to_numpy()
+        values = np.where(np.isnan(price), np.inf, price), np.where(np.isnan(price), -np.inf, price)
+        placed = np.where(pc.is_null(orders_["printed_at"]).to_numpy(), np.iinfo(np.int64).min, orders_["printed_at"].cast(pa.int64()).fill_null(0).to_numpy())
+        found = _fill_side(values, np.searchsorted(at(prints_), placed, side="right"), orders_["kind"].to_numpy(), orders_["limit"].to_numpy())
+        take = pa.array(found, mask=found >= len(price))
+        return pa.table({"symbol": orders_["symbol"], "slice": orders_["slice"], "order_id": orders_["order_id"], "kind": orders_["kind"], "limit": orders_["limit"], "filled": pa.array(found < len(price)), "printed_at": prints_["printed_at"].take(take), "price": prints_["price"].take(take)})
+
+    schema = f"symbol string, slice int, order_id {kinds['order_id']}, kind int, limit double, filled boolean, printed_at {kinds['printed_at']}, price {kinds['price']}"
+    own = as_print(p).unionByName(o).groupBy("symbol", "slice").applyInArrow(settle, schema)
+
+    slices = p.groupBy("symbol", "slice").agg(F.coalesce(F.min(F.col("price").cast("double")), F.lit(float("inf"))).alias("low"), F.coalesce(F.max(F.col("price").cast("double")), F.lit(float("-inf"))).alias("high")).toArrow().sort_by([("symbol", "ascending"), ("slice", "ascending")])
+    names, number = np.array(slices["symbol"].to_pylist(), object), slices["slice"].to_numpy()
+    lows, highs = slices["low"].to_numpy(), slices["high"].to_numpy()
+    of = {s: np.flatnonzero(names == s) for s in set(names.tolist())} if len(names) else {}
+
+    def later(batches):
+        for batch in batches:
+            target, symbol = np.full(batch.num_rows, -1), np.array(batch["symbol"].to_pylist(), object)
+            slice_of, side, limit = batch["slice"].to_numpy(), batch["kind"].to_numpy(), batch["limit"].to_numpy()
+            for s in set(symbol.tolist()) & of.keys():
+                mine, there = np.flatnonzero(symbol == s), of[s]
+                found = _fill_side((lows[there], highs[there]), np.searchsorted(number[there], slice_of[mine], side="right"), side[mine], limit[mine])
+                target[mine] = np.append(number[there], -1)[found]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("symbol", "order_id", "kind", "limit")), pa.array(target.astype(np.int32))], ["symbol", "order_id", "kind", "limit", "slice"])
+
+    open_ = own.where("not filled").select("symbol", "slice", "order_id", "kind", "limit").mapInArrow(later, f"symbol string, order_id {kinds['order_id']}, kind int, limit double, slice int").where("slice >= 0")
+    keys = ["symbol", "slice", "kind", "limit"]
+    asked = open_.select(*keys).distinct()
+    there = as_print(p.join(asked.select("symbol", "slice").distinct(), ["symbol", "slice"], "left_semi"))
+    wanted = asked.select("symbol", "slice", null("printed_at"), null("print_id"), null("price"), null("order_id"), "kind", "limit")
+    carried = open_.join(there.unionByName(wanted).groupBy("symbol", "slice").applyInArrow(settle, schema).drop("order_id"), keys)
+    first = own.unionByName(carried.select(own.columns)).where("filled").select("order_id", "printed_at", "price")
     return orders.join(first, "order_id", "left").withColumn("status", F.when(F.col("printed_at").isNull(), "UNFILLED").otherwise("FILLED"))
 
 

@@ -526,3 +526,27 @@ def g8_fill_decision(spark, sf_dir):
     t = fixtures.ticks(spark, sf_dir)
     orders = t.where("event_id%200=7").select(F.col("event_id").alias("order_id"), "symbol", F.col("ts").alias("placed_at"), F.when(F.col("event_id") % 3 == 0, "market").otherwise("limit").alias("rule"), F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), F.col("price").alias("limit_price"))
     return G.fill_decision(orders, t.select("symbol", F.col("ts").alias("printed_at"), F.col("event_id").alias("print_id"), "price")).select("order_id", "price", "status")
+
+
+@query()
+def g8_fill_decision_all(spark, sf_dir):
+    """Every tick is an order."""
+    t = fixtures.ticks(spark, sf_dir)
+    orders = t.select(F.col("event_id").alias("order_id"), "symbol", F.col("ts").alias("placed_at"), F.when(F.col("event_id") % 3 == 0, "market").otherwise("limit").alias("rule"), F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), F.col("price").alias("limit_price"))
+    return G.fill_decision(orders, t.select("symbol", F.col("ts").alias("printed_at"), F.col("event_id").alias("print_id"), "price")).select("order_id", "price", "status")
+
+
+@query()
+def g17_streaks_all(spark, sf_dir):
+    """Every event is an audit of its day."""
+    e = fixtures.base(spark, sf_dir, "events").select(F.col("event_type").alias("class"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("seq"))
+    return G.streaks(e)
+
+
+@query()
+def g18_job_lateness_all(spark, sf_dir):
+    """Every event is a run of its job."""
+    e = fixtures.base(spark, sf_dir, "events")
+    due = e.select(F.col("event_type").alias("job"), (F.date_trunc("day", "ts") + F.expr("INTERVAL 9 HOUR")).cast("timestamp_ntz").alias("due_at")).distinct()
+    runs = e.select(F.col("event_type").alias("job"), F.col("ts").alias("began_at"), F.when(F.col("event_id") % 5 == 0, "error").otherwise("ok").alias("outcome"))
+    return G.job_lateness(due, runs).select("job", "due_at", "state")

@@ -1,6 +1,8 @@
 """No look-ahead, closed failures, reasons, hand-computed numbers."""
 
+import collections
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from tapewright.operators import ledgers as G
 from tapewright.operators import normalize as N
 from tapewright.operators import panel as P
 from tapewright.operators import universe as U
-from tapewright.plans import fixtures
+from tapewright.plans import fixtures, store_queries  # noqa: F401  registers its queries
+from tapewright.plans.oracle import QUERIES
 
 DIR = "/root/testdata/sf0.001"
 D = [dt.date(2024, 1, d) for d in range(1, 29)]
@@ -122,6 +125,42 @@ def test_orders_and_round_trips(spark):
         G.round_trips(f)
 
 
+def test_fill_decision_makes_no_pairs(spark):
+    rng = random.Random(4)
+    at = lambda: dt.datetime(2024, 1, rng.randint(1, 9), rng.randint(9, 11), rng.randint(0, 3))
+    prints = [(rng.choice("ab"), at(), i, rng.choice([None, *range(1, 40)])) for i in range(300)]
+    orders = [(i, rng.choice("abc"), rng.choice(["buy", "sell", None]), at(), rng.choice(["market", "limit"]), rng.choice([None, 0, 41, *range(1, 40)])) for i in range(300)]
+    o = spark.createDataFrame(orders, "order_id long, symbol string, side string, placed_at timestamp_ntz, rule string, limit_price int")
+    p = spark.createDataFrame(prints, "symbol string, printed_at timestamp_ntz, print_id long, price int")
+
+    def takes(order, price):
+        _, _, side, _, rule, limit = order
+        return rule == "market" or (price is not None and limit is not None and ((side == "buy" and price <= limit) or (side == "sell" and price >= limit)))
+
+    want = {}
+    for x in orders:
+        # A market order needs no side.
+        first = min(((t, i, price) for s, t, i, price in prints if s == x[1] and t > x[3] and takes(x, price)), key=lambda q: q[:2], default=None)
+        want[x[0]] = (first and first[0], first and first[2], "FILLED" if first else "UNFILLED")
+    for rows in (5, 4000):
+        found = G.fill_decision(o, p, rows=rows)
+        assert {r.order_id: (r.printed_at, r.price, r.status) for r in found.collect()} == want and found.count() == len(orders)
+    assert not any("Join" in line and "symbol" in line and "slice" not in line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_whole_tables_are_ordered_audited_and_run(spark):
+    events = fixtures.base(spark, DIR, "events")
+    assert QUERIES["g8_fill_decision_all"](spark, DIR).count() == events.count()
+    days = {(r[0], r[1]) for r in events.select("event_type", F.to_date("ts")).distinct().collect()}
+    assert sum(r.length for r in QUERIES["g17_streaks_all"](spark, DIR).collect()) == len(days)
+    runs, due = collections.defaultdict(list), {(k, dt.datetime(d.year, d.month, d.day, 9)) for k, d in days}
+    for r in events.select("event_type", "ts", "event_id").collect():
+        runs[r.event_type].append((r.ts.replace(tzinfo=None), r.event_id))
+    for r in QUERIES["g18_job_lateness_all"](spark, DIR).collect():
+        until = min((d for k, d in due if k == r.job and d > r.due_at), default=r.due_at + dt.timedelta(days=1))
+        assert (r.state == "MISSING") == (not any(r.due_at <= t < until for t, _ in runs[r.job]))
+
+
 def test_masking(spark):
     got = spark.createDataFrame([("token=abc123, x Bearer abcdefghij",), (None,)], "t string").select(N.mask_secrets(F.col("t")).alias("t")).collect()
     assert got[0].t == "token=***, x Bearer ***" and got[1].t is None
