@@ -211,34 +211,62 @@ def fill_by_date(daily: DataFrame, value: str) -> DataFrame:
     return d.withColumn(value, filled).withColumn(f"{value}_chg", F.col(value) / F.lag(value).over(w) - 1).drop("_v")
 
 
+def window_returns(panel: DataFrame, year: int, days: int = 550) -> DataFrame:
+    """date, symbol, r: log returns in the days before a year's first."""
+    first = F.lit(f"{year}-01-01").cast("date")
+    return panel.where((F.col("date") < first) & (F.col("date") >= F.date_sub(first, days))).where("close > 0 and prev_close > 0").select("date", "symbol", F.log(F.col("close") / F.col("prev_close")).alias("r"))
+
+
+def return_correlations(r: DataFrame, least: int = 1) -> DataFrame:
+    r = r.select("date", "symbol", "r")
+    a, b = r.toDF("date", "a", "ra"), r.toDF("date", "b", "rb")
+    g = a.join(b, "date").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("corr"))
+    return g.where(F.col("n") >= least)
+
+
 def pair_correlations(panel: DataFrame, year: int, days: int = 550, least: int = 120) -> DataFrame:
     """correlations of log returns in the days before a year's first, for pairs with enough common dates.
 
     A self join by date: its rows are the square of a day's names, and no
     matrix is ever in one place.
     """
-    first = F.lit(f"{year}-01-01").cast("date")
-    r = panel.where((F.col("date") < first) & (F.col("date") >= F.date_sub(first, days))).where("close > 0 and prev_close > 0").select("date", "symbol", F.log(F.col("close") / F.col("prev_close")).alias("r"))
-    a, b = r.toDF("date", "a", "ra"), r.toDF("date", "b", "rb")
-    g = a.join(b, "date").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("corr"))
-    return g.where(F.col("n") >= least)
+    return return_correlations(window_returns(panel, year, days), least)
 
 
-def sector_clusters(corr: DataFrame, k: int = 20, seed: int = 7) -> DataFrame:
-    """symbol, cluster: k-means on each name's correlations with a fixed set of anchor names.
+def correlation_rows(r: DataFrame, names: Sequence[str]) -> DataFrame:
+    """symbol, features: each name's correlations with all names, sparse; 1 with itself, 0 where there is none."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    The anchors are the `4 * k` names with the most pairs, so a row's width does
-    not grow with the number of names.
+    index = F.broadcast(r.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "symbol string, at int"))
+    c = return_correlations(r.join(index, "symbol", "left_semi")).where("corr is not null and not isnan(corr) and corr <> 0").select("a", "b", "corr")
+    own = index.select(F.col("symbol").alias("a"), F.col("symbol").alias("b"), F.lit(1.0).alias("corr"))
+    whole = c.unionByName(c.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")).unionByName(own)
+    size = len(names)
+    vector = F.udf(lambda x: SparseVector(size, [p.at for p in x], [p.corr for p in x]), VectorUDT())
+    return whole.join(index.withColumnRenamed("symbol", "b"), "b").groupBy(F.col("a").alias("symbol")).agg(vector(F.sort_array(F.collect_list(F.struct("at", "corr")))).alias("features"))
+
+
+def sector_clusters(panel: DataFrame, k: int = 20, seed: int = 7, days: int = 550, least: int = 120) -> DataFrame:
+    """year, symbol, cluster for each year and name of the panel: k-means on each name's whole row of correlations.
+
+    Names with fewer than `least` returns in a year's window have cluster -1, as
+    have all names if fewer than `k` have enough.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    both = corr.select("a", "b", "corr").unionByName(corr.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
-    anchors = [x.a for x in both.groupBy("a").count().orderBy(F.desc("count"), "a").limit(4 * k).collect()]
-    wide = both.groupBy("a").pivot("b", anchors).agg(F.first("corr")).fillna(0.0)
-    features = VectorAssembler(inputCols=anchors, outputCol="features").transform(wide.orderBy("a"))
-    model = KMeans(k=k, seed=seed).fit(features)
-    return model.transform(features).select(F.col("a").alias("symbol"), F.col("prediction").cast("int").alias("cluster"))
+
+    symbols, out = panel.select("symbol").distinct(), None
+    for (year,) in panel.select(F.year("date")).distinct().sort(F.year("date")).collect():
+        r = window_returns(panel, year, days)
+        names = [x.symbol for x in r.groupBy("symbol").count().where(F.col("count") >= least).orderBy("symbol").collect()]
+        of_year = symbols.select(F.lit(year).alias("year"), "symbol")
+        if names and len(names) >= k:
+            rows = correlation_rows(r, names).orderBy("symbol").cache()
+            found = KMeans(k=k, seed=seed).fit(rows).transform(rows).select("symbol", F.col("prediction").cast("int").alias("cluster"))
+            of_year = of_year.join(found, "symbol", "left").select("year", "symbol", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+        else:
+            of_year = of_year.withColumn("cluster", F.lit(-1))
+        out = of_year if out is None else out.unionByName(of_year)
+    return symbols.select(F.lit(0).alias("year"), "symbol", F.lit(-1).alias("cluster")).limit(0) if out is None else out
 
 
 def sector_aggregates(panel: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def f15_pair_correlations(spark, sf_dir):
 
 @query()
 def f15_sector_clusters(spark, sf_dir):
-    return X.sector_clusters(X.pair_correlations(prepared(spark, sf_dir), 2023, least=15), k=5)
+    return X.sector_clusters(prepared(spark, sf_dir), k=5, least=15)
 
 
 @query(

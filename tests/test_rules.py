@@ -2,8 +2,10 @@
 
 import collections
 import datetime as dt
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +163,25 @@ def test_whole_tables_are_ordered_audited_and_run(spark):
         assert (r.state == "MISSING") == (not any(r.due_at <= t < until for t, _ in runs[r.job]))
 
 
+def test_sector_clusters_use_whole_rows_of_every_year(spark):
+    rng, names = random.Random(2), [f"{i:02}" for i in range(30)]  # more than 4 * k
+    rows = []
+    for d in [dt.date(y, 6, 1) + dt.timedelta(days=i) for y in (2021, 2022) for i in range(40)]:
+        group = [rng.gauss(0, 0.02), rng.gauss(0, 0.02)]
+        rows += [(d, s, 100 * math.exp(group[int(s) % 2] + rng.gauss(0, 0.004)), 100.0) for s in names]
+    rows += [(dt.date(2022, 6, 1) + dt.timedelta(days=i), "new", 101.0 + i, 100.0) for i in range(3)] + [(dt.date(2023, 1, 2), "00", 100.0, 100.0)]
+    p = spark.createDataFrame(rows, "date date, symbol string, close double, prev_close double")
+    got = {(r.year, r.symbol): r.cluster for r in X.sector_clusters(p, k=2, least=15).collect()}
+    assert set(got) == {(y, s) for y in (2021, 2022, 2023) for s in [*names, "new"]}
+    assert all(got[2021, s] == -1 for s in names) and {got[y, "new"] for y in (2021, 2022, 2023)} == {-1}
+    for y in (2022, 2023):
+        assert {got[y, s] for s in names} == {0, 1} and all(got[y, s] == got[y, f"{int(s) % 2:02}"] for s in names)
+    first = {s: [math.log(c / q) for d, x, c, q in rows if x == s and d.year == 2021] for s in names}
+    want = np.corrcoef([first[s] for s in names])
+    vectors = {r.symbol: r.features.toArray() for r in X.correlation_rows(X.window_returns(p, 2022), names).collect()}
+    assert np.allclose([vectors[s] for s in names], want)
+
+
 def test_masking(spark):
     got = spark.createDataFrame([("token=abc123, x Bearer abcdefghij",), (None,)], "t string").select(N.mask_secrets(F.col("t")).alias("t")).collect()
     assert got[0].t == "token=***, x Bearer ***" and got[1].t is None
