@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,23 +22,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset, one of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may leave it unset; it gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and survives the loss of an executor."""
-    path = new_path(df.sparkSession, name)
+    return kept_at(df, new_path(df.sparkSession, name))
+
+
+def kept_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.kept_path = path
+    return found
+
+
+def remove_kept(*tables: DataFrame | None) -> None:
+    """Deletes tables that `kept` wrote and no later plan reads."""
+    for df in tables:
+        if df is not None:
+            remove_path(df.sparkSession, df.kept_path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables kept inside go when the block ends: what is made of them has to be written by then."""
+    path = new_path(spark, name)
+    token = _scratch.set(path)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        remove_path(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,25 +1,30 @@
 """Operator 2, near-duplicates: bottom-k sketches from one hash function.
 
-1. A document keeps the SKETCH least of its distinct shingle hashes. Documents
-   with equal sets are one class from here on, named by the least doc_id.
+1. A document is its set of distinct shingle hashes. Documents with equal sets
+   are one class from here on, named by the least doc_id.
 2. Inverted lists hold the documents that retain the same values. Single values
    of short shingles are in every other document, so a list's key is a run of
-   RUN values that follow each other in the order of the hash. In a pair that
-   shares four fifths of its shingles, the rest cuts the circle of all their
-   values into runs of which one has RUN at least: with sets of up to SKETCH
-   values, where all circular runs are keys, no pair is missed. Larger sets
-   have the runs inside their sketch that begin at every STEP-th hash; a pair
-   right at 0.8 shares none with a chance of about 1e-6, at 0.9 of 1e-10.
-3. Lists of up to ALL documents give all their pairs. A longer list gives the
-   pairs with its hub, the document that shares most. After links are confirmed
-   and joined, lists that still hold several components get the next hub from
-   outside their largest component, for up to ROUNDS rounds; a list that holds
-   several even then gives, block by block, all pairs between components whose
-   sketches allow it. So no list is cut short, and the usual large group, copies
-   of one text, costs a pair or two for each copy.
-4. The likeness of each pair is estimated from the least values of both
-   sketches' union, and clearly lower pairs go.
-5. Exact Jaccard on the full sets confirms: 100 * common >= 80 * union.
+   RUN values that follow each other in the order of the hash. The shingles
+   that a pair doesn't share cut the circle of all its values into runs; at a
+   likeness of 0.8 one of these has RUN values at least, and a fifth of the keys
+   or more are shared. Sets of up to AROUND values have all circular runs as
+   keys, so a pair with a set of up to WHOLE (its partner then has up to AROUND)
+   is never missed. Larger sets have the runs inside their REACH least values
+   whose first value is divisible by a power of two that grows with the set
+   (see `step`); a pair right at 0.8 then shares none, or only one, with a
+   chance below 1e-12, at 0.85 below 1e-18.
+3. Since a pair shares so many keys, a document leaves its longest lists: a
+   fifth of its keys less one, for sets above WHOLE one. A pair still meets in
+   the lists that are left, and documents that share a passage only are out.
+4. Each list gives the pairs with its hub, the document in most lists. Their
+   likeness is estimated from the least values of both sketches' union, clearly
+   lower pairs go, and exact Jaccard on the full sets confirms the others:
+   100 * common >= 80 * union. Links are joined to components.
+5. Lists whose other documents are still of several components are gathered by
+   the hub's component. Documents outside that component are compared, in
+   blocks of matrices, with all of the gathered ones; what is left goes through
+   estimate and exact test. So no list is cut short, and copies of one text
+   cost a pair or two each.
 """
 
 from __future__ import annotations
@@ -29,35 +34,42 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.llm import spans
-from tapewright.llm.common import document_text, kept
+from tapewright.llm.common import document_text, kept, remove_kept
 from tapewright.llm.components import components
 
-SKETCH, RUN, STEP = 128, 4, 4
-ALL, BLOCK, PART, ROUNDS = 8, 1024, 128, 4
-#: Between blocks, LOOK values of 32 bits are compared; sets with fewer are whole, others pass from LOOK_LEAST in common (again 6 deviations).
-LOOK, LOOK_LEAST = 256, 166
+SKETCH, RUN, REACH = 128, 4, 512
+WHOLE, AROUND = 128, 160
+#: In step 5 sets of fewer than LOOK values are compared whole; others pass from LOOK_LEAST of their LOOK least values in common (6 deviations).
+LOOK, LOOK_LEAST = 1024, 742
+LEFT, RIGHT = 256, 1024
 #: The estimate drops a pair with fewer than LEAST of SKETCH values in common; at a likeness of 0.8 that many are missing once in hundred millions (6 deviations).
 LEAST = 75
 
 
+def step(n: int) -> int:
+    """Of the runs of a set of n values, those are keys whose first value is divisible by this."""
+    return 1 if n <= 224 else 2 if n <= 384 else 4
+
+
 def run_keys(values: np.ndarray) -> np.ndarray:
     """Keys of the lists that a document is in; values: its sorted distinct shingle hashes."""
-    if len(values) < RUN:
+    if len(values) < RUN:  # alike only to equal sets
         return values[:0]
-    if len(values) <= SKETCH:
+    if len(values) <= AROUND:
         around, n = np.concatenate([values, values[: RUN - 1]]), len(values)
     else:
-        around, n = values[:SKETCH], SKETCH - RUN + 1
+        around = values[:REACH]
+        n = len(around) - RUN + 1
     keys = around[:n] * spans._PLACES[0]
     for j in range(1, RUN):
         keys += around[j : j + n] * spans._PLACES[j]
-    if len(values) > SKETCH:
-        keys = keys[around[:n] % np.uint64(STEP) == 0]
-    return np.unique(spans.mixed(keys))
+    if (every := step(len(values))) > 1:
+        keys = keys[around[:n] % np.uint64(every) == 0]
+    return np.unique(spans.mixed(keys) >> np.uint64(8))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -66,30 +78,30 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (distinct shingles), two hashes of the whole set, keys and sketch of each document."""
+def _set_names(sets: list[np.ndarray]) -> list[pa.Array]:
+    a = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64)
+    b = np.array([np.bitwise_xor.reduce(spans.mixed(x + spans._PLACES[7])) if len(x) else 0 for x in sets], np.uint64)
+    return [pa.array([len(x) for x in sets], pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))]
+
+
+def list_keys(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n (distinct shingles), two hashes of the whole set, and keys of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, sets in spans.shingle_sets(batch["text"], width):
-                ids = batch["doc_id"].slice(first, len(sets))
-                a = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64)
-                b = np.array([np.bitwise_xor.reduce(spans.mixed(x + spans._PLACES[7])) if len(x) else 0 for x in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _lists([run_keys(x) for x in sets]), _lists([x[:SKETCH] for x in sets])],
-                    ["doc_id", "n", "set_a", "set_b", "keys", "sketch"],
-                )
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, len(sets)), *_set_names(sets), _lists([run_keys(x) for x in sets])], ["doc_id", "n", "set_a", "set_b", "keys"])
 
-    return document_text(docs).mapInArrow(run, "doc_id long, n long, set_a long, set_b long, keys array<long>, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, set_a long, set_b long, keys array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, sets in spans.shingle_sets(batch["text"], width):
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, len(sets)), _lists(sets)], ["doc_id", "values"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, len(sets)), *_set_names(sets), _lists(sets)], ["doc_id", "n", "set_a", "set_b", "values"])
 
-    return docs.mapInArrow(run, "doc_id long, values array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, set_a long, set_b long, values array<long>")
 
 
 def _arrays(column: pa.Array) -> list[np.ndarray]:
@@ -97,98 +109,110 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def _passes(test) -> object:
-    """Rows (a, b) whose two arrays pass the test."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = pa.array([test(x, y) for x, y in zip(_arrays(batch["of_a"]), _arrays(batch["of_b"]), strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(good)
-
-    return run
-
-
-def _may_be_alike(x: np.ndarray, y: np.ndarray) -> bool:
+def estimate(x: np.ndarray, y: np.ndarray) -> int:
+    """0: not alike; 1: may be; 2: alike, as both sketches are whole sets."""
     common = np.intersect1d(x, y, assume_unique=True)
-    if len(x) < SKETCH and len(y) < SKETCH:  # whole sets
-        return 100 * len(common) >= 80 * (len(x) + len(y) - len(common))
+    if len(x) < SKETCH and len(y) < SKETCH:
+        return 2 if 100 * len(common) >= 80 * (len(x) + len(y) - len(common)) else 0
     union = np.union1d(x, y)[:SKETCH]
-    return int(np.searchsorted(common, union[-1], side="right")) * SKETCH >= LEAST * len(union)
+    return int(int(np.searchsorted(common, union[-1], side="right")) * SKETCH >= LEAST * len(union))
 
 
-def alike(x: np.ndarray, y: np.ndarray) -> bool:
+def alike(x: np.ndarray, y: np.ndarray) -> int:
     """Exact: both are whole sets."""
     common = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * common >= 80 * (len(x) + len(y) - common)
+    return 2 if 100 * common >= 80 * (len(x) + len(y) - common) else 0
+
+
+def _judged(pairs: DataFrame, arrays: DataFrame, test) -> DataFrame:
+    """Rows (a, b, verdict) whose two arrays pass the test."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            verdict = np.array([test(x, y) for x, y in zip(_arrays(batch["of_a"]), _arrays(batch["of_b"]), strict=True)], np.int32)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(verdict)], ["a", "b", "verdict"]).filter(pa.array(verdict > 0))
 
-def _with_arrays(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    return pairs.join(arrays.toDF("a", "of_a"), "a").join(arrays.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
+    both = pairs.select("a", "b").join(arrays.toDF("a", "of_a"), "a").join(arrays.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
+    return both.mapInArrow(run, "a long, b long, verdict int")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of document ids that are alike; sets: doc_id, values, sketch."""
-    likely = kept(_with_arrays(pairs, sets.select("doc_id", "sketch")).mapInArrow(_passes(_may_be_alike), "a long, b long"), "likely")
-    return kept(_with_arrays(likely, sets.select("doc_id", "values")).mapInArrow(_passes(alike), "a long, b long"), "confirmed")
+    likely = kept(_judged(pairs, sets.select("doc_id", "sketch"), estimate), "likely")
+    exact = _judged(likely.where("verdict = 1"), sets.select("doc_id", "values"), alike)
+    return kept(likely.where("verdict = 2").unionByName(exact).select("a", "b"), "links")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     """Distinct pairs whose sizes allow a link, the less id first."""
-    sized = pairs.where("100 * least(an, bn) >= 80 * greatest(an, bn)")
+    sized = pairs.where("a <> b and 100 * least(an, bn) >= 80 * greatest(an, bn)")
     return sized.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _part_pairs(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row of left, row of right, share, whole) of pairs of different components that may be alike."""
+def open_lists(lists: DataFrame, doc: DataFrame, hubs: DataFrame) -> DataFrame:
+    """doc_id, gathered: the documents of the lists that hold several components besides the hub, by the hub's component.
+
+    doc: a row for each document with its component, n and keys; labels are
+    joined there, before the keys are laid out.
+    """
+    laid = doc.select("doc_id", "component", F.explode("keys").alias("key"))
+    several = laid.join(hubs, "key").where("doc_id <> hub").groupBy("key", "hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "hub")
+    gathered = several.join(doc.select(F.col("doc_id").alias("hub"), F.col("component").alias("gathered")), "hub").select("key", "gathered")
+    return laid.select("key", "doc_id").join(gathered, "key").select("doc_id", "gathered").distinct()
+
+
+def _block_links(block: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a, an, b, bn) of a block's two sides, of different components, that are alike or may be.
+
+    Pairs of whole sets are decided here: `sure` is true, and for a document and
+    a component one of them is enough.
+    """
+    left, right = block[block.side == 0], block[block.side == 1]
+    none = pd.DataFrame({"a": [], "an": [], "b": [], "bn": [], "sure": []}).astype({"a": "int64", "an": "int64", "b": "int64", "bn": "int64", "sure": "bool"})
+    if not len(left) or not len(right):
+        return none
     arrays = [*left.low, *right.low]
     sizes = np.array([len(x) for x in arrays])
     _, place, times = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
     column = np.full(len(times), -1)
     column[times > 1] = np.arange(int((times > 1).sum()))
     row, col = np.repeat(np.arange(len(sizes)), sizes), column[place]
-    held = np.zeros((len(sizes), int((times > 1).sum())), np.float32)
-    held[row[col >= 0], col[col >= 0]] = 1
-    common = held[: len(left)] @ held[len(left) :].T
-    a, b = sizes[: len(left), None], sizes[None, len(left) :]
+    row, col, k = row[col >= 0], col[col >= 0], len(left)
+    common = np.zeros((k, len(right)), np.float32)
+    for low in range(0, int((times > 1).sum()), 4096):  # columns by the thousand: the table of values stays small
+        here = (col >= low) & (col < low + 4096)
+        held = np.zeros((len(sizes), 4096), np.float32)
+        held[row[here], col[here] - low] = 1
+        common += held[:k] @ held[k:].T
+    a, b = sizes[:k, None], sizes[None, k:]
     whole = (a < LOOK) & (b < LOOK)
-    good = np.where(whole, 100 * common >= 80 * (a + b - common), common >= LOOK_LEAST) & (left.component.to_numpy()[:, None] != right.component.to_numpy()[None, :])
+    an, bn = left.n.to_numpy(), right.n.to_numpy()
+    fits = 100 * np.minimum(an[:, None], bn[None, :]) >= 80 * np.maximum(an[:, None], bn[None, :])
+    good = fits & np.where(whole, 100 * common >= 80 * (a + b - common), common >= LOOK_LEAST) & (left.component.to_numpy()[:, None] != right.component.to_numpy()[None, :])
     x, y = np.nonzero(good)
-    return x, y, (common / np.maximum(a + b - common, 1))[x, y], whole[x, y]
+    if not len(x):
+        return none
+    pairs = pd.DataFrame({"a": left.doc_id.to_numpy()[x], "an": an[x], "b": right.doc_id.to_numpy()[y], "bn": bn[y], "of_b": right.component.to_numpy()[y], "sure": whole[x, y]})
+    sure = pairs[pairs.sure].sort_values(["a", "b"]).drop_duplicates(["a", "of_b"])
+    return pd.concat([sure, pairs[~pairs.sure]])[["a", "an", "b", "bn", "sure"]]
 
 
-def _between_components(block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of the two sides of a block, of different components, whose sketches allow a link.
+def _dealt(to: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(to), blocks).cast("int")
 
-    Of pairs of whole sets, which are known to be links, one is enough for a
-    document and a component. The others come from the least of the long lists
-    that the pair shares, and from no other.
-    """
-    left, right = block[block.side == 0], block[block.side == 1]
-    if block.i.iloc[0] == block.j.iloc[0]:
-        right = left
-    found = []
-    for a in range(0, len(left), PART):
-        for b in range(0, len(right), PART):
-            one, two = left.iloc[a : a + PART], right.iloc[b : b + PART]
-            x, y, share, whole = _part_pairs(one, two)
-            if len(x):
-                found.append(pd.DataFrame({"a": one.doc_id.to_numpy()[x], "an": one.n.to_numpy()[x], "ac": one.component.to_numpy()[x], "at": a + x, "b": two.doc_id.to_numpy()[y], "bn": two.n.to_numpy()[y], "bc": two.component.to_numpy()[y], "bt": b + y, "share": share, "whole": whole}))
-    if not found:
-        return pd.DataFrame({"a": [], "an": [], "b": [], "bn": []}, dtype="int64")
-    pairs = pd.concat(found)
-    sure = pairs[pairs.whole].sort_values(["share", "a", "b"], ascending=[False, True, True]).drop_duplicates(["a", "bc"])
-    rest = pairs[~pairs.whole]
-    if len(rest):
-        key, keys_a, keys_b = block.key.iloc[0], list(left["keys"]), list(right["keys"])
-        rest = rest[[np.intersect1d(keys_a[i], keys_b[j], assume_unique=True)[0] == key for i, j in zip(rest["at"].tolist(), rest["bt"].tolist(), strict=True)]]
-    return pd.concat([sure, rest])[["a", "an", "b", "bn"]]
-
-
-def _with_components(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """rows (key, doc_id, ...) with component, without keys whose documents are all of one component."""
-    now = rows.join(label, rows["doc_id"] == label["node"], "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
-    several = now.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("key")
-    return now.join(several, "key", "left_semi")
+
+def between_components(rows: DataFrame, doc: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, an, b, bn, sure) of gathered documents: those outside the gathering component against all."""
+    low = sets.select("doc_id", F.slice("values", 1, LOOK).alias("low"))
+    held = rows.join(doc.select("doc_id", "component", "n"), "doc_id")
+    outside = F.col("component") != F.col("gathered")
+    sizes = held.groupBy("gathered").agg(F.ceil(F.sum(outside.cast("int")) / LEFT).cast("int").alias("lefts"), F.ceil(F.count("*") / RIGHT).cast("int").alias("rights")).where("lefts > 0")
+    held = held.join(sizes, "gathered")
+    lefts = held.where(outside).withColumn("i", _dealt("doc_id", F.col("lefts"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).withColumn("side", F.lit(0))
+    rights = held.withColumn("j", _dealt("doc_id", F.col("rights"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("side", F.lit(1))
+    columns = ["gathered", "i", "j", "side", "doc_id", "component", "n"]
+    sides = lefts.select(*columns).unionByName(rights.select(*columns)).join(low, "doc_id")
+    return sides.groupBy("gathered", "i", "j").applyInPandas(_block_links, "a long, an long, b long, bn long, sure boolean")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -196,68 +220,49 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 
     component_id is the least doc_id that links reach. A null or empty text, or
     one without words, has no shingles and stands alone. Rows that repeat an id
-    count as one document (they share the component of the least text's set);
-    a null id can't be linked: its component_id is null and it is kept.
+    count as one document: equal texts are one class, and of different ones the
+    set with the least hash stands for the id in links; the others keep their
+    class. A null id can't be linked: its component_id is null and it is kept.
+    An empty table gives an empty one.
     """
     texts = document_text(docs)
-    prints = kept(sketches(texts, width), "sketches")
+    prints = kept(list_keys(texts, width), "prints")
     linked = prints.where("n > 0 and doc_id is not null")
     classes = kept(linked.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    listed = linked.select("doc_id", "n", "keys").join(reps, "doc_id", "left_semi").select("doc_id", "n", F.explode("keys").alias("key")).distinct()
+    # One row for each document that stands for a class; of rows that repeat its id, the least set.
+    one = linked.join(reps, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b", "n", "keys")).alias("own")).select("doc_id", "own.*")
+    one, ids = kept(one, "ones"), kept(prints.select("doc_id", "n", "set_a", "set_b"), "ids")
+    remove_kept(prints)
+    listed = one.select("doc_id", F.explode("keys").alias("key"))
     sizes = listed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    lists = kept(listed.join(sizes, "key"), "lists")
-
-    members = lists.select("doc_id").distinct()
-    sets = full_sets(texts.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width)
-    sets = kept(sets.withColumn("sketch", F.slice("values", 1, SKETCH)), "sets")
-
-    short = lists.where(f"size <= {ALL}").select("key", "doc_id", "n")
-    pairs = short.toDF("key", "a", "an").join(short.toDF("key", "b", "bn"), "key").where("a < b").drop("key")
-    score = lists.groupBy("doc_id").agg(F.sum("size").alias("score"))
-    rest = kept(lists.where(f"size > {ALL}").join(score, "doc_id").select("key", "doc_id", "n", "size", "score"), "long")
-    links = label = tried = None
-    for turn in range(ROUNDS):
-        if label is not None:
-            rest = kept(_with_components(rest.drop("component"), label), "rest")
-            if rest.isEmpty():
-                break
-        # The hub: by score, of those outside the largest component that haven't been one.
-        able = rest
-        if tried is not None:
-            parts = rest.groupBy("key", "component").agg(F.count("*").alias("k"))
-            largest = parts.groupBy("key").agg(F.max(F.struct("k", "component"))["component"].alias("largest"))
-            able = rest.join(tried, ["key", "doc_id"], "left_anti").join(largest, "key").where("component <> largest")
-        best = able.groupBy("key").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("minus"), "n")).alias("hub"))
-        hubs = kept(best.select("key", (-F.col("hub.minus")).alias("b"), F.col("hub.n").alias("bn")), "hubs")
-        stars = rest.select("key", F.col("doc_id").alias("a"), F.col("n").alias("an"), *(["component"] if turn else [])).join(hubs, "key").where("a <> b")
-        if turn:
-            own = rest.select(F.col("doc_id").alias("b"), F.col("component").alias("of_b")).distinct()
-            stars = stars.join(own, "b").where("component <> of_b")
-        stars = stars.select("a", "an", "b", "bn")
-        found = confirmed(_ordered(stars if turn else stars.unionByName(pairs)), sets)
-        if turn and found.isEmpty():
-            break
-        links = found if links is None else kept(links.unionByName(found), "all-links")
-        label = components(links)
-        used = hubs.select("key", F.col("b").alias("doc_id"))
-        tried = used if tried is None else tried.unionByName(used)
-
-    rest = kept(_with_components(rest.drop("component"), label), "rest")
-    if not rest.isEmpty():
-        own_keys = rest.groupBy("doc_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-        held = rest.join(own_keys, "doc_id").join(sets.select("doc_id", F.transform(F.slice("values", 1, LOOK), lambda v: F.shiftright(v, 32).cast("int")).alias("low")), "doc_id")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-        sides = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        sides = sides.select("key", "doc_id", "n", "component", "low", "keys", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-        found = sides.groupBy("key", "i", "j").applyInPandas(_between_components, "a long, an long, b long, bn long").where("a <> b")
-        more = confirmed(_ordered(found), sets)
-        if not more.isEmpty():
-            label = components(links.unionByName(more))
+    met = listed.join(sizes, "key").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("met"))
+    met = met.join(one.select("doc_id", "n", "set_a", "set_b"), "doc_id")
+    leave = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * 0.2) - 1).otherwise(1)
+    stay = F.slice("met", F.lit(1), F.greatest(F.size("met") - leave, F.lit(0)).cast("int"))
+    doc = kept(met.select("doc_id", "n", "set_a", "set_b", F.transform(stay, lambda m: m["key"]).alias("keys")).where("size(keys) > 0"), "listed")
+    remove_kept(one)
+
+    full = full_sets(texts.join(doc.select("doc_id"), "doc_id", "left_semi"), width)
+    full = full.join(doc.select("doc_id", "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id"])  # rows that are left for an id have one set
+    sets = kept(full.select("doc_id", "values", F.slice("values", 1, SKETCH).alias("sketch")), "sets")
+
+    laid = doc.select("doc_id", "n", F.size("keys").alias("score"), F.explode("keys").alias("key"))
+    best = laid.groupBy("key").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("minus"), "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
+    hubs = kept(best.select("key", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    stars = laid.join(hubs, "key").select(F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("hub").alias("b"), F.col("hub_n").alias("bn"))
+    links = confirmed(_ordered(stars), sets)
+    label = components(links)
+
+    named = doc.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    named = kept(named.select("doc_id", "n", "component", "keys"), "named")
+    rows = kept(open_lists(laid, named, hubs.select("key", "hub")), "open")
+    if not rows.isEmpty():
+        found = kept(between_components(rows, named, sets), "between")
+        more = found.where("sure").select("a", "b").unionByName(confirmed(_ordered(found.where("not sure")), sets))
+        label = components(links.unionByName(more))
 
     of_class = classes.join(label, classes["rep"] == label["node"], "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
-    ids = prints.select("doc_id", "n", "set_a", "set_b")
     out = ids.join(of_class, ["set_a", "set_b", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
