@@ -114,3 +114,17 @@ def in_shards(df: DataFrame, key: str, shards: int) -> DataFrame:
         return df.withColumn("shard", F.lit(0))
     keyed = df.withColumn("_at", F.coalesce(F.col(key).cast("double"), F.lit(-1.7976931348623157e308)))
     return Bucketizer(splits=splits, inputCol="_at", outputCol="_shard").transform(keyed).withColumn("shard", F.col("_shard").cast("int")).drop("_at", "_shard")
+
+
+def whole_row(df: DataFrame, names: list[str]) -> Column:
+    """The row as one value, so that columns beside it can't clash with its own."""
+    return F.struct(*[F.col(quoted(c)) for c in names])
+
+
+def field(row: str, name: str) -> Column:
+    """A column of a whole row, whatever its name."""
+    return F.col(row).getField(name).alias(name)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -7,17 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import WORD
+from tapewright.llm.common import WORD, field, whole_row
 
-#: Documents of one source that draw from one sequence; a larger source is split by hash.
-STRATUM = 20_000
-GOLDEN = 0.6180339887498949
-#: Hashed starts that are tried for each sequence.
-STARTS = 16
+#: Seeds that are tried for each source.
+SEEDS = 32
+RESULTS = ("size", "source_size", "target", "copies", "taken")
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """source, source_size, n_docs, target: a row for each source of rows (source, size).
+    """source, source_size, target: a row for each source of rows (source, size).
 
     Sources by code point, null last, take the weights in turn. They share the
     sum of all sizes by weight, but none gets more than `most` times its size;
@@ -26,7 +24,7 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), most: f
     sources in the order in which they fill, the level is the highest of
     (total - what is full before) / (weights not full before).
     """
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())  # a row for each source, not for each document
     turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
     weighed = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))).withColumn("full", most * F.col("source_size"))
@@ -35,54 +33,53 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), most: f
     left = F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing))
     whole = Window.partitionBy(F.lit(1))
     levels = weighed.withColumn("level", (F.sum("source_size").over(whole) - before) / left)
-    return levels.withColumn("target", F.least("full", F.col("weight") * F.max("level").over(whole))).select("source", "source_size", "n_docs", "target")
+    return levels.withColumn("target", F.least("full", F.col("weight") * F.max("level").over(whole))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: float = 3.0, seed: int = 17) -> DataFrame:
+def draw(own: Column, seed: Column) -> Column:
+    """A number from 0 up to 1 that depends on the document (its hash) and the seed alone."""
+    return F.shiftrightunsigned(F.xxhash64(own, seed), 11) / float(1 << 53)
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: float = 3.0, seed: int = 17, seeds: int = SEEDS) -> DataFrame:
     """docs with size, source_size, target, copies and taken (size * copies).
 
     Size: words in the text, null 0. rate = target / source_size. A document is
-    taken floor(rate) times, and once more with the rest as probability. The
-    draws of a source, by falling size, follow each other by the golden ratio
-    from a hashed start; of STARTS hashed starts the one counts whose taken
-    words come nearest to the source's target. Reruns agree. A source of more
-    than STRATUM documents is split by hash of the id into sequences of their
-    own, so no task gets more of it. Rows that repeat each count and are drawn
-    for. Sources without words have the rate 0. Columns of docs with one of
-    the result's names are replaced.
+    taken floor(rate) times, and once more if its draw, a hash of its id and
+    text and of the source's seed, is below the fraction of the rate. Of `seeds`
+    seeds, which are the same for every source, a source takes the one whose
+    taken words come nearest to its target (the first of equals); under each of
+    them the chance of the copy is the fraction. So the draw of a document
+    depends on no other document but by that choice. All of it is sums by
+    source, made in part before rows are sent: a source of any share of the rows
+    is as good as many small ones. Reruns agree.
+
+    Rows that repeat each count and are drawn alike. A null source is a source.
+    Sources without words have the rate 0. Columns of docs with one of the
+    result's names are replaced; an empty table gives an empty one.
     """
-    own = docs.drop("size", "source_size", "target", "copies", "taken", "n_docs")
-    sized = own.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    targets = source_targets(sized.select("source", "size"), weights, most).withColumnRenamed("source", "_source")
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    names = [c for c in docs.columns if c not in RESULTS]
+    sized = docs.select(
+        whole_row(docs, names).alias("row"),
+        F.col("source"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64("doc_id", "text").alias("own"),
+    )
+    targets = source_targets(sized.select("source", "size"), weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    strata = F.ceil(F.col("n_docs") / STRATUM)
-    joined = joined.withColumn("_stratum", F.pmod(F.xxhash64("doc_id", F.lit(seed)), strata)).withColumn("_rate", rate)
-    stratum = Window.partitionBy("source", "_stratum")
-    joined = joined.withColumn("_place", F.row_number().over(stratum.orderBy(F.col("size").desc(), F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")))
-    part = F.col("_rate") - F.floor("_rate")
-
-    def once_more(k: int) -> Column:
-        start = F.pmod(F.xxhash64("source", "_stratum", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
-        return F.pmod(start + F.col("_place") * F.lit(GOLDEN), F.lit(1.0)) < part
-
-    wanted = F.sum(F.col("size") * part).over(stratum)
-    misses = [F.struct(F.abs(F.sum(F.when(once_more(k), F.col("size")).otherwise(0)).over(stratum) - wanted).alias("miss"), F.lit(k).alias("k")) for k in range(STARTS)]
-    joined = joined.withColumn("_best", F.array_min(F.array(*misses))["k"])
-    more = F.element_at(F.array(*[once_more(k) for k in range(STARTS)]), F.col("_best") + 1)
-    copies = F.floor("_rate") + more.cast("long")
-    return joined.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies")).drop("_stratum", "_rate", "_place", "_best", "n_docs")
-
-
-def repeated(docs: DataFrame) -> DataFrame:
-    """Each document as often as the mix takes it, with the columns of docs.
-
-    The draws are made on ids, sources and sizes alone; texts are shuffled once
-    to meet their copies and go through no window. Rows that repeat an id with
-    the same source and size are taken alike, as the most taken of them.
-    """
-    keys = F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")
-    drawn = mix(docs.select("doc_id", "source", "text")).groupBy(*keys).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    met = docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["_id"]) & docs["source"].eqNullSafe(drawn["_source"]) & (size == drawn["_size"]))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rates = targets.select(F.col("source").alias("of"), "source_size", "target", F.floor(rate).cast("long").alias("times"), (rate - F.floor(rate)).alias("part"))
+    plain = sized.select("source", "size", "own").join(rates, F.col("source").eqNullSafe(F.col("of")))
+    sums = plain.groupBy("of").agg(*[F.sum(F.when(draw(F.col("own"), F.lit(seed + k)) < F.col("part"), F.col("size")).otherwise(0)).alias(f"k{k}") for k in range(seeds)], F.first("part").alias("part"), F.first("source_size").alias("n"))
+    misses = F.array(*[F.struct(F.abs(F.col(f"k{k}") - F.col("part") * F.col("n")).alias("miss"), F.lit(seed + k).alias("seed")) for k in range(seeds)])
+    chosen = rates.join(sums.select(F.col("of").alias("source"), F.array_min(misses)["seed"].alias("seed")), F.col("of").eqNullSafe(F.col("source"))).drop("source")
+
+    met = sized.join(chosen, F.col("source").eqNullSafe(F.col("of")))
+    copies = F.col("times") + (draw(F.col("own"), F.col("seed")) < F.col("part")).cast("long")
+    return met.select(*[field("row", c) for c in names], "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """Each document as often as the mix takes it, with the columns of docs. Texts are only shuffled where the table of sources is too large to send."""
+    mixed = mix(docs.select(whole_row(docs, docs.columns).alias("row"), "doc_id", "source", "text"), **options)
+    several = mixed.where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return several.select(*[field("row", c) for c in docs.columns])
