@@ -1,9 +1,9 @@
 """Operator 7, line dedup, in DataFrame functions only.
 
-Lines are exploded and hashed; a key is repeated when its documents differ
-(least id < greatest id). What goes is kept as each document's set of key
-hashes, which is joined to the texts, and the other lines are put together in
-the order they had. Lines themselves are never shuffled.
+Lines are exploded with their place and hashed; documents are counted for each
+hash; lines whose hash has too many go, by place, from all documents but one;
+the others are put together in the order they had. Lines themselves are never
+shuffled.
 """
 
 from __future__ import annotations
@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapewright.llm.common import field, kept, whole_row
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = " \t\n\x0b\x0c\r"
+#: Keys in more than one HOT-th of all lines that can go; there are fewer than HOT of them.
+HOT = 1000
 
 
 def line_key(line: Column) -> Column:
@@ -25,27 +29,37 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_dedup(docs: DataFrame, least: int = 10) -> DataFrame:
+def line_dedup(docs: DataFrame, least: int = 10, most: int = 1) -> DataFrame:
     """docs with n_lines, n_dropped and the new text.
 
-    Keys of `least` code points or more that two documents or more hold lose
-    all their lines except in the document with the least id; a null id comes
-    before all others. Rows that repeat an id are one document here. A text
-    that loses all lines becomes empty; a null text becomes an empty line.
-    Columns n_lines and n_dropped of docs are replaced.
+    Keys of `least` code points or more that more than `most` documents hold
+    lose all their lines except in the document with the least id; a null id
+    comes before all others. Rows that repeat an id are one document here,
+    whether their texts are equal or not. A text that loses all lines becomes
+    empty; a null text becomes an empty line. Columns n_lines and n_dropped of
+    docs are replaced; an empty table gives an empty one.
+
+    A common line is no hot spot: documents are counted in part before rows are
+    sent, and the few keys with more than a HOT-th of the lines are sent to all
+    tasks, so that only rows of the other keys are shuffled by key.
     """
-    own = docs.drop("n_lines", "n_dropped")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     at = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    lines = own.select(at.alias("at"), F.explode(_lines(F.col("text"))).alias("line")).select("at", line_key(F.col("line")).alias("key"))
-    hashed = lines.where(F.char_length("key") >= least).select("at", F.xxhash64("key").alias("h"), F.hash("key").alias("g"))
-    repeated = hashed.groupBy("h", "g").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").drop("last")
-    gone = hashed.join(repeated, ["h", "g"]).where("at > first").groupBy("at").agg(F.collect_set("h").alias("_gone"))
-    joined = own.withColumn("_at", at).join(gone.withColumnRenamed("at", "_at"), "_at", "left").withColumn("_lines", _lines(F.col("text")))
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return ~((F.char_length(key) >= least) & F.array_contains("_gone", F.xxhash64(key)))
-
-    left = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))
-    out = joined.withColumn("_left", left).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_dropped", (F.size("_lines") - F.size("_left")).cast("long"))
-    return out.withColumn("text", F.array_join("_left", "\n")).select(*[F.col(f"`{c}`") for c in own.columns], "n_lines", "n_dropped")
+    own = docs.select(whole_row(docs, names).alias("row"), at.alias("at"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("body"))
+    laid = own.select("at", "version", F.posexplode(_lines(F.col("body"))).alias("place", "line"))
+    keyed = laid.select("at", "version", "place", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= least)
+    hashed = kept(keyed.select("at", "version", "place", F.xxhash64("key").alias("h"), F.hash("key").alias("g")), "lines")
+
+    counted = hashed.groupBy("h", "g").agg(F.countDistinct("at").alias("documents"), F.min("at").alias("first"), F.count("*").alias("n"))
+    common = kept(counted.where(F.col("documents") > most).select("h", "g", "first", "n"), "common-lines")
+    hot = (common.agg(F.sum("n")).first()[0] or 0) / HOT
+    few, many = common.where(F.col("n") > hot).drop("n"), common.where(F.col("n") <= hot).drop("n")
+    rare = hashed.join(F.broadcast(few.select("h", "g")), ["h", "g"], "left_anti")
+    lost = hashed.join(F.broadcast(few), ["h", "g"]).unionByName(rare.join(many, ["h", "g"])).where("at > first")
+    gone = lost.groupBy("at", "version").agg(F.collect_set("place").alias("gone"))
+
+    met = own.join(gone, ["at", "version"], "left").withColumn("lines", _lines(F.col("body")))
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i))
+    met = met.select("row", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("lost"), F.when(F.col("gone").isNull(), F.coalesce("body", F.lit(""))).otherwise(F.array_join(stay, "\n")).alias("left"))
+    columns = [F.col("left").alias(c) if c == "text" else field("row", c) for c in names]
+    return met.select(*columns, "n_lines", F.greatest(F.col("lost"), F.lit(0)).cast("long").alias("n_dropped"))
