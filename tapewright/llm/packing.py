@@ -24,10 +24,10 @@ from tapewright.llm.subwords import default_path, encoded
 CAPACITY, GROUP, END = 2048, 20_000, 0
 
 
-def with_end(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """ids of several texts with END after each, and where each begins (one more than texts)."""
+def with_end(ids: np.ndarray, n: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+    """ids of several texts with the end after each, and where each begins (one more than texts)."""
     at = np.concatenate([[0], np.cumsum(n + 1)])
-    out = np.full(int(at[-1]), END, "<u4")
+    out = np.full(int(at[-1]), end, "<u4")
     inside = np.ones(len(out), bool)
     inside[at[1:] - 1] = False
     out[inside] = ids
