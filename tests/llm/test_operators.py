@@ -167,12 +167,70 @@ def test_mixing(docs, data, empty):
     for s in names:  # no choice of documents can do better than half of the longest
         longest = max(len(WORD.findall(r[1] or "")) for r in data if r[3] == s)
         assert abs(taken[s] - target[s]) <= max(0.1 * target[s], longest / 2) + 1
+        rate = target[s] / size[s]
+        assert {r.copies for r in got if r.source == s} <= {int(rate), int(rate) + 1}
     assert sorted(r.taken for r in got) == sorted(r.taken for r in mixing.mix(docs.repartition(7)).collect())
     again = collections.Counter(r.doc_id for r in mixing.repeated(docs).collect())
     assert again == collections.Counter({r.doc_id: r.copies for r in got if r.copies})
     assert mixing.mix(empty).count() == 0 and mixing.repeated(docs).columns == docs.columns
 
 
+def test_draws_are_bernoulli_and_of_each_document_alone(spark):
+    """Under one seed the share taken once more is the fraction, and a new document changes no draw but by the fraction."""
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("source"))
+    one = {r.doc_id: r.copies for r in mixing.mix(df, seeds=1).collect()}
+    for s, n in (("x", 2000), ("y", 4000)):
+        target = 4000.0 if s == "x" else 8000.0  # of 12,000 words in all
+        part = target / (2 * n) % 1
+        assert abs(sum(one[i] - int(target / (2 * n)) for i in one if (i % 3 == 0) == (s == "x")) / n - part) < 4 * (part * (1 - part) / n) ** 0.5 + 1e-9
+    weighed = {r.doc_id: r.copies for r in mixing.mix(df, weights=(3, 2), seeds=1).collect()}
+    more = df.unionByName(spark.createDataFrame([(9000, "a b", "x")], df.schema))
+    again = {r.doc_id: r.copies for r in mixing.mix(more, weights=(3, 2), seeds=1).collect()}
+    assert sum(weighed[i] != again[i] for i in weighed) <= 12  # those whose draw lies between the two fractions
+
+
+CLASH = ["_gone", "_at", "_lines", "_left", "_source", "_size", "_id", "_copies", "_rate", "_stratum", "_place", "_best", "a.b", "row", "own", "at", "line", "lines", "h", "g", "of", "times", "part", "seed", "keys", "component", "c`d"]
+
+
+def clashing(docs):
+    return docs.select("doc_id", "text", "source", "n_chars", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(c) for c in CLASH])
+
+
+def values_are_whole(found):
+    got = found.collect()
+    names = found.columns
+    for r in got:
+        for c in CLASH:
+            if c in names:
+                assert r[names.index(c)] == f"{c}:{r.doc_id if r.doc_id is not None else 'null'}"
+    return got
+
+
+def awkward(spark):
+    """Null ids, repeated ids with equal and with other texts, ties, empty texts."""
+    found = [(None, "one two three four five six\nshared line here", "a"), (None, None, None), (1, "one two three four five six\nshared line here", "a"), (1, "one two three four five six\nshared line here", "a")]
+    found += [(1, "another text of its own with words\nshared line here", None), (2, "", "b"), (2, " \n\t", "b"), (3, "one two three four five six\nshared line here", "b"), (4, None, "a")]
+    return spark.createDataFrame([(*r, 0) for r in found], "doc_id long, text string, source string, n_chars long")
+
+
+def test_clashing_columns_and_awkward_rows(spark, docs, labels):
+    wide = clashing(awkward(spark)).cache()
+    n = wide.count()
+    assert len(values_are_whole(mixing.mix(wide))) == n
+    values_are_whole(mixing.repeated(wide))
+    got = values_are_whole(line_dedup.line_dedup(wide))
+    assert len(got) == n
+    kept = sorted((str(r.doc_id), r.text) for r in got)
+    whole = "one two three four five six\nshared line here"
+    # A null id comes first; the rows of id 1 are one document, which is not the first.
+    assert kept == sorted([("None", whole), ("None", ""), ("1", ""), ("1", ""), ("1", "another text of its own with words"), ("2", ""), ("2", " \n\t"), ("3", ""), ("4", "")])
+    for f in (fingerprint.fingerprint_edits, near_dup.near_duplicates, token_files.token_files, packing.best_fit, lm_score.score_texts):
+        assert f(wide).count() >= n, f
+    for f in (quality_rules.quality_rules, quality_qda.quality_classifier, toxicity.toxicity):
+        for y in (labels, labels.unionByName(labels), labels.withColumn("quality", F.lit(None).cast("int")).withColumn("toxic", F.lit(None).cast("int"))):
+            assert f(wide, y).count() == n, f
+
+
 def encoded(data):
     tk = subwords.Subwords(subwords.default_path()).library
     t = texts(data)
@@ -261,21 +319,35 @@ def test_lm_base_is_exact(docs, data, empty):
     assert lm_score.score_texts(empty).count() == 0
 
 
-def test_lm_score_counts_pieces_of_the_whole_corpus(spark, monkeypatch):
-    words = ["".join(random.Random(i).choices("bcdfghjklmnpqrstvwxz", k=9)) for i in range(4500)]
-    docs = spark.createDataFrame([(i, words[i % 4500]) for i in range(9000)], "doc_id long, text string")  # a word and a piece each
+def test_lm_score_beats_the_shares_of_its_ids(spark, monkeypatch):
+    """On held-out texts the model gives more than each id's share among the training ids does, ends included; counts joined or sent are the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in lm_score.score_texts(docs).collect()}
-    train = collections.Counter(words[i % 4500] for i in got if not got[i].held_out)
-    again, whole = sum(n for n in train.values() if n > 1), sum(train.values())
-    known = min(again / whole, 0.98) * 0.98
-    n_ids = sum(len(ids) for _, ids, _ in subwords.encoded(pa.array(list(train.elements())), subwords.default_path()))
-    end = np.log10(1 / (1 + n_ids / whole))
-    for i, r in got.items():
-        if (n := train[words[i % 4500]]) > 1:
-            assert r.score >= np.log10(n / again * known) + end - 1e-5
-    monkeypatch.setattr(lm_score, "HEAD", 50)  # most pieces are joined, not sent
-    for r in lm_score.score_texts(docs.repartition(7)).collect():
-        assert r.score == pytest.approx(got[r.doc_id].score, rel=1e-5) and r.base_score == pytest.approx(got[r.doc_id].base_score)
+    encoder = subwords.Subwords.at(subwords.default_path())
+    rows = docs.select("doc_id", "text").toPandas()
+    times, held = np.full(len(encoder.bytes_of) + 1, 0.1), {}
+    for _, ids, n in subwords.encoded(pa.array(rows.text), subwords.default_path()):
+        cut = np.concatenate([[0], np.cumsum(n)])
+        for i, a, b in zip(rows.doc_id, cut[:-1], cut[1:], strict=True):
+            own = np.append(ids[a:b], len(times) - 1)
+            if got[i].held_out:
+                held[i] = own
+            else:
+                np.add.at(times, own, 1)
+    share = np.log10(times / times.sum())
+    plain, model, size = sum(share[x].sum() for x in held.values()), sum(got[i].score for i in held), sum(len((x or "").encode()) for i, x in zip(rows.doc_id, rows.text, strict=True) if i in held)
+    assert model / size > plain / size + 0.01
+    monkeypatch.setattr(lm_score, "HEAD", 50)  # most words are joined, not sent
+    few = docs.where("doc_id < 60")
+    want = {r.doc_id: r for r in lm_score.score_texts(few).collect()}
+    monkeypatch.setattr(lm_score, "HEAD", 131_072)
+    for r in lm_score.score_texts(few.repartition(7)).collect():
+        assert r.score == pytest.approx(want[r.doc_id].score, rel=1e-5) and r.base_score == pytest.approx(want[r.doc_id].base_score) and r.n_known == want[r.doc_id].n_known
+
+
+def test_lm_score_of_an_empty_text_is_that_of_an_end(docs):
+    got = {r.doc_id: r for r in lm_score.score_texts(docs).collect()}
+    assert got[1001].score == got[1002].score < 0 and got[1003].score < 0
 
 
 def test_lm_score_windows_hold_each_id_once(data):
@@ -291,11 +363,16 @@ def test_lm_score_windows_hold_each_id_once(data):
     whole = collections.Counter()
     for _, found, _ in subwords.encoded(batch["text"], path):
         whole.update(found.tolist())
+    end = len(own.bytes_of)
+    assert seen[end] + sum(row[1] < 0 for row in rows) == len(chosen) and seen.pop(end) > 0
     # The first id of a later block of a text stands only before the block's other ids.
     firsts = sum(whole.values()) - sum(seen.values())
     assert not seen - whole and 0 <= firsts <= sum(-(-len(r[1].encode()) // lm_score.BLOCK) for r in chosen)
-    assert sum(row[0] == len(own.bytes_of) for row in rows) == len(chosen)
+    assert sum(row[0] == end for row in rows) == len(chosen)
     assert 0 < len(ids(0.25)[0]) < len(rows) / 2
+    nothing = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([None, ""], pa.string())], ["doc_id", "text"])
+    found = [x for b in lm_score._windows(path, 1.0, 8)(iter([nothing])) for x in lm_score._matrix(b["ids"])]
+    assert [x[:3].tolist() for x in found] == [[end, end, -1]] * 2
 
 
 def test_attention_gradients_and_windows():
@@ -320,7 +397,7 @@ def test_attention_gradients_and_windows():
         c = model.classes[ids[begin : begin + m]]
         for i in range(m):
             w = 0 if i < lm_score.WINDOW else -(-(i - lm_score.WINDOW + 1) // lm_score.STRIDE)
-            before = [lm_score.CLASSES if j == 0 else c[j - 1] for j in range(w * lm_score.STRIDE, i + 1)]
+            before = [lm_score.END_CLASS if j == 0 else c[j - 1] for j in range(w * lm_score.STRIDE, i + 1)]
             assert got[begin + i] == pytest.approx(model.forward(np.array([before]))["z"][0, -1, c[i]], abs=1e-4)
         begin += m
 
@@ -337,6 +414,9 @@ def test_line_dedup(docs, data, empty):
         left = [y for y in x.split("\n") if not (len(key(y)) >= 10 and len(first[key(y)]) >= 2 and first[key(y)][0] != i)]
         assert got[i].text == "\n".join(left) and got[i].n_lines == x.count("\n") + 1 and got[i].n_dropped == x.count("\n") + 1 - len(left)
     assert any(r.n_dropped for r in got.values()) and line_dedup.line_dedup(empty).count() == 0
+    some = {r.doc_id: r.text for r in line_dedup.line_dedup(docs, most=2).collect()}
+    for i, x in t.items():
+        assert some[i] == "\n".join(y for y in x.split("\n") if not (len(key(y)) >= 10 and len(first[key(y)]) > 2 and first[key(y)][0] != i))
 
 
 def held_out_accuracy(found, labels, column):
