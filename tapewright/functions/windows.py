@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -50,3 +50,17 @@ def clip(value: Column, low: float, high: float) -> Column:
 def clean(value: Column) -> Column:
     """NaN and infinities as NULL."""
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+
+def text_draw(*parts: Column) -> Column:
+    """A number below 2^32 by the MD5 of the parts as text, which other engines compute alike."""
+    text = F.concat_ws(":", *(p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def numbered(rows: DataFrame, day: str, order: str, name: str) -> DataFrame:
+    """rows numbered from 0 by day and order: inside each day, plus the rows of the days before. Only the days meet in one task."""
+    per_day = rows.groupBy(day).agg(F.count("*").alias("_k"))
+    before = per_day.select(F.col(day).alias("_day"), F.coalesce(F.sum("_k").over(W.partitionBy(F.lit(1)).orderBy(day).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(day).orderBy(order)) - 1
+    return rows.withColumn("_in", inside).join(before, F.col(day) == F.col("_day")).withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).drop("_in", "_before", "_day")

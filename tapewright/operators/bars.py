@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -314,34 +317,49 @@ def calibration_rows(bars: DataFrame, eod: DataFrame, most_residual: float = 0.0
     return j.withColumn("residual", residual).withColumn("auction_share", share).withColumn("proxy", F.col("eod_volume") * (1 - share) / F.nullif("v_1520", F.lit(0))).where(F.abs("residual") <= most_residual)
 
 
-def ewma_prediction(proxies: DataFrame, alpha: float, least: int = 3, most_gap: int = 10, bias: float = 1.0, over: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """The moving average of strictly earlier proxies; NULL with too few, after too long a gap or out of (0, 1].
+def share_history(proxies: DataFrame) -> DataFrame:
+    """Each symbol-day's share proxy with how many known ones of the symbol are before it and their mean."""
+    before = W.partitionBy("symbol").orderBy("snapshot_date").rowsBetween(W.unboundedPreceding, -1)
+    return proxies.select(*DAY, "proxy", F.count("proxy").over(before).alias("n_before"), F.avg("proxy").over(before).alias("mean_before"))
 
-    The average folds a window's ordered list; the list holds one symbol's history.
-    """
-    w = W.partitionBy(*over).orderBy("snapshot_date").rowsBetween(W.unboundedPreceding, -1)
-    past = F.collect_list("proxy").over(w)
-    ema = F.when(F.size(past) > 0, F.aggregate(F.slice(past, 2, F.greatest(F.size(past), F.lit(1))), F.element_at(past, 1), lambda acc, v: F.lit(alpha) * v + F.lit(1 - alpha) * acc))
-    gap = F.datediff("snapshot_date", F.last("snapshot_date").over(w))
-    n = F.count("proxy").over(w)
-    pred = ema * bias
-    rows = proxies.withColumn("n_past", n).withColumn("gap", gap).withColumn("prediction", pred)
+
+def auction_moves(bars: DataFrame) -> DataFrame:
+    """Symbol-days with a continuous and an auction close: the move from one to the other and the auction's share of the value."""
+    both = auction_impact(bars, 1).where("continuous_close > 0 and auction_close is not null")
+    return both.select(*DAY, (F.col("auction_close") / F.col("continuous_close") - 1).alias("move"), "value_share")
+
+
+def _past_means(proxies: DataFrame, alphas: Sequence[float], over: Sequence[str]) -> DataFrame:
+    """over, snapshot_date, proxy, n_past, gap, alpha, ema: the moving averages of strictly earlier proxies, one pass over a symbol's history for each alpha."""
+    keys = list(over)
+    types = dict(proxies.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, "snapshot_date", "proxy")) + ", n_past long, gap int, alpha double, ema double"
+
+    def run(history: pd.DataFrame) -> pd.DataFrame:
+        h = history.sort_values("snapshot_date", kind="stable")
+        dates = pd.to_datetime(h.snapshot_date)
+        h = h.assign(n_past=h.proxy.notna().cumsum().shift(1, fill_value=0), gap=(dates - dates.shift(1)).dt.days.astype("Int32"))
+        return pd.concat([h.assign(alpha=a, ema=h.proxy.ewm(alpha=a, adjust=False, ignore_na=True).mean().shift(1)) for a in alphas])
+
+    return proxies.select(*keys, "snapshot_date", "proxy").groupBy(*keys).applyInPandas(run, schema)
+
+
+def ewma_prediction(proxies: DataFrame, alpha: float, least: int = 3, most_gap: int = 10, bias: float = 1.0, over: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The moving average of strictly earlier proxies; NULL with too few, after too long a gap or out of (0, 1]."""
+    rows = _past_means(proxies, (alpha,), over).withColumn("prediction", F.nanvl("ema", F.lit(None).cast("double")) * bias)
     fine = (F.col("n_past") >= least) & F.col("gap").between(1, most_gap) & (F.col("prediction") > 0) & (F.col("prediction") <= 1)
-    return rows.withColumn("prediction", F.when(fine, F.col("prediction")))
+    return rows.withColumn("prediction", F.when(fine, F.col("prediction"))).drop("alpha", "ema")
 
 
 def fit_estimator(proxies: DataFrame, alphas: tuple[float, ...], biases: tuple[float, ...] = (1.0, 0.98)) -> DataFrame:
     """A grid of alpha and bias, scored on the later half of the dates; best first by coverage, p90 error, alpha."""
-    grid = proxies.sparkSession.createDataFrame([(float(a), float(b)) for a in alphas for b in biases], "alpha double, bias double")
-    w = W.partitionBy("symbol").orderBy("snapshot_date").rowsBetween(W.unboundedPreceding, -1)
-    past = proxies.withColumn("_past", F.collect_list("proxy").over(w)).withColumn("_gap", F.datediff("snapshot_date", F.last("snapshot_date").over(w)))
-    rows = past.crossJoin(F.broadcast(grid))
-    ema = F.aggregate(F.slice("_past", 2, F.greatest(F.size("_past"), F.lit(1))), F.element_at("_past", 1), lambda acc, v: F.col("alpha") * v + (1 - F.col("alpha")) * acc)
-    pred = F.when((F.size("_past") >= 3) & F.col("_gap").between(1, 10), ema * F.col("bias"))
-    rows = rows.withColumn("_p", F.when((pred > 0) & (pred <= 1), pred)).withColumn("_e", F.abs(F.col("_p") / F.col("proxy") - 1))
+    past = _past_means(proxies, alphas, ("symbol",))
+    rows = past.withColumn("bias", F.explode(F.array(*(F.lit(float(b)) for b in biases))))
+    pred = F.when((F.col("n_past") >= 3) & F.col("gap").between(1, 10), F.nanvl("ema", F.lit(None).cast("double")) * F.col("bias"))
+    rows = rows.withColumn("_p", F.when((pred > 0) & (pred <= 1), pred)).withColumn("_e", F.abs(F.col("_p") / F.nullif("proxy", F.lit(0.0)) - 1))
     days = proxies.select("snapshot_date").distinct()
     later = days.withColumn("_k", F.ntile(2).over(W.partitionBy(F.lit(1)).orderBy("snapshot_date"))).where("_k = 2").select("snapshot_date")
-    g = rows.join(F.broadcast(later), "snapshot_date").groupBy("alpha", "bias").agg(F.count("*").alias("n"), F.avg(F.col("_p").isNotNull().cast("double")).alias("coverage"), F.percentile("_e", F.lit(0.9)).alias("p90"))
+    g = rows.join(later, "snapshot_date").groupBy("alpha", "bias").agg(F.count("*").alias("n"), F.avg(F.col("_p").isNotNull().cast("double")).alias("coverage"), F.percentile("_e", F.lit(0.9)).alias("p90"))
     return g.withColumn("place", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("coverage"), "p90", "alpha", "bias")).cast("long"))
 
 

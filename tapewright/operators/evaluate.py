@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 from statistics import NormalDist
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tapewright.functions.windows import pct_rank_avg
+from tapewright.functions.windows import clean, pct_rank_avg
 
 YEAR = 252
 
@@ -31,7 +31,7 @@ def series_metrics(daily: DataFrame, value: str = "net", by: Sequence[str] = ())
         F.stddev(x).alias("std"),
         F.avg((x > 0).cast("double")).alias("win_rate"),
         (F.sum(F.when(x > 0, x)) / F.nullif(-F.sum(F.when(x < 0, x)), F.lit(0.0))).alias("profit_factor"),
-        F.sqrt(F.avg(F.pow(F.least(x, F.lit(0.0)), F.lit(2)))).alias("_down"),
+        F.sqrt(F.avg(F.when(x.isNotNull(), F.pow(F.least(x, F.lit(0.0)), F.lit(2))))).alias("_down"),
     )
     sd = F.nullif("std", F.lit(0.0))
     return g.withColumn("t", F.col("mean") / sd * F.sqrt("n")).withColumn("sharpe", F.col("mean") / sd * math.sqrt(YEAR)).withColumn("sortino", F.col("mean") / F.nullif("_down", F.lit(0.0)) * math.sqrt(YEAR)).drop("_down")
@@ -45,7 +45,7 @@ def stress(rows: DataFrame, ticks: Sequence[float], least: float = 0.0) -> DataF
     return series_metrics(daily, by=["ticks"]).withColumn("passes", F.col("mean") > least)
 
 
-def block_bootstrap(daily: DataFrame, value: str = "net", block: int = 10, reps: int = 500, seed: int = 1) -> DataFrame:
+def block_bootstrap(daily: DataFrame, value: str = "net", block: int = 10, reps: int = 500, seed: int = 1, draw: Callable[..., Column] = F.xxhash64) -> DataFrame:
     """Interval of the mean by moving blocks and the share of means at or below 0.
 
     Blocks are differences of prefix sums: a (rep, block) pair draws its start
@@ -57,7 +57,7 @@ def block_bootstrap(daily: DataFrame, value: str = "net", block: int = 10, reps:
     sums = sums.unionByName(daily.sparkSession.createDataFrame([(0, 0.0)], "i int, s double"))
     n = x.agg(F.count("*").alias("n"))
     draws = daily.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n)).where(F.col("n") >= block).withColumn("block", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / block).cast("int"))))
-    draws = draws.withColumn("start", F.pmod(F.xxhash64("rep", "block", F.lit(seed)), F.col("n") - block + 1).cast("int"))
+    draws = draws.withColumn("start", F.pmod(draw(F.col("rep"), F.col("block"), F.lit(seed)), F.col("n") - block + 1).cast("int"))
     a, b = sums.toDF("start", "s0"), sums.select((F.col("i") - block).alias("start"), F.col("s").alias("s1"))
     means = draws.join(F.broadcast(a), "start").join(F.broadcast(b), "start").groupBy("rep").agg((F.sum(F.col("s1") - F.col("s0")) / (F.count("*") * block)).alias("m"))
     return means.agg(F.count("*").alias("reps"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg((F.col("m") <= 0).cast("double")).alias("p_value"))
@@ -104,11 +104,16 @@ def nav_summary(path: DataFrame, daily: DataFrame, value: str = "net") -> DataFr
     return g.crossJoin(tail).withColumn("calmar", annual / F.nullif(-F.col("max_drawdown"), F.lit(0.0)))
 
 
-def rank_ic(rows: DataFrame, score: str, target: str, by: Sequence[str] = ("date",)) -> DataFrame:
-    """Spearman by date with average ranks; dates without spread have none."""
-    x = rows.where(F.col(score).isNotNull() & F.col(target).isNotNull())
-    r = x.withColumn("_a", pct_rank_avg(F.col(score), by)).withColumn("_b", pct_rank_avg(F.col(target), by))
+def rank_ic(rows: DataFrame, score: str, target: str, by: Sequence[str] = ("date",), least: int = 2) -> DataFrame:
+    """Spearman by date with average ranks.
+
+    A date has none if one of its scores or targets is unknown, if it has fewer
+    than `least` rows, or if the scores or the targets are all the same.
+    """
     w = W.partitionBy(*by)
+    known = clean(F.col(score).cast("double")).isNotNull() & clean(F.col(target).cast("double")).isNotNull()
+    x = rows.withColumn("_k", known).withColumn("_all", F.bool_and("_k").over(w) & (F.count("*").over(w) >= least)).where("_all")
+    r = x.withColumn("_a", pct_rank_avg(F.col(score), by)).withColumn("_b", pct_rank_avg(F.col(target), by))
     spread = (F.min("_a").over(w) < F.max("_a").over(w)) & (F.min("_b").over(w) < F.max("_b").over(w))
     return r.withColumn("_s", spread).where("_s").groupBy(*by).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("ic"))
 
@@ -136,9 +141,14 @@ def walk_forward_folds(cal: DataFrame, splits: int = 5, gap: int = 5) -> DataFra
 
 
 def admissible(rows: DataFrame, blocks: DataFrame, window_days: int = 750) -> DataFrame:
-    """For each block (fold, test_start, embargo_start) the rows whose exit is before the embargo, within the window."""
-    b = F.broadcast(blocks)
-    return rows.join(b, (F.col("exit_date") < F.col("embargo_start")) & (F.col("date") >= F.date_sub("test_start", window_days)))
+    """For each block (fold, test_start, embargo_start) the rows that the seam purge leaves, within the window."""
+    return seam_purge(rows, blocks).where(~F.col("purged") & (F.col("date") >= F.date_sub("test_start", window_days))).drop("purged")
+
+
+def seam_purge(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """For each block the rows before its test, `purged` where the exit isn't known to be before the embargo begins. blocks: a row for each fold."""
+    before = rows.join(F.broadcast(blocks), F.col("date") < F.col("test_start"))
+    return before.withColumn("purged", ~F.coalesce(F.col("exit_date") < F.col("embargo_start"), F.lit(False)))
 
 
 def pooled_oof(predictions: DataFrame) -> DataFrame:
@@ -199,3 +209,13 @@ def gate_verdict(criteria: DataFrame) -> DataFrame:
     """Criteria (gate, criterion, passed) to a verdict with the failed criteria in order."""
     failed = F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("criterion"))))
     return criteria.groupBy("gate").agg(F.every("passed").alias("passed"), F.concat_ws(",", failed).alias("reasons"), F.count("*").alias("n_criteria"))
+
+
+def fidelity(exact: DataFrame, rebuilt: DataFrame, features: Sequence[str], score: str, k: int, day: str = "snapshot_date", name: str = "symbol") -> DataFrame:
+    """By day, over names in both frames: mean relative difference of each feature, how many of the k best by `score` both pick, and their rank correlation."""
+    keys, cols = [day, name], list(dict.fromkeys([*features, score]))
+    j = exact.select(*keys, *(F.col(c).alias(f"{c}_x") for c in cols)).join(rebuilt.select(*keys, *(F.col(c).alias(f"{c}_y") for c in cols)), keys)
+    place = lambda c: F.row_number().over(W.partitionBy(day).orderBy(F.col(c).desc_nulls_last(), name))
+    r = j.withColumn("_rx", place(f"{score}_x")).withColumn("_ry", place(f"{score}_y"))
+    away = [F.avg(F.abs(F.col(f"{c}_y") / F.nullif(f"{c}_x", F.lit(0.0)) - 1)).alias(f"{c}_diff") for c in features]
+    return r.groupBy(day).agg(F.count("*").alias("n"), *away, F.count_if((F.col("_rx") <= k) & (F.col("_ry") <= k)).alias("n_common"), F.corr("_rx", "_ry").alias("rank_corr"))

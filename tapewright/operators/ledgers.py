@@ -79,11 +79,16 @@ def reconcile(intents: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def round_trips(fills: DataFrame) -> DataFrame:
-    """Each exit with its entry: fees, floored tax by the exit's date, net, carry days. An exit without an entry raises."""
-    buy = fills.where("side = 'buy'").select(F.col("order_id").alias("entry_order_id"), "symbol", F.col("fill_price").alias("entry_price"), F.col("filled_on").alias("entry_on"), F.col("qty").alias("entry_qty"))
-    sell = fills.where("side = 'sell'").select("order_id", "entry_order_id", "qty", "fill_price", "filled_on")
-    none_where(sell.join(buy, "entry_order_id", "left_anti"), F.lit(True), "exits without an entry", ("order_id",))
-    j = sell.join(buy, "entry_order_id")
+    """Each exit with its entry: fees, floored tax by the exit's date, net, carry days. An exit without an entry fails the job.
+
+    An entry and its exits meet in one window by the entry's id; fills are read and sent once.
+    """
+    buy = F.col("side") == "buy"
+    trip = F.when(buy, F.col("order_id")).otherwise(F.col("entry_order_id"))
+    opened = F.first(F.when(buy, F.struct("symbol", F.col("fill_price").alias("entry_price"), F.col("filled_on").alias("entry_on"), F.col("qty").alias("entry_qty"))), True).over(W.partitionBy("_trip"))
+    met = fills.where("side in ('buy', 'sell')").withColumn("_trip", trip).withColumn("_entry", opened).where(~buy)
+    known = F.when(F.col("_entry").isNull(), F.raise_error(F.concat(F.lit("an exit without an entry: "), F.col("order_id")))).otherwise(F.col("_entry"))
+    j = met.withColumn("_entry", known).select("order_id", "entry_order_id", "qty", "fill_price", "filled_on", "_entry.*")
     notional, cost = F.col("fill_price") * F.col("qty"), F.col("entry_price") * F.col("qty")
     out = j.withColumn("tax", F.floor(notional * M.tax_bp(F.col("filled_on")) / 1e4)).withColumn("fee", (notional + cost) * M.FEE_BP / 2 / 1e4)
     return out.withColumn("net_pnl", notional - cost - F.col("tax") - F.col("fee")).withColumn("net_ret", F.col("net_pnl") / cost).withColumn("carry_days", F.datediff("filled_on", "entry_on"))
@@ -188,6 +193,22 @@ def fill_decision(orders: DataFrame, prints: DataFrame, rows: int = 4000) -> Dat
     return orders.join(first, "order_id", "left").withColumn("status", F.when(F.col("printed_at").isNull(), "UNFILLED").otherwise("FILLED"))
 
 
+def auction_fills(orders: DataFrame, auctions: DataFrame) -> DataFrame:
+    """Fills of orders for the closing auction (rule auction_close) and the opening one (auction_open) at the observed price.
+
+    auctions: order_id, auction_price, observed_at, confirmed. A close fills only
+    if it is known to be confirmed, an open only if it has formed (above 0). A
+    confirmed close at or below 0, and an auction seen before the order was
+    placed, fail the job.
+    """
+    j = orders.join(auctions, "order_id", "left")
+    closing, price = F.col("rule") == "auction_close", F.col("auction_price")
+    takes = F.when(closing, F.coalesce("confirmed", F.lit(False))).otherwise(F.coalesce(price > 0, F.lit(False)))
+    stop = lambda what: F.raise_error(F.concat(F.lit(what), F.col("order_id")))
+    paid = F.when(F.col("observed_at") < F.col("placed_at"), stop("an auction before its order: ")).when(closing & takes & ~F.coalesce(price > 0, F.lit(False)), stop("a confirmed close that isn't above 0: ")).when(takes, price)
+    return j.withColumn("price", paid).withColumn("status", F.when(takes, "FILLED").otherwise("UNFILLED")).drop("auction_price")
+
+
 def decision_returns(picks: DataFrame) -> DataFrame:
     """Entry at the close, exit at the next session's open: status and gross; rank by score."""
     status = F.when(F.col("next_date").isNull(), "PENDING").when(F.col("next_open").isNull(), "NO_EXIT").otherwise("REALIZED")

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tapewright.functions.checks import require
 from tapewright.operators.features import require_no_labels
@@ -40,27 +41,34 @@ def score(rows: DataFrame, models: Sequence[PipelineModel], features: Sequence[s
     return scored.withColumn(out, mean).drop(*(f"_p{k}" for k in range(len(models))))
 
 
-def oof_predictions(rows: DataFrame, folds: DataFrame, n_folds: int, features: Sequence[str], label: str) -> DataFrame:
-    """M2: a robust linear fit on each fold's training dates, predictions of its test dates; each fit is a Spark job."""
-    joined = filled(rows, features).join(F.broadcast(folds), "date")
-    out = None
+def oof_predictions(rows: DataFrame, folds: DataFrame, n_folds: int, features: Sequence[str], label: str, seeds: Sequence[int] = (1,), trees: int = 5) -> DataFrame:
+    """M2: M1's ensemble fitted on each fold's training dates, predictions of its test dates; each fit is a Spark job.
+
+    folds: date, fold, role. Folds without training rows give nothing; with none at all the result is empty.
+    """
+    joined = filled(rows, features).join(folds, "date")
+    out = joined.drop("role").withColumn("pred", F.lit(None).cast("double")).where(F.lit(False))
     for k in range(n_folds):
         fold = joined.where(F.col("fold") == k)
-        train = fold.where(F.col("role") == "train").where(F.col(label).isNotNull())
-        if train.isEmpty():
-            continue
-        model = Pipeline(stages=[_assembler(features), LinearRegression(labelCol=label, loss="huber", maxIter=20)]).fit(train)
-        test = model.transform(fold.where("role = 'test'")).withColumnRenamed("prediction", "pred").drop("features", "role")
-        out = test if out is None else out.unionByName(test)
+        train = fold.where("role = 'train'").where(F.col(label).isNotNull())
+        if not train.isEmpty():
+            models = seed_ensemble(train, features, label, seeds, trees)
+            out = out.unionByName(score(fold.where("role = 'test'").drop("role"), models, features))
     return out
 
 
-def platt(rows: DataFrame, score_column: str, outcome: str, split: str, embargo_days: int = 5) -> DataFrame:
-    """M3: a logistic fit on the later dates; earlier ones, on which the score was fitted, are left out with an embargo."""
-    late = rows.where(F.col("date") >= F.date_add(F.lit(split).cast("date"), embargo_days)).where(F.col(outcome).isNotNull())
-    stage = VectorAssembler(inputCols=[score_column], outputCol="features", handleInvalid="skip")
-    model = Pipeline(stages=[stage, LogisticRegression(labelCol=outcome)]).fit(late)
-    scored = model.transform(rows.where(F.col(score_column).isNotNull()))
+def platt(rows: DataFrame, features: Sequence[str], outcome: str, split: str, embargo_days: int = 5) -> DataFrame:
+    """M3: a classifier fitted on the dates before the split, and on those from the end of the embargo a logistic curve from its score to the outcome.
+
+    Rows get `raw` (the classifier's log odds) and `probability`. Rows inside the embargo teach neither.
+    """
+    known = filled(rows, features).where(F.col(outcome).isNotNull())
+    cut = F.lit(split).cast("date")
+    early, late = known.where(F.col("date") < cut), known.where(F.col("date") >= F.date_add(cut, embargo_days))
+    first = Pipeline(stages=[_assembler(features), LogisticRegression(labelCol=outcome, regParam=0.01)]).fit(early)
+    raw = lambda df: first.transform(df).withColumn("raw", F.element_at(_to_array("rawPrediction"), 2)).drop("features", "rawPrediction", "prediction", "probability")
+    second = Pipeline(stages=[VectorAssembler(inputCols=["raw"], outputCol="features"), LogisticRegression(labelCol=outcome)]).fit(raw(late))
+    scored = second.transform(raw(filled(rows, features)))
     return scored.withColumn("probability", F.element_at(_to_array("probability"), 2)).drop("features", "rawPrediction", "prediction")
 
 
@@ -79,6 +87,16 @@ def quantile_bands(rows: DataFrame, label: str, pred: str = "pred") -> DataFrame
 
 
 def training_frame(before: DataFrame, store: DataFrame, store_from: str) -> DataFrame:
-    """M6, M8: rows before the store begins and labelled rows of the store, with their tier."""
+    """M6: rows before the store begins and labelled rows of the store, with their tier."""
     first = F.lit(store_from).cast("date")
     return before.where(F.col("date") < first).withColumn("tier", F.lit("eod")).unionByName(store.where(F.col("date") >= first).where("net is not null").withColumn("tier", F.lit("store")))
+
+
+def tiered_dataset(tiers: Sequence[tuple[str, DataFrame]], keys: Sequence[str] = ("date", "symbol")) -> DataFrame:
+    """M8: the rows of all tiers, each key from the first tier that has it, with its tier."""
+    rows = None
+    for k, (name, df) in enumerate(tiers):
+        named = df.withColumn("tier", F.lit(name)).withColumn("_tier", F.lit(k))
+        rows = named if rows is None else rows.unionByName(named)
+    best = F.min("_tier").over(W.partitionBy(*keys))
+    return rows.withColumn("_best", best).where("_tier = _best").drop("_tier", "_best")

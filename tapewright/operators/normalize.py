@@ -19,28 +19,43 @@ def cumulative_to_value(bars: DataFrame, cumulative: str = "cum_value") -> DataF
     return bars.withColumn("from_cumulative", fits).withColumn("value_krw", F.when(fits, step).otherwise(F.col("close") * F.col("volume")).cast("double"))
 
 
-#: For each vendor the expressions of the canonical columns over its own text columns.
+def _bars(time: str, prices: tuple[str, str, str, str], volume: str, value: str | None = None, sign: bool = False) -> dict[str, str]:
+    number = lambda c: f"abs(try_cast({c} AS DOUBLE))" if sign else f"try_cast({c} AS DOUBLE)"
+    out = {"ts_hms": f"try_cast({time} AS INT)", **dict(zip(("open", "high", "low", "close"), map(number, prices), strict=True)), "volume": f"CAST({number(volume)} AS BIGINT)"}
+    return out | {"value_krw": value or f"{out['close']} * {number(volume)}"}
+
+
+#: For each vendor the expressions of the canonical columns over its own text columns; text that is no number is NULL. The field names are fixed.
 VENDOR_BARS: Mapping[str, Mapping[str, str]] = {
-    "ls": {"ts_hms": "CAST(time AS INT)", "open": "CAST(open AS DOUBLE)", "high": "CAST(high AS DOUBLE)", "low": "CAST(low AS DOUBLE)", "close": "CAST(close AS DOUBLE)", "volume": "CAST(jdiff_vol AS BIGINT)", "value_krw": "CAST(value AS DOUBLE) * 1000000"},
-    "kiwoom": {"ts_hms": "CAST(right(cntr_tm, 6) AS INT)", "open": "abs(CAST(open_pric AS DOUBLE))", "high": "abs(CAST(high_pric AS DOUBLE))", "low": "abs(CAST(low_pric AS DOUBLE))", "close": "abs(CAST(cur_prc AS DOUBLE))", "volume": "CAST(trde_qty AS BIGINT)", "value_krw": "CAST(NULL AS DOUBLE)"},
-    "toss": {"ts_hms": "CAST(replace(substring(dt, 12, 8), ':', '') AS INT)", "open": "CAST(open AS DOUBLE)", "high": "CAST(high AS DOUBLE)", "low": "CAST(low AS DOUBLE)", "close": "CAST(close AS DOUBLE)", "volume": "CAST(volume AS BIGINT)", "value_krw": "CAST(NULL AS DOUBLE)"},
+    "ls": _bars("time", ("open", "high", "low", "close"), "jdiff_vol", "try_cast(value AS DOUBLE) * 1000000"),
+    "kiwoom": _bars("right(cntr_tm, 6)", ("open_pric", "high_pric", "low_pric", "cur_prc"), "trde_qty", sign=True),
+    "toss": _bars("replace(substring_index(substring_index(timestamp, 'T', -1), '.', 1), ':', '')", ("openPrice", "highPrice", "lowPrice", "closePrice"), "volume"),
+    "dbsec": _bars("Hour", ("Oprc", "Hprc", "Lprc", "Prpr"), "CntgVol"),
 }
 
 
 def vendor_bars(raw: DataFrame, vendor: str) -> DataFrame:
-    """Canonical columns; an unknown vendor raises."""
+    """Canonical columns; an unknown vendor raises, as does a missing field."""
     if vendor not in VENDOR_BARS:
         raise ValueError(f"unknown vendor {vendor}")
     m = VENDOR_BARS[vendor]
     out = raw.select("snapshot_date", "symbol", *(F.expr(m[c]).alias(c) for c in ("ts_hms", "open", "high", "low", "close", "volume", "value_krw")))
-    return out.withColumn("has_trade", F.col("volume") > 0).withColumn("vendor", F.lit(vendor)).select(*BAR_COLUMNS)
+    return canonical_bars(out, vendor)
+
+
+def canonical_bars(bars: DataFrame, vendor: str) -> DataFrame:
+    """The canonical types, columns and order; `has_trade` is a volume above 0, false if that is unknown."""
+    types = {"ts_hms": "int", "open": "double", "high": "double", "low": "double", "close": "double", "volume": "bigint", "value_krw": "double"}
+    cast = [F.expr(f"try_cast({c} AS {t})").alias(c) for c, t in types.items()]
+    out = bars.select("snapshot_date", F.lpad(F.col("symbol").cast("string"), 6, "0").alias("symbol"), *cast)
+    return out.withColumn("has_trade", F.coalesce(F.col("volume") > 0, F.lit(False))).withColumn("vendor", F.lit(vendor)).select(*BAR_COLUMNS)
 
 
 def normalize_ticks(raw: DataFrame, limit: int) -> DataFrame:
     """Canonical ticks; optional columns that are absent are NULL; `truncated` where a symbol's day reached the page limit."""
-    opt = [F.col(c).cast(t).alias(c) if c in raw.columns else F.lit(None).cast(t).alias(c) for c, t in (("trade_strength", "float"), ("ask1", "int"), ("bid1", "int"))]
+    opt = [F.expr(f"try_cast({c} AS {t})").alias(c) if c in raw.columns else F.lit(None).cast(t).alias(c) for c, t in (("trade_strength", "float"), ("ask1", "int"), ("bid1", "int"))]
     n = F.count("*").over(W.partitionBy("snapshot_date", "symbol"))
-    return raw.select("snapshot_date", "symbol", F.col("ts_hms").cast("int").alias("ts_hms"), F.col("price").cast("int").alias("price"), F.col("volume").cast("long").alias("volume"), *opt, (n >= limit).alias("truncated"), "vendor")
+    return raw.select("snapshot_date", "symbol", *(F.expr(f"try_cast({c} AS {t})").alias(c) for c, t in (("ts_hms", "int"), ("price", "int"), ("volume", "bigint"))), *opt, (n >= limit).alias("truncated"), "vendor")
 
 
 def business_date(rows: DataFrame, column: str, requested: str) -> DataFrame:

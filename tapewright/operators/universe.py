@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from tapewright.functions import market as M
 from tapewright.functions.checks import first_reason
+from tapewright.functions.windows import clip
 
 
 def screen(low: float, high: float, value: float, cap: float, cost: float | None = None) -> Column:
@@ -89,10 +90,16 @@ def weights(picks: DataFrame, how: str = "inverse_tick") -> DataFrame:
 
 def portfolio_by_date(pool: DataFrame, cal: DataFrame, k: int, order: Sequence[Column], gate_rows: int = 20) -> DataFrame:
     """By session: the picks' net, the pool's mean, the cheapest k's net, whether to abstain, the trailing gate."""
-    mine = weights(top_k(pool, k, order)).groupBy("date").agg(F.sum(F.col("weight") * F.col("net")).alias("net"), F.count("*").alias("n"))
-    cheap = top_k(pool, k, [F.col("tick_cost_bp").asc_nulls_last()]).groupBy("date").agg(F.avg("net").alias("cost_sort_net"))
-    whole = pool.groupBy("date").agg(F.avg("net").alias("pool_net"))
-    days = cal.select("date").join(mine, "date", "left").join(cheap, "date", "left").join(whole, "date", "left")
+    by_date = W.partitionBy("date")
+    place = lambda by: F.row_number().over(by_date.orderBy(*by, "symbol"))
+    ranked = pool.select("date", "net", (1.0 / F.nullif("tick_cost_bp", F.lit(0.0))).alias("_b"), place(order).alias("_r"), place([F.col("tick_cost_bp").asc_nulls_last()]).alias("_c"))
+    picked, cheapest = F.col("_r") <= k, F.col("_c") <= k
+    # Inverse-tick weights that sum to 1 over the picks; equal ones where a cost is missing.
+    n, known = F.count_if(picked), F.count_if(picked & F.col("_b").isNotNull())
+    weighed = F.sum(F.when(picked, F.col("_b") * F.col("net"))) / F.sum(F.when(picked, F.col("_b")))
+    mine = F.when((known == n) & (F.sum(F.when(picked, F.col("_b"))) > 0), weighed).otherwise(F.sum(F.when(picked, F.col("net"))) / n)
+    g = ranked.groupBy("date").agg(mine.alias("net"), n.alias("n"), F.avg(F.when(cheapest, F.col("net"))).alias("cost_sort_net"), F.avg("net").alias("pool_net"))
+    days = cal.select("date").join(g, "date", "left")
     days = days.withColumn("abstain", F.coalesce(F.col("n"), F.lit(0)) < k).withColumn("net", F.when(F.coalesce(F.col("n"), F.lit(0)) >= k, F.col("net")))
     past = W.partitionBy(F.lit(1)).orderBy("date").rowsBetween(-gate_rows, -1)
     return days.withColumn("gate", F.coalesce(F.avg("net").over(past) > 0, F.lit(True))).drop("n")
@@ -102,7 +109,7 @@ def position_size(picks: DataFrame, capital: float, most_share: float = 0.4) ->
     """Whole shares for a weight of the capital, and a limit price on the tick grid."""
     at = F.col("close_raw"), F.col("market"), F.col("date")
     tick = M.tick_size(*at)
-    budget = capital * F.least(F.col("weight"), F.lit(most_share))
+    budget = capital * F.when(F.col("weight").isNotNull(), F.least(F.col("weight"), F.lit(most_share)))
     return picks.withColumn("qty", F.floor(budget / F.col("close_raw")).cast("long")).withColumn("limit_price", F.floor((F.col("close_raw") + tick) / tick) * tick)
 
 
@@ -206,11 +213,44 @@ def exit_grid(picks: DataFrame, targets: DataFrame, locked: float = 0.28) -> Dat
     return rows.groupBy("target").agg(F.count("exit_price").alias("n"), F.avg(ret).alias("mean_ret"), F.avg(ret - base).alias("delta"), F.avg(F.col("touched").cast("double")).alias("touch_rate"))
 
 
-def buyability(rows: DataFrame, liquidity: DataFrame, order_value: float) -> DataFrame:
-    """Flags of whether an order could be filled in the auction; no row is dropped."""
-    j = rows.join(liquidity.select("date", "symbol", "auction_value"), ["date", "symbol"], "left")
-    fill = F.col("auction_value") / order_value
-    return j.withColumn("ceiling_entry", F.col("is_ceiling")).withColumn("fill_ratio", F.least(fill, F.lit(1.0))).withColumn("buyable", F.coalesce(~F.col("is_ceiling") & (fill >= 1), F.lit(False))).withColumn("liquidity_known", F.col("auction_value").isNotNull())
+PARTICIPATION_CAP = 0.10  # fixed value: the share of the auction that an order may take
+CEILING_RATIO = 1.29  # fixed value: close over previous close that counts as the daily limit
+
+
+def ceiling_entry() -> Column:
+    """A close at the day's high and at the limit of the previous close."""
+    ratio = F.when(F.col("prev_close") > 0, F.col("close") / F.col("prev_close"))
+    return F.coalesce((ratio >= CEILING_RATIO) & (F.col("close") >= F.col("high")), F.lit(False))
+
+
+def buyability(rows: DataFrame, liquidity: DataFrame, order_value: float, participation: float = PARTICIPATION_CAP, least_fill: float = 1.0, require_data: bool = False) -> DataFrame:
+    """What share of an order the closing auction could fill; no row is dropped.
+
+    liquidity: date, symbol, auction_value of measured rows. The share is
+    participation * auction_value / order_value, between 0 and 1, NULL if
+    unknown. A measured row is buyable from `least_fill` on (a NULL value isn't);
+    a row that wasn't measured is buyable unless data are required.
+    """
+    if not (order_value > 0 and order_value != float("inf")) or not 0 < participation <= 1:
+        raise ValueError("order_value must be finite and above 0, participation above 0 and at most 1")
+    found = liquidity.select("date", "symbol", "auction_value", F.lit(True).alias("_found"))
+    j = rows.join(found, ["date", "symbol"], "left").withColumn("auction_found", F.coalesce("_found", F.lit(False))).drop("_found")
+    j = j.withColumn("fill_ratio", clip(F.col("auction_value") * participation / order_value, 0.0, 1.0))
+    buyable = F.when(~F.col("auction_found"), F.lit(not require_data)).otherwise(F.coalesce(F.col("fill_ratio") >= least_fill, F.lit(False)))
+    return j.withColumn("ceiling_entry", ceiling_entry()).withColumn("buyable", buyable)
+
+
+def buyability_report(rows: DataFrame) -> DataFrame:
+    """Counts of a gated table, and the median and lower quartile of the auction values that were blocked."""
+    blocked = F.when(~F.col("buyable"), F.col("auction_value"))
+    return rows.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if("ceiling_entry").alias("n_ceiling"),
+        F.count_if(~F.col("auction_found")).alias("n_unmeasured"),
+        F.count_if(~F.col("buyable")).alias("n_blocked"),
+        F.percentile(blocked, F.lit(0.5)).alias("blocked_median"),
+        F.percentile(blocked, F.lit(0.25)).alias("blocked_p25"),
+    )
 
 
 def labels_for_keys(keys: DataFrame, exits: DataFrame, costs: DataFrame) -> DataFrame:

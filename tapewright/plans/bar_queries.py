@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.operators import bars as B
+from tapewright.operators import evaluate as E
 from tapewright.plans import fixtures
 from tapewright.plans.oracle import BARS, BARS_TICKS, query, r, rounded, tick
 
@@ -276,9 +277,27 @@ def b28_ewma_prediction(spark, sf_dir):
     return rounded(out.select("snapshot_date", "symbol", "n_past", "gap", "prediction"))
 
 
-@query()
+@query(_CAL + f", pb AS (SELECT snapshot_date, symbol, proxy, count(proxy) OVER w n_before, avg(proxy) OVER w mean_before FROM calib WINDOW w AS (PARTITION BY symbol ORDER BY snapshot_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT snapshot_date, symbol, {r('proxy')} proxy, n_before, {r('mean_before')} mean_before FROM pb")
+def b27_share_history(spark, sf_dir):
+    return rounded(B.share_history(calibration(spark, sf_dir)))
+
+
+@query(BARS + f", am AS (SELECT snapshot_date, symbol, arg_max(close,minute) FILTER (WHERE minute<920) c0, arg_max(close,minute) FILTER (WHERE minute>=920) c1, coalesce(sum(value_krw) FILTER (WHERE minute>=920),0)/nullif(sum(value_krw),0) vs FROM bars_1m GROUP BY 1,2) SELECT snapshot_date, symbol, {r('c1/c0-1')} AS move, {r('vs')} value_share FROM am WHERE c0>0 AND c1 IS NOT NULL")
+def b31_auction_moves(spark, sf_dir):
+    return rounded(B.auction_moves(bars(spark, sf_dir)))
+
+
+@query(
+    _CAL
+    + f""", px AS (SELECT snapshot_date, symbol, proxy, row_number() OVER (PARTITION BY symbol ORDER BY snapshot_date) i, lag(snapshot_date) OVER (PARTITION BY symbol ORDER BY snapshot_date) pd FROM calib WHERE proxy IS NOT NULL), gr AS (SELECT al, bi FROM (VALUES (0.1e0),(0.3e0),(0.5e0),(0.9e0)) a(al), (VALUES (1.0e0),(0.95e0)) b(bi)),
+ em AS (SELECT al, a.snapshot_date, a.symbol, a.proxy, a.pd, count(b.proxy) n_past, sum(b.proxy * (CASE WHEN b.i=1 THEN 1e0 ELSE al END) * pow(1-al, a.i-1-b.i)) ema FROM px a CROSS JOIN (SELECT DISTINCT al FROM gr) LEFT JOIN px b ON b.symbol=a.symbol AND b.i<a.i GROUP BY 1,2,3,4,5),
+ hf AS (SELECT snapshot_date FROM (SELECT snapshot_date, ntile(2) OVER (ORDER BY snapshot_date) k FROM (SELECT DISTINCT snapshot_date FROM px)) WHERE k=2),
+ sp AS (SELECT gr.al alpha, gr.bi bias, proxy, CASE WHEN n_past>=3 AND em.snapshot_date-pd BETWEEN 1 AND 10 AND ema*bi>0 AND ema*bi<=1 THEN ema*bi END p FROM em JOIN gr ON gr.al=em.al JOIN hf ON hf.snapshot_date=em.snapshot_date),
+ sg AS (SELECT alpha, bias, count(*) n, avg(CASE WHEN p IS NOT NULL THEN 1.0 ELSE 0.0 END) coverage, quantile_cont(abs(p/nullif(proxy,0)-1),0.9) p90 FROM sp GROUP BY 1,2)
+ SELECT alpha, bias, n, {r('coverage')} coverage, {r('p90')} p90, row_number() OVER (ORDER BY coverage DESC, p90 NULLS FIRST, alpha, bias) place FROM sg"""
+)
 def b29_fit_estimator(spark, sf_dir):
-    return rounded(B.fit_estimator(calibration(spark, sf_dir).select("snapshot_date", "symbol", "proxy"), (0.1, 0.3, 0.5, 0.9), (1.0, 0.95)))
+    return rounded(B.fit_estimator(calibration(spark, sf_dir).select("snapshot_date", "symbol", "proxy").where("proxy is not null"), (0.1, 0.3, 0.5, 0.9), (1.0, 0.95)))
 
 
 @query(_EWMA + f", pr AS (SELECT snapshot_date, symbol, ema*0.95e0 p FROM ew WHERE n_past>=3 AND snapshot_date-pd BETWEEN 1 AND 10 AND ema*0.95e0 > 0 AND ema*0.95e0 <= 1) SELECT snapshot_date, symbol, count(*) n, {r('sum(volume*p)', 3)} volume_est, {r('sum(volume*p*(high+low+close)/3)', 1)} value_est FROM bars_1m JOIN pr USING (snapshot_date, symbol) GROUP BY 1,2")
@@ -288,6 +307,25 @@ def b30_reconstruct(spark, sf_dir):
     return out.groupBy("snapshot_date", "symbol").agg(F.count("*").alias("n"), F.round(F.sum("volume_est"), 3).alias("volume_est"), F.round(F.sum("value_est"), 1).alias("value_est"))
 
 
+_TYPICAL = "sum({v}*(high+low+close)/3)"
+
+
+@query(
+    _EWMA
+    + f""", pr AS (SELECT snapshot_date, symbol, ema*0.95e0 p FROM ew WHERE n_past>=3 AND snapshot_date-pd BETWEEN 1 AND 10 AND ema*0.95e0 > 0 AND ema*0.95e0 <= 1),
+ fx AS (SELECT snapshot_date, symbol, CAST(sum(volume) AS DOUBLE) vx, {_TYPICAL.format(v='volume')} tx, sum(volume*p) vy, {_TYPICAL.format(v='volume*p')} ty FROM bars_1m JOIN pr USING (snapshot_date, symbol) WHERE minute<920 GROUP BY 1,2),
+ fr AS (SELECT *, row_number() OVER (PARTITION BY snapshot_date ORDER BY tx DESC, symbol) rx, row_number() OVER (PARTITION BY snapshot_date ORDER BY ty DESC, symbol) ry FROM fx)
+ SELECT snapshot_date, count(*) n, {r('avg(abs(vy/nullif(vx,0)-1))')} volume_diff, {r('avg(abs(ty/nullif(tx,0)-1))')} value_diff, count(*) FILTER (WHERE rx<=2 AND ry<=2) n_common, {r('CASE WHEN count(*)>1 THEN corr(rx,ry) END')} rank_corr FROM fr GROUP BY 1"""
+)
+def e22_fidelity(spark, sf_dir):
+    """Decision frames of exact bars against those of reconstructed volumes: features and the two largest by value."""
+    pred = B.ewma_prediction(calibration(spark, sf_dir).select("snapshot_date", "symbol", "proxy"), 0.3, bias=0.95).where("prediction is not null").select("snapshot_date", "symbol", "prediction")
+    b = B.reconstruct(bars(spark, sf_dir), pred, 0.158).where("minute < 920")
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
+    frame = lambda v: b.groupBy("snapshot_date", "symbol").agg(F.sum(v).cast("double").alias("volume"), F.sum(F.col(v) * typical).alias("value"))
+    return rounded(E.fidelity(frame("volume"), frame("volume_est"), ["volume", "value"], "value", 2))
+
+
 @query(_VOL + f", nm AS ({_NAMES.format(b='bars_1m')}), j AS (SELECT n.*, CASE WHEN t.symbol IS NULL THEN 'missing' WHEN r.relation='TICK_SHORT' THEN 'short' END why FROM nm n LEFT JOIN (SELECT DISTINCT snapshot_date, symbol FROM tk) t USING (snapshot_date, symbol) LEFT JOIN rel r USING (snapshot_date, symbol)) SELECT *, row_number() OVER (PARTITION BY snapshot_date ORDER BY why, symbol) walk FROM j WHERE why IS NOT NULL")
 def b32_needed_tapes(spark, sf_dir):
     b, rel = bars(spark, sf_dir), relations(spark, sf_dir)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from tapewright.functions.windows import numbered, text_draw, trailing
 from tapewright.operators import features as X
 from tapewright.operators import panel as P
-from tapewright.plans.oracle import PREP, lit_date, query, r, rounded
+from tapewright.plans import fixtures
+from tapewright.plans.oracle import PREP, lit_date, query, r, rounded, text_draw_sql, tick_bp
 from tapewright.plans.panel_queries import _INDEX, prepared
 
 
@@ -122,17 +125,57 @@ def f11_index_features(spark, sf_dir):
     return out.select("date", F.round("i_diff", 6).alias("i_diff"), F.round("i_ma20", 6).alias("i_ma20"), F.round("i_z60", 4).alias("i_z60"), "i_gap_days", "i_weekday", "i_expiry")
 
 
-_F12_NAMES = ("s_rel_chg", "s_open_gap", "s_close_pos", "s_log_volume", "s_inst_slog", "s_foreign_slog", "s_rank_mc", "s_rank_volume", "s_rank_inst", "s_chg_x_rank")
+_F12_NAMES = (
+    "buy_price_change_rate", "gap_ratio", "intraday_return", "intraday_range", "close_position", "upper_shadow_ratio", "body_ratio", "turnover", "inst_density", "foreign_density", "major_density", "prog_dominance", "rank_ratio", "relative_change_kospi", "relative_change_kosdaq",
+    "sector_relative_change", "relative_change_rate", "v_kospi", "v_kospi_change", "v_kosdaq", "v_kosdaq_change", *(f"log_{n}" for n in X.LOGGED), *X.SIGNED_LOG, *X.RANKED.values(), "candle_strength", "range_efficiency", "flow_turnover", "relative_flow_strength", *X.WEEKDAYS, "flow_consensus",
+    "flow_alignment_direction", "friday_selection_rank_pct",
+)
 
 
-@query(
-    _F1
-    + f""", s AS (SELECT *, chg_ratio-avg(chg_ratio) OVER (PARTITION BY date, market) s_rel_chg, open/nullif(prev_close,0)-1 s_open_gap, (close-low)/nullif(high-low,0) s_close_pos, tv_clean/nullif(mc_clean,0) s_turnover, ln(1+greatest(volume,0)) s_log_volume, sign(inst_netbuy)*ln(1+abs(inst_netbuy)) s_inst_slog, sign(foreign_netbuy)*ln(1+abs(foreign_netbuy)) s_foreign_slog,
- CASE WHEN inst_netbuy>0 AND foreign_netbuy>0 THEN 1 WHEN inst_netbuy<0 AND foreign_netbuy<0 THEN -1 ELSE 0 END s_flow_agree, {pct('mc_clean')} s_rank_mc, {pct('volume')} s_rank_volume, {pct('inst_netbuy')} s_rank_inst, chg_ratio*f_rank_tv s_chg_x_rank, CASE WHEN isodow(date)=1 THEN 1 ELSE 0 END s_is_mon, CASE WHEN isodow(date)=5 THEN 1 ELSE 0 END s_is_fri FROM f1)
- SELECT date, symbol, s_flow_agree, s_is_mon, s_is_fri, {cols(_F12_NAMES)} FROM s"""
+def snapshots(spark, sf_dir):
+    """The prepared panel as snapshots: the decision price is the close, the rank is by traded value, a sector is the symbol modulo 7."""
+    p = prepared(spark, sf_dir)
+    index = P.index_by_date(p).select("date", (F.col("kospi_pct") * 100).alias("kospi_change"), (F.col("kosdaq_pct") * 100).alias("kosdaq_change"), "v_kospi", "v_kosdaq")
+    by_value = W.partitionBy("date").orderBy(F.col("tv_clean").desc(), "symbol")
+    return p.join(index, "date").select(
+        F.col("date").alias("trade_date"), F.col("symbol").alias("stock_code"), F.col("market").alias("market_type"), (F.col("symbol").cast("int") % 7).alias("theme_sector"), F.col("open").alias("open_price"), F.col("high").alias("high_price"), F.col("low").alias("low_price"),
+        F.col("close").alias("close_price"), F.col("prev_close").alias("prev_close_price"), F.col("close").alias("buy_price"), (F.col("chg_ratio") * 100).alias("change_rate"), F.col("tv_clean").alias("trade_value_100m"), "market_cap_100m", F.col("volume").cast("double").alias("volume"),
+        trailing(F.col("tv_clean"), 20, F.avg, 10).alias("avg_trade_value"), F.col("inst_netbuy").cast("double").alias("inst_net_buy"), F.col("foreign_netbuy").cast("double").alias("foreign_net_buy"), F.col("program_netbuy").cast("double").alias("prog_net_buy"),
+        F.row_number().over(by_value).alias("selection_rank"), F.when(F.dayofmonth("date") % 5 != 0, F.count("*").over(W.partitionBy("date"))).alias("total_candidate_count"), "kospi_change", "kosdaq_change", "v_kospi", "v_kosdaq",
+    )
+
+
+def _clipped(x: str, low: float, high: float) -> str:
+    return f"CASE WHEN ({x}) IS NOT NULL THEN least(greatest({x}, {low}e0), {high}e0) END"
+
+
+_VOL = "coalesce(last_value({v} IGNORE NULLS) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING), first_value({v} IGNORE NULLS) OVER (ORDER BY trade_date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+_F12 = (
+    _INDEX
+    + f""", n0 AS (SELECT p.date AS trade_date, p.symbol AS stock_code, p.market AS market_type, CAST(p.symbol AS INT)%7 AS theme_sector, open AS o, high AS h, low AS l, close AS c, nullif(prev_close,0) AS pc, chg_ratio*100 AS change_rate, CAST(tv_clean AS DOUBLE) AS tv, market_cap_100m AS mc, CAST(volume AS DOUBLE) AS volume,
+   {roll('tv_clean', 20, 'avg', 10)} AS atv, CAST(inst_netbuy AS DOUBLE) AS ib, CAST(foreign_netbuy AS DOUBLE) AS fb, CAST(program_netbuy AS DOUBLE) AS pb, row_number() OVER (PARTITION BY p.date ORDER BY tv_clean DESC NULLS LAST, symbol) AS sr, CASE WHEN day(p.date)%5<>0 THEN count(*) OVER (PARTITION BY p.date) END AS tc,
+   kospi_pct*100 AS kc, kosdaq_pct*100 AS qc FROM (SELECT prep.*, kospi_pct, kosdaq_pct FROM prep JOIN idx ON idx.date=prep.date) p),
+ v0 AS (SELECT date AS trade_date, nullif(v_kospi,0) AS a, nullif(v_kosdaq,0) AS b FROM idx), v1 AS (SELECT trade_date, {_VOL.format(v='a')} AS v_kospi, {_VOL.format(v='b')} AS v_kosdaq FROM v0),
+ v2 AS (SELECT *, coalesce(v_kospi/lag(v_kospi) OVER (ORDER BY trade_date)-1,0) AS v_kospi_change, coalesce(v_kosdaq/lag(v_kosdaq) OVER (ORDER BY trade_date)-1,0) AS v_kosdaq_change FROM v1),
+ n1 AS (SELECT *, CASE WHEN h-l IS NOT NULL THEN greatest(h-l,1) END AS span, nullif(tv,0) AS nv FROM n0),
+ n2 AS (SELECT n1.*, (c-pc)/pc*100 AS buy_price_change_rate, (o-pc)/pc*100 AS gap_ratio, (c-o)/nullif(o,0) AS intraday_return, (h-l)/pc*100 AS intraday_range, (c-l)/span AS close_position, (h-greatest(o,c))/span AS upper_shadow_ratio, abs(c-o)/span AS body_ratio, tv/CASE WHEN mc IS NOT NULL THEN greatest(mc,0.01e0) END AS turnover,
+   coalesce(ib,0)/nv AS inst_density, coalesce(fb,0)/nv AS foreign_density, (coalesce(ib,0)+coalesce(fb,0))/nv AS major_density, pb/nv AS prog_dominance, sr/CAST(greatest(coalesce(tc,1),1) AS DOUBLE) AS rank_ratio, change_rate-kc AS relative_change_kospi, change_rate-qc AS relative_change_kosdaq,
+   change_rate-avg(change_rate) OVER (PARTITION BY trade_date, theme_sector) AS sector_relative_change FROM n1),
+ n3 AS (SELECT n2.*, v_kospi, v_kospi_change, v_kosdaq, v_kosdaq_change, buy_price_change_rate-CASE WHEN contains(upper(market_type),'KOSDAQ') THEN qc ELSE kc END AS relative_change_rate, CASE WHEN mc IS NOT NULL THEN ln(1+greatest(mc,0)) END AS log_market_cap_100m, CASE WHEN tv IS NOT NULL THEN ln(1+greatest(tv,0)) END AS log_trade_value_100m,
+   CASE WHEN volume IS NOT NULL THEN ln(1+greatest(volume,0)) END AS log_volume, CASE WHEN atv IS NOT NULL THEN ln(1+greatest(atv,0)) END AS log_avg_trade_value, sign(ib)*ln(1+abs(ib)) AS inst_net_buy, sign(fb)*ln(1+abs(fb)) AS foreign_net_buy, sign(pb)*ln(1+abs(pb)) AS prog_net_buy,
+   {pct('tv', 'n2.trade_date')} AS trade_value_pct_rank, {pct('ib', 'n2.trade_date')} AS inst_net_buy_pct_rank, {pct('fb', 'n2.trade_date')} AS foreign_net_buy_pct_rank, {pct('change_rate', 'n2.trade_date')} AS change_rate_pct_rank, {pct('major_density', 'n2.trade_date')} AS major_density_pct_rank, {pct('prog_dominance', 'n2.trade_date')} AS prog_dominance_pct_rank,
+   {pct('gap_ratio', 'n2.trade_date')} AS gap_ratio_pct_rank, {pct('turnover', 'n2.trade_date')} AS turnover_pct_rank, coalesce(inst_density,0) AS x1, coalesce(foreign_density,0) AS x2, coalesce(prog_dominance,0) AS x3, isodow(n2.trade_date) AS dow FROM n2 JOIN v2 ON v2.trade_date=n2.trade_date),
+ n4 AS (SELECT *, {_clipped('(2*close_position-1)*body_ratio*intraday_range', -5, 5)} AS candle_strength, {_clipped('abs(intraday_return)/CASE WHEN intraday_range IS NOT NULL THEN greatest(intraday_range/100,1e-6) END', 0, 5)} AS range_efficiency, {_clipped('major_density*turnover', 0, 5)} AS flow_turnover,
+   {_clipped('major_density_pct_rank*change_rate_pct_rank', 0, 1)} AS relative_flow_strength, {', '.join(f'CASE WHEN dow={k + 1} THEN 1.0e0 ELSE 0.0e0 END AS {n}' for k, n in enumerate(X.WEEKDAYS))}, sign(x1)+sign(x2)+sign(x3) AS flow_consensus,
+   CASE WHEN abs(x1)+abs(x2)+abs(x3)<>0 THEN (x1+x2+x3)/(abs(x1)+abs(x2)+abs(x3)) ELSE 0 END AS flow_alignment_direction, CASE WHEN dow=5 THEN 1-rank_ratio ELSE 0 END AS friday_selection_rank_pct FROM n3)"""
 )
+
+
+# A product of ranks often lies right between two rounded numbers: a billionth more decides it in both engines.
+@query(_F12 + f" SELECT trade_date, stock_code, {cols([n for n in _F12_NAMES if n != 'relative_flow_strength'], 5)}, {r('relative_flow_strength+1e-9', 5)} relative_flow_strength FROM n4")
 def f12_snapshot_block(spark, sf_dir):
-    return rounded(X.snapshot_block(prepared(spark, sf_dir)).select("date", "symbol", "s_flow_agree", "s_is_mon", "s_is_fri", *_F12_NAMES))
+    block = X.snapshot_block(snapshots(spark, sf_dir)).withColumn("relative_flow_strength", F.col("relative_flow_strength") + 1e-9)
+    return rounded(block.select("trade_date", "stock_code", *(F.col(n).cast("double").alias(n) for n in _F12_NAMES)), 5)
 
 
 @query(PREP + f", a AS (SELECT date, symbol, chg_ratio-quantile_cont(chg_ratio,0.5) OVER (PARTITION BY date) d FROM prep), b AS (SELECT *, nullif(quantile_cont(abs(d),0.5) OVER (PARTITION BY date),0) mad FROM a) SELECT date, symbol, {r('CASE WHEN d/mad IS NOT NULL THEN least(greatest(d/mad,-5),5) END', 3)} chg_ratio_rz FROM b")
@@ -176,8 +219,10 @@ def f16_sector_aggregates(spark, sf_dir):
 
 _LADDER = (
     PREP
-    + f""", sc0 AS (SELECT *, coalesce(lag(is_ceiling) OVER ({_WIN}),false) pce, {roll('high',120,'max',60)} h120 FROM prep),
- sc AS (SELECT *, CASE WHEN is_ceiling THEN 'ceiling' WHEN pce THEN 'after_ceiling' WHEN close>h120 THEN 'breakout' WHEN chg_ratio>=0.1e0 AND tv_clean>=1 THEN 'surge_value' WHEN open/prev_close-1>=0.05e0 THEN 'gap_up' WHEN chg_ratio>=0.1e0 THEN 'strong' WHEN inst_netbuy>0 AND foreign_netbuy>0 AND chg_ratio>0 THEN 'flow' WHEN chg_ratio>0 THEN 'steady' ELSE 'other' END scenario FROM sc0)"""
+    + f""", sa AS (SELECT *, lag(close) OVER ({_WIN}) c1, {roll('close',120,'avg',60,0)} m120, {roll('close',20,'avg',10,0)} m20, {roll('high',252,'max',60,0)} h252, {roll('volume',5,'avg',3,0)} w5, {roll('volume',20,'avg',10,0)} w20 FROM prep),
+ sb AS (SELECT *, coalesce(c1 > 0 AND abs(close/c1-1) <= 0.31e0 AND close/c1-1 >= 0.29e0 AND close >= high, false) lim, coalesce(c1 <= lag(m120) OVER ({_WIN}) AND close > m120, false) cross120, close/nullif(m20,0)-1 d20, close/nullif(h252,0) hr, w5/nullif(w20,0) vr, (close-low)/nullif(high-low,0) cp FROM sa),
+ sc AS (SELECT *, CASE WHEN lag(lim) OVER ({_WIN}) THEN '{X.SCENARIOS[0]}' WHEN cp >= 0.90e0 AND chg_ratio*100 >= 12 THEN '{X.SCENARIOS[1]}' WHEN cp <= 0.40e0 AND chg_ratio > 0 THEN '{X.SCENARIOS[2]}' WHEN hr >= 0.99e0 THEN '{X.SCENARIOS[3]}' WHEN hr >= 0.93e0 THEN '{X.SCENARIOS[4]}' WHEN cross120 THEN '{X.SCENARIOS[5]}'
+   WHEN d20 >= 0.35e0 AND vr >= 2.3e0 THEN '{X.SCENARIOS[6]}' WHEN vr >= 1.6e0 THEN '{X.SCENARIOS[7]}' ELSE '{X.SCENARIOS[8]}' END scenario FROM sb)"""
 )
 
 
@@ -188,15 +233,15 @@ def f17_scenarios(spark, sf_dir):
 
 @query(
     _LADDER
-    + f""", t AS (SELECT scenario ours, CASE WHEN day(date)%10=0 THEN 'other' ELSE scenario END theirs FROM sc), a AS (SELECT theirs AS label, count(*) support, avg(CASE WHEN ours=theirs THEN 1.0 ELSE 0.0 END) recall FROM t GROUP BY 1), b AS (SELECT ours AS label, avg(CASE WHEN ours=theirs THEN 1.0 ELSE 0.0 END) prec FROM t GROUP BY 1)
+    + f""", t AS (SELECT scenario ours, CASE WHEN day(date)%10=0 THEN '{X.SCENARIOS[8]}' ELSE scenario END theirs FROM sc), a AS (SELECT theirs AS label, count(*) support, avg(CASE WHEN ours=theirs THEN 1.0 ELSE 0.0 END) recall FROM t GROUP BY 1), b AS (SELECT ours AS label, avg(CASE WHEN ours=theirs THEN 1.0 ELSE 0.0 END) prec FROM t GROUP BY 1)
  SELECT coalesce(a.label,b.label) AS label, coalesce(support,0) support, {r('recall')} recall, {r('prec')} AS precision FROM a FULL JOIN b ON a.label=b.label UNION ALL SELECT 'all', count(*), {r('avg(CASE WHEN ours=theirs THEN 1.0 ELSE 0.0 END)')}, {r('avg(CASE WHEN ours=theirs THEN 1.0 ELSE 0.0 END)')} FROM t"""
 )
 def f18_scenario_agreement(spark, sf_dir):
-    s = X.scenario_ladder(prepared(spark, sf_dir)).withColumn("theirs", F.when(F.dayofmonth("date") % 10 == 0, "other").otherwise(F.col("scenario")))
+    s = X.scenario_ladder(prepared(spark, sf_dir)).withColumn("theirs", F.when(F.dayofmonth("date") % 10 == 0, X.SCENARIOS[8]).otherwise(F.col("scenario")))
     return rounded(X.scenario_agreement(s, "scenario", "theirs"))
 
 
-@query(_LADDER + " SELECT date, symbol, " + ", ".join(f"CASE WHEN scenario='{s}' THEN 1 ELSE 0 END is_{s}" for s in X.SCENARIOS) + ", CAST(1 AS BIGINT) n_scenarios FROM sc")
+@query(_LADDER + " SELECT date, symbol, " + ", ".join(f"CASE WHEN scenario='{s}' THEN 1 ELSE 0 END is_{c}" for s, c in zip(X.SCENARIOS, X.SCENARIO_COLUMNS, strict=True)) + ", CAST(1 AS BIGINT) n_scenarios FROM sc")
 def f19_action_panel(spark, sf_dir):
     s = X.scenario_ladder(prepared(spark, sf_dir)).select("date", "symbol", "scenario")
     return X.action_panel(s.unionByName(s.where("day(date)=1")))
@@ -216,30 +261,40 @@ def f20_live_features(spark, sf_dir):
 _NOISY = "SELECT * REPLACE (CASE WHEN CAST(symbol AS INT)%5=0 THEN f_body*0.5e0 ELSE f_body END AS f_body) FROM f1"
 
 
-@query(
+_PARITY = (
     _F1
     + f""", y AS ({_NOISY}), j AS (SELECT f1.date, f1.symbol, 'f_body' AS feature, f1.f_body x, y.f_body y FROM f1 JOIN y ON y.date=f1.date AND y.symbol=f1.symbol UNION ALL SELECT f1.date, f1.symbol, 'f_range', f1.f_range, y.f_range FROM f1 JOIN y ON y.date=f1.date AND y.symbol=f1.symbol),
- k AS (SELECT * FROM j WHERE x IS NOT NULL AND y IS NOT NULL), rk AS (SELECT *, {pct('x', 'date, feature')} rx, {pct('y', 'date, feature')} ry FROM k), d AS (SELECT feature, date, corr(rx,ry) rho, count(*) n FROM rk GROUP BY 1,2), s AS (SELECT feature, avg(CASE WHEN isnan(rho) THEN NULL ELSE rho END) sp FROM d WHERE n>=3 GROUP BY 1), m AS (SELECT feature, quantile_cont(abs(x-y),0.5) md, count(*) n FROM k GROUP BY 1)
- SELECT m.feature, n, {r('md')} median_diff, {r('sp')} spearman, CASE WHEN sp>=0.95e0 THEN 'MATCH' WHEN sp>=0.8e0 THEN 'APPROXIMATE' ELSE 'MISMATCH' END verdict FROM m JOIN s ON s.feature=m.feature"""
+ k AS (SELECT * FROM j WHERE x IS NOT NULL AND y IS NOT NULL), rk AS (SELECT *, {pct('x', 'date, feature')} rx, {pct('y', 'date, feature')} ry FROM k), d AS (SELECT feature, date, corr(rx,ry) rho, count(*) n FROM rk GROUP BY 1,2), s AS (SELECT feature, avg(CASE WHEN isnan(rho) THEN NULL ELSE rho END) sp FROM d WHERE n>=3 GROUP BY 1), m AS (SELECT feature, quantile_cont(abs(x-y),0.5) md, count(*) n FROM k GROUP BY 1),
+ fp AS (SELECT m.feature, n, {r('md')} median_diff, {r('sp')} spearman, CASE WHEN sp>=0.95e0 THEN 'MATCH' WHEN sp>=0.8e0 THEN 'APPROXIMATE' ELSE 'MISMATCH' END verdict FROM m JOIN s ON s.feature=m.feature)"""
 )
+
+
+@query(_PARITY + " SELECT * FROM fp")
 def f21_feature_parity(spark, sf_dir):
     a = X.cross_section(prepared(spark, sf_dir))
     b = a.withColumn("f_body", F.when(F.col("symbol").cast("int") % 5 == 0, F.col("f_body") * 0.5).otherwise(F.col("f_body")))
     return rounded(X.feature_parity(a, b, ["f_body", "f_range"]))
 
 
-@query()
+@query(_PARITY + ", fc(feature, unit, timing) AS (VALUES " + ", ".join(str(x) for x in X.FEATURE_CONTRACT) + ") SELECT fc.*, spearman, coalesce(verdict,'UNMEASURED') verdict FROM fc LEFT JOIN fp ON fp.feature=fc.feature")
 def f22_feature_contract(spark, sf_dir):
     return X.feature_contract(spark, f21_feature_parity(spark, sf_dir))
 
 
-@query()
+_DRAWN = "p.date||':'||p.symbol||':3'"
+
+
+@query(
+    fixtures.sql("price_history", "bars_1m") + PREP[len(fixtures.sql("price_history")) :]
+    + f""", im AS (SELECT snapshot_date, symbol, count(*) FILTER (WHERE minute<920) nc, arg_max(close,minute) FILTER (WHERE minute<920) c0, arg_max(close,minute) FILTER (WHERE minute>=920) c1 FROM bars_1m GROUP BY 1,2), mv AS (SELECT row_number() OVER (ORDER BY snapshot_date, symbol)-1 slot, (c1/c0-1)/100 AS mv FROM im WHERE nc>=10 AND c1/c0 IS NOT NULL), mn AS (SELECT count(*) n FROM mv),
+ dr AS (SELECT p.* REPLACE (least(greatest(close/(1+mv),low),high) AS close, tv_clean*least(greatest(close/(1+mv),low),high)/close AS tv_clean, close_raw*least(greatest(close/(1+mv),low),high)/close AS close_raw) FROM prep p, mn JOIN mv ON mv.slot = {text_draw_sql(_DRAWN)} % mn.n),
+ f1 AS (SELECT *, (close-open)/greatest(high-low,1) f_body, (high-greatest(open,close))/greatest(high-low,1) f_upper, (high-low)/close f_range, ln(1+greatest(tv_clean,0)) f_log_tv, CASE WHEN mc_clean IS NOT NULL THEN ln(1+greatest(mc_clean,0)) END f_log_mc, {pct('tv_clean')} f_rank_tv, {pct('chg_ratio')} f_rank_chg, {tick_bp('close_raw', 'market', 'date')} f_tick_cost FROM dr)
+ SELECT date, symbol, {r('close', 4)} AS close, {cols(_F1_NAMES, 4)}, {r('f_tick_cost', 4)} f_tick_cost FROM f1"""
+)
 def f23_noise_perturbation(spark, sf_dir):
     from tapewright.operators.bars import auction_impact
     from tapewright.plans.bar_queries import bars
 
     moves = auction_impact(bars(spark, sf_dir)).where("impact_bp is not null").select((F.col("impact_bp") / 1e4 / 100).alias("move"), "snapshot_date", "symbol")
-    from pyspark.sql import Window as W
-
-    numbered = moves.withColumn("slot", (F.row_number().over(W.partitionBy(F.lit(1)).orderBy("snapshot_date", "symbol")) - 1).cast("long")).select("slot", "move")
-    return rounded(X.noise_perturbation(prepared(spark, sf_dir), numbered).select("date", "symbol", "close", *_F1_NAMES), 4)
+    moves = numbered(moves, "snapshot_date", "symbol", "slot").select("slot", "move")
+    return rounded(X.noise_perturbation(prepared(spark, sf_dir), moves, draw=text_draw).select("date", "symbol", "close", *_F1_NAMES, "f_tick_cost"), 4)

@@ -6,8 +6,13 @@ text to put before an oracle's SELECT.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tapewright.sources.stores import shared_path
+
 # symbol = supplier, date = ship date + 24 years
 PRICE_HISTORY = """
 WITH li AS (
@@ -75,8 +80,29 @@ def sql(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({TABLES[n].format(**_DUCK, **{b: b for b in _BASE})})" for n in names)
 
 
+#: Rows of line items for each bucket of the stored panel.
+BUCKET_ROWS = 1_000_000
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], None]) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        at = f"{name}_{uuid.uuid4().hex}"
+        make(at)
+        _stored[key] = at
+    return _stored[key]
+
+
 def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark_frame(spark, sf_dir, "price_history")
+    """The daily panel, derived once in a session and stored in buckets by symbol, so that windows and joins by symbol need no shuffle."""
+
+    def make(at: str) -> None:
+        buckets = max(spark.sparkContext.defaultParallelism, -(-base(spark, sf_dir, "lineitem").count() // BUCKET_ROWS))
+        derived = spark_frame(spark, sf_dir, "price_history").repartition(buckets, "symbol").sortWithinPartitions("symbol", "date")
+        derived.write.option("path", shared_path(spark, "panel")).bucketBy(buckets, "symbol").sortBy("symbol", "date").saveAsTable(at)
+
+    return spark.table(_kept(spark, sf_dir, "price_history", make))
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +110,9 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark_frame(spark, sf_dir, "bars_1m")
+    """The one-minute bars, derived once in a session and stored."""
+
+    def make(at: str) -> None:
+        spark_frame(spark, sf_dir, "bars_1m").write.option("path", shared_path(spark, "bars")).saveAsTable(at)
+
+    return spark.table(_kept(spark, sf_dir, "bars_1m", make))

@@ -46,6 +46,10 @@ def tick(price: str, market: str, date: str) -> str:
     )
 
 
+def text_draw_sql(text: str) -> str:
+    return f"CAST('0x'||substr(md5({text}),1,8) AS BIGINT)"
+
+
 def tick_bp(price: str, market: str, date: str) -> str:
     return f"CASE WHEN {price} > 0 THEN ({tick(price, market, date)}) / {price} * 1e4 END"
 

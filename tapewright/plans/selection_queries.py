@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.functions import market as M
+from tapewright.functions.windows import text_draw
 from tapewright.operators import calendar as C
 from tapewright.operators import evaluate as E
 from tapewright.operators import panel as P
 from tapewright.operators import universe as U
 from tapewright.plans import fixtures
 from tapewright.plans.feature_queries import pct
-from tapewright.plans.oracle import PREP, SCREEN, SCREEN_SQL, query, r, rounded, tax, tick
+from tapewright.plans.oracle import PREP, SCREEN, SCREEN_SQL, query, r, rounded, tax, text_draw_sql, tick
 from tapewright.plans.panel_queries import _INDEX, calendar, prepared
 
 BOUNDS = {k: SCREEN[k] for k in ("low", "high", "value", "cap")}
@@ -159,7 +163,7 @@ def costed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.row_costs(pool, spark.sql(_IMPACT, p=pool))
 
 
-_COSTED = POOL + f", cst AS (SELECT p.*, {tax('p.date')} tax_part, 2*tick_cost_bp tick_part, coalesce(abs(i.impact_bp),5e0) impact_part, i.impact_bp IS NOT NULL measured FROM pool p LEFT JOIN ({_IMPACT.format(p='pool')}) i ON i.date=p.date AND i.symbol=p.symbol), cs AS (SELECT *, tax_part+tick_part+impact_part+0.72792e0 AS cbp FROM cst)"
+_COSTED = POOL + f", pm AS MATERIALIZED (SELECT * FROM pool), im AS MATERIALIZED ({_IMPACT.format(p='pm')}), cst AS (SELECT p.*, {tax('p.date')} tax_part, 2*tick_cost_bp tick_part, coalesce(abs(i.impact_bp),5e0) impact_part, i.impact_bp IS NOT NULL measured FROM pm p LEFT JOIN im i ON i.date=p.date AND i.symbol=p.symbol), cs AS (SELECT *, tax_part+tick_part+impact_part+0.72792e0 AS cbp FROM cst)"
 
 
 @query(_COSTED + f" SELECT date, symbol, tax_part, {r('tick_part')} tick_part, {r('impact_part')} impact_part, measured, {r('cbp')} cost_bp FROM cs")
@@ -239,14 +243,24 @@ def l12_exit_grid(spark, sf_dir):
     return rounded(U.exit_grid(entries(spark, sf_dir), spark.createDataFrame([(0.02,), (0.05,), (0.1,)], "target double")))
 
 
-@query(
-    POOL
-    + f", lq AS (SELECT date, symbol, trade_value_100m*1e8*0.1e0 av FROM pool WHERE day(date)%3<>0) SELECT p.date, p.symbol, is_ceiling ceiling_entry, {r('CASE WHEN av IS NOT NULL THEN least(av/1e6,1) ELSE 1 END')} fill_ratio, coalesce(NOT is_ceiling AND av/1e6>=1,false) buyable, av IS NOT NULL liquidity_known FROM pool p LEFT JOIN lq ON lq.date=p.date AND lq.symbol=p.symbol"
-)
-def l13_buyability(spark, sf_dir):
+_LIQUID = ", lq AS MATERIALIZED (SELECT date, symbol, CASE WHEN day(date)%7<>0 THEN trade_value_100m*1e8 END av FROM pool WHERE day(date)%3<>0), pm AS MATERIALIZED (SELECT * FROM pool), gate AS (SELECT p.date, p.symbol, lq.date IS NOT NULL fd, av, CASE WHEN av IS NOT NULL THEN least(greatest(av*0.1e0/{n},0),1) END fr, coalesce(p.prev_close>0 AND p.close/p.prev_close>=1.29e0 AND p.close>=p.high,false) ce FROM pm p LEFT JOIN lq ON lq.date=p.date AND lq.symbol=p.symbol), gt AS (SELECT *, CASE WHEN NOT fd THEN {un} ELSE coalesce(fr>={least},false) END ok FROM gate)"
+
+
+def gated(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """Measured rows are those of days that 3 doesn't divide; on days that 7 divides the measured value is NULL."""
     pool = pooled(spark, sf_dir)
-    liquid = pool.where("day(date)%3<>0").select("date", "symbol", (F.col("trade_value_100m") * 1e8 * 0.1).alias("auction_value"))
-    return rounded(U.buyability(pool, liquid, 1e6).select("date", "symbol", "ceiling_entry", "fill_ratio", "buyable", "liquidity_known"))
+    liquid = pool.where("day(date)%3<>0").select("date", "symbol", F.when(F.dayofmonth("date") % 7 != 0, F.col("trade_value_100m") * 1e8).alias("auction_value"))
+    return U.buyability(pool, liquid, 5e6, **options)
+
+
+@query(POOL + _LIQUID.format(n="5e6", un="true", least="1e0") + f" SELECT date, symbol, ce ceiling_entry, {r('fr')} fill_ratio, ok buyable, fd auction_found FROM gt")
+def l13_buyability(spark, sf_dir):
+    return rounded(gated(spark, sf_dir).select("date", "symbol", "ceiling_entry", "fill_ratio", "buyable", "auction_found"))
+
+
+@query(POOL + _LIQUID.format(n="5e6", un="false", least="0.5e0") + f" SELECT count(*) n_rows, count_if(ce) n_ceiling, count_if(NOT fd) n_unmeasured, count_if(NOT ok) n_blocked, {r('quantile_cont(CASE WHEN NOT ok THEN av END,0.5)', 2)} blocked_median, {r('quantile_cont(CASE WHEN NOT ok THEN av END,0.25)', 2)} blocked_p25 FROM gt")
+def l13_buyability_report(spark, sf_dir):
+    return rounded(U.buyability_report(gated(spark, sf_dir, least_fill=0.5, require_data=True)), 2)
 
 
 @query(_EXITS.replace(PREP, POOL, 1) + f", ky AS (SELECT date, symbol FROM price_history WHERE day(date)%7=0) SELECT k.date, k.symbol, {r('e.exit_price/p.close-1-p.cost_bp/1e4')} net, e.exit_date FROM ky k LEFT JOIN exits e ON e.date=k.date AND e.symbol=k.symbol LEFT JOIN pool p ON p.date=k.date AND p.symbol=k.symbol")
@@ -256,7 +270,7 @@ def l15_labels_for_keys(spark, sf_dir):
 
 
 def metrics(x: str = "net") -> str:
-    return f"count({x}) n, {r(f'avg({x})')} AS mean, {r(f'quantile_cont({x},0.5)')} AS median, {r(f'stddev({x})')} std, {r(f'avg(CASE WHEN {x}>0 THEN 1.0 ELSE 0.0 END)')} win_rate, {r(f'sum(CASE WHEN {x}>0 THEN {x} END)/nullif(-sum(CASE WHEN {x}<0 THEN {x} END),0)', 4)} profit_factor, {r(f'avg({x})/nullif(stddev({x}),0)*sqrt(count({x}))', 4)} t, {r(f'avg({x})/nullif(stddev({x}),0)*sqrt(252)', 4)} sharpe, {r(f'avg({x})/nullif(sqrt(avg(pow(least({x},0),2))),0)*sqrt(252)', 4)} sortino"
+    return f"count({x}) n, {r(f'avg({x})')} AS mean, {r(f'quantile_cont({x},0.5)')} AS median, {r(f'stddev({x})')} std, {r(f'avg(CASE WHEN {x}>0 THEN 1.0 ELSE 0.0 END)')} win_rate, {r(f'sum(CASE WHEN {x}>0 THEN {x} END)/nullif(-sum(CASE WHEN {x}<0 THEN {x} END),0)', 4)} profit_factor, {r(f'avg({x})/nullif(stddev({x}),0)*sqrt(count({x}))', 4)} t, {r(f'avg({x})/nullif(stddev({x}),0)*sqrt(252)', 4)} sharpe, {r(f'avg({x})/nullif(sqrt(avg(CASE WHEN {x} IS NOT NULL THEN pow(least({x},0),2) END)),0)*sqrt(252)', 4)} sortino"
 
 
 def _metrics(df: DataFrame) -> DataFrame:
@@ -283,12 +297,25 @@ def e3_cost_stress(spark, sf_dir):
     return _metrics(E.stress(rows, (2, 3, 4)))
 
 
-@query()
+@query(
+    POOL
+    + f""", bs AS (SELECT net, row_number() OVER (ORDER BY date) i FROM daily WHERE net IS NOT NULL), pf AS (SELECT i, sum(net) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) s FROM bs UNION ALL SELECT 0, 0e0), nn AS (SELECT count(*) n FROM bs),
+ dr AS (SELECT rep, block, {text_draw_sql("rep||':'||block||':1'")} % (n-9) st FROM range(500) a(rep), nn, range(1, 100000) b(block) WHERE n>=10 AND block <= ceil(n/10e0)), ms AS (SELECT rep, sum(y.s-x.s)/(count(*)*10) m FROM dr JOIN pf x ON x.i=st JOIN pf y ON y.i=st+10 GROUP BY rep)
+ SELECT count(*) reps, {r('quantile_cont(m,0.025)')} low, {r('quantile_cont(m,0.975)')} high, {r('avg(CASE WHEN m<=0 THEN 1.0 ELSE 0.0 END)')} p_value FROM ms"""
+)
 def e4_block_bootstrap(spark, sf_dir):
-    return rounded(E.block_bootstrap(series(spark, sf_dir)))
+    return rounded(E.block_bootstrap(series(spark, sf_dir), draw=text_draw))
+
 
+# The normal distribution by Simpson's rule over 2,000 steps up to z.
+_DSR_BEST = 0.05 * ((1 - 0.5772156649015329) * NormalDist().inv_cdf(1 - 1 / 20) + 0.5772156649015329 * NormalDist().inv_cdf(1 - 1 / (20 * math.e)))
 
-@query()
+
+@query(
+    POOL
+    + f""", dm AS (SELECT net-avg(net) OVER () d, avg(net) OVER () m FROM daily), mo AS (SELECT count(*) n, max(m) m, stddev(d) s, avg(d*d*d)/pow(avg(d*d),1.5e0) sk, avg(d*d*d*d)/pow(avg(d*d),2) ku FROM dm), z AS (SELECT n, (m/s-{_DSR_BEST!r})/sqrt(greatest((1-sk*m/s+(ku-1)/4*pow(m/s,2))/(n-1),1e-12)) z FROM mo)
+ SELECT n, CAST(20 AS INT) trials, {r('0.5e0 + sum(CASE WHEN i IN (0,2000) THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END * exp(-0.5e0*pow(z*i/2000,2)))*z/2000/3/sqrt(2*pi())')} dsr FROM z, range(2001) t(i) GROUP BY n, z"""
+)
 def e5_deflated_sharpe(spark, sf_dir):
     return rounded(E.deflated_sharpe(series(spark, sf_dir), 20))
 
@@ -325,7 +352,8 @@ def e7_nav_summary(spark, sf_dir):
 
 
 def _ic(a: str, b: str) -> str:
-    return POOL + f", i0 AS (SELECT date, {a} a, {b} b FROM pool WHERE {a} IS NOT NULL AND {b} IS NOT NULL), i1 AS (SELECT *, {pct('a')} ra, {pct('b')} rb FROM i0), i2 AS (SELECT date, count(*) n, corr(ra,rb) ic FROM i1 GROUP BY date) SELECT date, n, {r('ic')} ic FROM i2 WHERE ic IS NOT NULL AND NOT isnan(ic)"
+    known = f"{a} IS NOT NULL AND {b} IS NOT NULL"
+    return POOL + f", i0 AS (SELECT date, {a} a, {b} b FROM pool QUALIFY count(*) OVER (PARTITION BY date) = count(*) FILTER (WHERE {known}) OVER (PARTITION BY date) AND count(*) OVER (PARTITION BY date) >= 2), i1 AS (SELECT *, {pct('a')} ra, {pct('b')} rb FROM i0), i2 AS (SELECT date, count(*) n, corr(ra,rb) ic FROM i1 GROUP BY date) SELECT date, n, {r('ic')} ic FROM i2 WHERE ic IS NOT NULL AND NOT isnan(ic)"
 
 
 @query(_ic("pred", "net"))
@@ -363,6 +391,12 @@ def e12_admissible_rows(spark, sf_dir):
     return E.admissible(exits(spark, sf_dir), blocks).groupBy("fold").agg(F.count("*").alias("n"), F.max("exit_date").alias("last_exit"), F.min("date").alias("first_date"))
 
 
+@query(_EXITS + ", b(fold,ts,es) AS (VALUES " + ", ".join(f"({k}, DATE '{a}', DATE '{b}')" for k, a, b in _BLOCKS) + ") SELECT fold, NOT coalesce(e.exit_date < es,false) purged, count(*) n, min(date) first_date, max(date) last_date FROM exits e JOIN b ON e.date < ts GROUP BY 1,2")
+def e13_seam_purge(spark, sf_dir):
+    blocks = spark.createDataFrame(_BLOCKS, "fold int, a string, b string").select("fold", F.to_date("a").alias("test_start"), F.to_date("b").alias("embargo_start"))
+    return E.seam_purge(exits(spark, sf_dir), blocks).groupBy("fold", "purged").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
 _OOF = ", oof AS (SELECT p.date, symbol, net, tick_cost_bp, pred + CASE WHEN fold%2=0 THEN 0.01e0 ELSE -0.01e0 END * (CAST(symbol AS INT)%5) AS pred, fold FROM pool p, range(4) t(fold) WHERE (CAST(symbol AS INT)+fold)%3<>0)"
 
 
@@ -387,6 +421,16 @@ def e15_path_evidence(spark, sf_dir):
     return out.select("fold", "n", F.round("mean_delta", 6).alias("mean_delta"), F.round("win_rate", 6).alias("win_rate"), F.round("t_paired", 4).alias("t_paired"), F.round("mde", 5).alias("mde"))
 
 
+@query(
+    POOL
+    + f", a AS (SELECT date, avg(net) x FROM picks GROUP BY 1), b AS (SELECT date, avg(net) y FROM (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY date ORDER BY tick_cost_bp NULLS LAST, symbol)<=3) GROUP BY 1), d AS (SELECT x-y d FROM a JOIN b ON a.date=b.date WHERE x-y IS NOT NULL) SELECT count(*) n, {r('avg(d)')} mean_delta, {r('avg(CASE WHEN d>0 THEN 1.0 ELSE 0.0 END)')} win_rate, {r('avg(d)/nullif(stddev(d),0)*sqrt(count(*))', 4)} t_paired, {r('2.8015852182e0*stddev(d)/sqrt(count(*))', 5)} mde FROM d"
+)
+def e16_paired_test(spark, sf_dir):
+    cheap = U.top_k(pooled(spark, sf_dir), 3, [F.col("tick_cost_bp").asc_nulls_last()]).groupBy("date").agg(F.avg("net").alias("cheap"))
+    out = E.paired(picked(spark, sf_dir).groupBy("date").agg(F.avg("net").alias("ranker")).join(cheap, "date"), F.col("ranker") - F.col("cheap"))
+    return out.select("n", F.round("mean_delta", 6).alias("mean_delta"), F.round("win_rate", 6).alias("win_rate"), F.round("t_paired", 4).alias("t_paired"), F.round("mde", 5).alias("mde"))
+
+
 @query(PREP + f" SELECT date, {r("pow(0.5e0,(DATE '2025-12-31'-date)/365e0)")} AS weight FROM cal")
 def e17_age_weights(spark, sf_dir):
     return rounded(calendar(spark, sf_dir).select("date", E.age_weight(F.col("date"), F.lit("2025-12-31").cast("date"), 365.0).alias("weight")))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,19 +10,12 @@ from tapewright.operators import ledgers as G
 from tapewright.operators import normalize as N
 from tapewright.plans import fixtures
 from tapewright.plans.bar_queries import bars
-from tapewright.plans.oracle import BARS, PREP, TICKS, query, r, rounded, tax
+from tapewright.plans.oracle import BARS, PREP, SQL, TICKS, query, r, rounded, tax
 from tapewright.plans.panel_queries import calendar, prepared
-from tapewright.plans.selection_queries import POOL, picked
+from tapewright.plans.selection_queries import POOL, picked, pooled
 from tapewright.sources import stores as S
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that executors share; only where none is set, one of our own."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+scratch = S.shared_path
 
 
 def stored_bars(spark: SparkSession, sf_dir: str) -> str:
@@ -150,11 +140,11 @@ def s16_ladder_rows(spark, sf_dir):
     return S.ladder_rows(raw).groupBy("event_type").agg(F.count("*").alias("n"), F.max("ask1").alias("ask1"), F.min("bid1").alias("bid1"))
 
 
-@query(PREP + " SELECT count(*) n, max(date) last_date FROM price_history WHERE year(date)=2024")
+@query(PREP + " SELECT CAST(year(date) AS INT) AS year, count(*) n, max(date) last_date FROM price_history GROUP BY 1")
 def s17_dataset_partition(spark, sf_dir):
     path = scratch(spark, "dataset")
-    S.write_dataset(fixtures.price_history(spark, sf_dir).where("year(date)=2024"), path)
-    return spark.read.parquet(path).agg(F.count("*").alias("n"), F.max("date").alias("last_date"))
+    S.write_dataset(fixtures.price_history(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy(F.year("date").alias("year")).agg(F.count("*").alias("n"), F.max("date").alias("last_date"))
 
 
 @query(PREP + " SELECT date, symbol, CAST(close AS FLOAT)::DOUBLE AS close, CAST(volume AS BIGINT) volume FROM price_history")
@@ -190,18 +180,41 @@ def n1_cumulative_to_value(spark, sf_dir):
     return N.cumulative_to_value(b).groupBy("snapshot_date", "symbol").agg(F.count_if("from_cumulative").alias("n_fits"), F.round(F.sum("value_krw"), 1).alias("value_krw"))
 
 
-@query(BARS + " SELECT v.vendor, snapshot_date, symbol, ts_hms, open, high, low, close, volume, volume>0 AS has_trade FROM bars_1m, (VALUES ('ls'),('kiwoom'),('toss')) v(vendor)")
-def n2_vendor_bars(spark, sf_dir):
+def vendor_payloads(spark, sf_dir):
+    """The bars as each vendor would send them: text, signs on prices, times in their own form; every 50th volume is no number."""
     b = bars(spark, sf_dir)
     t = lambda c: F.col(c).cast("string")
     hms = F.lpad(t("ts_hms"), 6, "0")
-    ls = b.select("snapshot_date", "symbol", hms.alias("time"), *(t(c).alias(c) for c in ("open", "high", "low", "close")), t("volume").alias("jdiff_vol"), (F.col("value_krw") / 1e6).cast("string").alias("value"))
+    volume = F.when(F.col("minute") % 50 == 7, "n/a").otherwise(t("volume"))
     minus = lambda c: F.concat(F.lit("-"), t(c))
-    kiwoom = b.select("snapshot_date", "symbol", F.concat(F.date_format("snapshot_date", "yyyyMMdd"), hms).alias("cntr_tm"), minus("open").alias("open_pric"), minus("high").alias("high_pric"), t("low").alias("low_pric"), minus("close").alias("cur_prc"), t("volume").alias("trde_qty"))
-    iso = F.concat(t("snapshot_date"), F.lit("T"), F.substring(hms, 1, 2), F.lit(":"), F.substring(hms, 3, 2), F.lit(":"), F.substring(hms, 5, 2), F.lit("+09:00"))
-    toss = b.select("snapshot_date", "symbol", iso.alias("dt"), *(t(c).alias(c) for c in ("open", "high", "low", "close", "volume")))
-    rows = N.vendor_bars(ls, "ls").unionByName(N.vendor_bars(kiwoom, "kiwoom")).unionByName(N.vendor_bars(toss, "toss"))
-    return rows.drop("value_krw")
+    iso = F.concat(t("snapshot_date"), F.lit("T"), F.substring(hms, 1, 2), F.lit(":"), F.substring(hms, 3, 2), F.lit(":"), F.substring(hms, 5, 2), F.lit(".000+09:00"))
+    prices = ("open", "high", "low", "close")
+    renamed = lambda names: [t(c).alias(n) for c, n in zip(prices, names, strict=True)]
+    key = ("snapshot_date", "symbol")
+    return {
+        "ls": b.select(*key, hms.alias("time"), *renamed(prices), volume.alias("jdiff_vol"), (F.col("value_krw") / 1e6).cast("string").alias("value")),
+        "kiwoom": b.select(*key, F.concat(F.date_format("snapshot_date", "yyyyMMdd"), hms).alias("cntr_tm"), minus("open").alias("open_pric"), minus("high").alias("high_pric"), t("low").alias("low_pric"), minus("close").alias("cur_prc"), volume.alias("trde_qty")),
+        "toss": b.select(*key, iso.alias("timestamp"), *renamed(("openPrice", "highPrice", "lowPrice", "closePrice")), volume.alias("volume")),
+        "dbsec": b.select(*key, F.date_format("snapshot_date", "yyyyMMdd").alias("Date"), hms.alias("Hour"), *renamed(("Oprc", "Hprc", "Lprc", "Prpr")), volume.alias("CntgVol")),
+    }
+
+
+@query(
+    BARS
+    + f" SELECT v.vendor, snapshot_date, symbol, ts_hms, open, high, low, close, CASE WHEN minute%50<>7 THEN volume END volume, {r('CASE WHEN v.vendor=$$ls$$ THEN value_krw WHEN minute%50<>7 THEN close*volume END', 2)} value_krw, coalesce(minute%50<>7 AND volume>0,false) AS has_trade FROM bars_1m, (VALUES ('ls'),('kiwoom'),('toss'),('dbsec')) v(vendor)"
+)
+def n2_vendor_bars(spark, sf_dir):
+    found = [N.vendor_bars(raw, vendor) for vendor, raw in vendor_payloads(spark, sf_dir).items()]
+    rows = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    return rows.withColumn("value_krw", F.round("value_krw", 2))
+
+
+@query(BARS + " SELECT vendor, snapshot_date, symbol, ts_hms, open, high, low, close, CASE WHEN minute%31<>0 THEN volume END AS volume, value_krw, coalesce(minute%31<>0 AND volume>0,false) AS has_trade FROM bars_1m")
+def n3_canonical_bars(spark, sf_dir):
+    """Bars whose numbers came as text, symbols without leading zeros, some volumes no number."""
+    b = bars(spark, sf_dir)
+    raw = b.select("snapshot_date", F.col("symbol").cast("int").alias("symbol"), *(F.col(c).cast("string").alias(c) for c in ("ts_hms", "open", "high", "low", "close", "value_krw")), F.when(F.col("minute") % 31 == 0, "-").otherwise(F.col("volume").cast("string")).alias("volume"))
+    return N.canonical_bars(raw, "kis")
 
 
 @query(TICKS + " SELECT snapshot_date, symbol, count(*) n, count(*) >= 65 AS truncated, max(price) AS top FROM (SELECT snapshot_date, symbol, CAST(price AS INT) price FROM ticks) GROUP BY 1,2")
@@ -300,12 +313,12 @@ def n17_category_counts(spark, sf_dir):
 
 @query(
     PREP
-    + ", k AS (SELECT date, close AS settle, open AS spot, 'K200 '||CASE WHEN CAST(symbol AS INT)%7=0 THEN 'SP ' ELSE '' END||'F '||CAST(202300+CAST(symbol AS INT)%3*100+1+CAST(symbol AS INT)%12 AS VARCHAR) AS name, symbol FROM price_history WHERE year(date)=2024), e AS (SELECT *, CAST(right(name,6) AS INT) expiry FROM k WHERE name NOT LIKE '%SP%'), u AS (SELECT date, expiry, min(symbol) s FROM e GROUP BY 1,2) SELECT e.date, e.expiry, settle-spot AS basis FROM e JOIN u ON u.date=e.date AND u.expiry=e.expiry AND u.s=e.symbol QUALIFY row_number() OVER (PARTITION BY e.date ORDER BY e.expiry < CAST(strftime(e.date,'%Y%m') AS INT), e.expiry)=1"
+    + ", k AS (SELECT date, close AS settle, open AS spot, 'K200 '||CASE WHEN CAST(symbol AS INT)%7=0 THEN 'SP ' ELSE '' END||'F '||CAST(CAST((year(date)-1+CAST(symbol AS INT)%3)*100+1+CAST(symbol AS INT)%12 AS INT) AS VARCHAR) AS name, symbol FROM price_history), e AS (SELECT *, CAST(right(name,6) AS INT) expiry FROM k WHERE name NOT LIKE '%SP%'), u AS (SELECT date, expiry, min(symbol) s FROM e GROUP BY 1,2) SELECT e.date, e.expiry, settle-spot AS basis FROM e JOIN u ON u.date=e.date AND u.expiry=e.expiry AND u.s=e.symbol QUALIFY row_number() OVER (PARTITION BY e.date ORDER BY e.expiry < CAST(strftime(e.date,'%Y%m') AS INT), e.expiry)=1"
 )
 def n18_front_month(spark, sf_dir):
     s = F.col("symbol").cast("int")
-    p = fixtures.price_history(spark, sf_dir).where("year(date)=2024")
-    name = F.concat(F.lit("K200 "), F.when(s % 7 == 0, "SP ").otherwise(""), F.lit("F "), (202300 + s % 3 * 100 + 1 + s % 12).cast("string"))
+    p = fixtures.price_history(spark, sf_dir)
+    name = F.concat(F.lit("K200 "), F.when(s % 7 == 0, "SP ").otherwise(""), F.lit("F "), ((F.year("date") - 1 + s % 3) * 100 + 1 + s % 12).cast("string"))
     k = p.select("date", F.col("close").alias("settle"), F.col("open").alias("spot"), F.lit("K200").alias("product"), name.alias("name"), "symbol")
     one = k.groupBy("date", "name", "product").agg(F.min(F.struct("symbol", "settle", "spot")).alias("m")).select("date", "name", "product", "m.settle", "m.spot")
     return N.front_month(one, "K200").select("date", "expiry", "basis")
@@ -382,11 +395,11 @@ def g2_open_lots(spark, sf_dir):
     return G.open_lots(fills(spark, sf_dir))
 
 
-@query("WITH o AS (SELECT DISTINCT o_orderkey k, CAST(o_custkey%50 AS VARCHAR) s, CAST(floor(o_totalprice/20000) AS BIGINT) q FROM orders), i AS (SELECT k AS intent_id, s, q FROM o WHERE k%4=0), b AS (SELECT k AS broker_id, s, q FROM o WHERE k%4=1 AND k%3<>0 AND k%5<>0) SELECT intent_id, broker_id FROM i JOIN b ON i.s=b.s AND i.q=b.q")
+@query("WITH o AS (SELECT DISTINCT o_orderkey k, CAST(o_custkey%50 AS VARCHAR) s, CAST(floor(o_totalprice/20000) AS BIGINT) q FROM orders), i AS (SELECT k AS intent_id, s, q FROM o WHERE k%2=0), b AS (SELECT k AS broker_id, s, q FROM o WHERE k%2=1 AND k%3<>0 AND k%5<>0) SELECT intent_id, broker_id FROM i JOIN b ON i.s=b.s AND i.q=b.q")
 def g3_broker_matches(spark, sf_dir):
     o = fixtures.base(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 50).cast("string").alias("symbol"), F.floor(F.col("o_totalprice") / 20000).alias("qty"), F.lit("buy").alias("side"), F.lit(1.0).alias("limit_price")).distinct()
-    orders = o.where("k%4=1").withColumnRenamed("k", "broker_id")
-    return G.broker_matches(o.where("k%4=0").withColumnRenamed("k", "intent_id"), orders, orders.where("broker_id%3=0"), orders.where("broker_id%5=0"))
+    orders = o.where("k%2=1").withColumnRenamed("k", "broker_id")
+    return G.broker_matches(o.where("k%2=0").withColumnRenamed("k", "intent_id"), orders, orders.where("broker_id%3=0"), orders.where("broker_id%5=0"))
 
 
 @query("WITH o AS (SELECT DISTINCT o_orderkey k FROM orders), a AS (SELECT k, 10 q FROM o WHERE k%7<>0), b AS (SELECT k, CASE WHEN k%5=0 THEN 9 ELSE 10 END q FROM o WHERE k%11<>0) SELECT CASE WHEN b.q IS NULL THEN 'missing_at_broker' WHEN a.q IS NULL THEN 'unknown_order' WHEN a.q<>b.q THEN 'quantity' ELSE 'matched' END AS class, count(*) n FROM a FULL JOIN b ON a.k=b.k GROUP BY 1")
@@ -476,25 +489,25 @@ def g15_coverage_report(spark, sf_dir):
     return G.coverage_report(planned, G.latest_status(log, ["symbol", "session"], ["seq"], ["status"]), ["symbol", "session"])
 
 
-@query(PREP + ", d AS (SELECT symbol, date AS day FROM price_history WHERE date >= DATE '2025-01-01'), k AS (SELECT d.*, CASE WHEN day(day)%2=0 THEN 'stored' WHEN DATE '2025-11-05'-day > 200 THEN 'beyond_retention' END skip FROM d) SELECT symbol, day, CASE WHEN skip IS NULL THEN CASE WHEN DATE '2025-11-05'-day <= 100 THEN 'near' ELSE 'far' END END vendor, skip FROM k".replace("WHEN day(day)%2", "WHEN day(d.day)%2"))
+@query(PREP + ", d AS (SELECT symbol, date AS day FROM price_history), k AS (SELECT d.*, CASE WHEN day(day)%2=0 THEN 'stored' WHEN DATE '2025-11-05'-day > 200 THEN 'beyond_retention' END skip FROM d) SELECT symbol, day, CASE WHEN skip IS NULL THEN CASE WHEN DATE '2025-11-05'-day <= 100 THEN 'near' ELSE 'far' END END vendor, skip FROM k".replace("WHEN day(day)%2", "WHEN day(d.day)%2"))
 def g16_task_plan(spark, sf_dir):
-    d = fixtures.price_history(spark, sf_dir).where("date >= date'2025-01-01'").select("symbol", F.col("date").alias("day"))
+    d = fixtures.price_history(spark, sf_dir).select("symbol", F.col("date").alias("day"))
     return G.task_plan(d, d.where("day(day)%2=0"), 200, "2025-11-05")
 
 
-@query("WITH a AS (SELECT DISTINCT event_type AS class, CAST(ts AS DATE)-DATE '2024-01-01' AS seq FROM events WHERE user_id%29=0), i AS (SELECT *, seq-row_number() OVER (PARTITION BY class ORDER BY seq) k FROM a) SELECT class, count(*) AS length, CAST(min(seq) AS BIGINT) AS first, CAST(max(seq) AS BIGINT) AS last FROM i GROUP BY class, k")
+@query("WITH a AS (SELECT DISTINCT event_type AS class, CAST(ts AS DATE)-DATE '2024-01-01' AS seq FROM events), i AS (SELECT *, seq-row_number() OVER (PARTITION BY class ORDER BY seq) k FROM a) SELECT class, count(*) AS length, CAST(min(seq) AS BIGINT) AS first, CAST(max(seq) AS BIGINT) AS last FROM i GROUP BY class, k")
 def g17_streaks(spark, sf_dir):
-    e = fixtures.base(spark, sf_dir, "events").where("user_id%29=0").select(F.col("event_type").alias("class"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("seq"))
+    e = fixtures.base(spark, sf_dir, "events").select(F.col("event_type").alias("class"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("seq"))
     return G.streaks(e)
 
 
 @query(
-    "WITH due AS (SELECT DISTINCT event_type job, date_trunc('day',ts)+INTERVAL 9 HOUR due_at FROM events), sl AS (SELECT *, coalesce(lead(due_at) OVER (PARTITION BY job ORDER BY due_at), due_at+INTERVAL 1 DAY) u FROM due), rn AS (SELECT event_type job, ts began_at, CASE WHEN event_id%5=0 THEN 'error' ELSE 'ok' END outcome FROM events WHERE user_id%10=3), f AS (SELECT s.job, s.due_at, min(began_at) b, arg_min(outcome,began_at) o FROM sl s JOIN rn ON rn.job=s.job AND began_at>=due_at AND began_at<u GROUP BY 1,2) SELECT s.job, s.due_at, CASE WHEN b IS NULL THEN 'MISSING' WHEN b>s.due_at+INTERVAL 10 MINUTE THEN 'LATE' WHEN o<>'ok' THEN 'FAILED' ELSE 'ON_TIME' END state FROM sl s LEFT JOIN f ON f.job=s.job AND f.due_at=s.due_at"
+    "WITH due AS (SELECT DISTINCT event_type job, date_trunc('day',ts)+INTERVAL 9 HOUR due_at FROM events), sl AS (SELECT *, coalesce(lead(due_at) OVER (PARTITION BY job ORDER BY due_at), due_at+INTERVAL 1 DAY) u FROM due), rn AS (SELECT event_type job, ts began_at, CASE WHEN event_id%5=0 THEN 'error' ELSE 'ok' END outcome FROM events), f AS (SELECT s.job, s.due_at, min(began_at) b, arg_min(outcome,began_at) o FROM sl s JOIN rn ON rn.job=s.job AND began_at>=due_at AND began_at<u GROUP BY 1,2) SELECT s.job, s.due_at, CASE WHEN b IS NULL THEN 'MISSING' WHEN b>s.due_at+INTERVAL 10 MINUTE THEN 'LATE' WHEN o<>'ok' THEN 'FAILED' ELSE 'ON_TIME' END state FROM sl s LEFT JOIN f ON f.job=s.job AND f.due_at=s.due_at"
 )
 def g18_job_lateness(spark, sf_dir):
     e = fixtures.base(spark, sf_dir, "events")
     due = e.select(F.col("event_type").alias("job"), (F.date_trunc("day", "ts") + F.expr("INTERVAL 9 HOUR")).cast("timestamp_ntz").alias("due_at")).distinct()
-    runs = e.where("user_id%10=3").select(F.col("event_type").alias("job"), F.col("ts").alias("began_at"), F.when(F.col("event_id") % 5 == 0, "error").otherwise("ok").alias("outcome"))
+    runs = e.select(F.col("event_type").alias("job"), F.col("ts").alias("began_at"), F.when(F.col("event_id") % 5 == 0, "error").otherwise("ok").alias("outcome"))
     return G.job_lateness(due, runs).select("job", "due_at", "state")
 
 
@@ -520,33 +533,41 @@ def n14_assemble_extras(spark, sf_dir):
 
 @query(
     TICKS
-    + ", o AS (SELECT event_id AS order_id, symbol, ts AS placed_at, CASE WHEN event_id%3=0 THEN 'market' ELSE 'limit' END AS rule, CASE WHEN event_id%2=0 THEN 'buy' ELSE 'sell' END side, price AS limit_price FROM ticks WHERE event_id%200=7), j AS (SELECT order_id, min((t.ts, t.event_id, t.price)) p FROM o JOIN ticks t ON t.symbol=o.symbol AND t.ts>placed_at AND (rule='market' OR (side='buy' AND t.price<=limit_price) OR (side='sell' AND t.price>=limit_price)) GROUP BY 1) SELECT o.order_id, p[3] AS price, CASE WHEN p IS NULL THEN 'UNFILLED' ELSE 'FILLED' END status FROM o LEFT JOIN j ON j.order_id=o.order_id"
+    + ", o AS (SELECT event_id AS order_id, symbol, ts AS placed_at, CASE WHEN event_id%3=0 THEN 'market' ELSE 'limit' END AS rule, CASE WHEN event_id%2=0 THEN 'buy' ELSE 'sell' END side, price AS limit_price FROM ticks), j AS (SELECT order_id, min((t.ts, t.event_id, t.price)) p FROM o JOIN ticks t ON t.symbol=o.symbol AND t.ts>placed_at AND (rule='market' OR (side='buy' AND t.price<=limit_price) OR (side='sell' AND t.price>=limit_price)) GROUP BY 1) SELECT o.order_id, p[3] AS price, CASE WHEN p IS NULL THEN 'UNFILLED' ELSE 'FILLED' END status FROM o LEFT JOIN j ON j.order_id=o.order_id"
 )
 def g8_fill_decision(spark, sf_dir):
     t = fixtures.ticks(spark, sf_dir)
-    orders = t.where("event_id%200=7").select(F.col("event_id").alias("order_id"), "symbol", F.col("ts").alias("placed_at"), F.when(F.col("event_id") % 3 == 0, "market").otherwise("limit").alias("rule"), F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), F.col("price").alias("limit_price"))
+    orders = t.select(F.col("event_id").alias("order_id"), "symbol", F.col("ts").alias("placed_at"), F.when(F.col("event_id") % 3 == 0, "market").otherwise("limit").alias("rule"), F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), F.col("price").alias("limit_price"))
     return G.fill_decision(orders, t.select("symbol", F.col("ts").alias("printed_at"), F.col("event_id").alias("print_id"), "price")).select("order_id", "price", "status")
 
 
-@query()
+@query(SQL["g8_fill_decision"])
 def g8_fill_decision_all(spark, sf_dir):
-    """Every tick is an order."""
-    t = fixtures.ticks(spark, sf_dir)
-    orders = t.select(F.col("event_id").alias("order_id"), "symbol", F.col("ts").alias("placed_at"), F.when(F.col("event_id") % 3 == 0, "market").otherwise("limit").alias("rule"), F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), F.col("price").alias("limit_price"))
-    return G.fill_decision(orders, t.select("symbol", F.col("ts").alias("printed_at"), F.col("event_id").alias("print_id"), "price")).select("order_id", "price", "status")
+    """The earlier name of the query over all ticks."""
+    return g8_fill_decision(spark, sf_dir)
 
 
-@query()
+@query(SQL["g17_streaks"])
 def g17_streaks_all(spark, sf_dir):
-    """Every event is an audit of its day."""
-    e = fixtures.base(spark, sf_dir, "events").select(F.col("event_type").alias("class"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("seq"))
-    return G.streaks(e)
+    return g17_streaks(spark, sf_dir)
 
 
-@query()
+@query(SQL["g18_job_lateness"])
 def g18_job_lateness_all(spark, sf_dir):
-    """Every event is a run of its job."""
-    e = fixtures.base(spark, sf_dir, "events")
-    due = e.select(F.col("event_type").alias("job"), (F.date_trunc("day", "ts") + F.expr("INTERVAL 9 HOUR")).cast("timestamp_ntz").alias("due_at")).distinct()
-    runs = e.select(F.col("event_type").alias("job"), F.col("ts").alias("began_at"), F.when(F.col("event_id") % 5 == 0, "error").otherwise("ok").alias("outcome"))
-    return G.job_lateness(due, runs).select("job", "due_at", "state")
+    return g18_job_lateness(spark, sf_dir)
+
+
+@query(
+    POOL
+    + """, od AS (SELECT CAST(date AS VARCHAR)||':'||symbol AS order_id, date, symbol, CASE WHEN CAST(symbol AS INT)%2=0 THEN 'buy' ELSE 'sell' END AS side, close, next_open, next_date, CASE WHEN day(date)%7<>0 THEN day(date)%5<>0 END AS confirmed FROM pool)
+ SELECT order_id, CASE WHEN side='buy' AND confirmed THEN close WHEN side='sell' AND next_open>0 THEN next_open END price, CASE WHEN side='buy' THEN 'auction_close' ELSE 'auction_open' END AS rule, CASE WHEN side='buy' AND coalesce(confirmed,false) OR side='sell' AND coalesce(next_open>0,false) THEN 'FILLED' ELSE 'UNFILLED' END status FROM od"""
+)
+def g8_auction_fills(spark, sf_dir):
+    """Buys at the confirmed closing auction, sells at the next opening auction."""
+    p = pooled(spark, sf_dir).withColumn("order_id", F.concat_ws(":", F.col("date").cast("string"), "symbol"))
+    buy = F.col("symbol").cast("int") % 2 == 0
+    at = lambda d, hour: F.timestamp_add("HOUR", F.lit(hour), d.cast("timestamp"))
+    orders = p.select("order_id", "symbol", F.when(buy, "auction_close").otherwise("auction_open").alias("rule"), at(F.col("date"), 15).alias("placed_at"))
+    confirmed = F.when(F.dayofmonth("date") % 7 != 0, F.dayofmonth("date") % 5 != 0)
+    auctions = p.select("order_id", F.when(buy, F.col("close")).otherwise(F.col("next_open")).alias("auction_price"), F.when(buy, at(F.col("date"), 16)).otherwise(at(F.col("next_date"), 9)).alias("observed_at"), confirmed.alias("confirmed"))
+    return G.auction_fills(orders, auctions).select("order_id", "price", "rule", "status")

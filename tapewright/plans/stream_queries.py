@@ -63,8 +63,7 @@ def t3_late_rows(spark, sf_dir):
 def t4_running_decision(spark, sf_dir):
     t = replay(spark, ticks(spark, sf_dir)).where("ts_hms < 152000")
     running = t.groupBy("snapshot_date", "symbol").agg(F.count("*").alias("n"), F.max("price").alias("high"), F.min("price").alias("low"), F.sum("volume").alias("volume"))
-    top = scratch(spark, "running")
-    return X.drain_updates(running, lambda epoch: f"{top}/v{epoch}", ["snapshot_date", "symbol"], scratch(spark, "progress"))
+    return X.drain_updates(running, scratch(spark, "running"), ["snapshot_date", "symbol"], scratch(spark, "progress"))
 
 
 @query(
@@ -73,8 +72,7 @@ def t4_running_decision(spark, sf_dir):
 def t5_order_state(spark, sf_dir):
     o = fixtures.base(spark, sf_dir, "orders").dropDuplicates(["o_orderkey"])
     stream = G.order_state(replay(spark, spark.sql(_JOURNAL, orders=o)), check_seq=False)
-    top = scratch(spark, "orders")
-    return X.drain_updates(stream, lambda epoch: f"{top}/v{epoch}", ["intent_id"], scratch(spark, "progress"))
+    return X.drain_updates(stream, scratch(spark, "orders"), ["intent_id"], scratch(spark, "progress"))
 
 
 @query("SELECT event_id, user_id FROM events")
@@ -95,5 +93,4 @@ def t7_reconcile_streams(spark, sf_dir):
 def t8_upsert_sink(spark, sf_dir):
     b = fixtures.bars_1m(spark, sf_dir).where(B.minute_of(F.col("ts_hms")) < 920)
     stream = replay(spark, b).groupBy("snapshot_date", "symbol").agg(F.sum("volume").alias("volume"))
-    top = scratch(spark, "upsert")
-    return X.drain_updates(stream, lambda epoch: f"{top}/v{epoch}", ["snapshot_date", "symbol"], scratch(spark, "progress"))
+    return X.drain_updates(stream, scratch(spark, "upsert"), ["snapshot_date", "symbol"], scratch(spark, "progress"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share; only a local session may leave spark.checkpoint.dir unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def scan_bars(spark: SparkSession, path: str, session: str, date: str, columns: Sequence[str], first: int, last: int) -> DataFrame:
     """One partition, some columns, a range of stamps; all three reach the scan."""
     t = spark.read.parquet(path).where((F.col("session") == session) & (F.col("snapshot_date") == F.lit(date).cast("date")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,22 +67,43 @@ def reconcile_streams(bars: DataFrame, ticks: DataFrame, late: str = "10 minutes
     return b.join(t, (b["symbol"] == t["tick_symbol"]) & (b["minute_start"] == t["tick_start"]), "inner").select("minute_start", "symbol", "bar_volume", "tick_volume")
 
 
-def upsert_to(path_of: Callable[[int], str], keys: list[str]) -> tuple[Callable[[DataFrame, int], None], Callable[[], str | None]]:
-    """A foreachBatch sink that keeps the newest row of each key in versioned tables; and the last version's path."""
-    state: dict[str, str | None] = {"path": None}
+def upserted(spark: SparkSession, top: str, before: int | None = None) -> DataFrame | None:
+    """The table that an upsert sink keeps under `top`: each bucket as the last epoch that touched it wrote it; None if there is none yet."""
+    try:
+        rows = spark.read.parquet(top)
+    except AnalysisException:
+        return None
+    rows = rows if before is None else rows.where(F.col("_epoch") < before)
+    last = rows.groupBy("_bucket").agg(F.max("_epoch").alias("_epoch"))  # a row for each bucket
+    return rows.join(F.broadcast(last), ["_bucket", "_epoch"], "left_semi").drop("_bucket", "_epoch")
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        spark, path = batch.sparkSession, path_of(epoch)
-        old = state["path"]
-        merged = batch if old is None else spark.read.parquet(old).join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        merged.write.mode("overwrite").parquet(path)  # an epoch that runs again writes the same version
-        state["path"] = path
 
-    return sink, lambda: state["path"]
+def upsert_to(top: str, keys: list[str], buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps the newest row of each key.
 
+    An epoch writes the buckets of keys that it touches, whole, to a folder of
+    its own and reads none of its own, so one that runs again writes the same.
+    All state is in the folder: a restarted query goes on from it.
+    """
 
-def drain_updates(stream: DataFrame, path_of: Callable[[int], str], keys: list[str], checkpoint: str) -> DataFrame:
+    def sink(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        new = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        try:
+            merged, old = new, upserted(spark, top, epoch)
+            if old is not None:
+                touched = new.select("_bucket").distinct()  # at most `buckets` rows
+                stay = old.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).join(F.broadcast(touched), "_bucket", "left_semi").join(new.select(*keys), keys, "left_anti")
+                merged = stay.unionByName(new)
+            merged.write.mode("overwrite").partitionBy("_bucket").parquet(f"{top}/_epoch={epoch}")
+        finally:
+            new.unpersist()
+
+    return sink
+
+
+def drain_updates(stream: DataFrame, top: str, keys: list[str], checkpoint: str) -> DataFrame:
     """Runs an updating aggregation into the upsert sink over all that is there."""
-    sink, last = upsert_to(path_of, keys)
-    stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.parquet(last())
+    stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert_to(top, keys)).trigger(availableNow=True).start().awaitTermination()
+    found = upserted(stream.sparkSession, top)
+    return stream.sparkSession.createDataFrame([], stream.schema) if found is None else found.select(*stream.columns)
