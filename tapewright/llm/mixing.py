@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import WORD, field, whole_row
+from tapewright.llm.common import WORD, field, kept, whole_row
 
 #: Seeds that are tried for each source.
 SEEDS = 32
@@ -52,7 +52,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: float = 3.0,
     them the chance of the copy is the fraction. So the draw of a document
     depends on no other document but by that choice. All of it is sums by
     source, made in part before rows are sent: a source of any share of the rows
-    is as good as many small ones. Reruns agree.
+    is as good as many small ones. The table of sources is written, so that its
+    size is known and Spark sends it to the rows while it is small. Reruns agree.
 
     Rows that repeat each count and are drawn alike. A null source is a source.
     Sources without words have the rate 0. Columns of docs with one of the
@@ -71,7 +72,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: float = 3.0,
     plain = sized.select("source", "size", "own").join(rates, F.col("source").eqNullSafe(F.col("of")))
     sums = plain.groupBy("of").agg(*[F.sum(F.when(draw(F.col("own"), F.lit(seed + k)) < F.col("part"), F.col("size")).otherwise(0)).alias(f"k{k}") for k in range(seeds)], F.first("part").alias("part"), F.first("source_size").alias("n"))
     misses = F.array(*[F.struct(F.abs(F.col(f"k{k}") - F.col("part") * F.col("n")).alias("miss"), F.lit(seed + k).alias("seed")) for k in range(seeds)])
-    chosen = rates.join(sums.select(F.col("of").alias("source"), F.array_min(misses)["seed"].alias("seed")), F.col("of").eqNullSafe(F.col("source"))).drop("source")
+    chosen = kept(rates.join(sums.select(F.col("of").alias("source"), F.array_min(misses)["seed"].alias("seed")), F.col("of").eqNullSafe(F.col("source"))).drop("source"), "sources")
 
     met = sized.join(chosen, F.col("source").eqNullSafe(F.col("of")))
     copies = F.col("times") + (draw(F.col("own"), F.col("seed")) < F.col("part")).cast("long")
