@@ -1,8 +1,9 @@
 """Operator 7, line dedup, in DataFrame functions only.
 
-Lines are exploded with their place and hashed; documents are counted for each
-hash; lines whose hash has too many go, by place, from all documents but one;
-the others are put together in the order they had. Lines themselves are never
+Lines are exploded with their place and hashed; of hashes that two documents or
+more hold the documents are counted; lines whose hash has too many go, by
+place, from all documents but one; the others are put together in the order
+they had. Lines themselves are never
 shuffled.
 """
 
@@ -50,12 +51,18 @@ def line_dedup(docs: DataFrame, least: int = 10, most: int = 1) -> DataFrame:
     keyed = laid.select("at", "version", "place", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= least)
     hashed = kept(keyed.select("at", "version", "place", F.xxhash64("key").alias("h"), F.hash("key").alias("g")), "lines")
 
-    counted = hashed.groupBy("h", "g").agg(F.countDistinct("at").alias("documents"), F.min("at").alias("first"), F.count("*").alias("n"))
-    common = kept(counted.where(F.col("documents") > most).select("h", "g", "first", "n"), "common-lines")
-    hot = (common.agg(F.sum("n")).first()[0] or 0) / HOT
-    few, many = common.where(F.col("n") > hot).drop("n"), common.where(F.col("n") <= hot).drop("n")
+    # Sums made in part before rows are sent; keys of one document never make a row again.
+    several = hashed.groupBy("h", "g").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")).where("first < last")
+    several = kept(several.select("h", "g", "first", "n"), "shared-lines")
+    hot = (several.agg(F.sum("n")).first()[0] or 0) / HOT
+    few, many = several.where(F.col("n") > hot).drop("n"), several.where(F.col("n") <= hot).drop("n")
     rare = hashed.join(F.broadcast(few.select("h", "g")), ["h", "g"], "left_anti")
-    lost = hashed.join(F.broadcast(few), ["h", "g"]).unionByName(rare.join(many, ["h", "g"])).where("at > first")
+    shared = hashed.join(F.broadcast(few), ["h", "g"]).unionByName(rare.join(many, ["h", "g"]))
+    if most > 1:  # a key of two documents or more has more than one
+        shared = kept(shared, "shared")
+        counted = shared.groupBy("h", "g").agg(F.countDistinct("at").alias("documents")).where(F.col("documents") > most)
+        shared = shared.join(counted.select("h", "g"), ["h", "g"], "left_semi")
+    lost = shared.where("at > first")
     gone = lost.groupBy("at", "version").agg(F.collect_set("place").alias("gone"))
 
     met = own.join(gone, ["at", "version"], "left").withColumn("lines", _lines(F.col("body")))
