@@ -146,23 +146,34 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, pla
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 for each document in the files of the manifest."""
+    """doc_id, start, n_tokens, ids_crc32 for each document in the files of the manifest.
+
+    Where a file begins is the sum over the shards before (a row for each
+    shard) and over the parts before in its own. Each task opens the files of
+    its rows.
+    """
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    files = manifest.count()
+    if not files:
+        return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for base, content in zip(batch["base"].to_pylist(), batch["content"], strict=True):
-                file = PlaneFile(content.as_py())
+            for name, base in zip(batch["file"].to_pylist(), batch["base"].to_pylist(), strict=True):
+                with store.open_input_file(f"{top}/{name}") as content:
+                    file = PlaneFile(content.read())
                 ids, at = file.read(0, file.head["n_ids"]), np.concatenate([[0], np.cumsum(file.counts)])
                 flat = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), pa.array(base + at[:-1]), pa.array(file.counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    order = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    placed = manifest.select("file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
-    if manifest.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return files.join(F.broadcast(placed), "file").select("base", "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    shards = manifest.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    shards = shards.select("shard", F.coalesce(F.sum("n").over(before(Window.orderBy("shard"))), F.lit(0)).alias("of_shard"))
+    inside = F.coalesce(F.sum("n_ids").over(before(Window.partitionBy("shard").orderBy("part"))), F.lit(0))
+    placed = manifest.withColumn("inside", inside).join(shards, "shard").select("file", (F.col("of_shard") + F.col("inside")).alias("base"))
+    return placed.repartition(min(files, 4 * partitions(spark))).mapInArrow(run, schema)
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None, planes: str = "byte") -> DataFrame:
