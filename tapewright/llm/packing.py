@@ -3,7 +3,8 @@
 Pieces above a third of a sequence pair at most twice in one: the largest
 takes the largest partner that still fits. Smaller ones, by falling length, go
 where they leave the smallest gap. Pieces are dealt by hash into groups of
-about GROUP, which are packed on their own; a group wastes about one sequence.
+about GROUP, which are packed on their own; what they leave open is packed
+together.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import document_text, kept
+from tapewright.llm.common import document_text, kept, remove_kept
 from tapewright.llm.subwords import default_path, encoded
 
 CAPACITY, GROUP, END = 2048, 20_000, 0
@@ -104,19 +105,53 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.
     return sequence, offset
 
 
+def _packed(items: DataFrame, capacity: int, columns: list[str]) -> DataFrame:
+    """items (id columns, length) with sequence and offset, packed in groups of about GROUP by hash of the id columns."""
+    groups = -(-items.count() // GROUP) or 1
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(columns, kind="stable")
+        sequence, offset = pack(group["length"].to_numpy(), capacity)
+        return group.assign(sequence=sequence + (int(group["g"].iloc[0]) << 32), offset=offset).drop(columns="g")
+
+    dealt = items.withColumn("g", F.pmod(F.xxhash64(*columns, F.lit(3)), F.lit(groups)))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
+    return dealt.groupBy("g").applyInPandas(run, f"{schema}, sequence long, offset long")
+
+
 def best_fit(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece.
 
     A null or empty text is one piece, its end. Rows that repeat are packed
-    each. Every text is encoded once and not shuffled; only pieces are.
+    each; an empty table gives an empty one. Every text is encoded once and not
+    shuffled; only pieces are.
+
+    Groups are packed on their own. Then the sequences that are at most half
+    full, about one of each group, are packed again as if they were pieces, in
+    rounds until one group holds them; so groups cost no sequences.
     """
     found = kept(pieces(docs, tokenizer, capacity), "pieces")
-    groups = -(-found.count() // GROUP) or 1
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
-        sequence, offset = pack(group["length"].to_numpy(), capacity)
-        return group.assign(sequence_id=sequence + (int(group["g"].iloc[0]) << 40), offset=offset).drop(columns="g")
-
-    dealt = found.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.lit(3)), F.lit(groups)))
-    return dealt.groupBy("g").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = kept(_packed(found, capacity, ["doc_id", "piece", "ids_crc32"]).withColumn("level", F.lit(0)), "packed")
+    level = before = 0
+    while True:
+        loads = placed.groupBy("level", "sequence").agg(F.sum("length").alias("length")).where(F.col("length") <= capacity // 2)
+        loads = kept(loads, "open")
+        n = loads.count()
+        if n < 2 or level and n >= before:
+            break
+        level, before = level + 1, n
+        moved = _moves(loads, capacity)
+        met = placed.join(moved, (F.col("level") == F.col("of_level")) & (F.col("sequence") == F.col("of")), "left")
+        there = F.col("to").isNotNull()
+        new = met.select("doc_id", "piece", "start", "length", "ids_crc32", F.when(there, F.col("to")).otherwise(F.col("sequence")).alias("sequence"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"), F.when(there, F.lit(level)).otherwise(F.col("level")).alias("level"))
+        old, placed = placed, kept(new, "packed")
+        remove_kept(old)
+        if n <= GROUP:
+            break
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.shiftleft(F.col("level").cast("long"), 56)).alias("sequence_id"), "offset")
+
+
+def _moves(loads: DataFrame, capacity: int) -> DataFrame:
+    """of_level, of (a sequence), to, base: where the sequences go that are packed again."""
+    items = loads.toDF("of_level", "of", "length")
+    return kept(_packed(items, capacity, ["of_level", "of"]).select("of_level", "of", F.col("sequence").alias("to"), F.col("offset").alias("base")), "moves")
