@@ -83,7 +83,9 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, cut: float = 0.3) ->
     """doc_id, held_out, score, predicted for each document; labels of held-out rows are never used.
 
     Empty and null texts have statistics, too, and are scored. If only one
-    class has labels, its label is every score; without labels it is 0.5.
+    class has labels, its label is every score; without labels it is 0.5. Rows
+    that repeat are each scored alike, and labels that repeat each count; null
+    ids are scored and have no labels. An empty table gives an empty one.
     """
     rows = kept(features(docs), "features")
     model = fit(rows.where(fold(5) != 0), labels)

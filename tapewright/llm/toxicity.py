@@ -98,30 +98,38 @@ class NoisyOr:
         return u
 
 
-def learn(words: np.ndarray, docs: np.ndarray, y: np.ndarray, sentences: np.ndarray, hit_doc: np.ndarray, hit_sentence: np.ndarray, hit_word: np.ndarray) -> NoisyOr:
+def learn(words: np.ndarray, y: np.ndarray, sentences: np.ndarray, hit_doc: np.ndarray, hit_sentence: np.ndarray, hit_word: np.ndarray) -> NoisyOr:
     """Gradient steps on the documents' log-likelihood.
 
     sentences: how many each document has. hit_*: a row for each word of the
     vocabulary in each sentence; sentences are numbered over all documents.
     """
     weights, bias = np.zeros(len(words)), START
-    of_sentence = np.zeros(int(hit_sentence.max()) + 1 if len(hit_sentence) else 0, np.int64)
-    of_sentence[hit_sentence] = hit_doc
-    plain = sentences - np.bincount(of_sentence, minlength=len(docs))[: len(docs)]
     moving, squares = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     for step in range(1, STEPS + 1):
-        u = bias + np.bincount(hit_sentence, weights[hit_word], len(of_sentence))
-        total = np.bincount(of_sentence, np.logaddexp(0, u), len(docs)) + plain * np.logaddexp(0, bias)
-        slope = np.where(y == 1, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0)
-        by_sentence = slope[of_sentence] / (1 + np.exp(-u))
-        grad = np.append(np.bincount(hit_word, by_sentence[hit_sentence], len(words)), by_sentence.sum() + (slope * plain).sum() / (1 + np.exp(-bias))) / max(len(docs), 1)
-        grad[:-1] += DECAY * weights
+        _, grad = loss_and_gradient(weights, bias, y, sentences, hit_doc, hit_sentence, hit_word)
         moving, squares = 0.9 * moving + 0.1 * grad, 0.999 * squares + 0.001 * grad**2
         move = RATE * (moving / (1 - 0.9**step)) / (np.sqrt(squares / (1 - 0.999**step)) + 1e-8)
         weights, bias = weights - move[:-1], min(bias - move[-1], -1.0)
     return NoisyOr(words, weights, bias)
 
 
+def loss_and_gradient(weights: np.ndarray, bias: float, y: np.ndarray, sentences: np.ndarray, hit_doc: np.ndarray, hit_sentence: np.ndarray, hit_word: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean loss of the documents with the weights' decay, and its slope along each weight and the bias."""
+    n = max(len(y), 1)
+    of_sentence = np.zeros(int(hit_sentence.max()) + 1 if len(hit_sentence) else 0, np.int64)
+    of_sentence[hit_sentence] = hit_doc
+    plain = sentences - np.bincount(of_sentence, minlength=len(y))[: len(y)]  # sentences without a word of the vocabulary
+    u = bias + np.bincount(hit_sentence, weights[hit_word], len(of_sentence))
+    total = np.bincount(of_sentence, np.logaddexp(0, u), len(y)) + plain * np.logaddexp(0, bias)
+    slope = np.where(y == 1, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0)
+    by_sentence = slope[of_sentence] / (1 + np.exp(-u))
+    grad = np.append(np.bincount(hit_word, by_sentence[hit_sentence], len(weights)), by_sentence.sum() + (slope * plain).sum() / (1 + np.exp(-bias))) / n
+    grad[:-1] += DECAY * weights
+    loss = np.where(y == 1, -np.log(-np.expm1(-np.maximum(total, 1e-9))), total).sum() / n + DECAY / 2 * (weights**2).sum()
+    return float(loss), grad
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> NoisyOr:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(fold(5) != 0)
     sample = least_hashed(known, LABELLED, SEED)
@@ -152,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> NoisyOr:
     key = (np.cumsum(n) - n)[owner] + within.flatten().to_numpy()
     _, packed = np.unique(key, return_inverse=True)
     once = np.unique(np.stack([packed, word.flatten().to_numpy(), owner]), axis=1) if len(owner) else np.zeros((3, 0), np.int64)
-    return learn(chosen, np.arange(len(n)), got["y"].to_numpy(), n, once[2], once[0], once[1])
+    return learn(chosen, got["y"].to_numpy(), n, once[2], once[0], once[1])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
@@ -161,6 +169,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     offending: the sentences scored OFFENDS or more, as (first byte, byte after
     the last, score). A text without words scores 0. Without labels of toxic
     documents every score is near 0. Labels of held-out rows are never used.
+    Rows that repeat are each scored alike, and labels that repeat each count;
+    null ids are scored and have no labels.
     """
     model = fit(docs, labels)
 
