@@ -207,7 +207,7 @@ def between_components(rows: DataFrame, doc: DataFrame, sets: DataFrame) -> Data
     held = rows.join(doc.select("doc_id", "component", "n"), "doc_id")
     outside = F.col("component") != F.col("gathered")
     sizes = held.groupBy("gathered").agg(F.ceil(F.sum(outside.cast("int")) / LEFT).cast("int").alias("lefts"), F.ceil(F.count("*") / RIGHT).cast("int").alias("rights")).where("lefts > 0")
-    held = held.join(sizes, "gathered")
+    held = held.join(kept(sizes, "sizes"), "gathered")  # written, so that its size is known and a large group needn't meet in one task
     lefts = held.where(outside).withColumn("i", _dealt("doc_id", F.col("lefts"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).withColumn("side", F.lit(0))
     rights = held.withColumn("j", _dealt("doc_id", F.col("rights"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("side", F.lit(1))
     columns = ["gathered", "i", "j", "side", "doc_id", "component", "n"]
