@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -267,19 +269,47 @@ def window_returns(panel: DataFrame, year: int, days: int = 550) -> DataFrame:
     return panel.where((F.col("date") < first) & (F.col("date") >= F.date_sub(first, days))).where("close > 0 and prev_close > 0").select("date", "symbol", F.log(F.col("close") / F.col("prev_close")).alias("r"))
 
 
-def return_correlations(r: DataFrame, least: int = 1) -> DataFrame:
-    r = r.select("date", "symbol", "r")
-    a, b = r.toDF("date", "a", "ra"), r.toDF("date", "b", "rb")
-    g = a.join(b, "date").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("corr"))
-    return g.where(F.col("n") >= least)
+#: Names of a block of the matrix of correlations; a task holds two blocks' returns.
+BLOCK_NAMES = 256
 
 
-def pair_correlations(panel: DataFrame, year: int, days: int = 550, least: int = 120) -> DataFrame:
-    """correlations of log returns in the days before a year's first, for pairs with enough common dates.
+def _block_correlations(block: pd.DataFrame) -> pd.DataFrame:
+    """a, b, n, corr of the names of a block's two sides, over the dates that both have, by products of matrices."""
+    i, j = int(block["i"].iloc[0]), int(block["j"].iloc[0])
+    days = np.unique(np.concatenate([np.asarray(h) for h in block["days"]]))
+    there, x = np.zeros((len(block), len(days))), np.zeros((len(block), len(days)))
+    for k, (at, r) in enumerate(zip(block["days"], block["returns"], strict=True)):
+        at = np.searchsorted(days, at)
+        there[k, at], x[k, at] = 1, np.asarray(r) - np.mean(r)  # a shift changes no correlation
+    left, right = np.flatnonzero(block["own"] == i), np.flatnonzero(block["own"] == j)
+    m, w, u, v = there[left], there[right].T, x[left], x[right].T
+    n, sa, sb = m @ w, u @ w, m @ v
+    va, vb = n * (u**2 @ w) - sa**2, n * (m @ v**2) - sb**2
+    some = (n > 1) & (va > 1e-12 * n * (u**2 @ w)) & (vb > 1e-12 * n * (m @ v**2))
+    corr = np.where(some, (n * (u @ v) - sa * sb) / np.sqrt(np.where(some, va * vb, 1.0)), np.nan)
+    names = block["symbol"].to_numpy()
+    p, q = np.nonzero((n > 0) & ((names[left][:, None] < names[right][None, :]) | (i != j)))
+    one, two = names[left][p], names[right][q]
+    return pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "n": n[p, q].astype(np.int64), "corr": corr[p, q]})
+
+
+def return_correlations(r: DataFrame, least: int = 1) -> DataFrame:
+    """a, b, n, corr for each pair of names with `least` common dates.
 
-    A self join by date: its rows are the square of a day's names, and no
-    matrix is ever in one place.
+    Names are dealt into blocks of about BLOCK_NAMES; a task takes two blocks,
+    so rows are sent once for each block and no row is made for a pair and a date.
     """
+    blocks = max(1, -(-r.select("symbol").distinct().count() // BLOCK_NAMES))
+    lists = r.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct(F.unix_date("date").alias("day"), "r"))).alias("h"))  # a name's days
+    named = lists.select("symbol", F.col("h.day").alias("days"), F.col("h.r").alias("returns"), F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("own"))
+    sides = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sides = sides.select("symbol", "days", "returns", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    g = sides.groupBy("i", "j").applyInPandas(_block_correlations, "a string, b string, n long, corr double")
+    return g.where(F.col("n") >= least).withColumn("corr", F.nanvl("corr", F.lit(None).cast("double")))
+
+
+def pair_correlations(panel: DataFrame, year: int, days: int = 550, least: int = 120) -> DataFrame:
+    """correlations of log returns in the days before a year's first, for pairs with enough common dates."""
     return return_correlations(window_returns(panel, year, days), least)
 
 

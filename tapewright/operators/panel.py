@@ -13,9 +13,14 @@ from tapewright.functions.windows import by_symbol, forward_fill, product_after
 REQUIRED = ("date", "symbol", "market", "open", "high", "low", "close", "prev_close", "volume", "trade_value_100m", "market_cap_100m")
 
 
-def prepare_price_panel(panel: DataFrame) -> DataFrame:
-    """chg_ratio, tv_clean, mc_clean, is_ceiling, tick_cost_bp beside the panel's columns."""
-    p = require(panel, REQUIRED).withColumn("symbol", F.lpad("symbol", 6, "0")).withColumn("market", F.coalesce("market", F.lit("UNKNOWN")))
+def prepare_price_panel(panel: DataFrame, padded: bool = False) -> DataFrame:
+    """chg_ratio, tv_clean, mc_clean, is_ceiling, tick_cost_bp beside the panel's columns.
+
+    padded: the symbols have six characters already, as in a stored panel, whose
+    buckets by symbol then serve the windows without a shuffle.
+    """
+    p = require(panel, REQUIRED)
+    p = (p if padded else p.withColumn("symbol", F.lpad("symbol", 6, "0"))).withColumn("market", F.coalesce("market", F.lit("UNKNOWN")))
     raw = F.coalesce("close_raw", "close") if "close_raw" in panel.columns else F.col("close")
     change = M.change_ratio(F.col("close"), F.col("prev_close"))
     return (

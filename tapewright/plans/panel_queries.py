@@ -13,7 +13,7 @@ from tapewright.plans.oracle import PREP, change, lit_date, query, r, rounded, t
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.prepare_price_panel(fixtures.price_history(spark, sf_dir))
+    return P.prepare_price_panel(fixtures.price_history(spark, sf_dir), padded=True)
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
