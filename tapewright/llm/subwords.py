@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 from tapewright.llm import spans
 
 DEFAULT = "byte_bpe_50k.json"
-#: Pieces a worker remembers; about 20 bytes each.
-REMEMBER = 3_000_000
+#: Pieces a worker remembers; about 40 bytes each, and twice that while new ones come in.
+REMEMBER = 1_000_000
 RUN_BYTES = 16_384
 
 
