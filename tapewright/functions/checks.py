@@ -25,10 +25,10 @@ def unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
-def none_where(df: DataFrame, bad: Column, what: str, show: Sequence[str]) -> DataFrame:
-    if found := df.where(bad).select(*show).limit(3).collect():
-        raise ContractError(f"{what}: {[tuple(r) for r in found]}")
-    return df
+def stop_where(df: DataFrame, bad: Column, what: str, show: Sequence[str], column: str) -> DataFrame:
+    """df; a bad row stops the job that reads `column`, with no job of its own."""
+    seen = F.concat_ws(" ", F.lit(f"{what}:"), *(F.col(c).cast("string") for c in show))
+    return df.withColumn(column, F.when(F.coalesce(bad, F.lit(False)), F.raise_error(seen)).otherwise(F.col(column)))
 
 
 def first_reason(reasons: Sequence[tuple[str, Column]]) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tapewright.functions import market as M
-from tapewright.functions.checks import none_where
 
 
 def order_state(events: DataFrame, check_seq: bool = True) -> DataFrame:

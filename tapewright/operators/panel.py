@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tapewright.functions import market as M
-from tapewright.functions.checks import none_where, require
+from tapewright.functions.checks import require, stop_where
 from tapewright.functions.windows import by_symbol, forward_fill, product_after
 
 REQUIRED = ("date", "symbol", "market", "open", "high", "low", "close", "prev_close", "volume", "trade_value_100m", "market_cap_100m")
@@ -61,9 +61,9 @@ def heal_previous_close(panel: DataFrame) -> DataFrame:
 
 
 def assert_units(panel: DataFrame, stored: str, rtol: float = 1e-6) -> DataFrame:
-    """The stored change must be the derived one; three offenders are shown."""
+    """The stored change must be the derived one; a row whose isn't fails the job."""
     derived = M.change_ratio(F.col("close"), F.col("prev_close"))
-    return none_where(panel, F.abs(F.col(stored) - derived) > rtol * F.abs(derived), "stored change differs", ("date", "symbol", stored))
+    return stop_where(panel, F.abs(F.col(stored) - derived) > rtol * F.abs(derived), "stored change differs", ("date", "symbol", stored), stored)
 
 
 def mixed_unit_report(panel: DataFrame, stored: str) -> DataFrame:
@@ -249,10 +249,9 @@ def index_by_date(panel: DataFrame) -> DataFrame:
 
 
 def attach_index(panel: DataFrame, index: DataFrame) -> DataFrame:
-    """Index columns of the date; every date of the panel must have a row."""
-    missing = panel.select("date").distinct().join(index, "date", "left_anti")
-    none_where(missing, F.lit(True), "dates without an index row", ("date",))
-    return panel.join(index, "date")
+    """Index columns of the date; a date of the panel without a row there fails the job."""
+    j = panel.join(index.withColumn("_has", F.lit(True)), "date", "left")
+    return stop_where(j, F.col("_has").isNull(), "no index row", ("date",), next(c for c in index.columns if c != "date")).drop("_has")
 
 
 def price_basis(panel: DataFrame) -> DataFrame:
