@@ -353,26 +353,28 @@ def test_lm_score_of_an_empty_text_is_that_of_an_end(docs):
 
 def test_lm_score_windows_hold_each_id_once(data):
     path, chosen = subwords.default_path(), [r for r in data if r[1]]
-    own = subwords.Subwords.at(path)
-    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in chosen]), pa.array([r[1] for r in chosen])], ["doc_id", "text"])
-
-    def ids(share):
-        rows = [x for b in lm_score._windows(path, share, 8)(iter([batch])) for x in lm_score._matrix(b["ids"])]
-        return rows, collections.Counter(int(i) for row in rows for i in row[1:] if i >= 0)
-
-    rows, seen = ids(1.0)
-    whole = collections.Counter()
-    for _, found, _ in subwords.encoded(batch["text"], path):
-        whole.update(found.tolist())
-    end = len(own.bytes_of)
-    assert seen[end] + sum(row[1] < 0 for row in rows) == len(chosen) and seen.pop(end) > 0
-    # The first id of a later block of a text stands only before the block's other ids.
-    firsts = sum(whole.values()) - sum(seen.values())
-    assert not seen - whole and 0 <= firsts <= sum(-(-len(r[1].encode()) // lm_score.BLOCK) for r in chosen)
-    assert sum(row[0] == end for row in rows) == len(chosen)
-    assert 0 < len(ids(0.25)[0]) < len(rows) / 2
-    nothing = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([None, ""], pa.string())], ["doc_id", "text"])
-    found = [x for b in lm_score._windows(path, 1.0, 8)(iter([nothing])) for x in lm_score._matrix(b["ids"])]
+    end = len(subwords.Subwords.at(path).bytes_of)
+    lists = [ids[a:b].tolist() for _, ids, n in subwords.encoded(pa.array([r[1] for r in chosen]), path) for cut in [np.concatenate([[0], np.cumsum(n)])] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in chosen]), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    def windows(share, most=1 << 19):
+        return [x for b in lm_score._windows(end, share, 8, most)(iter([batch.slice(0, 40), batch.slice(40)])) for x in lm_score._matrix(b["ids"])]
+
+    rows = windows(1.0)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, windows(1.0, 2000)))
+    want = collections.Counter()
+    for ids in lists:
+        blocks = [ids[k : k + lm_score.BLOCK] for k in range(0, len(ids), lm_score.BLOCK)]
+        blocks[-1] = [*blocks[-1], end]
+        for k, block in enumerate(blocks):
+            block = block if k else [end, *block]  # the first id of a later block stands only before the others
+            for a in range(0, len(block) - 1, lm_score.WINDOW):
+                row = block[a : a + lm_score.WINDOW + 1]
+                want[(*row, *[-1] * (lm_score.WINDOW + 1 - len(row)))] += 1
+    assert collections.Counter(map(tuple, (r.tolist() for r in rows))) == want
+    assert 0 < len(windows(0.25)) < len(rows) / 2
+    nothing = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([[], []], pa.list_(pa.int32()))], ["doc_id", "ids"])
+    found = [x for b in lm_score._windows(end, 1.0, 8)(iter([nothing])) for x in lm_score._matrix(b["ids"])]
     assert [x[:3].tolist() for x in found] == [[end, end, -1]] * 2
 
 
