@@ -140,7 +140,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of document ids that are alike; sets: doc_id, values, sketch."""
     likely = kept(_judged(pairs, sets.select("doc_id", "sketch"), estimate), "likely")
     exact = _judged(likely.where("verdict = 1"), sets.select("doc_id", "values"), alike)
-    return kept(likely.where("verdict = 2").unionByName(exact).select("a", "b"), "links")
+    links = kept(likely.where("verdict = 2").unionByName(exact).select("a", "b"), "links")
+    remove_kept(likely)
+    return links
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -259,8 +261,10 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     rows = kept(open_lists(laid, named, hubs.select("key", "hub")), "open")
     if not rows.isEmpty():
         found = kept(between_components(rows, named, sets), "between")
-        more = found.where("sure").select("a", "b").unionByName(confirmed(_ordered(found.where("not sure")), sets))
-        label = components(links.unionByName(more))
+        more = confirmed(_ordered(found.where("not sure")), sets)
+        label = components(links.unionByName(found.where("sure").select("a", "b")).unionByName(more))
+        remove_kept(found, more)
+    remove_kept(doc, sets, hubs, links, named, rows)
 
     of_class = classes.join(label, classes["rep"] == label["node"], "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
     out = ids.join(of_class, ["set_a", "set_b", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -17,7 +17,7 @@ from tapewright.llm import spans
 
 DEFAULT = "byte_bpe_50k.json"
 #: Pieces a worker remembers; about 40 bytes each, and twice that while new ones come in.
-REMEMBER = 1_000_000
+REMEMBER = 500_000
 RUN_BYTES = 16_384
 
 
