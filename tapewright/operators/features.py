@@ -187,12 +187,15 @@ SIGNED_LOG = ("inst_net_buy", "foreign_net_buy", "prog_net_buy")
 WEEKDAYS = ("weekday_is_monday", "weekday_is_tuesday", "weekday_is_wednesday", "weekday_is_thursday", "weekday_is_friday")
 
 
-def daily_reference(rows: DataFrame, column: str) -> DataFrame:
-    """date, value, change: a number of the date that its rows carry, 0 as unknown, filled forward, then backward; 0 where there is no change."""
-    daily = rows.groupBy("trade_date").agg(F.min_by(F.nullif(column, F.lit(0.0)), F.when(F.nullif(column, F.lit(0.0)).isNotNull(), F.col("stock_code"))).alias("_v"))
+def daily_references(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """trade_date and for each column the date's number that its rows carry, 0 as unknown, filled forward, then backward, and its change; 0 where there is none."""
+    known = lambda c: F.nullif(c, F.lit(0.0))
+    daily = rows.groupBy("trade_date").agg(*(F.min_by(known(c), F.when(known(c).isNotNull(), F.col("stock_code"))).alias(f"_{c}") for c in columns))
     w = W.partitionBy(F.lit(1)).orderBy("trade_date")  # a row for each date
-    filled = daily.withColumn(column, F.coalesce(F.last("_v", True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first("_v", True).over(w.rowsBetween(0, W.unboundedFollowing))))
-    return filled.withColumn(f"{column}_change", F.coalesce(F.col(column) / F.lag(column).over(w) - 1, F.lit(0.0))).drop("_v")
+    for c in columns:
+        filled = F.coalesce(F.last(f"_{c}", True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first(f"_{c}", True).over(w.rowsBetween(0, W.unboundedFollowing)))
+        daily = daily.withColumn(c, filled).withColumn(f"{c}_change", F.coalesce(F.col(c) / F.lag(c).over(w) - 1, F.lit(0.0))).drop(f"_{c}")
+    return daily
 
 
 def snapshot_block(rows: DataFrame) -> DataFrame:
@@ -233,8 +236,7 @@ def snapshot_block(rows: DataFrame) -> DataFrame:
     )
     of_market = F.when(F.upper("market_type").contains("KOSDAQ"), c("kosdaq_change")).otherwise(c("kospi_change"))
     out = out.withColumn("relative_change_rate", c("buy_price_change_rate") - of_market)
-    for name in ("v_kospi", "v_kosdaq"):
-        out = out.drop(name).join(daily_reference(rows, name), "trade_date")
+    out = out.drop("v_kospi", "v_kosdaq").join(daily_references(rows, ("v_kospi", "v_kosdaq")), "trade_date")
     out = out.withColumns({f"log_{n}": F.log1p(at_least(c(n), 0.0)) for n in LOGGED})
     out = out.withColumns({n: F.signum(n) * F.log1p(F.abs(n)) for n in SIGNED_LOG})
     out = out.withColumns({to: pct_rank_avg(c(n), ("trade_date",)) for n, to in RANKED.items()})

@@ -217,13 +217,13 @@ def fill_flows(panel: DataFrame, fetched: DataFrame, flows: tuple[str, ...]) ->
     return j
 
 
-def volatility_proxy(levels: DataFrame, rows: int = 20, over: str | None = None) -> DataFrame:
+def volatility_proxy(levels: DataFrame, rows: int = 20, over: str | None = None, level: str = "level", name: str = "vol_proxy") -> DataFrame:
     """Population deviation of the last `rows` log ratios, times sqrt(252) * 100; NULL with fewer."""
     w = (W.partitionBy(over) if over else W.partitionBy(F.lit(1))).orderBy("date")  # a table of dates, not of rows
-    ratio = levels.withColumn("_lr", F.log(F.col("level") / F.lag("level").over(w)))
+    ratio = levels.withColumn("_lr", F.log(F.col(level) / F.lag(level).over(w)))
     frame = w.rowsBetween(-(rows - 1), 0)
     value = F.when(F.count("_lr").over(frame) == rows, F.stddev_pop("_lr").over(frame) * (252**0.5) * 100)
-    return ratio.withColumn("vol_proxy", value).drop("_lr")
+    return ratio.withColumn(name, value).drop("_lr")
 
 
 def live_proxy(levels: DataFrame, today: DataFrame, rows: int = 20, over: str | None = None) -> DataFrame:
@@ -243,8 +243,7 @@ def index_by_date(panel: DataFrame) -> DataFrame:
     out = daily
     for name in ("kospi", "kosdaq"):
         out = out.withColumn(f"{name}_level", 100 * F.exp(F.sum(F.log1p(F.coalesce(F.col(f"{name}_pct"), F.lit(0.0)))).over(w)))
-        proxied = volatility_proxy(out.select("date", F.col(f"{name}_level").alias("level"))).select("date", F.col("vol_proxy").alias(f"v_{name}"))
-        out = out.join(proxied, "date")
+        out = volatility_proxy(out, level=f"{name}_level", name=f"v_{name}")
     return out
 
 
