@@ -171,11 +171,11 @@ _F12 = (
 )
 
 
-# A product of ranks often lies right between two rounded numbers: a billionth more decides it in both engines.
-@query(_F12 + f" SELECT trade_date, stock_code, {cols([n for n in _F12_NAMES if n != 'relative_flow_strength'], 5)}, {r('relative_flow_strength+1e-9', 5)} relative_flow_strength FROM n4")
+# Ratios of round numbers often lie right between two rounded ones: a billionth more decides them in both engines.
+@query(_F12 + " SELECT trade_date, stock_code, " + ", ".join(f"{r(f'{n}+1e-9', 5)} {n}" for n in _F12_NAMES) + " FROM n4")
 def f12_snapshot_block(spark, sf_dir):
-    block = X.snapshot_block(snapshots(spark, sf_dir)).withColumn("relative_flow_strength", F.col("relative_flow_strength") + 1e-9)
-    return rounded(block.select("trade_date", "stock_code", *(F.col(n).cast("double").alias(n) for n in _F12_NAMES)), 5)
+    block = X.snapshot_block(snapshots(spark, sf_dir))
+    return block.select("trade_date", "stock_code", *(F.round(F.col(n).cast("double") + 1e-9, 5).alias(n) for n in _F12_NAMES))
 
 
 @query(PREP + f", a AS (SELECT date, symbol, chg_ratio-quantile_cont(chg_ratio,0.5) OVER (PARTITION BY date) d FROM prep), b AS (SELECT *, nullif(quantile_cont(abs(d),0.5) OVER (PARTITION BY date),0) mad FROM a) SELECT date, symbol, {r('CASE WHEN d/mad IS NOT NULL THEN least(greatest(d/mad,-5),5) END', 3)} chg_ratio_rz FROM b")
