@@ -1,4 +1,4 @@
-"""The ten queries and the SQL of those that SQL can express."""
+"""The thirteen queries and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import fingerprint, line_dedup, lm_score, mixing, near_dup, packing, quality_qda, quality_rules, token_files, toxicity
+from tapewright.llm import collocations, fingerprint, hard_negatives, language_id, line_dedup, lm_score, mixing, near_dup, packing, quality_qda, quality_rules, token_files, toxicity
 from tapewright.llm.common import table
 
 
@@ -54,8 +54,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_fingerprint, op2_near_dup, op3_mixing, op4_token_files, op5_quality_rules, op6_lm_score, op7_line_dedup, op8_quality_qda, op9_packing, op10_toxicity)
+    found = (op1_fingerprint, op2_near_dup, op3_mixing, op4_token_files, op5_quality_rules, op6_lm_score, op7_line_dedup, op8_quality_qda, op9_packing, op10_toxicity, op11_hard_negatives, op12_collocations, op13_language_id)
     return {f.__name__: f for f in found}
 
 
@@ -84,5 +96,33 @@ SELECT c.node AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.node =
 """
 
 
+HARD_NEGATIVES_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS (SELECT *, row_number() OVER (ORDER BY vec_id, label, v) AS at FROM e),
+s AS (SELECT a.at AS anchor, a.vec_id AS anchor_id, b.vec_id AS vec_id, b.at AS at, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM r a JOIN r b ON a.at <> b.at WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+COLLOCATIONS_SQL = r"""
+WITH pc AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ws AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pc),
+tot AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM ws GROUP BY lang),
+gr AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM ws, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM gr GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+inn AS (SELECT lang, array_to_string(w[i:i + z - 1], ' ') AS phrase, max(a) AS around FROM (SELECT lang, a, w, z, unnest(range(1, m - z + 2)) AS i FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(2, m)) AS z FROM f WHERE m >= 3)) GROUP BY 1, 2),
+own AS (SELECT f.* FROM f LEFT JOIN inn USING (lang, phrase) WHERE m >= 2 AND (around IS NULL OR around < a)),
+cut AS (SELECT own.lang, own.phrase, own.a, n, k, x.a AS l, y.a AS r, CAST((1000::HUGEINT * own.a * n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM own) own JOIN tot ON tot.lang = own.lang
+  JOIN f x ON x.lang = own.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = own.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM cut) WHERE o = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dup": NEAR_DUP_SQL, "op7_line_dedup": LINE_DEDUP_SQL}
+    return {"op2_near_dup": NEAR_DUP_SQL, "op7_line_dedup": LINE_DEDUP_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL, "op12_collocations": COLLOCATIONS_SQL}
