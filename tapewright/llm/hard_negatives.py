@@ -146,7 +146,7 @@ def hard_negatives(vectors: DataFrame, anchor: Column, n_positives: int = 5, n_n
     most the positive's. Rows without id, label or vector, or with a component
     that is null or not finite, take no part. Rows that repeat in id, label and
     vector count once; rows that share only the id count each. Shorter vectors
-    are filled with zeros. Scores beyond a long's range become its end. An
+    are filled with zeros. Scores beyond a long's range become its end, and windows follow from those. An
     anchor without positives, and a positive without negatives, give no row; an
     empty table gives an empty one. Other columns are not looked at.
 
