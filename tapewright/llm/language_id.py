@@ -19,12 +19,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapewright.llm import spans
-from tapewright.llm.common import document_text, fold, quoted
+from tapewright.llm.common import document_text, fold, kept, quoted
 
 BUCKETS, WIDTHS, BATCH = 1 << 14, (1, 2, 3), 256
 #: Labelled texts that the regressions are fitted on, dealt evenly over languages; those of them that are landmarks.
 FIT, LANDMARKS, SEED = 4_000, 160, 13
 RIDGE, FLOOR = 1e-3, 1e-6
+#: A table of at most so many languages is sent to all tasks.
+SMALL = 10_000
 
 #: Bytes that aren't letters are all one; A-Z are lower case, bytes of other characters as they are.
 _LETTER = np.full(256, 32, np.uint8)
@@ -100,9 +102,14 @@ class Languages:
 
 def fit(docs: DataFrame) -> Languages:
     """docs: doc_id, text, lang, of labelled rows. At most FIT rows, of BUCKETS bits each, come to the driver."""
-    hashed = F.xxhash64("doc_id", F.lit(SEED))
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    turn = known.select("doc_id", "lang", "text", F.row_number().over(W.partitionBy("lang").orderBy(hashed, "doc_id", F.xxhash64("text"))).alias("turn")).where(F.col("turn") <= FIT)
+    hashed = F.xxhash64("doc_id", "text", F.lit(SEED))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", hashed)
+    # Only hashes under the one that about FIT and six deviations of the language's rows have are sent to be ordered.
+    sizes = kept(known.groupBy("lang").agg(F.count("*").alias("size")), "languages")
+    sizes = F.broadcast(sizes) if sizes.count() <= SMALL else sizes
+    below = F.least(F.lit(1.0), (FIT + 6 * FIT**0.5 + 1) / F.col("size"))
+    near = known.join(sizes, "lang").where(F.col("h") / 2.0**64 + 0.5 <= below)
+    turn = near.withColumn("turn", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("turn") <= FIT)
     taken = turn.orderBy("turn", F.xxhash64("lang", F.lit(SEED)), "lang").limit(FIT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
