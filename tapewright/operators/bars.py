@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tapewright.functions import market as M
 from tapewright.functions.checks import first_reason
+from tapewright.functions.windows import clean
 
 DAY = ("snapshot_date", "symbol")
 OPEN_MIN, DECISION_MIN, CLOSE_MIN = 540, 920, 930
@@ -300,74 +300,178 @@ def sampled_days(days: DataFrame, n: int, key: Column) -> DataFrame:
     return days.withColumn("_h", key).orderBy("_h", *DAY).limit(n).drop("_h")
 
 
-def calibration_rows(bars: DataFrame, eod: DataFrame, most_residual: float = 0.05) -> DataFrame:
-    """Volumes to the cutoffs, the auction's print, ranges, the identity's residual and the share proxy."""
+def calibration_rows(bars: DataFrame, consolidated: DataFrame, eod: DataFrame) -> DataFrame:
+    """By symbol-day: the primary and the consolidated volume to the cutoff, the auction's print, both closes, ranges.
+
+    bars, consolidated: start-stamped bars of the primary venue and of all venues; eod: the official volume, that of the primary venue.
+    """
+    early = F.col("m") < DECISION_MIN
     m = minute_of(F.col("ts_hms"))
     g = bars.withColumn("m", m).groupBy(*DAY).agg(
-        F.sum(F.when(F.col("m") < DECISION_MIN, F.col("volume")).otherwise(0)).alias("v_1520"),
-        F.sum(F.when(F.col("m") >= DECISION_MIN, F.col("volume")).otherwise(0)).alias("v_auction"),
-        F.max(F.when(F.col("m") < DECISION_MIN, F.col("high"))).alias("high_1520"),
-        F.min(F.when(F.col("m") < DECISION_MIN, F.col("low"))).alias("low_1520"),
-        F.max_by("close", F.when(F.col("m") < DECISION_MIN, F.col("m"))).alias("close_1520"),
+        F.sum(F.when(early, F.col("volume"))).cast("double").alias("v_krx_1520"),
+        F.sum(F.when(~early, F.col("volume")).otherwise(0)).cast("double").alias("auction_volume"),
+        F.max(F.when(early, F.col("high"))).alias("high_1520"),
+        F.min(F.when(early, F.col("low"))).alias("low_1520"),
+        F.max_by("close", F.when(early, F.col("m"))).alias("close_krx_1519"),
         F.max_by("close", "m").alias("close_eod"),
     )
-    j = g.join(eod, list(DAY))
-    residual = F.col("eod_volume") / F.nullif(F.col("v_1520") + F.col("v_auction"), F.lit(0)) - 1
-    share = F.col("v_auction") / F.nullif(F.col("v_1520") + F.col("v_auction"), F.lit(0))
-    return j.withColumn("residual", residual).withColumn("auction_share", share).withColumn("proxy", F.col("eod_volume") * (1 - share) / F.nullif("v_1520", F.lit(0))).where(F.abs("residual") <= most_residual)
+    c = consolidated.withColumn("m", m).where(early).groupBy(*DAY).agg(F.sum("volume").cast("double").alias("v_cons_1520"), F.max_by("close", "m").alias("close_cons_1519"))
+    return g.join(c, list(DAY)).join(eod, list(DAY))
 
 
-def share_history(proxies: DataFrame) -> DataFrame:
-    """Each symbol-day's share proxy with how many known ones of the symbol are before it and their mean."""
-    before = W.partitionBy("symbol").orderBy("snapshot_date").rowsBetween(W.unboundedPreceding, -1)
-    return proxies.select(*DAY, "proxy", F.count("proxy").over(before).alias("n_before"), F.avg("proxy").over(before).alias("mean_before"))
+def eligible_calibration(calibration: DataFrame, tolerance: float) -> DataFrame:
+    """Rows whose official volume is the bars' and the auction's within the tolerance, with the true share; others take no part in anything."""
+    known = [clean(F.col(c).cast("double")) for c in ("eod_volume", "v_krx_1520", "v_cons_1520", "auction_volume")]
+    eod, krx, cons, auction = known
+    fine = (eod > 0) & (krx > 0) & (cons > 0) & (auction >= 0) & (F.abs(eod - (krx + auction)) / eod <= tolerance)
+    return calibration.where(F.coalesce(fine, F.lit(False))).withColumn("true_share", krx / cons)
 
 
-def auction_moves(bars: DataFrame) -> DataFrame:
-    """Symbol-days with a continuous and an auction close: the move from one to the other and the auction's share of the value."""
-    both = auction_impact(bars, 1).where("continuous_close > 0 and auction_close is not null")
-    return both.select(*DAY, (F.col("auction_close") / F.col("continuous_close") - 1).alias("move"), "value_share")
+def share_proxies(calibration: DataFrame, auction_mean: Column) -> DataFrame:
+    """The official volume without the mean auction share, over the consolidated volume to the cutoff; NULL where either is missing or not positive."""
+    eod, cons = clean(F.col("eod_volume").cast("double")), clean(F.col("v_cons_1520").cast("double"))
+    fine = (eod > 0) & (cons > 0) & (auction_mean >= 0) & (auction_mean < 1)
+    return calibration.withColumn("proxy", F.when(fine, eod * (1 - auction_mean) / cons))
+
+
+def auction_fraction(eligible: DataFrame) -> DataFrame:
+    """One row: the mean share of the auction in the official volume."""
+    return eligible.agg(F.avg(F.col("auction_volume") / F.col("eod_volume")).alias("auction_mean"))
+
+
+def _ewma(values: Column, alpha: float) -> Column:
+    """The moving average that begins with the first value."""
+    return F.aggregate(F.slice(values, 2, F.greatest(F.size(values), F.lit(1))), F.get(values, F.lit(0)), lambda acc, x: F.lit(alpha) * x + F.lit(1.0 - alpha) * acc)
+
+
+def raw_predictions(history: DataFrame, alphas: Sequence[float], structures: Sequence[tuple[int, int]]) -> DataFrame:
+    """history with a row for each (alpha, min_prior_days, max_gap_days): n_prior and raw, the moving average of the proxies known in the max_gap_days days before the row's, NULL if they are fewer than min_prior_days.
+
+    One window over a symbol's days for each gap; what is held for a row is at most that gap's days.
+    """
+    day = F.unix_date("snapshot_date")
+    gaps = sorted({gap for _, gap in structures})
+    known = lambda gap: F.collect_list("proxy").over(W.partitionBy("symbol").orderBy(day).rangeBetween(-gap, -1)) if gap else F.array().cast("array<double>")
+    rows = history.withColumns({f"_k{gap}": known(gap) for gap in gaps})
+    found = [
+        F.struct(F.lit(float(a)).alias("ewma_alpha"), F.lit(least).alias("min_prior_days"), F.lit(gap).alias("max_gap_days"), F.size(f"_k{gap}").alias("n_prior"), F.when(F.size(f"_k{gap}") >= least, _ewma(F.col(f"_k{gap}"), float(a))).alias("raw"))
+        for a in alphas
+        for least, gap in structures
+    ]
+    return rows.withColumn("_c", F.explode(F.array(*found))).select(*history.columns, "_c.*")
+
 
+def predicted_share(raw: Column, bias: Column) -> Column:
+    """The raw average times the bias; NULL outside (0, 1]."""
+    share = raw * bias
+    return F.when((share > 0) & (share <= 1), share)
 
-def _past_means(proxies: DataFrame, alphas: Sequence[float], over: Sequence[str]) -> DataFrame:
-    """over, snapshot_date, proxy, n_past, gap, alpha, ema: the moving averages of strictly earlier proxies, one pass over a symbol's history for each alpha."""
-    keys = list(over)
-    types = dict(proxies.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, "snapshot_date", "proxy")) + ", n_past long, gap int, alpha double, ema double"
 
-    def run(history: pd.DataFrame) -> pd.DataFrame:
-        h = history.sort_values("snapshot_date", kind="stable")
-        dates = pd.to_datetime(h.snapshot_date)
-        h = h.assign(n_past=h.proxy.notna().cumsum().shift(1, fill_value=0), gap=(dates - dates.shift(1)).dt.days.astype("Int32"))
-        return pd.concat([h.assign(alpha=a, ema=h.proxy.ewm(alpha=a, adjust=False, ignore_na=True).mean().shift(1)) for a in alphas])
+def ewma_prediction(proxies: DataFrame, alpha: float, least: int = 3, most_gap: int = 10, bias: float = 1.0) -> DataFrame:
+    """The bias-corrected moving average of proxies dated 1 to most_gap days before; NULL with fewer than `least` of them or out of (0, 1].
+
+    proxies: symbol, snapshot_date, proxy; a row without a proxy is a day to predict that adds nothing to later ones.
+    """
+    rows = raw_predictions(proxies, (alpha,), ((least, most_gap),))
+    return rows.withColumn("prediction", predicted_share(F.col("raw"), F.lit(bias))).drop("ewma_alpha", "min_prior_days", "max_gap_days", "raw")
 
-    return proxies.select(*keys, "snapshot_date", "proxy").groupBy(*keys).applyInPandas(run, schema)
 
+def estimator_rows(calibration: DataFrame, tolerance: float, holdout_fraction: float) -> DataFrame:
+    """Eligible rows with their part: the earliest dates are the holdout, the later half of the others is for selection, the rest only history."""
+    rows = eligible_calibration(calibration, tolerance)
+    every = W.partitionBy(F.lit(1))  # a table of dates
+    dates = rows.select("snapshot_date").distinct().withColumn("_i", F.row_number().over(every.orderBy("snapshot_date"))).withColumn("_n", F.count("*").over(every))
+    held = F.ceil(F.col("_n") * holdout_fraction)
+    first = held + F.greatest(F.lit(1), F.floor((F.col("_n") - held) / 2))
+    part = F.when(F.col("_i") <= held, "holdout").when(F.col("_i") > first, "selection").otherwise("history")
+    return rows.join(F.broadcast(dates.select("snapshot_date", part.alias("part"))), "snapshot_date")
 
-def ewma_prediction(proxies: DataFrame, alpha: float, least: int = 3, most_gap: int = 10, bias: float = 1.0, over: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """The moving average of strictly earlier proxies; NULL with too few, after too long a gap or out of (0, 1]."""
-    rows = _past_means(proxies, (alpha,), over).withColumn("prediction", F.nanvl("ema", F.lit(None).cast("double")) * bias)
-    fine = (F.col("n_past") >= least) & F.col("gap").between(1, most_gap) & (F.col("prediction") > 0) & (F.col("prediction") <= 1)
-    return rows.withColumn("prediction", F.when(fine, F.col("prediction"))).drop("alpha", "ema")
 
+def _errors(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    e = F.abs(F.col("share") - F.col("true_share")) / F.col("true_share")
+    quantiles = [F.percentile(e, F.lit(q)).alias(f"rel_err_p{n}") for q, n in ((0.5, 50), (0.9, 90), (0.99, 99))]
+    return scored.groupBy(*by).agg(F.count("*").alias("n_rows"), (F.count("share") / F.count("*")).alias("coverage"), *quantiles)
 
-def fit_estimator(proxies: DataFrame, alphas: tuple[float, ...], biases: tuple[float, ...] = (1.0, 0.98)) -> DataFrame:
-    """A grid of alpha and bias, scored on the later half of the dates; best first by coverage, p90 error, alpha."""
-    past = _past_means(proxies, alphas, ("symbol",))
-    rows = past.withColumn("bias", F.explode(F.array(*(F.lit(float(b)) for b in biases))))
-    pred = F.when((F.col("n_past") >= 3) & F.col("gap").between(1, 10), F.nanvl("ema", F.lit(None).cast("double")) * F.col("bias"))
-    rows = rows.withColumn("_p", F.when((pred > 0) & (pred <= 1), pred)).withColumn("_e", F.abs(F.col("_p") / F.nullif("proxy", F.lit(0.0)) - 1))
-    days = proxies.select("snapshot_date").distinct()
-    later = days.withColumn("_k", F.ntile(2).over(W.partitionBy(F.lit(1)).orderBy("snapshot_date"))).where("_k = 2").select("snapshot_date")
-    g = rows.join(later, "snapshot_date").groupBy("alpha", "bias").agg(F.count("*").alias("n"), F.avg(F.col("_p").isNotNull().cast("double")).alias("coverage"), F.percentile("_e", F.lit(0.9)).alias("p90"))
-    return g.withColumn("place", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("coverage"), "p90", "alpha", "bias")).cast("long"))
 
+def estimator_frontier(rows: DataFrame, alphas: Sequence[float], structures: Sequence[tuple[int, int]]) -> DataFrame:
+    """Each candidate's own bias (the median of true over raw), coverage and errors on the selection rows, in the order of choice.
 
-def reconstruct(bars: DataFrame, shares: DataFrame, error: float) -> DataFrame:
-    """Volumes times the day's share, values rebuilt, error bounds beside them."""
+    rows: estimator_rows. Order: coverage, then p90, then fewer prior days, then the longer gap, then the smaller alpha.
+    """
+    fit = rows.where("part <> 'holdout'")
+    history = share_proxies(fit.crossJoin(F.broadcast(auction_fraction(fit))), F.col("auction_mean"))
+    keys = ["ewma_alpha", "min_prior_days", "max_gap_days"]
+    chosen = raw_predictions(history.select("symbol", "snapshot_date", "part", "true_share", "proxy"), alphas, sorted(set(structures))).where("part = 'selection'")
+    bias = chosen.where("raw > 0").groupBy(*keys).agg(F.percentile(F.col("true_share") / F.col("raw"), F.lit(0.5)).alias("bias"))
+    scored = chosen.join(F.broadcast(bias), keys, "left").withColumn("share", predicted_share(F.col("raw"), F.col("bias")))
+    table = _errors(scored, keys).join(F.broadcast(bias), keys, "left")  # a row for each candidate
+    order = [F.desc("coverage"), F.asc_nulls_last("rel_err_p90"), "min_prior_days", F.desc("max_gap_days"), "ewma_alpha"]
+    return table.withColumn("place", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order)).cast("long"))
+
+
+def fit_estimator(calibration: DataFrame, alphas: Sequence[float], structures: Sequence[tuple[int, int]], tolerance: float, holdout_fraction: float, min_holdout_days: int, most_p90: float) -> DataFrame:
+    """One row, the config chosen on the later dates and its diagnostics on the isolated earliest ones.
+
+    The parameters, the bias and the mean auction share are of the fit dates;
+    errors, coverage and the closes' difference are of the holdout. Raises
+    ValueError for grids or fractions that make no sense, too few dates, rows
+    or symbols, no candidate within most_p90, or a holdout that can't be scored.
+    """
+    grid = sorted({float(a) for a in alphas})
+    if len(grid) < 3 or not all(0 < a <= 1 for a in grid):
+        raise ValueError("at least three distinct alphas in (0, 1] are needed")
+    if not structures or any(least < 1 or gap < 0 for least, gap in structures):
+        raise ValueError("structures are pairs of min_prior_days from 1 and max_gap_days from 0")
+    if tolerance <= 0 or not 0 < holdout_fraction <= 0.5 or min_holdout_days < 1 or most_p90 < 0:
+        raise ValueError("tolerance, holdout_fraction, min_holdout_days or most_p90 out of range")
+    rows = estimator_rows(calibration, tolerance, holdout_fraction)
+    held, fit = rows.where("part = 'holdout'"), rows.where("part <> 'holdout'")
+    days = rows.agg(
+        F.count_distinct(F.when(F.col("part") == "holdout", F.col("snapshot_date"))).alias("held"), F.count_distinct(F.when(F.col("part") != "holdout", F.col("snapshot_date"))).alias("fit"),
+        F.count_if(F.col("part") != "holdout").alias("rows"), F.count_distinct(F.when(F.col("part") != "holdout", F.col("symbol"))).alias("symbols"),
+    ).first()
+    if days.held < min_holdout_days:
+        raise ValueError(f"{days.held} holdout dates, fewer than {min_holdout_days}")
+    if days.fit < 2 or days.rows < 2 or days.symbols < 2:
+        raise ValueError(f"{days.rows} fit rows of {days.symbols} symbols on {days.fit} dates")
+    frontier = estimator_frontier(rows, grid, structures)
+    best = frontier.where(F.col("rel_err_p90") <= most_p90).orderBy("place").first()
+    if best is None:
+        raise ValueError(f"no candidate within a p90 error of {most_p90}")
+
+    mean = F.broadcast(auction_fraction(fit))
+    history = share_proxies(held.crossJoin(mean), F.col("auction_mean"))
+    scored = raw_predictions(history, (best.ewma_alpha,), ((best.min_prior_days, best.max_gap_days),)).withColumn("share", predicted_share(F.col("raw"), F.lit(best.bias)))
+    errors = _errors(scored).select(F.col("n_rows").alias("n_holdout_rows"), F.col("coverage").alias("holdout_coverage"), *(F.col(f"rel_err_p{q}").alias(f"holdout_rel_err_p{q}") for q in (50, 90, 99)))
+    transfer = scored.where("share is not null").agg(F.percentile(F.col("true_share") / F.col("raw"), F.lit(0.5)).alias("bias_holdout"))
+    closes = [clean(F.col(c).cast("double")) for c in ("close_krx_1519", "close_cons_1519")]
+    apart = F.when((closes[0] > 0) & (closes[1] > 0), F.abs(closes[1] - closes[0]) / closes[0] * 1e4)
+    earlier = held.agg(F.avg(F.col("auction_volume") / F.col("eod_volume")).alias("auction_fraction_holdout"), F.percentile(apart, F.lit(0.9)).alias("close_bp_err_p90"), F.min("snapshot_date").alias("holdout_start"), F.max("snapshot_date").alias("holdout_end"))
+    later = fit.agg(F.avg(F.col("auction_volume") / F.col("eod_volume")).alias("auction_fraction_mean"), F.min("snapshot_date").alias("fit_start"), F.max("snapshot_date").alias("calibrated_through"), F.count("*").alias("n_fit_rows"))
+    names = rows.agg(F.count_distinct("symbol").alias("n_symbols"))
+    out = errors.crossJoin(transfer).crossJoin(earlier).crossJoin(later).crossJoin(names)  # one row each
+    chosen = {"ewma_alpha": best.ewma_alpha, "min_prior_days": best.min_prior_days, "max_gap_days": best.max_gap_days, "bias_correction": best.bias, "alpha_at_boundary": best.ewma_alpha in (grid[0], grid[-1])}
+    out = out.select(*(F.lit(v).alias(c) for c, v in chosen.items()), "*")
+    whole = F.col("bias_holdout").isNotNull() & F.col("close_bp_err_p90").isNotNull()
+    return out.where(F.when(whole, True).otherwise(F.raise_error(F.lit("the holdout cannot be scored with the chosen parameters")).cast("boolean")))
+
+
+def reconstruct(bars: DataFrame, shares: DataFrame, volume_error: float, close_error: float) -> DataFrame:
+    """Consolidated volumes times the day's share, values rebuilt from typical prices, the basis and both error bounds beside them.
+
+    A bar after the cutoff, a share outside (0, 1], a price that isn't positive or a negative volume stops the run.
+    """
     j = bars.join(shares, list(DAY))
-    v = F.col("volume") * F.col("prediction")
-    return j.withColumn("volume_est", v).withColumn("value_est", v * (F.col("high") + F.col("low") + F.col("close")) / 3).withColumn("volume_low", v * (1 - error)).withColumn("volume_high", v * (1 + error))
+    fine = (minute_of(F.col("ts_hms")) <= DECISION_MIN) & (F.col("prediction") > 0) & (F.col("prediction") <= 1) & (F.least("high", "low", "close") > 0) & (F.col("volume") >= 0)
+    whole = F.when(F.coalesce(fine & F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull(), F.lit(False)), F.col("volume") * F.col("prediction")).otherwise(F.raise_error(F.lit("a bar or a share cannot be reconstructed")).cast("double"))
+    v = F.col("volume_est")
+    return j.withColumn("volume_est", whole).withColumn("value_est", v * (F.col("high") + F.col("low") + F.col("close")) / 3).withColumn("volume_low", v * (1 - volume_error)).withColumn("volume_high", v * (1 + volume_error)).withColumn("basis", F.lit("krx_reconstructed")).withColumn("recon_volume_rel_err_p90", F.lit(volume_error)).withColumn("recon_close_bp_err_p90", F.lit(close_error))
+
+
+def auction_moves(bars: DataFrame) -> DataFrame:
+    """Symbol-days with a continuous and an auction close: the move from one to the other and the auction's share of the value."""
+    both = auction_impact(bars, 1).where("continuous_close > 0 and auction_close is not null")
+    return both.select(*DAY, (F.col("auction_close") / F.col("continuous_close") - 1).alias("move"), "value_share")
 
 
 def needed_tapes(needed: DataFrame, stored: DataFrame, relations: DataFrame) -> DataFrame:

@@ -246,40 +246,67 @@ def b25_sampled_days(spark, sf_dir):
     return B.sampled_days(days, 40, (F.dayofmonth("snapshot_date") * 7919 + F.col("symbol").cast("int") * 104729) % 1009)
 
 
+# All venues' bars: the primary ones with a share of other trading that depends on name and day, and a close a little off.
+_CONSOLIDATED = "SELECT snapshot_date, symbol, ts_hms, minute, open, high, low, close*(1+(CAST(symbol AS INT)+day(snapshot_date))%3*0.001e0) AS close, volume + CAST(floor(volume*(2+(CAST(symbol AS INT)*3+day(snapshot_date)*7)%11)/20e0) AS BIGINT) AS volume FROM {b}"
+_TOLERANCE, _ALPHAS, _STRUCTURES = 0.15, (0.1, 0.3, 0.5, 0.9), ((1, 30), (2, 60), (2, 120), (3, 400))
 _CAL = (
     BARS
-    + f""", eod AS ({_EOD.format(b='bars_1m')}), cg AS (SELECT snapshot_date, symbol, coalesce(sum(volume) FILTER (WHERE minute<920),0) v1, coalesce(sum(volume) FILTER (WHERE minute>=920),0) va, max(high) FILTER (WHERE minute<920) high_1520, min(low) FILTER (WHERE minute<920) low_1520, arg_max(close,minute) FILTER (WHERE minute<920) close_1520, arg_max(close,minute) close_eod FROM bars_1m GROUP BY 1,2),
- calib AS (SELECT c.*, eod_volume, eod_volume/nullif(v1+va,0)-1 residual, va/CAST(nullif(v1+va,0) AS DOUBLE) auction_share, eod_volume*(1-va/CAST(nullif(v1+va,0) AS DOUBLE))/nullif(v1,0) proxy FROM cg c JOIN eod USING (snapshot_date, symbol) WHERE abs(eod_volume/nullif(v1+va,0)-1) <= 0.15e0)"""
+    + f""", eod AS ({_EOD.format(b='bars_1m')}), cons AS ({_CONSOLIDATED.format(b='bars_1m')}),
+ cg AS (SELECT snapshot_date, symbol, CAST(sum(volume) FILTER (WHERE minute<920) AS DOUBLE) v_krx_1520, CAST(coalesce(sum(volume) FILTER (WHERE minute>=920),0) AS DOUBLE) auction_volume, max(high) FILTER (WHERE minute<920) high_1520, min(low) FILTER (WHERE minute<920) low_1520, arg_max(close,minute) FILTER (WHERE minute<920) close_krx_1519, arg_max(close,minute) close_eod FROM bars_1m GROUP BY 1,2),
+ cc AS (SELECT snapshot_date, symbol, CAST(sum(volume) AS DOUBLE) v_cons_1520, arg_max(close,minute) close_cons_1519 FROM cons WHERE minute<920 GROUP BY 1,2),
+ calib AS (SELECT * FROM cg JOIN cc USING (snapshot_date, symbol) JOIN eod USING (snapshot_date, symbol)),
+ el AS (SELECT *, v_krx_1520/v_cons_1520 true_share FROM calib WHERE eod_volume>0 AND v_krx_1520>0 AND v_cons_1520>0 AND auction_volume>=0 AND abs(eod_volume-(v_krx_1520+auction_volume))/eod_volume <= {_TOLERANCE}e0)"""
 )
 
 
+def consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_CONSOLIDATED, b=bars(spark, sf_dir))
+
+
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
-    return B.calibration_rows(b, spark.sql(_EOD, b=b), 0.15)
+    return B.calibration_rows(b, consolidated(spark, sf_dir), spark.sql(_EOD, b=b))
 
 
-@query(_CAL + f" SELECT snapshot_date, symbol, high_1520, low_1520, close_1520, close_eod, {r('residual')} residual, {r('auction_share')} auction_share, {r('proxy')} proxy FROM calib")
+@query(_CAL + f" SELECT snapshot_date, symbol, v_krx_1520, v_cons_1520, auction_volume, {r('eod_volume')} eod_volume, high_1520, low_1520, close_krx_1519, {r('close_cons_1519')} close_cons_1519, close_eod FROM calib")
 def b26_calibration_rows(spark, sf_dir):
-    return rounded(calibration(spark, sf_dir).select("snapshot_date", "symbol", "high_1520", "low_1520", "close_1520", "close_eod", "residual", "auction_share", "proxy"))
+    return rounded(calibration(spark, sf_dir).select("snapshot_date", "symbol", "v_krx_1520", "v_cons_1520", "auction_volume", "eod_volume", "high_1520", "low_1520", "close_krx_1519", "close_cons_1519", "close_eod"))
+
+
+_PROXY = ", px AS (SELECT snapshot_date, symbol, true_share, eod_volume*(1-(SELECT avg(auction_volume/eod_volume) FROM el))/v_cons_1520 proxy FROM el)"
+
+
+def proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = B.eligible_calibration(calibration(spark, sf_dir), _TOLERANCE)
+    return B.share_proxies(fit.crossJoin(F.broadcast(B.auction_fraction(fit))), F.col("auction_mean"))
+
+
+@query(_CAL + _PROXY + f" SELECT snapshot_date, symbol, {r('true_share')} true_share, {r('proxy')} proxy FROM px")
+def b27_share_history(spark, sf_dir):
+    return rounded(proxies(spark, sf_dir).select("snapshot_date", "symbol", "true_share", "proxy"))
+
+
+def _ema(values: str, alpha: str) -> str:
+    return f"list_reduce({values}, lambda x, y: {alpha}*y + (1e0-{alpha})*x)"
 
 
-# The moving average as a closed sum: weights a(1-a)^k on the past, (1-a)^k on its first value.
-_EWMA = (
+# The proxies of the 120 days before, in order of their dates.
+_PREDICTED = (
     _CAL
-    + """, px AS (SELECT snapshot_date, symbol, proxy, row_number() OVER (PARTITION BY symbol ORDER BY snapshot_date) i, lag(snapshot_date) OVER (PARTITION BY symbol ORDER BY snapshot_date) pd FROM calib),
- ew AS (SELECT a.snapshot_date, a.symbol, a.proxy, a.pd, count(b.proxy) n_past, sum(b.proxy * (CASE WHEN b.i=1 THEN 1e0 ELSE 0.3e0 END) * pow(0.7e0, a.i-1-b.i)) ema FROM px a LEFT JOIN px b ON b.symbol=a.symbol AND b.i<a.i GROUP BY 1,2,3,4)"""
+    + _PROXY
+    + f""", pv AS (SELECT a.snapshot_date, a.symbol, count(b.proxy) n_prior, list(b.proxy ORDER BY b.snapshot_date) FILTER (WHERE b.proxy IS NOT NULL) known FROM px a LEFT JOIN px b ON b.symbol=a.symbol AND a.snapshot_date-b.snapshot_date BETWEEN 1 AND 120 GROUP BY 1,2),
+ pr0 AS (SELECT snapshot_date, symbol, n_prior, CASE WHEN n_prior>=2 THEN {_ema('known', '0.3e0')}*0.95e0 END p FROM pv), pr AS (SELECT snapshot_date, symbol, n_prior, CASE WHEN p>0 AND p<=1 THEN p END p FROM pr0)"""
 )
 
 
-@query(_EWMA + f" SELECT snapshot_date, symbol, n_past, CAST(snapshot_date-pd AS INT) gap, {r('CASE WHEN n_past>=3 AND snapshot_date-pd BETWEEN 1 AND 10 AND ema*0.95e0 > 0 AND ema*0.95e0 <= 1 THEN ema*0.95e0 END')} prediction FROM ew")
-def b28_ewma_prediction(spark, sf_dir):
-    out = B.ewma_prediction(calibration(spark, sf_dir).select("snapshot_date", "symbol", "proxy"), 0.3, bias=0.95)
-    return rounded(out.select("snapshot_date", "symbol", "n_past", "gap", "prediction"))
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = proxies(spark, sf_dir).select("snapshot_date", "symbol", "proxy")
+    return B.ewma_prediction(rows, 0.3, 2, 120, 0.95).select("snapshot_date", "symbol", "n_prior", "prediction")
 
 
-@query(_CAL + f", pb AS (SELECT snapshot_date, symbol, proxy, count(proxy) OVER w n_before, avg(proxy) OVER w mean_before FROM calib WINDOW w AS (PARTITION BY symbol ORDER BY snapshot_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT snapshot_date, symbol, {r('proxy')} proxy, n_before, {r('mean_before')} mean_before FROM pb")
-def b27_share_history(spark, sf_dir):
-    return rounded(B.share_history(calibration(spark, sf_dir)))
+@query(_PREDICTED + f" SELECT snapshot_date, symbol, n_prior, {r('p')} prediction FROM pr")
+def b28_ewma_prediction(spark, sf_dir):
+    return rounded(predictions(spark, sf_dir).withColumn("n_prior", F.col("n_prior").cast("long")))
 
 
 @query(BARS + f", am AS (SELECT snapshot_date, symbol, arg_max(close,minute) FILTER (WHERE minute<920) c0, arg_max(close,minute) FILTER (WHERE minute>=920) c1, coalesce(sum(value_krw) FILTER (WHERE minute>=920),0)/nullif(sum(value_krw),0) vs FROM bars_1m GROUP BY 1,2) SELECT snapshot_date, symbol, {r('c1/c0-1')} AS move, {r('vs')} value_share FROM am WHERE c0>0 AND c1 IS NOT NULL")
@@ -287,43 +314,61 @@ def b31_auction_moves(spark, sf_dir):
     return rounded(B.auction_moves(bars(spark, sf_dir)))
 
 
-@query(
+_GRID = ", ".join(f"({a}e0,{m},{g})" for a in _ALPHAS for m, g in _STRUCTURES)
+_FIT = (
     _CAL
-    + f""", px AS (SELECT snapshot_date, symbol, proxy, row_number() OVER (PARTITION BY symbol ORDER BY snapshot_date) i, lag(snapshot_date) OVER (PARTITION BY symbol ORDER BY snapshot_date) pd FROM calib WHERE proxy IS NOT NULL), gr AS (SELECT al, bi FROM (VALUES (0.1e0),(0.3e0),(0.5e0),(0.9e0)) a(al), (VALUES (1.0e0),(0.95e0)) b(bi)),
- em AS (SELECT al, a.snapshot_date, a.symbol, a.proxy, a.pd, count(b.proxy) n_past, sum(b.proxy * (CASE WHEN b.i=1 THEN 1e0 ELSE al END) * pow(1-al, a.i-1-b.i)) ema FROM px a CROSS JOIN (SELECT DISTINCT al FROM gr) LEFT JOIN px b ON b.symbol=a.symbol AND b.i<a.i GROUP BY 1,2,3,4,5),
- hf AS (SELECT snapshot_date FROM (SELECT snapshot_date, ntile(2) OVER (ORDER BY snapshot_date) k FROM (SELECT DISTINCT snapshot_date FROM px)) WHERE k=2),
- sp AS (SELECT gr.al alpha, gr.bi bias, proxy, CASE WHEN n_past>=3 AND em.snapshot_date-pd BETWEEN 1 AND 10 AND ema*bi>0 AND ema*bi<=1 THEN ema*bi END p FROM em JOIN gr ON gr.al=em.al JOIN hf ON hf.snapshot_date=em.snapshot_date),
- sg AS (SELECT alpha, bias, count(*) n, avg(CASE WHEN p IS NOT NULL THEN 1.0 ELSE 0.0 END) coverage, quantile_cont(abs(p/nullif(proxy,0)-1),0.9) p90 FROM sp GROUP BY 1,2)
- SELECT alpha, bias, n, {r('coverage')} coverage, {r('p90')} p90, row_number() OVER (ORDER BY coverage DESC, p90 NULLS FIRST, alpha, bias) place FROM sg"""
+    + f""", dt AS (SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date) i, count(*) OVER () n FROM (SELECT DISTINCT snapshot_date FROM el)),
+ pt AS (SELECT snapshot_date, CASE WHEN i <= ceil(n*0.25e0) THEN 'holdout' WHEN i > ceil(n*0.25e0)+greatest(1, floor((n-ceil(n*0.25e0))/2)) THEN 'selection' ELSE 'history' END part FROM dt),
+ rw AS (SELECT el.*, part, part='holdout' AS held FROM el JOIN pt USING (snapshot_date)), ab AS (SELECT avg(auction_volume/eod_volume) FILTER (WHERE NOT held) af, avg(auction_volume/eod_volume) FILTER (WHERE held) ah FROM rw),
+ px AS (SELECT rw.*, eod_volume*(1-af)/v_cons_1520 proxy FROM rw, ab), gr(al,ml,gap) AS (VALUES {_GRID}),
+ ls AS (SELECT a.snapshot_date, a.symbol, a.part, a.true_share, gap, list(b.proxy ORDER BY b.snapshot_date) FILTER (WHERE b.proxy IS NOT NULL) known, count(b.proxy) k FROM px a CROSS JOIN (SELECT DISTINCT gap FROM gr) LEFT JOIN px b ON b.held=a.held AND b.symbol=a.symbol AND a.snapshot_date-b.snapshot_date BETWEEN 1 AND gap GROUP BY 1,2,3,4,5),
+ ra AS (SELECT al, ml, gr.gap, part, true_share, CASE WHEN k>=ml THEN {_ema('known', 'al')} END raw FROM ls JOIN gr ON gr.gap=ls.gap),
+ bi AS (SELECT al, ml, gap, quantile_cont(true_share/raw, 0.5) bias FROM ra WHERE part='selection' AND raw>0 GROUP BY 1,2,3),
+ sc AS (SELECT ra.*, bias, CASE WHEN raw*bias>0 AND raw*bias<=1 THEN raw*bias END share FROM ra LEFT JOIN bi USING (al, ml, gap)),
+ fr0 AS (SELECT al, ml, gap, max(bias) bias, count(*) n_rows, count(share)/CAST(count(*) AS DOUBLE) coverage, quantile_cont(abs(share-true_share)/true_share,0.5) p50, quantile_cont(abs(share-true_share)/true_share,0.9) p90, quantile_cont(abs(share-true_share)/true_share,0.99) p99 FROM sc WHERE part='selection' GROUP BY 1,2,3),
+ fr AS (SELECT *, row_number() OVER (ORDER BY coverage DESC, p90 NULLS LAST, ml, gap DESC, al) place FROM fr0)"""
+)
+
+
+@query(_FIT + f" SELECT al ewma_alpha, CAST(ml AS INT) min_prior_days, CAST(gap AS INT) max_gap_days, n_rows, {r('bias')} bias, {r('coverage')} coverage, {r('p50')} rel_err_p50, {r('p90')} rel_err_p90, {r('p99')} rel_err_p99, place FROM fr")
+def b29_frontier(spark, sf_dir):
+    """Every candidate of the grid on the selection rows."""
+    return rounded(B.estimator_frontier(B.estimator_rows(calibration(spark, sf_dir), _TOLERANCE, 0.25), _ALPHAS, _STRUCTURES))
+
+
+@query(
+    _FIT
+    + f""", be AS (SELECT * FROM fr WHERE p90 <= 0.9e0 ORDER BY place LIMIT 1), ho AS (SELECT sc.* FROM sc JOIN be USING (al, ml, gap) WHERE part='holdout'), hs AS (SELECT true_share, raw, CASE WHEN raw*be.bias>0 AND raw*be.bias<=1 THEN raw*be.bias END share FROM ho, be),
+ he AS (SELECT count(*) n_holdout_rows, count(share)/CAST(count(*) AS DOUBLE) cov, quantile_cont(abs(share-true_share)/true_share,0.5) h50, quantile_cont(abs(share-true_share)/true_share,0.9) h90, quantile_cont(abs(share-true_share)/true_share,0.99) h99, quantile_cont(CASE WHEN share IS NOT NULL THEN true_share/raw END,0.5) bh FROM hs),
+ cl AS (SELECT quantile_cont(CASE WHEN close_krx_1519>0 AND close_cons_1519>0 THEN abs(close_cons_1519-close_krx_1519)/close_krx_1519*1e4 END,0.9) FILTER (WHERE held) cb, min(snapshot_date) FILTER (WHERE held) holdout_start, max(snapshot_date) FILTER (WHERE held) holdout_end, min(snapshot_date) FILTER (WHERE NOT held) fit_start, max(snapshot_date) FILTER (WHERE NOT held) calibrated_through, count(*) FILTER (WHERE NOT held) n_fit_rows, count(DISTINCT symbol) n_symbols FROM rw)
+ SELECT al ewma_alpha, CAST(ml AS INT) min_prior_days, CAST(gap AS INT) max_gap_days, {r('bias')} bias_correction, al IN (0.1e0, 0.9e0) alpha_at_boundary, n_holdout_rows, {r('cov')} holdout_coverage, {r('h50')} holdout_rel_err_p50, {r('h90')} holdout_rel_err_p90, {r('h99')} holdout_rel_err_p99, {r('bh')} bias_holdout, {r('ah')} auction_fraction_holdout, {r('cb')} close_bp_err_p90, holdout_start, holdout_end, {r('af')} auction_fraction_mean, fit_start, calibrated_through, n_fit_rows, n_symbols FROM be, he, cl, ab"""
 )
 def b29_fit_estimator(spark, sf_dir):
-    return rounded(B.fit_estimator(calibration(spark, sf_dir).select("snapshot_date", "symbol", "proxy").where("proxy is not null"), (0.1, 0.3, 0.5, 0.9), (1.0, 0.95)))
+    return rounded(B.fit_estimator(calibration(spark, sf_dir), _ALPHAS, _STRUCTURES, _TOLERANCE, 0.25, 2, 0.9))
 
 
-@query(_EWMA + f", pr AS (SELECT snapshot_date, symbol, ema*0.95e0 p FROM ew WHERE n_past>=3 AND snapshot_date-pd BETWEEN 1 AND 10 AND ema*0.95e0 > 0 AND ema*0.95e0 <= 1) SELECT snapshot_date, symbol, count(*) n, {r('sum(volume*p)', 3)} volume_est, {r('sum(volume*p*(high+low+close)/3)', 1)} value_est FROM bars_1m JOIN pr USING (snapshot_date, symbol) GROUP BY 1,2")
+@query(_PREDICTED + f" SELECT snapshot_date, symbol, count(*) n, {r('sum(volume*p)', 3)} volume_est, {r('sum(volume*p*(high+low+close)/3)', 1)} value_est, {r('sum(volume*p*(1-0.158e0))', 3)} volume_low, 'krx_reconstructed' basis FROM cons JOIN pr USING (snapshot_date, symbol) WHERE p IS NOT NULL AND minute<920 GROUP BY 1,2")
 def b30_reconstruct(spark, sf_dir):
-    pred = B.ewma_prediction(calibration(spark, sf_dir).select("snapshot_date", "symbol", "proxy"), 0.3, bias=0.95).where("prediction is not null").select("snapshot_date", "symbol", "prediction")
-    out = B.reconstruct(bars(spark, sf_dir), pred, 0.158)
-    return out.groupBy("snapshot_date", "symbol").agg(F.count("*").alias("n"), F.round(F.sum("volume_est"), 3).alias("volume_est"), F.round(F.sum("value_est"), 1).alias("value_est"))
+    out = B.reconstruct(consolidated(spark, sf_dir).where("minute < 920"), predictions(spark, sf_dir).where("prediction is not null").drop("n_prior"), 0.158, 10.0)
+    return out.groupBy("snapshot_date", "symbol").agg(F.count("*").alias("n"), F.round(F.sum("volume_est"), 3).alias("volume_est"), F.round(F.sum("value_est"), 1).alias("value_est"), F.round(F.sum("volume_low"), 3).alias("volume_low"), F.first("basis").alias("basis"))
 
 
 _TYPICAL = "sum({v}*(high+low+close)/3)"
 
 
 @query(
-    _EWMA
-    + f""", pr AS (SELECT snapshot_date, symbol, ema*0.95e0 p FROM ew WHERE n_past>=3 AND snapshot_date-pd BETWEEN 1 AND 10 AND ema*0.95e0 > 0 AND ema*0.95e0 <= 1),
- fx AS (SELECT snapshot_date, symbol, CAST(sum(volume) AS DOUBLE) vx, {_TYPICAL.format(v='volume')} tx, sum(volume*p) vy, {_TYPICAL.format(v='volume*p')} ty FROM bars_1m JOIN pr USING (snapshot_date, symbol) WHERE minute<920 GROUP BY 1,2),
+    _PREDICTED
+    + f""", kx AS (SELECT snapshot_date, symbol, CAST(sum(volume) AS DOUBLE) vx, {_TYPICAL.format(v='volume')} tx FROM bars_1m WHERE minute<920 GROUP BY 1,2), ky AS (SELECT snapshot_date, symbol, sum(volume*p) vy, {_TYPICAL.format(v='volume*p')} ty FROM cons JOIN pr USING (snapshot_date, symbol) WHERE minute<920 AND p IS NOT NULL GROUP BY 1,2), fx AS (SELECT * FROM kx JOIN ky USING (snapshot_date, symbol)),
  fr AS (SELECT *, row_number() OVER (PARTITION BY snapshot_date ORDER BY tx DESC, symbol) rx, row_number() OVER (PARTITION BY snapshot_date ORDER BY ty DESC, symbol) ry FROM fx)
  SELECT snapshot_date, count(*) n, {r('avg(abs(vy/nullif(vx,0)-1))')} volume_diff, {r('avg(abs(ty/nullif(tx,0)-1))')} value_diff, count(*) FILTER (WHERE rx<=2 AND ry<=2) n_common, {r('CASE WHEN count(*)>1 THEN corr(rx,ry) END')} rank_corr FROM fr GROUP BY 1"""
 )
 def e22_fidelity(spark, sf_dir):
-    """Decision frames of exact bars against those of reconstructed volumes: features and the two largest by value."""
-    pred = B.ewma_prediction(calibration(spark, sf_dir).select("snapshot_date", "symbol", "proxy"), 0.3, bias=0.95).where("prediction is not null").select("snapshot_date", "symbol", "prediction")
-    b = B.reconstruct(bars(spark, sf_dir), pred, 0.158).where("minute < 920")
+    """Decision frames of the primary venue's bars against those reconstructed from all venues': features and the two largest by value."""
+    shares = predictions(spark, sf_dir).where("prediction is not null").drop("n_prior")
+    rebuilt = B.reconstruct(consolidated(spark, sf_dir).where("minute < 920"), shares, 0.158, 10.0)
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    frame = lambda v: b.groupBy("snapshot_date", "symbol").agg(F.sum(v).cast("double").alias("volume"), F.sum(F.col(v) * typical).alias("value"))
-    return rounded(E.fidelity(frame("volume"), frame("volume_est"), ["volume", "value"], "value", 2))
+    frame = lambda b, v: b.groupBy("snapshot_date", "symbol").agg(F.sum(v).cast("double").alias("volume"), F.sum(F.col(v) * typical).alias("value"))
+    return rounded(E.fidelity(frame(bars(spark, sf_dir).where("minute < 920"), "volume"), frame(rebuilt, "volume_est"), ["volume", "value"], "value", 2))
 
 
 @query(_VOL + f", nm AS ({_NAMES.format(b='bars_1m')}), j AS (SELECT n.*, CASE WHEN t.symbol IS NULL THEN 'missing' WHEN r.relation='TICK_SHORT' THEN 'short' END why FROM nm n LEFT JOIN (SELECT DISTINCT snapshot_date, symbol FROM tk) t USING (snapshot_date, symbol) LEFT JOIN rel r USING (snapshot_date, symbol)) SELECT *, row_number() OVER (PARTITION BY snapshot_date ORDER BY why, symbol) walk FROM j WHERE why IS NOT NULL")

@@ -133,6 +133,20 @@ def s15_base_and_patch(spark, sf_dir):
     return built.agg(F.count("*").alias("n_rows")).crossJoin(differ)
 
 
+@query(PREP + " SELECT CAST(v AS INT) AS version, CAST(year(date)*100+month(date) AS INT) AS month, count(*) n_rows, CAST(sum(volume) AS BIGINT) volume FROM price_history, range(1,4) t(v) WHERE day(date)<>9+v GROUP BY 1,2")
+def s15_monthly_rebuild(spark, sf_dir):
+    """Three patches on one base by month, each rebuilt and proven equal to its source; then rows and volume by month."""
+    p = fixtures.price_history(spark, sf_dir).select("date", "symbol", "close", F.col("volume").cast("long").alias("volume"))
+    top, out = scratch(spark, "offsite"), None
+    S.write_base(p.where("day(date)<>5"), top, ["symbol", "date"])
+    for v in (1, 2, 3):
+        now = p.where(F.dayofmonth("date") != 9 + v).withColumn("close", F.when(F.dayofmonth("date") == v, F.col("close") + 1).otherwise(F.col("close")))
+        S.write_patch(now, top, ["symbol", "date"], v)
+        built = S.rebuilt(spark, top, ["symbol", "date"], now.schema, v).groupBy(F.lit(v).alias("version"), (F.year("date") * 100 + F.month("date")).alias("month")).agg(F.count("*").alias("n_rows"), F.sum("volume").alias("volume"))
+        out = built if out is None else out.unionByName(built)
+    return out
+
+
 @query("SELECT event_type, count(*) n, max(floor(value)) ask1, min(floor(value)-1) bid1 FROM events GROUP BY 1")
 def s16_ladder_rows(spark, sf_dir):
     e = fixtures.base(spark, sf_dir, "events")

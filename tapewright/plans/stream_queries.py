@@ -11,6 +11,7 @@ from tapewright.plans import fixtures
 from tapewright.plans.oracle import BARS, TICKS, query
 from tapewright.plans.store_queries import _JOURNAL, scratch
 from tapewright.streaming import events as X
+from tapewright.streaming import orders as O
 
 LAST = "2099-01-01 00:00:00"  # a row after all others lets the watermark pass them; its own window stays open
 
@@ -59,6 +60,19 @@ def t3_late_rows(spark, sf_dir):
     return X.late_rows(e, 3600)
 
 
+_ARRIVALS = 6
+
+
+@query(f"WITH a AS (SELECT ts, event_id*7919%10007%{_ARRIVALS} batch FROM events), e AS (SELECT batch, max(ts) m FROM a GROUP BY 1), w AS (SELECT batch, max(m) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 240 HOUR AS mark FROM e) SELECT count(DISTINCT batch) n_batches, count(*) n, count(*) FILTER (WHERE ts <= mark) n_late FROM a JOIN w USING (batch)")
+def t3_late_in_stream(spark, sf_dir):
+    """The events in batches of arrival through a running stream; what its watermark dropped, by its progress."""
+    e = fixtures.base(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") * 7919 % 10007 % _ARRIVALS).alias("batch"))
+    path = scratch(spark, "arrivals")
+    for k in range(_ARRIVALS):
+        e.where(F.col("batch") == k).coalesce(1).write.mode("append").parquet(path)
+    return X.late_in_stream(X.file_stream(spark, path, e.schema, files_per_trigger=1), "240 hours", scratch(spark, "progress"))
+
+
 @query(TICKS + " SELECT snapshot_date, symbol, count(*) n, max(price) high, min(price) low, CAST(sum(volume) AS BIGINT) volume FROM ticks WHERE ts_hms < 152000 GROUP BY 1,2")
 def t4_running_decision(spark, sf_dir):
     t = replay(spark, ticks(spark, sf_dir)).where("ts_hms < 152000")
@@ -70,9 +84,33 @@ def t4_running_decision(spark, sf_dir):
     f"WITH j AS ({_JOURNAL.format(orders='orders')}), g AS (SELECT intent_id, count(*) FILTER (WHERE kind='SEND') n_sends, max(CASE WHEN kind='BROKER_STATE' THEN outcome END) fin, coalesce(max(filled),0) filled, max(CASE WHEN kind='RESULT' THEN outcome END) res FROM j GROUP BY 1) SELECT intent_id, CASE WHEN fin IS NOT NULL THEN CASE WHEN filled>=100 THEN 'FILLED' WHEN filled>0 THEN 'PARTIAL' WHEN fin='cancelled' THEN 'CANCELLED' ELSE 'UNFILLED' END WHEN res='accepted' THEN 'ACKED' WHEN res='rejected' THEN 'REJECTED' WHEN res IS NULL THEN 'UNKNOWN' ELSE 'NOT_SENT' END status, filled, n_sends FROM g"
 )
 def t5_order_state(spark, sf_dir):
+    """Two events in three come in a first run, the others after a restart from the same progress, so that most intents wait for a while."""
+    return _orders_in_two_runs(spark, sf_dir, "intent_id", "status", "filled", "n_sends")
+
+
+def _orders_in_two_runs(spark: SparkSession, sf_dir: str, *columns: str, events: str = "SELECT * FROM {j}") -> DataFrame:
     o = fixtures.base(spark, sf_dir, "orders").dropDuplicates(["o_orderkey"])
-    stream = G.order_state(replay(spark, spark.sql(_JOURNAL, orders=o)), check_seq=False)
-    return X.drain_updates(stream, scratch(spark, "orders"), ["intent_id"], scratch(spark, "progress"))
+    j = spark.sql(events, j=spark.sql(_JOURNAL, orders=o))
+    first = (F.col("intent_id") + F.col("seq")) % 3 != 0
+    path, top, progress = scratch(spark, "replay"), scratch(spark, "orders"), scratch(spark, "progress")
+    with O.rocks_store(spark):
+        for part in (j.where(first), j.where(~first)):
+            part.write.mode("append").parquet(path)
+            out = X.drain_updates(O.order_states(X.file_stream(spark, path, j.schema)), top, ["intent_id"], progress)
+    return out.select(*columns)
+
+
+# Every 19th intent has its SEND twice, every 23rd lacks its SEND, every 29th fills more than it asked for.
+_BROKEN = "SELECT intent_id, seq, kind, outcome, qty, CASE WHEN intent_id%29=0 AND filled=100 THEN 250 ELSE filled END AS filled FROM {j} WHERE NOT (intent_id%23=0 AND seq=1) UNION ALL SELECT intent_id, seq, kind, outcome, qty, filled FROM {j} WHERE intent_id%19=0 AND seq=1"
+
+
+@query(
+    f"WITH j AS ({_JOURNAL.format(orders='orders')}), b AS ({_BROKEN.format(j='j')}), s AS (SELECT intent_id, count(*) FILTER (WHERE seq=1) n1, max(seq) top, coalesce(bool_or(filled>100),false) AND count(*) FILTER (WHERE seq=1)>0 over_fill FROM b GROUP BY 1) SELECT intent_id, n1>1 OR over_fill corrupt, CASE WHEN n1=0 AND top>1 THEN CAST(1 AS BIGINT) END missing_seq, CASE WHEN n1>1 THEN 'repeated sequence' WHEN over_fill THEN 'fill beyond the quantity' END reason FROM s"
+)
+def t5_order_corruption(spark, sf_dir):
+    """Repeated and missing sequences and impossible fills, over a restart: which intents are corrupt, why, and what the others wait for."""
+    out = _orders_in_two_runs(spark, sf_dir, "intent_id", "status", "missing_seq", "reason", events=_BROKEN)
+    return out.select("intent_id", (F.col("status") == "CORRUPT").alias("corrupt"), "missing_seq", "reason")
 
 
 @query("SELECT event_id, user_id FROM events")

@@ -6,9 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -93,13 +94,18 @@ def ledger_lines(lines: DataFrame, schema: str) -> DataFrame:
     return rows.where("r is not null and r._bad is null").select("r.*").drop("_bad")
 
 
+def row_digest(columns: Sequence[str]) -> Column:
+    """128 bits of a row's values, each with its place and whether it is null."""
+    whole = F.to_json(F.struct(*(F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(columns))))
+    return F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(1), whole).alias("b"))
+
+
 def make_patch(base: DataFrame, now: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(changed or new rows, deleted keys)."""
+    """(changed or new rows, deleted keys). Values are compared column by column; NULL equals NULL alone."""
     values = [c for c in now.columns if c not in keys]
-    h = F.xxhash64(*(F.col(c) for c in values))
-    a, b = base.select(*keys, h.alias("_old")), now.withColumn("_new", h)
+    a, b = base.select(*keys, F.struct(*values).alias("_old"), F.lit(True).alias("_there")), now.withColumn("_new", F.struct(*values))
     j = b.join(a, list(keys), "left")
-    return j.where("_old is null or _old <> _new").drop("_old", "_new"), base.select(*keys).join(now.select(*keys), list(keys), "left_anti")
+    return j.where(F.col("_there").isNull() | ~F.col("_old").eqNullSafe(F.col("_new"))).drop("_old", "_new", "_there"), base.select(*keys).join(now.select(*keys), list(keys), "left_anti")
 
 
 def apply_patch(base: DataFrame, changed: DataFrame, deleted: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -107,6 +113,60 @@ def apply_patch(base: DataFrame, changed: DataFrame, deleted: DataFrame, keys: S
     return base.join(gone, list(keys), "left_anti").unionByName(changed)
 
 
+def _digest(df: DataFrame) -> Row:
+    """Rows and a sum of row digests: equal for equal multisets of rows, whatever their order."""
+    d = row_digest(df.columns)
+    return df.agg(F.count("*").alias("rows"), *(F.sum(d[k].cast("decimal(38,0)")).cast("string").alias(k) for k in ("a", "b"))).first()
+
+
+def write_base(df: DataFrame, top: str, keys: Sequence[str], date: str = "date") -> None:
+    """A table as one folder for each month, rows in the order of the keys, and a manifest of each month's rows and digest.
+
+    A table without the date column, or with a NULL date, is refused.
+    """
+    if date not in df.columns:
+        raise ValueError(f"no {date} column")
+    if df.where(F.col(date).isNull()).head(1):
+        raise ValueError("a row has no date")
+    month = F.year(date) * 100 + F.month(date)
+    df.withColumn("_month", month).repartition("_month").sortWithinPartitions("_month", *keys).write.partitionBy("_month").parquet(f"{top}/base")
+    d = row_digest(df.columns)
+    listed = df.withColumn("_d", d).groupBy(month.alias("month")).agg(F.count("*").alias("rows"), *(F.sum(F.col(f"_d.{k}").cast("decimal(38,0)")).cast("string").alias(k) for k in ("a", "b")))
+    listed.write.parquet(f"{top}/manifest")
+
+
+def read_base(spark: SparkSession, top: str, schema: T.StructType) -> DataFrame:
+    """The base files, once each month's rows and digest are as the manifest says."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("_month", T.IntegerType())])).parquet(f"{top}/base")
+    d = row_digest(schema.names)
+    found = rows.withColumn("_d", d).groupBy(F.col("_month").alias("month")).agg(F.count("*").alias("rows"), *(F.sum(F.col(f"_d.{k}").cast("decimal(38,0)")).cast("string").alias(k) for k in ("a", "b")))
+    listed = spark.read.parquet(f"{top}/manifest")
+    off = listed.join(found, ["month", "rows", "a", "b"], "left_anti").select("month").unionByName(found.join(listed, ["month", "rows", "a", "b"], "left_anti").select("month"))
+    first = off.orderBy("month").first()
+    if first is not None:
+        raise ValueError(f"month {first.month} isn't as the manifest says")
+    return rows.select(*schema.names)
+
+
+def write_patch(now: DataFrame, top: str, keys: Sequence[str], number: int) -> None:
+    """What the base lacks of `now`: changed and new rows, deleted keys, and the digest that a rebuild must give."""
+    changed, deleted = make_patch(read_base(now.sparkSession, top, now.schema), now, keys)
+    changed.write.parquet(f"{top}/patch={number}/rows")
+    deleted.write.parquet(f"{top}/patch={number}/deletes")
+    whole = _digest(now)
+    now.sparkSession.createDataFrame([(whole.rows, whole.a, whole.b)], "rows long, a string, b string").write.parquet(f"{top}/patch={number}/manifest")
+
+
+def rebuilt(spark: SparkSession, top: str, keys: Sequence[str], schema: T.StructType, number: int) -> DataFrame:
+    """Base and patch put together, proven equal to the table that the patch was made of, as a multiset of rows."""
+    at = f"{top}/patch={number}"
+    key_schema = T.StructType([schema[k] for k in keys])
+    out = apply_patch(read_base(spark, top, schema), spark.read.schema(schema).parquet(f"{at}/rows"), spark.read.schema(key_schema).parquet(f"{at}/deletes"), keys).select(*schema.names)
+    if tuple(_digest(out)) != tuple(spark.read.parquet(f"{at}/manifest").select("rows", "a", "b").first()):
+        raise ValueError(f"patch {number} doesn't give the table it was made of")
+    return out
+
+
 def ladder_rows(rows: DataFrame) -> DataFrame:
     """Order-book payloads as a map with its best levels typed."""
     m = F.from_json("payload", "map<string,string>")

@@ -53,6 +53,35 @@ def late_rows(rows: DataFrame, late_seconds: int) -> DataFrame:
     return rows.withColumn("late", late).groupBy("day").agg(F.count("*").alias("n"), F.count_if("late").alias("n_late"))
 
 
+def late_in_stream(batches: DataFrame, late: str, checkpoint: str, key: str = "event_id") -> DataFrame:
+    """One row: the batches of a running stream, its rows, and how many its watermark dropped, by the query's own progress.
+
+    batches: a stream with `ts` and a key, in the order of arrival. The rows go
+    through a keyed state, which counts each row that is behind the watermark.
+    """
+    spark = batches.sparkSession
+    running = batches.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    query = running.writeStream.format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    steps = [p for p in query.recentProgress if p.numInputRows]  # a row for each batch
+    dropped = sum(state.numRowsDroppedByWatermark for p in query.recentProgress for state in p.stateOperators)
+    return spark.createDataFrame([(len(steps), sum(p.numInputRows for p in steps), dropped)], "n_batches long, n long, n_late long")
+
+
+def late_by_batch(rows: DataFrame, late: str) -> DataFrame:
+    """The batch recount: rows at or before the watermark that the batch before theirs ran with. rows: batch, ts.
+
+    A watermark follows a batch's largest time less the delay, and takes effect
+    for late rows one batch later.
+    """
+    from pyspark.sql import Window as W
+
+    ends = rows.groupBy("batch").agg(F.max("ts").alias("end"))  # a row for each batch
+    mark = F.max("end").over(W.orderBy("batch").rowsBetween(W.unboundedPreceding, -2)) - F.expr(f"INTERVAL {late}")
+    marked = rows.join(F.broadcast(ends.select("batch", mark.alias("mark"))), "batch")
+    return marked.agg(F.count_distinct("batch").alias("n_batches"), F.count("*").alias("n"), F.count_if(F.col("ts") <= F.col("mark")).alias("n_late"))
+
+
 def deduplicated(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     """The first of each key inside the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
