@@ -38,29 +38,32 @@ def series_metrics(daily: DataFrame, value: str = "net", by: Sequence[str] = ())
 
 
 def stress(rows: DataFrame, ticks: Sequence[float], least: float = 0.0) -> DataFrame:
-    """Daily-mean metrics at several tick assumptions, and whether each still earns."""
+    """Daily-mean metrics at several tick assumptions, and whether each still earns: its mean and its median day do."""
     table = rows.sparkSession.createDataFrame([(float(t),) for t in ticks], "ticks double")
     net = F.col("gross") - (F.col("tax") + F.col("ticks") * F.col("tick_cost_bp") + F.col("fee")) / 1e4
     daily = rows.crossJoin(F.broadcast(table)).withColumn("net", net).groupBy("ticks", "date").agg(F.avg("net").alias("net"))
-    return series_metrics(daily, by=["ticks"]).withColumn("passes", F.col("mean") > least)
+    return series_metrics(daily, by=["ticks"]).withColumn("passes", (F.col("mean") > least) & (F.col("median") > least))
 
 
-def block_bootstrap(daily: DataFrame, value: str = "net", block: int = 10, reps: int = 500, seed: int = 1, draw: Callable[..., Column] = F.xxhash64) -> DataFrame:
-    """Interval of the mean by moving blocks and the share of means at or below 0.
+def block_bootstrap(daily: DataFrame, value: str = "net", block: int = 10, reps: int = 500, seed: int = 1, draw: Callable[..., Column] = F.xxhash64, by: Sequence[str] = ()) -> DataFrame:
+    """Interval of the mean by moving blocks and the share of means at or below 0, for each group of `by`.
 
-    Blocks are differences of prefix sums: a (rep, block) pair draws its start
-    by hash and joins two rows of the table of dates.
+    Blocks are differences of prefix sums: a (group, rep, block) draws its start
+    by hash and joins two rows of the table of the group's dates. Groups draw
+    alike, so that arms of equal days are resampled together. A series shorter
+    than a block has no row; without groups one of 0 repetitions.
     """
+    keys = list(by)
     x = daily.where(F.col(value).isNotNull())
-    w = one().orderBy("date")
-    sums = x.select(F.row_number().over(w).alias("i"), F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("s"))
-    sums = sums.unionByName(daily.sparkSession.createDataFrame([(0, 0.0)], "i int, s double"))
-    n = x.agg(F.count("*").alias("n"))
-    draws = daily.sparkSession.range(reps).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n)).where(F.col("n") >= block).withColumn("block", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / block).cast("int"))))
+    w = (W.partitionBy(*keys) if keys else one()).orderBy("date")
+    n = x.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= block)
+    sums = x.select(*keys, F.row_number().over(w).alias("i"), F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("s"))
+    sums = sums.unionByName(n.select(*keys, F.lit(0).alias("i"), F.lit(0.0).alias("s")))
+    draws = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("block", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / block).cast("int"))))
     draws = draws.withColumn("start", F.pmod(draw(F.col("rep"), F.col("block"), F.lit(seed)), F.col("n") - block + 1).cast("int"))
-    a, b = sums.toDF("start", "s0"), sums.select((F.col("i") - block).alias("start"), F.col("s").alias("s1"))
-    means = draws.join(F.broadcast(a), "start").join(F.broadcast(b), "start").groupBy("rep").agg((F.sum(F.col("s1") - F.col("s0")) / (F.count("*") * block)).alias("m"))
-    return means.agg(F.count("*").alias("reps"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg((F.col("m") <= 0).cast("double")).alias("p_value"))
+    ends = sums.select(*keys, F.col("i").alias("start"), F.col("s").alias("s0")).join(sums.select(*keys, (F.col("i") - block).alias("start"), F.col("s").alias("s1")), [*keys, "start"])
+    means = draws.join(ends, [*keys, "start"]).groupBy(*keys, "rep").agg((F.sum(F.col("s1") - F.col("s0")) / (F.count("*") * block)).alias("m"))
+    return means.groupBy(*keys).agg(F.count("*").alias("reps"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg((F.col("m") <= 0).cast("double")).alias("p_value"))
 
 
 def deflated_sharpe(daily: DataFrame, trials: int, value: str = "net", sharpe_std: float = 0.05) -> DataFrame:
@@ -172,11 +175,6 @@ def paired(rows: DataFrame, delta: Column, by: Sequence[str] = ()) -> DataFrame:
     return d.withColumn("t_paired", F.col("mean_delta") / F.nullif("_s", F.lit(0.0)) * F.sqrt("n")).withColumn("mde", z * F.col("_s") / F.sqrt("n")).drop("_s")
 
 
-def age_weight(date: Column, as_of: Column, half_life: float) -> Column:
-    """E17"""
-    return F.pow(F.lit(0.5), F.datediff(as_of, date) / half_life)
-
-
 def trial_leaderboard(trials: DataFrame) -> DataFrame:
     """The latest record of each trial, ordered by its Sharpe, with the number of trials beside it."""
     latest = trials.groupBy("trial").agg(F.max_by(F.struct("n", "mean", "sharpe"), F.struct("recorded", "seq")).alias("_r")).select("trial", "_r.*")

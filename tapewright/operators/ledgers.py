@@ -303,11 +303,3 @@ def completeness_matrix(cal: DataFrame, artifacts: DataFrame, kinds: Sequence[st
 def manifest_reasons(entries: DataFrame) -> DataFrame:
     """Entries that aren't COMPLETE by reason."""
     return entries.where("status <> 'COMPLETE'").groupBy("status", "reason").agg(F.count("*").alias("n"))
-
-
-def attribution(pool: DataFrame) -> DataFrame:
-    """By day: the picks' mean, the pool's, the rest's, and how many results are pending."""
-    g = pool.groupBy("date").agg(F.avg(F.when(F.col("selected"), F.col("net"))).alias("picks"), F.avg("net").alias("pool"), F.avg(F.when(~F.col("selected"), F.col("net"))).alias("rest"), F.count_if(F.col("net").isNull()).alias("n_pending"))
-    return g.withColumn("edge", F.col("picks") - F.col("pool"))
-
-

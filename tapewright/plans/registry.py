@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.plans import bar_queries, feature_queries, model_queries, oracle, panel_queries, selection_queries, store_queries, stream_queries  # noqa: F401  the modules register their queries
+from tapewright.plans import bar_queries, evidence_queries, feature_queries, model_queries, oracle, panel_queries, selection_queries, store_queries, stream_queries  # noqa: F401  the modules register their queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -290,7 +290,7 @@ def e2_yearly_metrics(spark, sf_dir):
 
 @query(
     POOL
-    + f", st AS (SELECT ticks, date, avg(gross-({tax('date')}+ticks*tick_cost_bp+0.72792e0)/1e4) net FROM picks, (VALUES (2e0),(3e0),(4e0)) t(ticks) GROUP BY 1,2), s2 AS (SELECT * FROM st WHERE net IS NOT NULL) SELECT ticks, {metrics()}, avg(net) > 0 AS passes FROM s2 GROUP BY ticks"
+    + f", st AS (SELECT ticks, date, avg(gross-({tax('date')}+ticks*tick_cost_bp+0.72792e0)/1e4) net FROM picks, (VALUES (2e0),(3e0),(4e0)) t(ticks) GROUP BY 1,2), s2 AS (SELECT * FROM st WHERE net IS NOT NULL) SELECT ticks, {metrics()}, avg(net) > 0 AND quantile_cont(net,0.5) > 0 AS passes FROM s2 GROUP BY ticks"
 )
 def e3_cost_stress(spark, sf_dir):
     rows = picked(spark, sf_dir).withColumn("tax", M.tax_bp(F.col("date"))).withColumn("fee", F.lit(M.FEE_BP))
@@ -431,11 +431,6 @@ def e16_paired_test(spark, sf_dir):
     return out.select("n", F.round("mean_delta", 6).alias("mean_delta"), F.round("win_rate", 6).alias("win_rate"), F.round("t_paired", 4).alias("t_paired"), F.round("mde", 5).alias("mde"))
 
 
-@query(PREP + f" SELECT date, {r("pow(0.5e0,(DATE '2025-12-31'-date)/365e0)")} AS weight FROM cal")
-def e17_age_weights(spark, sf_dir):
-    return rounded(calendar(spark, sf_dir).select("date", E.age_weight(F.col("date"), F.lit("2025-12-31").cast("date"), 365.0).alias("weight")))
-
-
 @query(
     POOL
     + f", tr AS (SELECT CAST(symbol AS INT)%9 AS trial, CAST(year(date) AS INT) recorded, avg(net) m, stddev(net) s, count(net) n FROM pool WHERE net IS NOT NULL GROUP BY 1,2), la AS (SELECT trial, arg_max(n,recorded) n, arg_max(m,recorded) m, arg_max(m/nullif(s,0),recorded) sh FROM tr GROUP BY 1) SELECT trial, n, {r('m')} AS mean, {r('sh')} sharpe, count(*) OVER () n_trials, row_number() OVER (ORDER BY sh DESC NULLS LAST, trial) place FROM la"

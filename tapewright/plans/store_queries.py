@@ -460,17 +460,6 @@ def g10_shadow_ledger(spark, sf_dir):
     return rounded(G.shadow_ledger(G.decision_returns(picked(spark, sf_dir)).drop("gross")).select("date", "k3", "k2", "gate_open", "gated"))
 
 
-@query(POOL + f", m AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY pred DESC, symbol)<=3 sel FROM pool) SELECT date, {r('avg(CASE WHEN sel THEN net END)')} picks, {r('avg(net)')} AS pool, count(*) FILTER (WHERE net IS NULL) n_pending FROM m GROUP BY date")
-def g11_attribution(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    from tapewright.plans.selection_queries import pooled
-
-    p = pooled(spark, sf_dir)
-    marked = p.withColumn("selected", F.row_number().over(W.partitionBy("date").orderBy(F.desc("pred"), "symbol")) <= 3)
-    return rounded(G.attribution(marked).select("date", "picks", "pool", "n_pending"))
-
-
 _LOG = "SELECT lpad(CAST(user_id%40 AS {text}),6,'0') AS symbol, CAST('2024-01-05' AS DATE) AS day, event_type AS session, CAST(ts AS DATE) AS run_day, CASE WHEN value>150 THEN 'DONE' WHEN value>60 THEN 'PARTIAL' ELSE 'FAILED' END AS status, event_id AS seq FROM {events}"
 
 
