@@ -95,21 +95,6 @@ def test_vendor_text_that_is_no_number_is_null(spark):
     assert (r.symbol, r.ts_hms, r.open, r.high, r.volume, r.value_krw, r.has_trade, r.vendor) == ("005930", 90100, None, 10.0, None, None, False, "dbsec")
 
 
-def test_past_means_fold_each_history_once(spark):
-    rng = random.Random(3)
-    rows = [(DAY0 + dt.timedelta(d), s, None if rng.random() < 0.2 else rng.uniform(0.2, 0.9)) for s in "ab" for d in sorted(rng.sample(range(60), 25))]
-    got = {(r.symbol, r.snapshot_date): r for r in B.ewma_prediction(spark.createDataFrame(rows, "snapshot_date date, symbol string, proxy double"), 0.3).collect()}
-    for s in "ab":
-        mean, n, last = None, 0, None
-        for day, _, x in sorted(r for r in rows if r[1] == s):
-            r = got[s, day]
-            fine = n >= 3 and last and (day - last).days <= 10
-            assert r.n_past == n and (r.prediction == pytest.approx(mean) if fine else r.prediction is None)
-            if x is not None:
-                mean, n = x if mean is None else 0.3 * x + 0.7 * mean, n + 1
-            last = day
-
-
 def test_auction_fills_by_hand(spark):
     at = lambda h: dt.datetime(2024, 1, 2, h)
     orders = spark.createDataFrame([("a", "auction_close", at(15)), ("b", "auction_close", at(15)), ("c", "auction_open", at(8)), ("d", "auction_open", at(8)), ("e", "auction_close", at(15))], "order_id string, rule string, placed_at timestamp")
