@@ -105,18 +105,24 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.
     return sequence, offset
 
 
+def _dealt(items: DataFrame, columns: list[str]) -> DataFrame:
+    """items with g: groups of about GROUP rows by hash of the id columns; rows that repeat more often than half a group holds are dealt by their place in the table, too."""
+    sizes = items.groupBy(*columns).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    groups = -(-(sizes.n or 0) // GROUP) or 1
+    place = [F.monotonically_increasing_id()] if (sizes.most or 0) > GROUP // 2 else []
+    return items.withColumn("g", F.pmod(F.xxhash64(*columns, *place, F.lit(3)), F.lit(groups)))
+
+
 def _packed(items: DataFrame, capacity: int, columns: list[str]) -> DataFrame:
-    """items (id columns, length) with sequence and offset, packed in groups of about GROUP by hash of the id columns."""
-    groups = -(-items.count() // GROUP) or 1
+    """items (id columns, length) with sequence and offset, packed in groups."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(columns, kind="stable")
         sequence, offset = pack(group["length"].to_numpy(), capacity)
         return group.assign(sequence=sequence + (int(group["g"].iloc[0]) << 32), offset=offset).drop(columns="g")
 
-    dealt = items.withColumn("g", F.pmod(F.xxhash64(*columns, F.lit(3)), F.lit(groups)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
-    return dealt.groupBy("g").applyInPandas(run, f"{schema}, sequence long, offset long")
+    return _dealt(items, columns).groupBy("g").applyInPandas(run, f"{schema}, sequence long, offset long")
 
 
 def best_fit(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

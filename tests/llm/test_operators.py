@@ -502,3 +502,17 @@ def test_pack_pairs_large_pieces():
     for s in set(sequence.tolist()):
         own = lengths[sequence == s]
         assert own.sum() <= 2048 and (own > 2048 / 3).sum() <= 2
+
+
+def test_packing_deals_repeated_rows_over_groups(spark, monkeypatch):
+    """A third of all rows alike, without id and text: no group takes them all."""
+    monkeypatch.setattr(packing, "GROUP", 200)
+    df = spark.range(0, 1800, 1, 6).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("a word "), F.col("id").cast("string"))).alias("text"))
+    items = packing.pieces(df, None, packing.CAPACITY)
+    sizes = [r["count"] for r in packing._dealt(items, ["doc_id", "piece", "ids_crc32"]).groupBy("g").count().collect()]
+    assert len(sizes) == 9 and sum(sizes) == 1800 and max(sizes) < 300
+    out = packing.best_fit(df).collect()
+    assert len(out) == 1800
+    ends = sorted((r.sequence_id, r.offset, r.length) for r in out)
+    for (a, at, n), (b, then, _) in zip(ends, ends[1:], strict=False):
+        assert then == (at + n if a == b else 0)
