@@ -22,7 +22,7 @@ def _ladder(price: Column, steps: tuple, top: int) -> Column:
     out = F.lit(float(top))
     for bound, tick in reversed(steps):
         out = F.when(price < bound, F.lit(float(tick))).otherwise(out)
-    return F.when(price.isNotNull(), out)
+    return F.when(price > 0, out)
 
 
 def tick_size(price: Column, market: Column, date: Column) -> Column:

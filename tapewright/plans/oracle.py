@@ -37,7 +37,7 @@ def r(sql: str, digits: int = 6) -> str:
 
 
 def _ladder(price: str, steps: tuple, top: int) -> str:
-    return "CASE " + " ".join(f"WHEN {price} < {b} THEN {float(t)}e0" for b, t in steps) + f" ELSE {float(top)}e0 END"
+    return f"CASE WHEN NOT coalesce({price} > 0, false) THEN NULL " + " ".join(f"WHEN {price} < {b} THEN {float(t)}e0" for b, t in steps) + f" ELSE {float(top)}e0 END"
 
 
 def tick(price: str, market: str, date: str) -> str:
