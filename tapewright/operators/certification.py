@@ -22,12 +22,13 @@ EULER = 0.5772156649015329
 
 
 def rank_correlation(rows: DataFrame, score: str, target: str, by: Sequence[str], least: int) -> DataFrame:
-    """by, ic: Spearman over rows with both values; NULL with fewer than `least` of them or without spread."""
+    """by, ic: Spearman over rows with both values; no row with fewer than `least` of them or without spread."""
     x = rows.select(*by, clean(F.col(score).cast("double")).alias("_s"), clean(F.col(target).cast("double")).alias("_t"))
     known = x.where("_s is not null and _t is not null")
     ranked = known.withColumn("_a", pct_rank_avg(F.col("_s"), by)).withColumn("_b", pct_rank_avg(F.col("_t"), by))
-    spread = (F.count("*") >= least) & (F.min("_a") < F.max("_a")) & (F.min("_b") < F.max("_b"))
-    return ranked.groupBy(*by).agg(F.when(spread, F.corr("_a", "_b")).alias("ic"))
+    w = W.partitionBy(*by)
+    spread = (F.count("*").over(w) >= least) & (F.min("_a").over(w) < F.max("_a").over(w)) & (F.min("_b").over(w) < F.max("_b").over(w))
+    return ranked.withColumn("_k", spread).where("_k").groupBy(*by).agg(F.corr("_a", "_b").alias("ic"))
 
 
 def certification_daily(rows: DataFrame, reference: str, k: int, least_names: int = 5) -> DataFrame:

@@ -149,13 +149,13 @@ def test_fill_decision_makes_no_pairs(spark):
 
 def test_whole_tables_are_ordered_audited_and_run(spark):
     events = fixtures.base(spark, DIR, "events")
-    assert QUERIES["g8_fill_decision_all"](spark, DIR).count() == events.count()
+    assert QUERIES["g8_fill_decision"](spark, DIR).count() == events.count()
     days = {(r[0], r[1]) for r in events.select("event_type", F.to_date("ts")).distinct().collect()}
-    assert sum(r.length for r in QUERIES["g17_streaks_all"](spark, DIR).collect()) == len(days)
+    assert sum(r.length for r in QUERIES["g17_streaks"](spark, DIR).collect()) == len(days)
     runs, due = collections.defaultdict(list), {(k, dt.datetime(d.year, d.month, d.day, 9)) for k, d in days}
     for r in events.select("event_type", "ts", "event_id").collect():
         runs[r.event_type].append((r.ts.replace(tzinfo=None), r.event_id))
-    for r in QUERIES["g18_job_lateness_all"](spark, DIR).collect():
+    for r in QUERIES["g18_job_lateness"](spark, DIR).collect():
         until = min((d for k, d in due if k == r.job and d > r.due_at), default=r.due_at + dt.timedelta(days=1))
         assert (r.state == "MISSING") == (not any(r.due_at <= t < until for t, _ in runs[r.job]))
 
