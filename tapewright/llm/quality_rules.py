@@ -1,7 +1,9 @@
 """Operator 5, quality rules: an isolation forest on rule statistics.
 
-The forest is grown on SAMPLE documents at most (the least hashes of their
-ids), TREES trees of LEAVES documents each; a split takes a random statistic
+The forest is TREES trees of LEAVES documents each, every tree's drawn from the
+whole table: documents in the order of a hash of their ids are dealt LEAVES to a
+tree, so no document is in two trees while there are enough for all (with fewer,
+each tree draws from all). A split takes a random statistic
 and a random value between the least and the greatest at the node. A document
 is the more odd, the shorter its mean path. The path length at which documents
 are rejected is calibrated on all rows with labels: it gives the greatest
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from tapewright.llm.common import kept, least_hashed
 from tapewright.llm.statistics import NAMES, matrix, shares, statistics
 
-TREES, LEAVES, SAMPLE, SEED = 200, 256, 20_000, 11
+TREES, LEAVES, SEED = 200, 256, 11
 GOOD = 4.0
 #: Which of the shares are rule statistics.
 RULES = (0, 1, 2, 6, 8, 9)
@@ -42,7 +44,10 @@ def grow(points: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray,
     size = 2 ** (depth + 1) - 1
     which, value, path = np.full((TREES, size), -1, np.int16), np.zeros((TREES, size)), np.zeros((TREES, size))
     for tree in range(TREES):
-        own = points[rng.choice(len(points), min(LEAVES, len(points)), replace=False)] if len(points) else points
+        if len(points) >= TREES * LEAVES:
+            own = points[tree * LEAVES : (tree + 1) * LEAVES]
+        else:
+            own = points[rng.choice(len(points), min(LEAVES, len(points)), replace=False)] if len(points) else points
         stack = [(0, own, 0)]
         while stack:
             node, here, level = stack.pop()
@@ -111,8 +116,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     without labels of bad documents only the base rule rejects.
     """
     stats = kept(statistics(docs), "statistics")
-    sample = least_hashed(stats, SAMPLE, SEED, *NAMES).select(*NAMES).toPandas()  # SAMPLE rows of counts
-    forest = grow(shares(sample.to_numpy(np.int64).reshape(-1, len(NAMES)))[:, RULES])
+    drawn = least_hashed(stats, TREES * LEAVES, SEED, *NAMES).select(*NAMES).toPandas()  # LEAVES rows of counts for each tree
+    forest = grow(shares(drawn.to_numpy(np.int64).reshape(-1, len(NAMES)))[:, RULES])
     scored = kept(_scored(stats, forest), "scored")
     limit = threshold(scored, labels)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
