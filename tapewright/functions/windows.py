@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -19,6 +19,27 @@ def trailing(value: Column, rows: int, how: Callable[[Column], Column], least: i
     return F.when(F.count(value).over(frame) >= least, how(value).over(frame))
 
 
+def with_extremes(rows: DataFrame, wanted: Mapping[str, tuple[str, Callable[..., Column]]], length: int, least: int) -> DataFrame:
+    """rows with a column name -> (column, F.greatest or F.least) over the `length` rows up to and with the current one; NULL with fewer than `least` values.
+
+    Extremes of twice as many rows come from two extremes of half as many, so a
+    row costs steps by the logarithm of `length`, not `length` of them; counts are
+    differences of running counts. All windows have one order: rows are sorted once.
+    """
+    w = by_symbol()
+    for column in dict.fromkeys(c for c, _ in wanted.values()):
+        rows = rows.withColumn(f"_n_{column}", F.count(column).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    for name, (column, _) in wanted.items():
+        rows = rows.withColumn(name, F.col(column))
+    covered = 1
+    while covered < length:
+        step = min(covered, length - covered)
+        rows = rows.withColumns({name: pick(F.col(name), F.lag(name, step).over(w)) for name, (_, pick) in wanted.items()})
+        covered += step
+    enough = {c: F.col(f"_n_{c}") - F.coalesce(F.lag(f"_n_{c}", length).over(w), F.lit(0)) >= least for c, _ in wanted.values()}
+    return rows.withColumns({name: F.when(enough[c], F.col(name)) for name, (c, _) in wanted.items()}).drop(*(f"_n_{c}" for c in enough))
+
+
 def forward_fill(value: Column, over: WindowSpec | None = None) -> Column:
     """The last value that isn't null, up to the row itself."""
     return F.last(value, ignorenulls=True).over((over or by_symbol()).rowsBetween(W.unboundedPreceding, 0))

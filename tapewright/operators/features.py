@@ -12,8 +12,9 @@ from pyspark.sql import Window as W
 
 from tapewright.functions import market as M
 from tapewright.functions.checks import ContractError, unique
-from tapewright.functions.windows import by_symbol, clip, pct_rank_avg, trailing
+from tapewright.functions.windows import by_symbol, clip, pct_rank_avg, trailing, with_extremes
 from tapewright.operators.calendar import asof_join
+from tapewright.sources.stores import shared_path
 
 UP = 0.05
 
@@ -97,7 +98,7 @@ def trailing_features(panel: DataFrame) -> DataFrame:
     p = p.withColumn("_tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc"))))
     p = p.withColumn("_illiq", F.abs("_r") / F.nullif("tv_clean", F.lit(0.0))).withColumn("_upday", (F.coalesce(F.col("_r") > 0, F.lit(False))).cast("double"))
     flow_mean, flow_std = roll("inst_netbuy", 20, F.avg), roll("inst_netbuy", 20, F.stddev)
-    out = p
+    out = with_extremes(p, {"_high": ("high", F.greatest), "_low": ("low", F.least)}, 252, LEAST[252])
     for n in (5, 20, 60):
         out = out.withColumn(f"t_ret{n}", F.col("close") / F.lag("close", n).over(w) - 1)
     return (
@@ -107,14 +108,14 @@ def trailing_features(panel: DataFrame) -> DataFrame:
         .withColumn("t_vol20", roll("_r", 20, F.stddev))
         .withColumn("t_vol60", roll("_r", 60, F.stddev))
         .withColumn("t_atr14", roll("_tr", 14, F.avg) / F.col("close"))
-        .withColumn("t_high252", F.col("close") / roll("high", 252, F.max) - 1)
-        .withColumn("t_low252", F.col("close") / roll("low", 252, F.min) - 1)
+        .withColumn("t_high252", F.col("close") / F.col("_high") - 1)
+        .withColumn("t_low252", F.col("close") / F.col("_low") - 1)
         .withColumn("t_volume_ratio", F.col("volume") / F.nullif(roll("volume", 20, F.avg), F.lit(0.0)))
         .withColumn("t_amihud20", roll("_illiq", 20, F.avg))
         .withColumn("t_flow_z", clip((F.col("inst_netbuy") - flow_mean) / F.nullif(flow_std, F.lit(0.0)), -5, 5))
         .withColumn("t_up_ratio", roll("_upday", 20, F.avg))
         .withColumn("t_gap_mean", roll("_gap", 20, F.avg))
-        .drop("_pc", "_r", "_gap", "_tr", "_illiq", "_upday")
+        .drop("_pc", "_r", "_gap", "_tr", "_illiq", "_upday", "_high", "_low")
     )
 
 
@@ -315,17 +316,20 @@ def pair_correlations(panel: DataFrame, year: int, days: int = 550, least: int =
     return return_correlations(window_returns(panel, year, days), least)
 
 
-def correlation_rows(r: DataFrame, names: Sequence[str]) -> DataFrame:
-    """symbol, features: each name's correlations with all names, sparse; 1 with itself, 0 where there is none."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+def correlation_rows(r: DataFrame, names: DataFrame) -> DataFrame:
+    """symbol, features: each name's correlations with all names, in their order; 1 with itself, 0 where there is none."""
+    from pyspark.ml.functions import array_to_vector
 
-    index = F.broadcast(r.sparkSession.createDataFrame(list(zip(names, range(len(names)), strict=True)), "symbol string, at int"))
-    c = return_correlations(r.join(index, "symbol", "left_semi")).where("corr is not null and not isnan(corr) and corr <> 0").select("a", "b", "corr")
-    own = index.select(F.col("symbol").alias("a"), F.col("symbol").alias("b"), F.lit(1.0).alias("corr"))
+    placed = names.select("symbol", (F.row_number().over(W.partitionBy(F.lit(1)).orderBy("symbol")) - 1).alias("at"))  # a row for each name
+    c = return_correlations(r.join(names.select("symbol"), "symbol", "left_semi")).where("corr is not null and not isnan(corr)").select("a", "b", "corr")
+    own = names.select(F.col("symbol").alias("a"), F.col("symbol").alias("b"), F.lit(1.0).alias("corr"))
     whole = c.unionByName(c.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")).unionByName(own)
-    size = len(names)
-    vector = F.udf(lambda x: SparseVector(size, [p.at for p in x], [p.corr for p in x]), VectorUDT())
-    return whole.join(index.withColumnRenamed("symbol", "b"), "b").groupBy(F.col("a").alias("symbol")).agg(vector(F.sort_array(F.collect_list(F.struct("at", "corr")))).alias("features"))
+    found = whole.join(placed.withColumnRenamed("symbol", "b"), "b").groupBy(F.col("a").alias("symbol")).agg(F.sort_array(F.collect_list(F.struct("at", "corr"))).alias("_h"))
+    # Zeros fill the places between a found one and the one before it, and those after the last.
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("_h"), i - 1)["at"])
+    filled = F.flatten(F.transform("_h", lambda x, i: F.concat(F.array_repeat(F.lit(0.0), x["at"] - before(i) - 1), F.array(x["corr"]))))
+    after = F.array_repeat(F.lit(0.0), F.lit(names.count() - 1) - F.element_at("_h", -1)["at"])
+    return found.select("symbol", array_to_vector(F.concat(filled, after)).alias("features"))
 
 
 def sector_clusters(panel: DataFrame, k: int = 20, seed: int = 7, days: int = 550, least: int = 120) -> DataFrame:
@@ -339,10 +343,12 @@ def sector_clusters(panel: DataFrame, k: int = 20, seed: int = 7, days: int = 55
     symbols, out = panel.select("symbol").distinct(), None
     for (year,) in panel.select(F.year("date")).distinct().sort(F.year("date")).collect():
         r = window_returns(panel, year, days)
-        names = [x.symbol for x in r.groupBy("symbol").count().where(F.col("count") >= least).orderBy("symbol").collect()]
+        names = r.groupBy("symbol").count().where(F.col("count") >= least).select("symbol")
         of_year = symbols.select(F.lit(year).alias("year"), "symbol")
-        if names and len(names) >= k:
-            rows = correlation_rows(r, names).orderBy("symbol").cache()
+        if names.count() >= max(k, 1):
+            path = shared_path(panel.sparkSession, "correlations")
+            correlation_rows(r, names).write.parquet(path)
+            rows = panel.sparkSession.read.parquet(path).orderBy("symbol")  # the fit keeps them while it lasts
             found = KMeans(k=k, seed=seed).fit(rows).transform(rows).select("symbol", F.col("prediction").cast("int").alias("cluster"))
             of_year = of_year.join(found, "symbol", "left").select("year", "symbol", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
         else:
@@ -373,16 +379,16 @@ def scenario_frame(panel: DataFrame) -> DataFrame:
     ratio = lambda a, b: a / F.nullif(b, F.lit(0.0))
     roll = lambda c, n, f, least: trailing(F.col(c), n, f, least, lag=0)
     p = panel.withColumn("_pc", F.lag("close").over(w)).withColumn("_ma120", roll("close", 120, F.avg, 60))
-    p = p.withColumn("_at_limit", M.is_ceiling(M.change_ratio(F.col("close"), F.col("_pc")), F.col("close"), F.col("high")))
+    p = with_extremes(p, {"_high": ("high", F.greatest)}, 252, 60).withColumn("_at_limit", M.is_ceiling(M.change_ratio(F.col("close"), F.col("_pc")), F.col("close"), F.col("high")))
     return (
         p.withColumn("vol_ratio_5_20", ratio(roll("volume", 5, F.avg, 3), roll("volume", 20, F.avg, 10)))
         .withColumn("dist_ma20", ratio(F.col("close"), roll("close", 20, F.avg, 10)) - 1)
-        .withColumn("high_252d_ratio", ratio(F.col("close"), roll("high", 252, F.max, 60)))
+        .withColumn("high_252d_ratio", ratio(F.col("close"), F.col("_high")))
         .withColumn("close_pos", ratio(F.col("close") - F.col("low"), F.col("high") - F.col("low")))
         .withColumn("change_rate", F.col("chg_ratio") * 100)
         .withColumn("ma120_breakout", F.coalesce((F.col("_pc") <= F.lag("_ma120").over(w)) & (F.col("close") > F.col("_ma120")), F.lit(False)))
         .withColumn("prev_ceiling", F.coalesce(F.lag("_at_limit").over(w), F.lit(False)))
-        .drop("_pc", "_ma120", "_at_limit")
+        .drop("_pc", "_ma120", "_at_limit", "_high")
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import market as M
 from tapewright.functions.checks import ContractError, require, split_by_reason, unique
-from tapewright.functions.windows import clip, pct_rank_avg, product_after, trailing
+from tapewright.functions.windows import clip, pct_rank_avg, product_after, trailing, with_extremes
 from tapewright.operators import calendar as C
 from tapewright.operators import features as X
 from tapewright.operators import ledgers as G
@@ -175,8 +175,23 @@ def test_sector_clusters_use_whole_rows_of_every_year(spark):
         assert {got[y, s] for s in names} == {0, 1} and all(got[y, s] == got[y, f"{int(s) % 2:02}"] for s in names)
     first = {s: [math.log(c / q) for d, x, c, q in rows if x == s and d.year == 2021] for s in names}
     want = np.corrcoef([first[s] for s in names])
-    vectors = {r.symbol: r.features.toArray() for r in X.correlation_rows(X.window_returns(p, 2022), names).collect()}
+    vectors = {r.symbol: r.features.toArray() for r in X.correlation_rows(X.window_returns(p, 2022), spark.createDataFrame([(s,) for s in names], "symbol string")).collect()}
     assert np.allclose([vectors[s] for s in names], want)
+    apart = spark.createDataFrame([(dt.date(2021, 1, 1 + d), s, float(1 + d * (2 if s == "b" else 3) % 5)) for d in range(5) for s in ("b", "d")] + [(dt.date(2021, 2, 1), s, 1.0) for s in ("a", "c", "e")], "date date, symbol string, r double")
+    alone = {r.symbol: r.features.toArray().round(6).tolist() for r in X.correlation_rows(apart, apart.select("symbol").distinct()).collect()}
+    c = round(float(np.corrcoef([1 + d * 2 % 5 for d in range(5)], [1 + d * 3 % 5 for d in range(5)])[0, 1]), 6)
+    assert alone == {"a": [1, 0, 0, 0, 0], "b": [0, 1, 0, c, 0], "c": [0, 0, 1, 0, 0], "d": [0, c, 0, 1, 0], "e": [0, 0, 0, 0, 1]}
+
+
+def test_extremes_equal_sliding_windows(spark):
+    rng = random.Random(4)
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=d), s, None if rng.random() < 0.3 else rng.random()) for s in ("a", "b") for d in range(70)]
+    p = spark.createDataFrame(rows, "date date, symbol string, x double")
+    for length in (1, 2, 7, 32, 60):
+        got = with_extremes(p, {"top": ("x", F.greatest), "low": ("x", F.least)}, length, min(length, 5))
+        want = p.withColumn("top", trailing(F.col("x"), length, F.max, min(length, 5), lag=0)).withColumn("low", trailing(F.col("x"), length, F.min, min(length, 5), lag=0))
+        key = lambda df: sorted(str((r.symbol, r.date, r.x, r.top, r.low)) for r in df.select("symbol", "date", "x", "top", "low").collect())
+        assert key(got) == key(want)
 
 
 def test_masking(spark):
