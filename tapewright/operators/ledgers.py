@@ -9,9 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tapewright.functions import market as M
+from tapewright.sources.stores import shared_path
 
 
 def order_state(events: DataFrame, check_seq: bool = True) -> DataFrame:
@@ -127,68 +129,100 @@ def _fill_side(values: np.ndarray, start: np.ndarray, side: np.ndarray, limit: n
     return np.where(side < 0, _first_within(-high, start, -limit), _first_within(low, start, np.where(side == 0, np.inf, limit)))
 
 
+def _seek(asks: DataFrame, nodes: DataFrame, keys: Sequence[str], after: str) -> DataFrame:
+    """asks with the other columns of the first node beyond `after`, of those with the same keys, that suits kind and limit; NULL if there is none.
+
+    nodes: keys, place, low, high and others.
+    """
+    held, carried = asks.columns, [c for c in nodes.columns if c not in (*keys, "low", "high")]
+
+    def first(asked, there):
+        there = there.sort_by("place")
+        found = _fill_side((there["low"].to_numpy(), there["high"].to_numpy()), np.searchsorted(there["place"].to_numpy(), asked[after].to_numpy(), side="right"), asked["kind"].to_numpy(), asked["limit"].to_numpy())
+        take = pa.array(found, mask=found >= there.num_rows)
+        return pa.table({c: asked[c] for c in held} | {c: there[c].take(take) for c in carried})
+
+    schema = T.StructType([*asks.schema.fields, *(nodes.schema[c] for c in carried)])
+    named = nodes.withColumnsRenamed({k: f"of_{k}" for k in keys})  # both sides may come from one table
+    return asks.groupBy(*keys).cogroup(named.groupBy(*(f"of_{k}" for k in keys))).applyInArrow(first, schema)
+
+
 def fill_decision(orders: DataFrame, prints: DataFrame, rows: int = 4000) -> DataFrame:
     """The first print after placement that the order's rule lets fill it.
 
     orders: order_id, symbol, side, placed_at, rule, limit_price. A market order
     takes any print, a limit buy one at or under its limit, a sell at or over.
-
-    Symbols are cut into slices of time of about `rows` prints. An order is
-    settled in its own slice; if that has no print for it, the least and
-    highest prices of the slices tell which later one has, and there
-    only the distinct limits are settled. So no pair of an order and a print is
-    made. The driver holds a row for each slice.
+    Without a symbol, a time, a side or a limit (NULL or NaN) an order has no print.
+
+    Orders and prints are put in one order of symbol and time over ranges of
+    about equal size, cut into slices of `rows`, however many fall in a moment.
+    A task settles what finds its print in its slice. For the rest the least and
+    highest prices of slices tell the slice in the same range, those of ranges
+    the range and then its slice, and there only distinct limits are settled. So
+    no pair of an order and a print is made, and no row comes to the driver.
     """
+    spark = orders.sparkSession
+    limit = F.nanvl(F.col("limit_price").cast("double"), F.lit(None).cast("double"))
     kind = F.when(F.col("rule") == "market", 0).when(F.col("side") == "buy", 1).when(F.col("side") == "sell", -1)
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    size = prints.agg(F.count("*").alias("n"), F.min(micros("printed_at")).alias("lo"), F.max(micros("printed_at")).alias("hi"), F.approx_count_distinct("symbol").alias("k")).first()
-    many = max(1, size.n // (rows * max(size.k, 1)))
-    lo, width = size.lo or 0, max(1, -(-((size.hi or 0) - (size.lo or 0) + 1) // many))
-    slice_ = lambda c: F.least(F.greatest(F.floor((micros(c) - lo) / width), F.lit(0)), F.lit(many - 1)).cast("int")
     kinds = dict(prints.select("printed_at", "print_id", "price").dtypes) | dict(orders.select("order_id").dtypes)
-    p = prints.select("symbol", slice_("printed_at").alias("slice"), "printed_at", "print_id", "price").where("printed_at is not null")
     null = lambda c: F.lit(None).cast(kinds[c]).alias(c)
-    # Without a side, a limit or a time an order has no print.
-    able = orders.where(kind.isNotNull() & F.col("placed_at").isNotNull() & (F.col("limit_price").isNotNull() | (kind == 0)))
-    o = able.select("symbol", slice_("placed_at").alias("slice"), F.col("placed_at").cast(kinds["printed_at"]).alias("printed_at"), null("print_id"), null("price"), "order_id", kind.alias("kind"), F.coalesce(F.col("limit_price").cast("double"), F.lit(0.0)).alias("limit"))
-    as_print = lambda df: df.select("symbol", "slice", "printed_at", "print_id", "price", null("order_id"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("double").alias("limit"))
-
-    def settle(table):
-        is_print = pc.is_null(table["kind"])
-        prints_, orders_ = table.filter(is_print).sort_by([("printed_at", "ascending"), ("print_id", "ascending")]), table.filter(pc.invert(is_print))
-        at = lambda t: t["printed_at"].cast(pa.int64()).to_numpy()
-        price = prints_["price"].cast(pa.float64()).to_numpy()
-        values = np.where(np.isnan(price), np.inf, price), np.where(np.isnan(price), -np.inf, price)
-        placed = np.where(pc.is_null(orders_["printed_at"]).to_numpy(), np.iinfo(np.int64).min, orders_["printed_at"].cast(pa.int64()).fill_null(0).to_numpy())
-        found = _fill_side(values, np.searchsorted(at(prints_), placed, side="right"), orders_["kind"].to_numpy(), orders_["limit"].to_numpy())
-        take = pa.array(found, mask=found >= len(price))
-        return pa.table({"symbol": orders_["symbol"], "slice": orders_["slice"], "order_id": orders_["order_id"], "kind": orders_["kind"], "limit": orders_["limit"], "filled": pa.array(found < len(price)), "printed_at": prints_["printed_at"].take(take), "price": prints_["price"].take(take)})
-
-    schema = f"symbol string, slice int, order_id {kinds['order_id']}, kind int, limit double, filled boolean, printed_at {kinds['printed_at']}, price {kinds['price']}"
-    own = as_print(p).unionByName(o).groupBy("symbol", "slice").applyInArrow(settle, schema)
-
-    slices = p.groupBy("symbol", "slice").agg(F.coalesce(F.min(F.col("price").cast("double")), F.lit(float("inf"))).alias("low"), F.coalesce(F.max(F.col("price").cast("double")), F.lit(float("-inf"))).alias("high")).toArrow().sort_by([("symbol", "ascending"), ("slice", "ascending")])
-    names, number = np.array(slices["symbol"].to_pylist(), object), slices["slice"].to_numpy()
-    lows, highs = slices["low"].to_numpy(), slices["high"].to_numpy()
-    of = {s: np.flatnonzero(names == s) for s in set(names.tolist())} if len(names) else {}
-
-    def later(batches):
+    p = prints.where("symbol is not null and printed_at is not null").select("symbol", "printed_at", "print_id", "price", null("order_id"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("double").alias("limit"))
+    o = orders.select("symbol", F.col("placed_at").cast(kinds["printed_at"]).alias("printed_at"), null("print_id"), null("price"), "order_id", kind.alias("kind"), F.when(kind == 0, 0.0).otherwise(limit).alias("limit"))
+    o = o.where("symbol is not null and printed_at is not null and kind is not null and limit is not null")
+    # An order comes after the prints of its own moment.
+    order = ["symbol", "printed_at", F.col("kind").isNotNull(), "print_id", "price", "order_id", "kind", "limit"]
+    ranged = p.unionByName(o).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
+
+    def settle(batches):
+        number = 0
         for batch in batches:
-            target, symbol = np.full(batch.num_rows, -1), np.array(batch["symbol"].to_pylist(), object)
-            slice_of, side, limit = batch["slice"].to_numpy(), batch["kind"].to_numpy(), batch["limit"].to_numpy()
-            for s in set(symbol.tolist()) & of.keys():
-                mine, there = np.flatnonzero(symbol == s), of[s]
-                found = _fill_side((lows[there], highs[there]), np.searchsorted(number[there], slice_of[mine], side="right"), side[mine], limit[mine])
-                target[mine] = np.append(number[there], -1)[found]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("symbol", "order_id", "kind", "limit")), pa.array(target.astype(np.int32))], ["symbol", "order_id", "kind", "limit", "slice"])
-
-    open_ = own.where("not filled").select("symbol", "slice", "order_id", "kind", "limit").mapInArrow(later, f"symbol string, order_id {kinds['order_id']}, kind int, limit double, slice int").where("slice >= 0")
-    keys = ["symbol", "slice", "kind", "limit"]
-    asked = open_.select(*keys).distinct()
-    there = as_print(p.join(asked.select("symbol", "slice").distinct(), ["symbol", "slice"], "left_semi"))
-    wanted = asked.select("symbol", "slice", null("printed_at"), null("print_id"), null("price"), null("order_id"), "kind", "limit")
-    carried = open_.join(there.unionByName(wanted).groupBy("symbol", "slice").applyInArrow(settle, schema).drop("order_id"), keys)
-    first = own.unionByName(carried.select(own.columns)).where("filled").select("order_id", "printed_at", "price")
+            for at in range(0, batch.num_rows, rows):
+                cut, number = batch.slice(at, rows), number + 1
+                asks = pc.is_valid(cut["kind"]).to_numpy(zero_copy_only=False)
+                asked, printed = np.flatnonzero(asks), np.flatnonzero(~asks)
+                names = cut["symbol"].dictionary_encode().indices.to_numpy()
+                price = cut["price"].cast(pa.float64()).to_numpy(zero_copy_only=False)[printed]
+                side, bound = (cut[c].to_numpy(zero_copy_only=False)[asked] for c in ("kind", "limit"))
+                found = _fill_side((np.where(np.isnan(price), np.inf, price), np.where(np.isnan(price), -np.inf, price)), np.searchsorted(printed, asked), side, bound)
+                hit = np.zeros(cut.num_rows, np.int64)
+                hit[asked] = np.append(printed, 0)[found]
+                none = np.ones(cut.num_rows, bool)
+                none[asked] = (found >= len(printed)) | (names[hit[asked]] != names[asked])  # the first suitable print may be another symbol's
+                take = pa.array(hit, mask=none)
+                own = {"slice": pa.array(np.full(cut.num_rows, number, np.int32)), "place": pa.array(np.arange(cut.num_rows, dtype=np.int32)), "filled": pa.array(~none), "hit_at": cut["printed_at"].take(take), "hit_price": cut["price"].take(take)}
+                yield pa.RecordBatch.from_arrays([*cut.columns, *own.values()], [*cut.schema.names, *own])
+
+    more = T.StructType.fromDDL(f"slice int, place int, filled boolean, hit_at {kinds['printed_at']}, hit_price {kinds['price']}")
+    own = ranged.mapInArrow(settle, T.StructType([*ranged.schema.fields, *more.fields]))
+    path = shared_path(spark, "fills")
+    own.write.parquet(path)
+    own = spark.read.schema(own.schema).parquet(path)
+
+    value = F.nanvl(F.col("price").cast("double"), F.lit(None).cast("double"))
+    low, high = F.coalesce(value, F.lit(float("inf"))), F.coalesce(value, F.lit(float("-inf")))
+    there = own.where("kind is null").withColumn("low", low).withColumn("high", high)
+    span = F.min("low").alias("low"), F.max("high").alias("high")
+    slices = there.groupBy("symbol", "range", "slice").agg(*span).withColumnRenamed("slice", "place")
+    ranges = slices.groupBy("symbol", F.col("range").alias("place")).agg(*span)
+    wish = ["kind", "limit"]
+    left = own.where("kind is not null and not filled").select("symbol", "range", "slice", "order_id", *wish)
+
+    near = _seek(left.drop("order_id").distinct(), slices, ["symbol", "range"], "slice")
+    # A group takes the open limits of 16 ranges; a range is a row or two.
+    deals = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    far = near.where("place is null").select("symbol", "range", *wish).distinct().withColumn("deal", F.pmod("range", F.lit(deals)))
+    dealt = ranges.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    far = _seek(far, dealt, ["symbol", "deal"], "range").where("place is not null").select("symbol", F.col("range").alias("from"), *wish, F.col("place").alias("range"), F.lit(-1).alias("slice"))
+    far = _seek(far, slices, ["symbol", "range"], "slice").select("symbol", "from", *wish, F.col("range").alias("far_range"), F.col("place").alias("far_slice"))
+    near = near.withColumnRenamed("place", "near_slice")
+    goes = left.join(near, ["symbol", "range", "slice", *wish]).withColumnRenamed("range", "from").join(far, ["symbol", "from", *wish], "left")
+    goes = goes.select("order_id", "symbol", *wish, F.when(F.col("near_slice").isNotNull(), F.col("from")).otherwise(F.col("far_range")).alias("range"), F.coalesce("near_slice", "far_slice").alias("slice")).where("slice is not null")
+    keys = ["symbol", "range", "slice"]
+    asked = goes.select(*keys, *wish, F.lit(-1).alias("before")).distinct()
+    nodes = there.join(asked.select(*keys).distinct(), keys, "left_semi").select(*keys, "place", "low", "high", F.col("printed_at").alias("hit_at"), F.col("price").alias("hit_price"))
+    carried = goes.join(_seek(asked, nodes, keys, "before"), [*keys, *wish])
+    hits = ["order_id", F.col("hit_at").alias("printed_at"), F.col("hit_price").alias("price")]
+    first = own.where("filled").select(*hits).unionByName(carried.select(*hits))
     return orders.join(first, "order_id", "left").withColumn("status", F.when(F.col("printed_at").isNull(), "UNFILLED").otherwise("FILLED"))
 
 

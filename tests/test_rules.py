@@ -144,7 +144,21 @@ def test_fill_decision_makes_no_pairs(spark):
     for rows in (5, 4000):
         found = G.fill_decision(o, p, rows=rows)
         assert {r.order_id: (r.printed_at, r.price, r.status) for r in found.collect()} == want and found.count() == len(orders)
-    assert not any("Join" in line and "symbol" in line and "slice" not in line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert not any("Join" in line and "symbol" in line and "range" not in line and "from" not in line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_fill_decision_of_a_burst_of_nothing_and_of_nan(spark):
+    at = dt.datetime(2024, 1, 2, 9)
+    prints = [("a", at, i, float(100 - i % 50)) for i in range(500)] + [("a", at, 900, float("nan")), (None, at, 901, 1.0), ("a", None, 902, 1.0)]
+    before, later = at - dt.timedelta(minutes=1), at + dt.timedelta(minutes=1)
+    orders = [(1, "a", "buy", before, "limit", 51.0), (2, "a", "buy", before, "limit", 50.0), (3, "a", "sell", at, "limit", 1.0), (4, "a", "buy", before, "limit", float("nan")), (5, None, "buy", before, "market", None), (6, "a", "buy", later, "market", None), (7, "a", "sell", before, "limit", 99.5), (8, "a", "buy", None, "market", None)]
+    o = spark.createDataFrame(orders, "order_id long, symbol string, side string, placed_at timestamp_ntz, rule string, limit_price double")
+    p = spark.createDataFrame(prints, "symbol string, printed_at timestamp_ntz, print_id long, price double")
+    for rows in (7, 4000):
+        got = {r.order_id: r.price for r in G.fill_decision(o, p, rows=rows).collect()}
+        assert got == {1: 51.0, 2: None, 3: None, 4: None, 5: None, 6: None, 7: 100.0, 8: None}
+    assert G.fill_decision(o.limit(0), p).count() == 0
+    assert {r.status for r in G.fill_decision(o, p.limit(0)).collect()} == {"UNFILLED"}
 
 
 def test_whole_tables_are_ordered_audited_and_run(spark):
