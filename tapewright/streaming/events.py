@@ -6,9 +6,11 @@ one definition serves both; `drain` runs a query over all that is there.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,37 +98,99 @@ def reconcile_streams(bars: DataFrame, ticks: DataFrame, late: str = "10 minutes
     return b.join(t, (b["symbol"] == t["tick_symbol"]) & (b["minute_start"] == t["tick_start"]), "inner").select("minute_start", "symbol", "bar_volume", "tick_volume")
 
 
+def _versions(spark: SparkSession, top: str) -> list[tuple[int, int, int, str]]:
+    """(epoch, buckets, bucket, path) of each bucket that a finished epoch has written. The driver holds a row for each; compaction bounds them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(top).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = {s.getPath().getParent().toString() for s in fs.globStatus(hadoop.Path(f"{top}/_epoch=*/_buckets=*/_SUCCESS")) or []}
+    out = []
+    for status in fs.globStatus(hadoop.Path(f"{top}/_epoch=*/_buckets=*/_bucket=*")) or []:
+        path = status.getPath()
+        if path.getParent().toString() in done:
+            out.append((*(int(p.getName().split("=")[1]) for p in (path.getParent().getParent(), path.getParent(), path)), path.toString()))
+    return out
+
+
+def _latest(versions: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """The last version of each bucket. A table that was dealt into more buckets was written whole, so that those of fewer are void."""
+    buckets = max((n for _, n, _, _ in versions), default=0)
+    last = {}
+    for v in sorted(v for v in versions if v[1] == buckets):
+        last[v[2]] = v
+    return list(last.values())
+
+
+def _read(spark: SparkSession, top: str, versions: list[tuple[int, int, int, str]]) -> DataFrame:
+    return spark.read.option("basePath", top).parquet(*(path for *_, path in versions)).drop("_epoch", "_buckets", "_bucket")
+
+
 def upserted(spark: SparkSession, top: str, before: int | None = None) -> DataFrame | None:
     """The table that an upsert sink keeps under `top`: each bucket as the last epoch that touched it wrote it; None if there is none yet."""
-    try:
-        rows = spark.read.parquet(top)
-    except AnalysisException:
-        return None
-    rows = rows if before is None else rows.where(F.col("_epoch") < before)
-    last = rows.groupBy("_bucket").agg(F.max("_epoch").alias("_epoch"))  # a row for each bucket
-    return rows.join(F.broadcast(last), ["_bucket", "_epoch"], "left_semi").drop("_bucket", "_epoch")
+    last = _latest([v for v in _versions(spark, top) if before is None or v[0] < before])
+    return _read(spark, top, last) if last else None
+
 
+def compact(spark: SparkSession, top: str, before: int, keep: int = 2) -> int:
+    """Deletes what epochs before `before` wrote and later ones replaced, but for the `keep` last versions of a bucket; the number of versions deleted.
 
-def upsert_to(top: str, keys: list[str], buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    Epochs before the one at work never run again, so a restart needs their
+    last versions only; the others are for readers that listed the table earlier.
+    """
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    versions = sorted((v for v in _versions(spark, top) if v[0] < before), reverse=True)
+    dealt, seen, gone, held = {n for _, n, _, _ in versions}, Counter(), [], set()
+    for epoch, buckets, bucket, path in versions:
+        seen[buckets, bucket] += 1
+        # A table that was dealt into more buckets replaces each of fewer once.
+        if seen[buckets, bucket] + sum(n > buckets for n in dealt) > keep:
+            gone.append((epoch, path))
+        else:
+            held.add(epoch)
+    for epoch, path in gone:
+        p = hadoop.Path(path)
+        p.getFileSystem(conf).delete(p if epoch in held else p.getParent().getParent(), True)
+    return len(gone)
+
+
+def upsert_to(top: str, keys: list[str], buckets: int = 16, bucket_rows: int = 5_000_000, keep: int = 2) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that keeps the newest row of each key.
 
     An epoch writes the buckets of keys that it touches, whole, to a folder of
     its own and reads none of its own, so one that runs again writes the same.
-    All state is in the folder: a restarted query goes on from it.
+    All state is in the folder: a restarted query goes on from it. A table of
+    more than `bucket_rows` rows a bucket is dealt anew into twice as many, as
+    often as it takes, so that an epoch rewrites little around the keys it
+    touches; versions that are replaced go, but for `keep`.
     """
 
+    def dealt(df: DataFrame, n: int) -> DataFrame:
+        return df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
+
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        last = _latest([v for v in _versions(spark, top) if v[0] < epoch])
+        n = last[0][1] if last else buckets
+        new = batch.persist()
         try:
-            merged, old = new, upserted(spark, top, epoch)
-            if old is not None:
-                touched = new.select("_bucket").distinct()  # at most `buckets` rows
-                stay = old.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).join(F.broadcast(touched), "_bucket", "left_semi").join(new.select(*keys), keys, "left_anti")
-                merged = stay.unionByName(new)
-            merged.write.mode("overwrite").partitionBy("_bucket").parquet(f"{top}/_epoch={epoch}")
+            if coming := new.count():
+                old = _read(spark, top, last) if last else None
+                rows = coming + (old.count() if last else 0)  # stored rows are counted from the files' footers
+                many = n
+                while rows > many * bucket_rows:
+                    many *= 2
+                merged = dealt(new, many)
+                if many == n and last:
+                    touched = {r[0] for r in merged.select("_bucket").distinct().collect()}  # at most n numbers
+                    last = [v for v in last if v[2] in touched]
+                    old = _read(spark, top, last) if last else None
+                if old is not None:
+                    named = new.select(*(F.col(k).alias(f"_new_{k}") for k in keys))
+                    stay = old.join(named, reduce(and_, (old[k].eqNullSafe(named[f"_new_{k}"]) for k in keys)), "left_anti")
+                    merged = dealt(stay, many).unionByName(merged)
+                merged.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{top}/_epoch={epoch}/_buckets={many}")
         finally:
             new.unpersist()
+        compact(spark, top, epoch, keep)
 
     return sink
 

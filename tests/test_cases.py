@@ -121,6 +121,37 @@ def test_upsert_sink_goes_on_from_its_folder(spark):
     assert {(r.k, r.v) for r in V.upserted(spark, top).collect()} == {(1, "a"), (2, "b"), (3, "a"), (9, "b")}
 
 
+def test_upsert_sink_deletes_replaced_versions_and_grows(spark):
+    import os
+
+    folder = tempfile.mkdtemp(prefix="spark-") + "/table"
+    top, want, rng = "file://" + folder, {}, random.Random(3)
+    batch = lambda rows: spark.createDataFrame(rows, "k long, v int")
+    kept = lambda: [d for d, _, _ in os.walk(folder) if "_bucket=" in d]
+    for epoch in range(6):
+        rows = {rng.choice([None, *range(12)]): epoch for _ in range(4)}
+        want |= rows
+        for _ in range(2):  # each epoch runs again, as after a crash before its commit
+            V.upsert_to(top, ["k"], 2, keep=1)(batch(list(rows.items())), epoch)
+        assert {r.k: r.v for r in V.upserted(spark, top).collect()} == want
+        assert len(kept()) <= 4  # the last version of two buckets, and the epoch's own
+    V.upsert_to(top, ["k"], 2, keep=1)(batch([]), 6)
+    assert {r.k: r.v for r in V.upserted(spark, top).collect()} == want
+    sink = V.upsert_to(top, ["k"], 2, bucket_rows=5, keep=1)
+    sink(batch([(100 + i, 7) for i in range(20)]), 7)  # more than ten rows: dealt anew
+    want |= {100 + i: 7 for i in range(20)}
+    assert {d.split("_buckets=")[1].split("/")[0] for d in kept() if "_epoch=7" in d} == {"8"}
+    os.remove(f"{folder}/_epoch=7/_buckets=8/_SUCCESS")  # the epoch did not finish: readers see the one before, and it runs again
+    assert 100 not in {r.k for r in V.upserted(spark, top).collect()}
+    sink(batch([(100 + i, 7) for i in range(20)]), 7)
+    assert {r.k: r.v for r in V.upserted(spark, top).collect()} == want
+    sink(batch([(0, 8)]), 8)
+    want[0] = 8
+    rows = V.upserted(spark, top).collect()
+    assert {r.k: r.v for r in rows} == want and len(rows) == len(want)
+    assert {d.split("_buckets=")[1].split("/")[0] for d in kept()} == {"8"}  # those of fewer buckets are gone
+
+
 def test_shared_folder_must_be_named_on_a_cluster(spark):
     class Cluster:
         conf = type("C", (), {"get": staticmethod(lambda *a: None)})
