@@ -206,6 +206,31 @@ def f15_sector_clusters(spark, sf_dir):
     return X.sector_clusters(prepared(spark, sf_dir), k=5, least=15)
 
 
+def composites(spark, sf_dir):
+    """A denser panel: the mean relative of the names of each of 20 groups, which has a value on most days."""
+    p = prepared(spark, sf_dir).where("close > 0 and prev_close > 0")
+    group = F.format_string("%02d", F.col("symbol").cast("int") % 20)
+    return p.groupBy("date", group.alias("symbol")).agg(F.avg(F.col("close") / F.col("prev_close")).alias("close")).withColumn("prev_close", F.lit(1.0))
+
+
+_COMPOSITE_DAYS = "SELECT date, symbol, ln(rel) r FROM comp WHERE date < DATE '2023-01-01' AND date >= DATE '2023-01-01' - 550"
+
+
+@query(
+    PREP
+    + f""", comp AS (SELECT date, printf('%02d', CAST(symbol AS INT)%20) AS symbol, avg(close/prev_close) rel FROM prep WHERE close>0 AND prev_close>0 GROUP BY 1,2), rr AS ({_COMPOSITE_DAYS}), g AS (SELECT a.symbol a, b.symbol b, count(*) n, corr(a.r,b.r) c FROM rr a JOIN rr b ON a.date=b.date AND a.symbol<b.symbol GROUP BY 1,2 HAVING count(*)>=120) SELECT a, b, n, {r('c', 4)} corr FROM g"""
+)
+def f15_composite_correlations(spark, sf_dir):
+    """At the full least number of 120 common dates."""
+    return X.pair_correlations(composites(spark, sf_dir), 2023).withColumn("corr", F.round("corr", 4))
+
+
+@query()
+def f15_composite_clusters(spark, sf_dir):
+    """Clusters of the groups, year by year, at the full least number of 120 returns."""
+    return X.sector_clusters(composites(spark, sf_dir), k=5)
+
+
 @query(
     PREP
     + f""", j AS (SELECT *, CAST(symbol AS INT)%7 AS cl FROM prep), g AS (SELECT date, cl, avg(chg_ratio) m, count(*) n, avg(CASE WHEN chg_ratio>0 THEN 1.0 WHEN chg_ratio IS NOT NULL THEN 0.0 END) b FROM j GROUP BY 1,2), h AS (SELECT *, CASE WHEN count(m) OVER w >= 3 THEN sum(m) OVER w END mom FROM g WINDOW w AS (PARTITION BY cl ORDER BY date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
