@@ -129,6 +129,13 @@ def _fill_side(values: np.ndarray, start: np.ndarray, side: np.ndarray, limit: n
     return np.where(side < 0, _first_within(-high, start, -limit), _first_within(low, start, np.where(side == 0, np.inf, limit)))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: what is used more than once is made once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _seek(asks: DataFrame, nodes: DataFrame, keys: Sequence[str], after: str) -> DataFrame:
     """asks with the other columns of the first node beyond `after`, of those with the same keys, that suits kind and limit; NULL if there is none.
 
@@ -194,9 +201,7 @@ def fill_decision(orders: DataFrame, prints: DataFrame, rows: int = 4000) -> Dat
 
     more = T.StructType.fromDDL(f"slice int, place int, filled boolean, hit_at {kinds['printed_at']}, hit_price {kinds['price']}")
     own = ranged.mapInArrow(settle, T.StructType([*ranged.schema.fields, *more.fields]))
-    path = shared_path(spark, "fills")
-    own.write.parquet(path)
-    own = spark.read.schema(own.schema).parquet(path)
+    own = _stored(own, "fills")
 
     value = F.nanvl(F.col("price").cast("double"), F.lit(None).cast("double"))
     low, high = F.coalesce(value, F.lit(float("inf"))), F.coalesce(value, F.lit(float("-inf")))
@@ -207,7 +212,7 @@ def fill_decision(orders: DataFrame, prints: DataFrame, rows: int = 4000) -> Dat
     wish = ["kind", "limit"]
     left = own.where("kind is not null and not filled").select("symbol", "range", "slice", "order_id", *wish)
 
-    near = _seek(left.drop("order_id").distinct(), slices, ["symbol", "range"], "slice")
+    near = _stored(_seek(left.drop("order_id").distinct(), slices, ["symbol", "range"], "slice"), "near")
     # A group takes the open limits of 16 ranges; a range is a row or two.
     deals = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
     far = near.where("place is null").select("symbol", "range", *wish).distinct().withColumn("deal", F.pmod("range", F.lit(deals)))
@@ -217,6 +222,7 @@ def fill_decision(orders: DataFrame, prints: DataFrame, rows: int = 4000) -> Dat
     near = near.withColumnRenamed("place", "near_slice")
     goes = left.join(near, ["symbol", "range", "slice", *wish]).withColumnRenamed("range", "from").join(far, ["symbol", "from", *wish], "left")
     goes = goes.select("order_id", "symbol", *wish, F.when(F.col("near_slice").isNotNull(), F.col("from")).otherwise(F.col("far_range")).alias("range"), F.coalesce("near_slice", "far_slice").alias("slice")).where("slice is not null")
+    goes = _stored(goes, "goes")
     keys = ["symbol", "range", "slice"]
     asked = goes.select(*keys, *wish, F.lit(-1).alias("before")).distinct()
     nodes = there.join(asked.select(*keys).distinct(), keys, "left_semi").select(*keys, "place", "low", "high", F.col("printed_at").alias("hit_at"), F.col("price").alias("hit_price"))
