@@ -35,11 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.llm import spans
-from tapewright.llm.common import document_text, fold, kept, partitions, remove_kept
+from tapewright.llm.common import arrow_batches, document_text, fold, kept, partitions, remove_kept
 from tapewright.llm.packing import with_end
 from tapewright.llm.subwords import Subwords, default_path, encoded
 
 HEAD = 131_072
+PASSED = 4 << 20  # bytes of a batch of Arrow
 SEED = 23
 SHARE, BLOCK, SLOT, ROUNDS = 8, 320, 12_800, 4
 WINDOW, STRIDE, WIDTH, CLASSES, SINGLE = 20, 15, 12, 48, 8
@@ -389,7 +390,15 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     null ids count as the empty id. Without training documents the base takes
     every token as new, and the model is as it begins. An empty table gives an
     empty one.
+
+    Tasks get texts and ids in batches of PASSED bytes, so that what a worker and its JVM hold
+    doesn't grow with the texts.
     """
+    with arrow_batches(docs.sparkSession, PASSED):
+        return _score_texts(docs, tokenizer)
+
+
+def _score_texts(docs: DataFrame, tokenizer: str | None) -> DataFrame:
     path = tokenizer or default_path()
     vocabulary = len(Subwords.at(path).bytes_of)
     texts = kept(encoded_texts(document_text(docs), path, _kind(vocabulary)), "encoded")

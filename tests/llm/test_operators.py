@@ -379,6 +379,19 @@ def test_lm_score_windows_hold_each_id_once(data):
     assert [x[:3].tolist() for x in found] == [[end, end, -1]] * 2
 
 
+def test_lm_score_passes_small_batches(spark, docs, monkeypatch):
+    """While it runs a batch has PASSED bytes or so; afterwards the session is as it was."""
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    whole, before = lm_score.kept, spark.conf.get(name, None)
+    monkeypatch.setattr(lm_score, "kept", lambda *a: (seen.append(spark.conf.get(name)), whole(*a))[1])
+    lm_score.score_texts(docs)
+    assert set(seen) == {str(lm_score.PASSED)} and spark.conf.get(name, None) == before
+    rows = spark.range(20_000, numPartitions=1).select(F.repeat(F.lit("x"), 100).alias("text"))
+    run = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    with common.arrow_batches(spark, 1 << 16):
+        assert max(r.n for r in rows.mapInArrow(run, "n long").collect()) < 1 << 18
+
+
 def test_attention_gradients_and_windows():
     model = lm_score.Attention(np.arange(50) % lm_score.CLASSES, np.zeros(50))
     rng = np.random.default_rng(0)
