@@ -9,12 +9,12 @@ this model's log10 probabilities over a text's ids and its end, nothing else.
 
 Every text is encoded once; its ids are kept beside it until they are scored.
 Ids are counted over all training documents. The attention model and the
-classes learn from a share of the corpus that grows with it: every text is cut
-into blocks of BLOCK ids, and one block in SHARE, by hash, gives windows, at
-every size of the corpus. The windows are dealt by hash to ROUNDS rounds, and in
-a round into slots of about SLOT; each slot's task trains from the same weights
-over its windows of the round, and Spark averages what the slots found: one row
-for each weight, however many slots there are, reaches the driver.
+classes learn from all of them, too: every id of every training text, and its
+end, is in a window of its text once, with those before it. The texts are dealt
+by hash to ROUNDS rounds, and in a round into slots of about SLOT windows; each
+slot's task trains from the same weights over its windows of the round, and
+Spark averages what the slots found: one row for each weight, however many slots
+there are, reaches the driver.
 Nothing of this depends on how rows lie in partitions. Scoring goes over
 windows of WINDOW ids that overlap by WINDOW - STRIDE; each id is scored once,
 with those before it in its window.
@@ -42,7 +42,7 @@ from tapewright.llm.subwords import Subwords, default_path, encoded
 HEAD = 131_072
 PASSED = 4 << 20  # bytes of a batch of Arrow
 SEED = 23
-SHARE, BLOCK, SLOT, ROUNDS = 8, 320, 12_800, 4
+BLOCK, SLOT, ROUNDS, NEAR = 1 << 40, 51_200, 4, 64  # a text is one block: each of its ids is learned
 WINDOW, STRIDE, WIDTH, CLASSES, SINGLE = 20, 15, 12, 48, 8
 STEPS, BATCH, RATE = 400, 128, 0.01  # steps: of each slot in all rounds, at least; a small corpus is gone over more often
 END_KEY = 0  # of the end among the words; no word has it but by a chance of 2^-64
@@ -62,6 +62,8 @@ class Attention:
         shapes = {"embed": (CLASSES, d), "place": (WINDOW, d), "q": (d, d), "k": (d, d), "v": (d, d), "o": (d, d), "out": (d, CLASSES), "bias": (CLASSES,)}
         self.p = {k: (rng.normal(0, 0.3, s) if k != "bias" else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
         self.mask = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), 0, -1e9).astype(np.float32)
+        self.before = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+        self.work: dict[str, np.ndarray] = {}
 
     def forward(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """x: rows of classes; the class before a text is END_CLASS."""
@@ -79,30 +81,66 @@ class Attention:
         return {"h": h, "q": q, "k": k, "v": v, "a": a, "m": m, "t": t, "z": z - np.log(np.exp(z).sum(axis=2, keepdims=True))}
 
     def gradients(self, x: np.ndarray, y: np.ndarray, use: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
-        """use: the places of y that count; all, if not given."""
-        p, f = self.p, self.forward(x)
-        use = np.ones(y.shape, bool) if use is None else use
-        n = use.sum()
-        picked = np.take_along_axis(f["z"], y[..., None], axis=2)
-        dz = np.exp(f["z"])
-        np.put_along_axis(dz, y[..., None], np.take_along_axis(dz, y[..., None], axis=2) - 1, axis=2)
-        dz *= (use / n).astype(np.float32)[..., None]
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        g = {"out": flat(f["t"]).T @ flat(dz), "bias": flat(dz).sum(axis=0)}
-        dr = (dz @ p["out"].T) * (1 - f["t"] ** 2)
-        g["o"] = flat(f["m"]).T @ flat(dr)
-        dm = dr @ p["o"].T
-        da, dv = dm @ f["v"].transpose(0, 2, 1), f["a"].transpose(0, 2, 1) @ dm
-        ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-        dh = dr + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(f["h"]).T @ flat(d)
-        g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], x.ravel(), flat(dh))
-        g["place"] = np.zeros_like(p["place"])
-        g["place"][: x.shape[1]] = dh.sum(axis=0)
-        return float(-picked[use].mean()), g
+        """Loss and gradients of y after x, both rows of classes; the class before a text is END_CLASS. use: the places of y that count; all, if not given."""
+        p, d, n, t, real = self.p, WIDTH, y.size, x.shape[1], self.p["out"].dtype
+        table, mild = self._tables()
+        f = np.take(table, x * WINDOW + np.arange(t), axis=0, out=self._held("f", *x.shape, table.shape[1]), mode="clip")
+        q, k, v = (f[:, :, i * d : (i + 1) * d] for i in (1, 2, 3))
+        before = self.before[:t, :t]
+        a = np.matmul(q, k.transpose(0, 2, 1), out=self._held("a", len(x), t, t))
+        if not mild[0]:
+            a -= np.where(before > 0, a, -np.inf).max(axis=2, keepdims=True)
+            np.minimum(a, 0, out=a)
+        np.exp(a, out=a)
+        a *= before
+        a /= (a.reshape(-1, t) @ np.ones(t, real)).reshape(-1, t, 1)
+        m = (a @ v).reshape(-1, d)
+        h = np.tanh(f[:, :, :d].reshape(-1, d) + m @ p["o"])
+        z = np.matmul(h, p["out"], out=self._held("z", n, CLASSES))
+        z += p["bias"]
+        if not mild[1]:
+            z -= z.max(axis=1, keepdims=True)
+        at, target = np.arange(n), y.ravel()
+        picked = z[at, target]
+        np.exp(z, out=z)
+        total = z @ np.ones(CLASSES, real)
+        loss, weight = np.log(total) - picked, real.type(1 / n) / total
+        if use is not None:
+            some = use.ravel()
+            loss, weight = loss[some], np.where(some, real.type(1 / some.sum()) / total, real.type(0))
+        z[at, target] -= total  # with `weight` before each row: the gradient of z; narrow arrays are weighed, not this one
+        g = {"out": (h * weight[:, None]).T @ z, "bias": weight @ z}
+        dr = (z @ p["out"].T) * (weight[:, None] * (1 - h * h))
+        g["o"] = m.T @ dr
+        dm = (dr @ p["o"].T).reshape(v.shape)
+        ds = np.matmul(dm, v.transpose(0, 2, 1), out=self._held("ds", len(x), t, t))
+        ds *= a
+        ds -= np.multiply(a, (ds.reshape(-1, t) @ np.ones(t, real)).reshape(-1, t, 1), out=self._held("as", len(x), t, t))
+        # Of sums of embeddings, queries (which the table holds times WIDTH ** -0.5), keys and values.
+        df = self._held("df", len(x), t, 4 * d)
+        df[:, :, :d] = dr.reshape(v.shape)
+        np.matmul(ds, k, out=df[:, :, d : 2 * d])
+        np.matmul(ds.transpose(0, 2, 1), q, out=df[:, :, 2 * d : 3 * d])
+        np.matmul(a.transpose(0, 2, 1), dm, out=df[:, :, 3 * d :])
+        one = self._held("one", n, CLASSES)
+        one[:] = 0
+        one[at, x.ravel()] = 1
+        sums = {"embed": one.T @ df.reshape(n, -1), "place": np.zeros((WINDOW, 4 * d), real)}
+        sums["place"][:t] = df.sum(axis=0)
+        for s in sums.values():
+            s[:, d : 2 * d] *= real.type(d**-0.5)
+        for name, s in sums.items():
+            g[name] = s[:, :d] + sum(s[:, i * d : (i + 1) * d] @ p[w].T for i, w in ((1, "q"), (2, "k"), (3, "v")))
+        for i, w in ((1, "q"), (2, "k"), (3, "v")):
+            g[w] = sum(p[name].T @ s[:, i * d : (i + 1) * d] for name, s in sums.items())
+        return float(loss.mean()), g
+
+    def _held(self, name: str, *shape: int) -> np.ndarray:
+        """An array to be written over, the same one from step to step: new ones of this size cost more than the sums."""
+        real = self.p["out"].dtype
+        if name not in self.work or self.work[name].shape != shape or self.work[name].dtype != real:
+            self.work[name] = np.empty(shape, real)
+        return self.work[name]
 
     def train(self, rows: np.ndarray, done: float = 0.0, part: float = 1.0, seed: int = SEED) -> float:
         """rows: windows as _windows makes them, in classes; done, part: what share of the training lies behind, and what share this is. The last loss."""
@@ -113,7 +151,7 @@ class Attention:
         for step in range(1, steps + 1):
             taken = rows[order[(step - 1) * BATCH : step * BATCH]]
             use = taken[:, 1:] >= 0
-            loss, g = self.gradients(np.maximum(taken[:, :-1], 0), np.maximum(taken[:, 1:], 0), use)
+            loss, g = self.gradients(np.maximum(taken[:, :-1], 0), np.maximum(taken[:, 1:], 0), None if use.all() else use)
             rate = RATE * min(1.0, 4 * (1 - (done + part * step / (steps + 1))))
             for k, v in g.items():
                 m1[k] = 0.9 * m1[k] + 0.1 * v
@@ -121,17 +159,16 @@ class Attention:
                 self.p[k] -= (rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return loss
 
-    def _tables(self) -> np.ndarray:
-        """What a class at a place of the window gives: its sum of embeddings, query, key, value and a one."""
-        if not hasattr(self, "table"):
-            p = self.p
-            h = p["embed"][:, None, :] + p["place"][None, :, :]
-            self.table = np.concatenate([h, h @ p["q"] * np.float32(WIDTH**-0.5), h @ p["k"], h @ p["v"], np.ones((*h.shape[:2], 1), np.float32)], axis=2).reshape(-1, 4 * WIDTH + 1).astype(np.float32)
-            self.before = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-            # The most that a weight or an output can be; below BOUND no exponential leaves the range of its type.
-            size = lambda a: np.sqrt((self.table[:, a * WIDTH : (a + 1) * WIDTH].astype(np.float64) ** 2).sum(axis=1).max())
-            self.mild = size(1) * size(2) < BOUND, np.abs(p["out"]).sum(axis=0).max() + np.abs(p["bias"]).max() < BOUND
-        return self.table
+    def _tables(self) -> tuple[np.ndarray, tuple[bool, bool]]:
+        """What a class at a place of the window gives: its sum of embeddings, query, key, value and a one. And whether the exponentials of weights and of outputs stay in range."""
+        p, d = self.p, WIDTH
+        h = (p["embed"][:, None, :] + p["place"][None, :, :]).reshape(-1, d)
+        table = np.ones((len(h), 4 * d + 1), h.dtype)
+        table[:, :d] = h
+        table[:, d : 4 * d] = h @ np.concatenate([p["q"] * h.dtype.type(d**-0.5), p["k"], p["v"]], axis=1)
+        # The most that a weight or an output can be; below BOUND no exponential leaves the range of its type.
+        size = [float(np.square(table[:, i * d : (i + 1) * d]).sum(axis=1, dtype=np.float64).max()) for i in (1, 2)]
+        return table, (size[0] * size[1] < BOUND**2, bool(np.abs(p["out"]).sum(axis=0).max() + np.abs(p["bias"]).max() < BOUND))
 
     def score(self, ids: np.ndarray, n: np.ndarray, rows: int = 256) -> np.ndarray:
         """Natural log-probability of each id; ids of texts end to end, each with its end, n (1 at least) of each text."""
@@ -146,31 +183,33 @@ class Attention:
         start, left = begins[text] + k * STRIDE, np.minimum(n[text] - k * STRIDE, WINDOW)
         # Windows may run over the end of the last text.
         at, target = np.append(before, np.zeros(WINDOW, np.int32)).astype(np.int64) * WINDOW, np.append(cls, np.zeros(WINDOW, np.int32)).astype(np.int64)
-        out, first = self.share[ids].copy(), k == 0
+        out, first, (table, self.mild) = self.share[ids].copy(), k == 0, self._tables()
         for some, skip in ((first, 0), (~first, WINDOW - STRIDE)):
             begin, size = start[some], left[some]
             for a in range(0, len(begin), rows):
-                self._score_windows(out, at, target, begin[a : a + rows], size[a : a + rows], skip)
+                self._score_windows(table, out, at, target, begin[a : a + rows], size[a : a + rows], skip)
         return out
 
-    def _score_windows(self, out: np.ndarray, at: np.ndarray, target: np.ndarray, start: np.ndarray, left: np.ndarray, skip: int) -> None:
+    def _score_windows(self, table: np.ndarray, out: np.ndarray, at: np.ndarray, target: np.ndarray, start: np.ndarray, left: np.ndarray, skip: int) -> None:
         """Adds the log-probability of the class at the places of the windows from `skip` on."""
-        table, d, p, steps = self._tables(), WIDTH, self.p, np.arange(WINDOW)
-        x = np.take(table, at[start[:, None] + steps] + steps, axis=0)
-        weight = x[:, skip:, d : 2 * d] @ x[:, :, 2 * d : 3 * d].transpose(0, 2, 1)
-        if not self.mild[0]:
+        mild, d, p, steps = self.mild, WIDTH, self.p, np.arange(WINDOW)
+        many, own = len(start), WINDOW - skip
+        x = np.take(table, at[start[:, None] + steps] + steps, axis=0, out=self._held("f", many, WINDOW, table.shape[1]), mode="clip")
+        weight = np.matmul(x[:, skip:, d : 2 * d], x[:, :, 2 * d : 3 * d].transpose(0, 2, 1), out=self._held("a", many, own, WINDOW))
+        if not mild[0]:
             weight -= np.where(self.before[skip:] > 0, weight, -np.inf).max(axis=2, keepdims=True)
             np.minimum(weight, 0, out=weight)  # later places, which the next line takes out
         np.exp(weight, out=weight)
         weight *= self.before[skip:]
-        mixed = weight @ x[:, :, 3 * d :]
+        mixed = np.matmul(weight, x[:, :, 3 * d :], out=self._held("m", many, own, d + 1))
         h = np.tanh(x[:, skip:, :d] + (mixed[..., :d] / mixed[..., d:]) @ p["o"])
-        z = h.reshape(-1, d) @ p["out"] + p["bias"]
-        if not self.mild[1]:
+        z = np.matmul(h.reshape(-1, d), p["out"], out=self._held("z", many * own, CLASSES))
+        z += p["bias"]
+        if not mild[1]:
             z -= z.max(axis=1, keepdims=True)
         here = start[:, None] + steps[skip:]
         picked = z[np.arange(len(z)), target[here].ravel()]
-        value = (picked - np.log(np.exp(z, out=z).sum(axis=1))).reshape(here.shape)
+        value = (picked - np.log(np.exp(z, out=z) @ np.ones(CLASSES, np.float32))).reshape(here.shape)
         use = steps[skip:] < left[:, None]
         out[here[use]] += value[use]
 
@@ -204,28 +243,42 @@ def class_table(times: np.ndarray, contexts: np.ndarray, rounds: int = 12, seed:
     return classes, np.log(mass / np.bincount(classes, mass, CLASSES)[classes])
 
 
-def _contexts(windows: DataFrame, times: np.ndarray, look: int = 96) -> np.ndarray:
-    """For each id the square roots of the shares of the `look` most frequent ids among those before and after it."""
+def _contexts(texts: DataFrame, times: np.ndarray, kind: str, look: int = 96) -> np.ndarray:
+    """For each id the square roots of the shares of the `look` most frequent ids among all those before and after it.
+
+    Tasks send their sums by blocks of NEAR ids, whose sums Spark's groups add up.
+    """
     vocabulary, width = len(times), 2 * (look + 1)
     rank = np.full(vocabulary, look)
     rank[np.argsort(-times, kind="stable")[:look]] = np.arange(min(look, vocabulary))
+    size = NEAR * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(vocabulary * width, np.int32)
+        sums = np.zeros(-(-vocabulary // NEAR) * size, np.int32)
         for batch in batches:
-            rows = _matrix(batch["ids"])
-            a, b = rows[:, :-1], rows[:, 1:]
-            both = (a >= 0) & (a < vocabulary) & (b >= 0)
-            a, b = a[both].astype(np.int64), b[both].astype(np.int64)
+            flat, edge = _laid(batch["ids"], kind)
+            laid = np.append(vocabulary - 1, with_end(flat, np.diff(edge), vocabulary - 1)[0]).astype(np.int64)  # each text's end stands before the next
+            a, b = laid[:-1], laid[1:]
             np.add.at(sums, b * width + rank[a], 1)
             np.add.at(sums, a * width + look + 1 + rank[b], 1)
         found = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(sums[found])], ["at", "n"])
+        block, first = np.unique(found // size, return_index=True)
+        edge = np.append(first, len(found))
+        for i, (x, y) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+            own = found[x:y]
+            yield pa.RecordBatch.from_pydict({"block": pa.array(block[i : i + 1].astype(np.int32)), "at": [(own % size).astype("<u4").tobytes()], "n": [sums[own].astype("<i8").tobytes()]})
+
+    def added(table: pa.Table) -> pa.Table:
+        sums = np.zeros(size, np.int64)
+        for at, n in zip(table["at"], table["n"], strict=True):
+            sums[np.frombuffer(at.as_buffer(), "<u4")] += np.frombuffer(n.as_buffer(), "<i8")
+        found = np.flatnonzero(sums)
+        return pa.table({"block": table["block"][:1], "at": [found.astype("<u4").tobytes()], "n": [sums[found].tobytes()]})
 
-    out = np.zeros(vocabulary * width, np.float32)
-    for batch in windows.mapInArrow(run, "at int, n int").groupBy("at").agg(F.sum("n").cast("int").alias("n")).toArrow().to_batches():  # at most a row for an id and a neighbour
-        out[batch["at"].to_numpy()] = batch["n"].to_numpy()
-    out = out.reshape(vocabulary, 2, look + 1)
+    out, schema = np.zeros(-(-vocabulary // NEAR) * size, np.float32), "block int, at binary, n binary"
+    for row in texts.select("ids").mapInArrow(run, schema).groupBy("block").applyInArrow(added, schema).toArrow().to_pylist():  # a row for NEAR ids
+        out[row["block"] * size + np.frombuffer(row["at"], "<u4").astype(np.int64)] = np.frombuffer(row["n"], "<i8")
+    out = out[: vocabulary * width].reshape(vocabulary, 2, look + 1)
     out /= np.maximum(out.sum(axis=2, keepdims=True), 1)
     return np.sqrt(out, out=out).reshape(vocabulary, width)
 
@@ -304,28 +357,46 @@ def _windows(end: int, share: float, slots: int, most: int = 1 << 18):
     return run
 
 
-def _trained(model: Attention, windows: DataFrame, slots: int) -> Attention:
-    """The model after ROUNDS rounds, each over its share of the windows."""
-    spark, names = windows.sparkSession, sorted(model.p)
-    to_class = np.append(model.classes, -1).astype(np.int32)  # the last for places after a block
+def _dealt(texts: DataFrame, slots: int) -> DataFrame:
+    """slot, at (a hash), doc_id, ids of all texts, each whole: only Spark's own functions, no list of windows is shuffled."""
+    own = texts.select(F.xxhash64("doc_id", "ids", F.lit(SEED)).alias("at"), "doc_id", "ids")
+    return own.select(F.pmod("at", F.lit(slots)).cast("int").alias("slot"), "at", "doc_id", "ids")
+
+
+def _of_windows(table: pa.Table) -> np.ndarray:
+    """A slot's windows, where its rows are windows, in an order of their own."""
+    table = table.sort_by([("at", "ascending")])
+    ids, at = _matrix(table["ids"].combine_chunks()), table["at"].to_numpy()
+    return ids[np.lexsort((*ids.T[::-1], at))] if (at[1:] == at[:-1]).any() else ids
+
+
+def _of_texts(end: int):
+    """A slot's windows, where its rows are texts: all of them."""
+
+    def run(table: pa.Table) -> np.ndarray:
+        texts = table.sort_by([("at", "ascending")]).select(["doc_id", "ids"]).combine_chunks()  # texts of one hash are alike
+        return np.concatenate([_matrix(b["ids"]) for b in _windows(end, 1.0, 1)(iter(texts.to_batches()))])
+
+    return run
+
+
+def _trained(model: Attention, dealt: DataFrame, slots: int, windows=_of_windows) -> Attention:
+    """The model after ROUNDS rounds, each over its share of the rows, which have slot, at and what `windows` makes windows of."""
+    spark, names = dealt.sparkSession, sorted(model.p)
+    to_class = np.append(model.classes, -1).astype(np.int32)  # the last for places after a text
     for r in range(ROUNDS):
         p = model.p
 
-        def run(table):
-            table = table.sort_by([("at", "ascending")])
-            ids = _matrix(table["ids"].combine_chunks())
-            at = table["at"].to_numpy()
-            if (at[1:] == at[:-1]).any():  # texts of one doc_id
-                order = np.lexsort((*ids.T[::-1], at))
-                ids = ids[order]
+        def run(table: pa.Table) -> pa.Table:
+            rows = to_class[windows(table)]
             own = Attention(np.zeros(0), np.zeros(0))
             own.p = {k: v.copy() for k, v in p.items()}
-            own.train(to_class[ids], r / ROUNDS, 1 / ROUNDS, SEED + r)
+            own.train(rows, r / ROUNDS, 1 / ROUNDS, SEED + r)
             flat = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float32)
-            return pa.table({"slot": table["slot"][:1], "n": pa.array([len(ids)], pa.int64()), "p": pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))})
+            return pa.table({"slot": table["slot"][:1], "n": pa.array([len(rows)], pa.int64()), "p": pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))})
 
-        dealt = windows.where(F.pmod(F.shiftrightunsigned("at", 40), F.lit(ROUNDS)) == r).repartition(max(1, min(slots, 4 * partitions(spark))), "slot")
-        found = dealt.groupBy("slot").applyInArrow(run, "slot int, n long, p array<float>").select("n", F.posexplode("p").alias("at", "p"))
+        own = dealt.where(F.pmod(F.shiftrightunsigned("at", 40), F.lit(ROUNDS)) == r).repartition(max(1, min(slots, 4 * partitions(spark))), "slot")
+        found = own.groupBy("slot").applyInArrow(run, "slot int, n long, p array<float>").select("n", F.posexplode("p").alias("at", "p"))
         whole = F.round(F.col("p").cast("double") * FIXED).cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")
         mean = found.groupBy("at").agg((F.sum(whole).cast("double") / F.sum("n") / FIXED).alias("p")).toArrow().sort_by("at")  # a row for each weight
         if not len(mean):
@@ -401,7 +472,8 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 def _score_texts(docs: DataFrame, tokenizer: str | None) -> DataFrame:
     path = tokenizer or default_path()
     vocabulary = len(Subwords.at(path).bytes_of)
-    texts = kept(encoded_texts(document_text(docs), path, _kind(vocabulary)), "encoded")
+    kind = _kind(vocabulary)
+    texts = kept(encoded_texts(document_text(docs), path, kind), "encoded")
     train = texts.where(fold(5) != 1)
 
     # Rows go out before they are summed: a task has summed its own, so a second table of them would only take memory.
@@ -409,10 +481,8 @@ def _score_texts(docs: DataFrame, tokenizer: str | None) -> DataFrame:
     times = np.zeros(vocabulary + 1, np.int64)
     for batch in counted.where("kind = 1").select("key", "n").toArrow().to_batches():  # a row for each id
         times[batch["key"].to_numpy()] = batch["n"].to_numpy()
-    slots = max(1, round(times.sum() / WINDOW / SHARE / ROUNDS / SLOT))
-    windows = kept(train.select("doc_id", "ids").mapInArrow(_windows(vocabulary, 1 / SHARE, slots), "slot int, at long, ids array<int>"), "windows")
-    model = _trained(Attention(*class_table(times, _contexts(windows, times))), windows, slots)
-    remove_kept(windows)
+    slots = max(1, round(times.sum() / WINDOW / ROUNDS / SLOT))
+    model = _trained(Attention(*class_table(times, _contexts(train, times, kind))), _dealt(train, slots), slots, _of_texts(vocabulary))
 
     words = counted.where("kind = 0")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -423,7 +493,7 @@ def _score_texts(docs: DataFrame, tokenizer: str | None) -> DataFrame:
     head_log = np.log10((head_n + 0.5) / floor) if floor else np.zeros(0)
     new_log = float(np.log10(0.5 / floor)) if floor else 0.0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid, kind = TaskContext.get().partitionId() << 40, _kind(vocabulary)
+        rid = TaskContext.get().partitionId() << 40
         for batch in batches:
             flat, edge = _laid(batch["ids"], kind)
             for first, last, data, at in spans.chunks(batch["text"], 1 << 20):

@@ -379,6 +379,23 @@ def test_lm_score_windows_hold_each_id_once(data):
     assert [x[:3].tolist() for x in found] == [[end, end, -1]] * 2
 
 
+def test_lm_score_learns_from_each_text_and_id(spark):
+    """A training text whose words change places, so that all counts stay, changes what other texts get; each id and the end are learned."""
+    rng = np.random.default_rng(3)
+    words = ["river", "stone", "light", "moves", "under", "green", "hills", "while", "seven", "birds"]
+    rows = [(i, " ".join(words[k] for k in rng.integers(0, len(words), 40))) for i in range(12)]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1}
+    scores = lambda some: {r.doc_id: r.score for r in lm_score.score_texts(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+    before, turned = scores(rows), next(i for i, _ in rows if i not in held)
+    turn = lambda x: " ".join([x.split()[0], *x.split()[:0:-1]])
+    after = scores([(i, turn(x) if i == turned else x) for i, x in rows])
+    assert held and all(before[i] != after[i] for i in held)
+    end, ids = 50_000, np.arange(1000, dtype="<u2")
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([ids.tobytes()], pa.binary())], ["doc_id", "ids"])
+    found = np.concatenate([lm_score._matrix(b["ids"])[:, 1:].ravel() for b in lm_score._windows(end, 1.0, 1)(iter([batch]))])
+    assert sorted(found[found >= 0].tolist()) == [*range(1000), end]
+
+
 def test_lm_score_passes_small_batches(spark, docs, monkeypatch):
     """While it runs a batch has PASSED bytes or so; afterwards the session is as it was."""
     name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
