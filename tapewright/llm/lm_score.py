@@ -254,13 +254,13 @@ def _contexts(texts: DataFrame, times: np.ndarray, kind: str, look: int = 96) ->
     size = NEAR * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(-(-vocabulary // NEAR) * size, np.int32)
+        sums, one = np.zeros(-(-vocabulary // NEAR) * size, np.int32), np.int32(1)  # a one of another type is ten times slower
         for batch in batches:
             flat, edge = _laid(batch["ids"], kind)
             laid = np.append(vocabulary - 1, with_end(flat, np.diff(edge), vocabulary - 1)[0]).astype(np.int64)  # each text's end stands before the next
             a, b = laid[:-1], laid[1:]
-            np.add.at(sums, b * width + rank[a], 1)
-            np.add.at(sums, a * width + look + 1 + rank[b], 1)
+            np.add.at(sums, b * width + rank[a], one)
+            np.add.at(sums, a * width + look + 1 + rank[b], one)
         found = np.flatnonzero(sums)
         block, first = np.unique(found // size, return_index=True)
         edge = np.append(first, len(found))
