@@ -26,6 +26,7 @@ sent to the tasks; the other words of each document are joined to the counts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,56 +84,64 @@ class Attention:
     def gradients(self, x: np.ndarray, y: np.ndarray, use: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and gradients of y after x, both rows of classes; the class before a text is END_CLASS. use: the places of y that count; all, if not given."""
         p, d, n, t, real = self.p, WIDTH, y.size, x.shape[1], self.p["out"].dtype
-        table, mild = self._tables()
-        f = np.take(table, x * WINDOW + np.arange(t), axis=0, out=self._held("f", *x.shape, table.shape[1]), mode="clip")
-        q, k, v = (f[:, :, i * d : (i + 1) * d] for i in (1, 2, 3))
+        parts, outs, mild, (pair, pass_on) = self._parts()
+        f = np.take(parts[:CLASSES], x, axis=0, out=self._held("f", *x.shape, parts.shape[1]), mode="clip")
+        flat = f.reshape(len(x), -1)
+        flat += parts[CLASSES : CLASSES + t].ravel()
+        q, h, v = (f[:, :, i * d : (i + 1) * d] for i in range(3))
         before = self.before[:t, :t]
-        a = np.matmul(q, k.transpose(0, 2, 1), out=self._held("a", len(x), t, t))
+        a = np.matmul(q, h.transpose(0, 2, 1), out=self._held("a", len(x), t, t))
         if not mild[0]:
             a -= np.where(before > 0, a, -np.inf).max(axis=2, keepdims=True)
             np.minimum(a, 0, out=a)
         np.exp(a, out=a)
         a *= before
-        a /= (a.reshape(-1, t) @ np.ones(t, real)).reshape(-1, t, 1)
-        m = (a @ v).reshape(-1, d)
-        h = np.tanh(f[:, :, :d].reshape(-1, d) + m @ p["o"])
-        z = np.matmul(h, p["out"], out=self._held("z", n, CLASSES))
-        z += p["bias"]
+        a *= (1 / (a.reshape(-1, t) @ np.ones(t, real))).reshape(-1, t, 1)
+        m = np.matmul(a, v, out=self._held("m", len(x), t, d)).reshape(-1, d)
+        o = m + h.reshape(-1, d)
+        _tanh(o)
+        u = self._held("u", n, d + 1)  # with a one, which takes the bias
+        u[:, :d], u[:, d] = o, 1
+        z = np.matmul(u, outs, out=self._held("z", n, CLASSES))
         if not mild[1]:
             z -= z.max(axis=1, keepdims=True)
-        at, target = np.arange(n), y.ravel()
-        picked = z[at, target]
+        own = np.arange(n) * CLASSES + y.ravel()
+        picked = z.ravel()[own]
         np.exp(z, out=z)
         total = z @ np.ones(CLASSES, real)
         loss, weight = np.log(total) - picked, real.type(1 / n) / total
         if use is not None:
             some = use.ravel()
             loss, weight = loss[some], np.where(some, real.type(1 / some.sum()) / total, real.type(0))
-        z[at, target] -= total  # with `weight` before each row: the gradient of z; narrow arrays are weighed, not this one
-        g = {"out": (h * weight[:, None]).T @ z, "bias": weight @ z}
-        dr = (z @ p["out"].T) * (weight[:, None] * (1 - h * h))
-        g["o"] = m.T @ dr
-        dm = (dr @ p["o"].T).reshape(v.shape)
-        ds = np.matmul(dm, v.transpose(0, 2, 1), out=self._held("ds", len(x), t, t))
+        z.ravel()[own] -= total  # with `weight` before each row: the gradient of z; narrow arrays are weighed, not this one
+        both = (u * weight[:, None]).T @ z
+        dr = z @ p["out"].T
+        np.square(o, out=o)
+        np.subtract(1, o, out=o)
+        o *= weight[:, None]
+        dr *= o
+        # A weight's gradient is that of its share of the mean less that of the mean itself: dr times (value - mean).
+        less = self._held("less", n, d + 1)
+        less[:, :d], less[:, d] = dr, -((dr * m) @ np.ones(d, real))
+        ds = np.matmul(less.reshape(len(x), t, d + 1), f[:, :, 2 * d :].transpose(0, 2, 1), out=self._held("ds", len(x), t, t))
         ds *= a
-        ds -= np.multiply(a, (ds.reshape(-1, t) @ np.ones(t, real)).reshape(-1, t, 1), out=self._held("as", len(x), t, t))
-        # Of sums of embeddings, queries (which the table holds times WIDTH ** -0.5), keys and values.
-        df = self._held("df", len(x), t, 4 * d)
-        df[:, :, :d] = dr.reshape(v.shape)
-        np.matmul(ds, k, out=df[:, :, d : 2 * d])
-        np.matmul(ds.transpose(0, 2, 1), q, out=df[:, :, 2 * d : 3 * d])
-        np.matmul(a.transpose(0, 2, 1), dm, out=df[:, :, 3 * d :])
-        one = self._held("one", n, CLASSES)
-        one[:] = 0
-        one[at, x.ravel()] = 1
-        sums = {"embed": one.T @ df.reshape(n, -1), "place": np.zeros((WINDOW, 4 * d), real)}
-        sums["place"][:t] = df.sum(axis=0)
-        for s in sums.values():
-            s[:, d : 2 * d] *= real.type(d**-0.5)
-        for name, s in sums.items():
-            g[name] = s[:, :d] + sum(s[:, i * d : (i + 1) * d] @ p[w].T for i, w in ((1, "q"), (2, "k"), (3, "v")))
-        for i, w in ((1, "q"), (2, "k"), (3, "v")):
-            g[w] = sum(p[name].T @ s[:, i * d : (i + 1) * d] for name, s in sums.items())
+        # Of pairs and of what is passed on, then of the four matrices these are products of, then of the sums of embeddings.
+        own, flat = self._held("own", 3, len(x), t, d), h.reshape(-1, d)
+        np.matmul(ds, h, out=own[0])
+        np.matmul(a.transpose(0, 2, 1), dr.reshape(h.shape), out=own[1])
+        np.matmul(ds.transpose(0, 2, 1), q, out=own[2])
+        left, right, dh = own.reshape(3, -1, d)
+        of_pair, of_pass = real.type(d**-0.5) * (flat.T @ left), flat.T @ right
+        g = {"out": both[:d], "bias": both[d], "q": of_pair @ p["k"], "k": of_pair.T @ p["q"], "v": of_pass @ p["o"].T, "o": p["v"].T @ of_pass}
+        dh += dr
+        dh += left @ pair.T
+        dh += right @ pass_on.T
+        g["place"] = np.zeros_like(p["place"])
+        g["place"][:t] = dh.reshape(-1, t * d).sum(axis=0).reshape(t, d)
+        many, order = np.bincount(x.ravel(), minlength=CLASSES), np.argsort(x.ravel().astype(np.uint8), kind="stable")
+        there = np.flatnonzero(many)
+        g["embed"] = np.zeros_like(p["embed"])
+        g["embed"][there] = np.add.reduceat(np.take(dh, order, axis=0), (np.cumsum(many) - many)[there], axis=0)
         return float(loss.mean()), g
 
     def _held(self, name: str, *shape: int) -> np.ndarray:
@@ -144,31 +153,46 @@ class Attention:
 
     def train(self, rows: np.ndarray, done: float = 0.0, part: float = 1.0, seed: int = SEED) -> float:
         """rows: windows as _windows makes them, in classes; done, part: what share of the training lies behind, and what share this is. The last loss."""
-        rng, loss = np.random.default_rng(seed), 0.0
-        m1, m2 = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}
+        rng, loss, names, shapes = np.random.default_rng(seed), 0.0, list(self.p), [v.shape for v in self.p.values()]
+        flat = np.concatenate([v.ravel() for v in self.p.values()])  # all weights move at once; each is a view of them
+        self.p = {k: v.reshape(s) for k, s, v in zip(names, shapes, np.split(flat, np.cumsum([math.prod(s) for s in shapes])[:-1]), strict=True)}
+        m1, m2 = np.zeros_like(flat), np.zeros_like(flat)
         steps = max(round(STEPS * part), -(-len(rows) // BATCH)) if len(rows) else 0
         order = np.concatenate([rng.permutation(len(rows)) for _ in range(-(-steps * BATCH // max(len(rows), 1)))]) if steps else None
         for step in range(1, steps + 1):
             taken = rows[order[(step - 1) * BATCH : step * BATCH]]
             use = taken[:, 1:] >= 0
-            loss, g = self.gradients(np.maximum(taken[:, :-1], 0), np.maximum(taken[:, 1:], 0), None if use.all() else use)
+            loss, found = self.gradients(np.maximum(taken[:, :-1], 0), np.maximum(taken[:, 1:], 0), None if use.all() else use)
             rate = RATE * min(1.0, 4 * (1 - (done + part * step / (steps + 1))))
-            for k, v in g.items():
-                m1[k] = 0.9 * m1[k] + 0.1 * v
-                m2[k] = 0.99 * m2[k] + 0.01 * v * v
-                self.p[k] -= (rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            g = np.concatenate([found[k].ravel() for k in names])
+            m1 = 0.9 * m1 + 0.1 * g
+            m2 = 0.99 * m2 + 0.01 * g * g
+            flat -= (rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)).astype(flat.dtype)
         return loss
 
-    def _tables(self) -> tuple[np.ndarray, tuple[bool, bool]]:
-        """What a class at a place of the window gives: its sum of embeddings, query, key, value and a one. And whether the exponentials of weights and of outputs stay in range."""
-        p, d = self.p, WIDTH
-        h = (p["embed"][:, None, :] + p["place"][None, :, :]).reshape(-1, d)
-        table = np.ones((len(h), 4 * d + 1), h.dtype)
-        table[:, :d] = h
-        table[:, d : 4 * d] = h @ np.concatenate([p["q"] * h.dtype.type(d**-0.5), p["k"], p["v"]], axis=1)
+    def _parts(self) -> tuple[np.ndarray, np.ndarray, tuple[bool, bool], tuple[np.ndarray, np.ndarray]]:
+        """What each class gives, and after the classes each place of the window, whose sums are used: its embedding h times `pair`, h, h times `pass_on`, and a one. The outputs with their bias. Whether the exponentials of weights and of outputs stay in range. `pair` and `pass_on`.
+
+        A query times a key is h @ (q @ k.T) @ h.T, and what a value adds is h @ (v @ o): each product of two matrices is taken once.
+        """
+        p, d, real = self.p, WIDTH, self.p["out"].dtype
+        pair, pass_on = p["q"] @ p["k"].T * real.type(d**-0.5), p["v"] @ p["o"]
+        parts = np.zeros((CLASSES + WINDOW, 3 * d + 1), real)
+        np.matmul(np.concatenate([p["embed"], p["place"]]), np.concatenate([pair, np.eye(d, dtype=real), pass_on], axis=1), out=parts[:, : 3 * d])
+        parts[:CLASSES, 3 * d] = 1
         # The most that a weight or an output can be; below BOUND no exponential leaves the range of its type.
-        size = [float(np.square(table[:, i * d : (i + 1) * d]).sum(axis=1, dtype=np.float64).max()) for i in (1, 2)]
-        return table, (size[0] * size[1] < BOUND**2, bool(np.abs(p["out"]).sum(axis=0).max() + np.abs(p["bias"]).max() < BOUND))
+        size = np.sqrt(np.square(parts[:, : 2 * d]).reshape(-1, 2, d).sum(axis=2))
+        size = float(np.prod(size[:CLASSES].max(axis=0) + size[CLASSES:].max(axis=0), dtype=np.float64))
+        if size >= BOUND:  # a bound from the parts; their sums may be less
+            table = self._table(parts)
+            size = float(np.abs(table[:, :d] @ table[:, d : 2 * d].T).max())
+        outs = np.concatenate([p["out"], p["bias"][None]])
+        return parts, outs, (size < BOUND, float(np.abs(outs).sum(axis=0).max()) < BOUND), (pair, pass_on)
+
+    @staticmethod
+    def _table(parts: np.ndarray) -> np.ndarray:
+        """Each class at each place of the window."""
+        return (parts[:CLASSES, None] + parts[CLASSES:]).reshape(-1, parts.shape[1])
 
     def score(self, ids: np.ndarray, n: np.ndarray, rows: int = 256) -> np.ndarray:
         """Natural log-probability of each id; ids of texts end to end, each with its end, n (1 at least) of each text."""
@@ -183,37 +207,52 @@ class Attention:
         start, left = begins[text] + k * STRIDE, np.minimum(n[text] - k * STRIDE, WINDOW)
         # Windows may run over the end of the last text.
         at, target = np.append(before, np.zeros(WINDOW, np.int32)).astype(np.int64) * WINDOW, np.append(cls, np.zeros(WINDOW, np.int32)).astype(np.int64)
-        out, first, (table, self.mild) = self.share[ids].copy(), k == 0, self._tables()
+        out, first, (parts, outs, self.mild, _) = self.share[ids].copy(), k == 0, self._parts()
+        table = self._table(parts)
         for some, skip in ((first, 0), (~first, WINDOW - STRIDE)):
             begin, size = start[some], left[some]
             for a in range(0, len(begin), rows):
-                self._score_windows(table, out, at, target, begin[a : a + rows], size[a : a + rows], skip)
+                self._score_windows(table, outs, out, at, target, begin[a : a + rows], size[a : a + rows], skip)
         return out
 
-    def _score_windows(self, table: np.ndarray, out: np.ndarray, at: np.ndarray, target: np.ndarray, start: np.ndarray, left: np.ndarray, skip: int) -> None:
+    def _score_windows(self, table: np.ndarray, outs: np.ndarray, out: np.ndarray, at: np.ndarray, target: np.ndarray, start: np.ndarray, left: np.ndarray, skip: int) -> None:
         """Adds the log-probability of the class at the places of the windows from `skip` on."""
-        mild, d, p, steps = self.mild, WIDTH, self.p, np.arange(WINDOW)
+        mild, d, steps = self.mild, WIDTH, np.arange(WINDOW)
         many, own = len(start), WINDOW - skip
         x = np.take(table, at[start[:, None] + steps] + steps, axis=0, out=self._held("f", many, WINDOW, table.shape[1]), mode="clip")
-        weight = np.matmul(x[:, skip:, d : 2 * d], x[:, :, 2 * d : 3 * d].transpose(0, 2, 1), out=self._held("a", many, own, WINDOW))
+        weight = np.matmul(x[:, skip:, :d], x[:, :, d : 2 * d].transpose(0, 2, 1), out=self._held("a", many, own, WINDOW))
         if not mild[0]:
             weight -= np.where(self.before[skip:] > 0, weight, -np.inf).max(axis=2, keepdims=True)
             np.minimum(weight, 0, out=weight)  # later places, which the next line takes out
         np.exp(weight, out=weight)
         weight *= self.before[skip:]
-        mixed = np.matmul(weight, x[:, :, 3 * d :], out=self._held("m", many, own, d + 1))
-        h = np.tanh(x[:, skip:, :d] + (mixed[..., :d] / mixed[..., d:]) @ p["o"])
-        z = np.matmul(h.reshape(-1, d), p["out"], out=self._held("z", many * own, CLASSES))
-        z += p["bias"]
+        total = weight.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)
+        mixed = np.matmul(weight, x[:, :, 2 * d : 3 * d], out=self._held("m", many, own, d)).reshape(-1, d)
+        mixed *= (1 / total)[:, None]
+        mixed += x[:, skip:, d : 2 * d].reshape(-1, d)
+        _tanh(mixed)
+        h = self._held("u", many * own, d + 1)  # with a one, which takes the bias
+        h[:, :d], h[:, d] = mixed, 1
+        z = np.matmul(h, outs, out=self._held("z", many * own, CLASSES))
         if not mild[1]:
             z -= z.max(axis=1, keepdims=True)
         here = start[:, None] + steps[skip:]
-        picked = z[np.arange(len(z)), target[here].ravel()]
+        picked = z.ravel()[np.arange(len(z)) * CLASSES + target[here].ravel()]
         value = (picked - np.log(np.exp(z, out=z) @ np.ones(CLASSES, np.float32))).reshape(here.shape)
         use = steps[skip:] < left[:, None]
         out[here[use]] += value[use]
 
 
+def _tanh(x: np.ndarray) -> None:
+    """In place; half the time of numpy's own, and as near to it as a number's last place at one."""
+    x *= 2
+    np.minimum(x, 2 * BOUND, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
+
+
 def class_table(times: np.ndarray, contexts: np.ndarray, rounds: int = 12, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(class, log share in the class) of each id, from how often it is in the corpus and what stands around it.
 
@@ -500,7 +539,8 @@ def _score_texts(docs: DataFrame, tokenizer: str | None) -> DataFrame:
                 texts = last - first
                 h, n = _word_hashes(data, at)
                 owner = np.repeat(np.arange(texts), n)
-                where = np.minimum(np.searchsorted(head_keys, h), max(len(head_keys) - 1, 0))
+                order, where = np.argsort(h), np.empty(len(h), np.int64)  # sorted keys are found in half the time
+                where[order] = np.minimum(np.searchsorted(head_keys, h[order]), max(len(head_keys) - 1, 0))
                 hit = head_keys[where] == h if len(head_keys) else np.zeros(len(h), bool)
                 base = np.bincount(owner[hit], head_log[where[hit]], texts)
                 known = np.bincount(owner[hit], minlength=texts)

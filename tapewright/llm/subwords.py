@@ -1,13 +1,15 @@
 """Subword ids of many texts with the tokenizers library.
 
-Byte-level BPE never merges over the single space before a word. So texts are
-cut there, and each distinct piece is encoded once in the life of a worker:
+Byte-level BPE never merges over the single space before a word, nor over the
+end of a run of letters before a mark. So texts are cut there, and each distinct piece is encoded once in the life of a worker:
 pieces that are new go to the library in long runs, and its ids are dealt back
 to the pieces by the number of bytes each id stands for.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -35,10 +37,13 @@ def _safe_sides() -> tuple[np.ndarray, np.ndarray]:
 
 
 _PLAIN, _AHEAD = _safe_sides()
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[list(b",.;:!?")] = True
 
 
 def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, n): the pieces of all texts; they begin at single spaces between characters that aren't white space."""
+    """(starts, ends, n): the pieces of all texts; they begin at single spaces between characters that aren't white space, and at marks after an ASCII letter."""
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 2:
         space = np.flatnonzero(data[1:-1] == 0x20) + 1
@@ -47,6 +52,7 @@ def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         odd |= np.isin(data[np.maximum(space - 3, 0)], (0xE1, 0xE2, 0xE3))
         good = (_PLAIN[before] | ((before >= 0x80) & ~odd)) & _AHEAD[data[space + 1]]
         cut[space[good]] = True
+        cut[1:-1] |= _LETTER[data[:-1]] & _MARK[data[1:]]
     cut[at] = True
     cut[len(data)] = False
     starts = np.flatnonzero(cut)
@@ -75,6 +81,16 @@ class Subwords:
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)  # pieces met again since they came in or were last sifted
+
+    def sift(self, new: int) -> None:
+        """Makes room for `new` pieces: those that weren't met again go; all, if that is not enough."""
+        kept = np.flatnonzero(self.again)
+        if len(kept) > REMEMBER // 2 or len(kept) + new > REMEMBER:
+            self.forget()
+            return
+        self.ids, count = self.laid_out(self.first[kept], self.count[kept]), self.count[kept]
+        self.known, self.first, self.count, self.again = self.known[kept], np.cumsum(count) - count, count, np.zeros(len(kept), bool)
 
     @classmethod
     def at(cls, path: str) -> Subwords:
@@ -83,8 +99,6 @@ class Subwords:
         return cls._of[path]
 
     def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        if len(self.known) + len(keys) > REMEMBER:
-            self.forget()
         size = ends - starts
         total = int(size.sum())
         laid = np.cumsum(size) - size
@@ -101,7 +115,7 @@ class Subwords:
                 begin[i], since = True, at[i]
         edges = [*laid[begin].tolist(), total]
         found = self.library.encode_batch_fast([flat[a:b].decode() for a, b in zip(edges[:-1], edges[1:], strict=True)], add_special_tokens=False)
-        ids = np.fromiter((i for x in found for i in x.ids), np.uint32)
+        ids = np.fromiter(chain.from_iterable(x.ids for x in found), np.uint32)
         begins = np.cumsum(self.bytes_of[ids]) - self.bytes_of[ids]
         first = np.searchsorted(begins, laid)
         count = np.diff(np.append(first, len(ids)))
@@ -111,16 +125,18 @@ class Subwords:
         self.known = np.insert(self.known, where, keys)
         self.first = np.insert(self.first, where, first + base)
         self.count = np.insert(self.count, where, count)
+        self.again = np.insert(self.again, where, False)
 
     def of_pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(keys, back, first, count): the distinct pieces' hashes, which of them each piece is, and where in `ids` those of each begin and how many they are."""
         keys, one, back = np.unique(spans.hashes(data, starts, ends), return_index=True, return_inverse=True)
         where = np.minimum(np.searchsorted(self.known, keys), max(len(self.known) - 1, 0))
         new = self.known[where] != keys if len(self.known) else np.ones(len(keys), bool)
+        self.again[where[~new]] = True
         if new.any():
             if len(self.known) + int(new.sum()) > REMEMBER:
-                self.forget()
-                new[:] = True
+                self.sift(int(new.sum()))
+                new = ~np.isin(keys, self.known, assume_unique=True)
             self._learn(keys[new], data, starts[one[new]], ends[one[new]])
             where = np.searchsorted(self.known, keys)
         return keys, back, self.first[where], self.count[where]

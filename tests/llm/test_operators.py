@@ -409,6 +409,25 @@ def test_lm_score_passes_small_batches(spark, docs, monkeypatch):
         assert max(r.n for r in rows.mapInArrow(run, "n long").collect()) < 1 << 18
 
 
+def test_encoder_keeps_pieces_met_again(monkeypatch):
+    """A full memory loses the pieces met once, not those met again; a mark after letters makes no piece of its own; ids stay the library's."""
+    path = subwords.default_path()
+    own, learned = subwords.Subwords(path), []
+    monkeypatch.setattr(subwords, "REMEMBER", 60)
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda keys, *a: (learned.extend(keys.tolist()), learn(keys, *a)))
+    common = "the river runs under seven hills, and the light moves. Then it stops;\nthe river! runs: on? don't e.g. \u00e9t\u00e9, 1.5"
+    for i in range(12):
+        text = common + "".join(f" once{i}x{k}" for k in range(20))
+        data = text.encode()
+        ids, n = own.encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert ids.tolist() == own.library.encode(text, add_special_tokens=False).ids and n.tolist() == [len(ids)]
+    assert len(own.known) <= 60 and max(collections.Counter(learned).values()) == 1
+    data = np.frombuffer(b" hills, hills. hills", np.uint8)
+    starts, ends, _ = subwords.pieces(data, np.array([0, len(data)]))
+    assert [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] == [b" hills", b",", b" hills", b".", b" hills"]
+
+
 def test_attention_gradients_and_windows():
     model = lm_score.Attention(np.arange(50) % lm_score.CLASSES, np.zeros(50))
     rng = np.random.default_rng(0)
