@@ -558,10 +558,10 @@ def _score_texts(docs: DataFrame, tokenizer: str | None) -> DataFrame:
 
     rows = kept(texts.mapInArrow(run, "rid long, doc_id long, n_tokens long, known long, base double, score double, tail array<long>"), "scored")
     remove_kept(texts)
-    tail = rows.select("rid", F.explode("tail").alias("key")).groupBy("key", "rid").agg(F.count("*").alias("times"))
+    tail = rows.select("rid", F.explode("tail").alias("key"))  # a row for each time a word stands there: few stand twice in a text
     rare = words.select("key", F.col("n").alias("c"))
     sums = tail.join(rare, "key", "left").groupBy("rid").agg(
-        F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(floor) or 1.0))).alias("tail_log"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("tail_known")
+        F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(floor) or 1.0))).alias("tail_log"), F.count("c").alias("tail_known")
     )
     end = int(np.searchsorted(head_keys, np.uint64(END_KEY))) if len(head_keys) else 0
     end_known = bool(len(head_keys)) and head_keys[end] == np.uint64(END_KEY)
