@@ -7,7 +7,7 @@ one definition serves both; `drain` runs a query over all that is there.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -46,11 +46,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return g.select(F.col("session_window.start").alias("began"), F.col("session_window.end").alias("ended"), "user_id", "n")
 
 
-def late_rows(rows: DataFrame, late_seconds: int) -> DataFrame:
-    """How many rows a watermark would have dropped, recounted in batch by day of arrival. rows: day, arrival, ts."""
+def late_rows(rows: DataFrame, late_seconds: int, ties: Sequence[str] = ()) -> DataFrame:
+    """How many rows a watermark would have dropped, recounted in batch by day of arrival. rows: day, arrival, ts; rows of one arrival come in the order of `ties`."""
     from pyspark.sql import Window as W
 
-    seen = F.max("ts").over(W.partitionBy("day").orderBy("arrival").rowsBetween(W.unboundedPreceding, -1))
+    seen = F.max("ts").over(W.partitionBy("day").orderBy("arrival", *ties).rowsBetween(W.unboundedPreceding, -1))
     late = F.coalesce(F.col("ts") < seen - F.expr(f"INTERVAL {late_seconds} SECOND"), F.lit(False))
     return rows.withColumn("late", late).groupBy("day").agg(F.count("*").alias("n"), F.count_if("late").alias("n_late"))
 

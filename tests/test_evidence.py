@@ -15,6 +15,8 @@ from tapewright.operators import attribution as A
 from tapewright.operators import bars as B
 from tapewright.operators import certification as K
 from tapewright.operators import evaluate as E
+from tapewright.plans import stream_queries  # noqa: F401  registers its queries
+from tapewright.plans.oracle import QUERIES
 from tapewright.sources import stores as S
 from tapewright.streaming import events as V
 from tapewright.streaming import orders as O
@@ -185,6 +187,14 @@ def test_late_rows_of_a_stream_equal_the_recount(spark):
     assert got == want and 0 < got.n_late < 100
 
 
+def test_late_rows_of_tied_arrivals_come_by_id(spark):
+    rows = [(3 + 10007 * k, dt.datetime(2024, 1, 1, 2 * k)) for k in range(5)] + [(4 + 10007 * k, dt.datetime(2024, 1, 2, 10 - 2 * k)) for k in range(5)]
+    for order in (rows, rows[::-1]):
+        top = folder()
+        spark.createDataFrame(order, "event_id long, ts timestamp_ntz").coalesce(1).write.parquet(f"{top}/events.parquet")
+        assert sorted((r.day.day, r.n, r.n_late) for r in QUERIES["t3_late_rows"](spark, top).collect()) == [(1, 5, 0), (2, 5, 4)]
+
+
 # Stores
 
 
