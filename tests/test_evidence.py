@@ -169,6 +169,71 @@ def test_order_state_over_restarts(spark):
     assert c[4][:1] == ("CORRUPT",) and c[5][0] == "CORRUPT" and c[3] == b[3]  # for good
 
 
+def brute_orders(batches):
+    """Event by event: what waits is applied once its predecessors are there."""
+    known, out = {}, []
+    for rows in batches:
+        for i in sorted({r[0] for r in rows}):
+            k = known.setdefault(i, {"next": 0, "wait": {}, "seen": [], "qty": None, "filled": None, "why": None, "intents": 0})
+            for r in sorted((r for r in rows if r[0] == i), key=lambda r: r[1]):
+                if r[1] < k["next"] or r[1] in k["wait"]:
+                    k["why"] = k["why"] or "repeated sequence"
+                else:
+                    k["wait"][r[1]] = r
+            while k["next"] in k["wait"]:
+                _, seq, kind, outcome, qty, filled = k["wait"].pop(k["next"])
+                k["next"], wrong = seq + 1, None
+                k["seen"].append((seq, kind, outcome))
+                k["qty"] = max((q for q in (k["qty"], qty) if q is not None), default=None)
+                if kind == "INTENT":
+                    k["intents"] += 1
+                    wrong = "second intent record" if k["intents"] > 1 else None
+                if kind == "BROKER_STATE" and filled is not None:
+                    over = k["qty"] is not None and filled > k["qty"]
+                    wrong = "negative fill" if filled < 0 else "fill beyond the quantity" if over else "fill decreased" if filled < (k["filled"] or 0) else None
+                    k["filled"] = filled
+                k["why"] = k["why"] or wrong
+        out.append({i: (brute_status(k), k["filled"] or 0, k["why"], k["next"] if k["wait"] else None) for i, k in known.items()})
+    return out
+
+
+def brute_status(k):
+    at = lambda *wanted: max((s for s, kind, outcome in k["seen"] if kind in wanted or (kind, outcome) in wanted), default=None)
+    final, filled, send = at(("BROKER_STATE", "final"), ("BROKER_STATE", "cancelled")), k["filled"] or 0, at("SEND")
+    if k["why"]:
+        return "CORRUPT"
+    if final is not None:
+        return "FILLED" if k["qty"] is not None and filled >= k["qty"] else "PARTIAL" if filled > 0 else "CANCELLED" if at(("BROKER_STATE", "cancelled")) is not None else "UNFILLED"
+    lost, result = at(("LOOKUP", "not_found")), at("RESULT")
+    steps = (
+        ("ACKED", at(("RESULT", "accepted"), ("RESULT", "adopted")) is not None),
+        ("REJECTED", at(("RESULT", "rejected")) is not None),
+        ("NOT_FOUND", lost is not None and lost > (-1 if send is None else send)),
+        ("UNKNOWN", send is not None and (result is None or result < send)),
+        ("NOT_SENT", at(*(("RESULT", o) for o in ("throttled", "auth_rejected", "not_sent"))) is not None),
+        ("SKIPPED", at("SKIP") is not None),
+    )
+    return next((name for name, holds in steps if holds), "RECORDED")
+
+
+def test_order_state_by_loops_and_without_python(spark):
+    rng, rows = random.Random(6), []
+    outcomes = {"RESULT": ("accepted", "adopted", "rejected", "throttled", "not_sent", "odd", None), "LOOKUP": ("not_found", "found"), "BROKER_STATE": ("final", "cancelled", "open", None)}
+    for i in range(400):
+        for seq in range(rng.randint(1, 7)):
+            kind = "INTENT" if seq == 0 else rng.choice(["SEND", "SEND", "RESULT", "LOOKUP", "SKIP", "BROKER_STATE", "BROKER_STATE", "NOTE", "INTENT" if i % 9 == 0 else "SEND"])
+            if rng.random() > 0.06:
+                fill = rng.choice([None, 0, 40, 60, 100, *([130, -1] if i % 7 == 0 else [])]) if kind == "BROKER_STATE" else None
+                rows += [(i, seq, kind, rng.choice(outcomes.get(kind, (None,))), rng.choice([None, 100]), fill)] * (2 if rng.random() < 0.03 else 1)
+    batches = [[], [], []]
+    for r in rows:
+        rng.choice(batches).append(r)
+    got, want = run_orders(spark, *batches), brute_orders(batches)
+    assert got == want and len({v[0] for v in want[-1].values()}) == 12 and len({v[2] for v in want[-1].values()}) == 6
+    plan = O.order_states(spark.createDataFrame(rows, EVENT))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_order_state_refuses_rows_without_sequence(spark):
     with pytest.raises(StreamingQueryException, match="without intent or sequence"):
         run_orders(spark, [(1, None, "INTENT", None, 1, None)])
