@@ -2,8 +2,11 @@
 
 import collections
 import datetime as dt
+import glob
 import math
+import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -197,6 +200,40 @@ def test_sector_clusters_use_whole_rows_of_every_year(spark):
     assert alone == {"a": [1, 0, 0, 0, 0], "b": [0, 1, 0, c, 0], "c": [0, 0, 1, 0, 0], "d": [0, c, 0, 1, 0], "e": [0, 0, 0, 0, 1]}
 
 
+def test_feature_parity_by_loops_in_few_shuffles(spark):
+    rng = random.Random(8)
+    draw = lambda: rng.choice([None, 0.0, 1.0, 2.0, rng.random()])
+    keys = [(d, f"{s:02}") for d in D[:6] for s in range(12 if d != D[3] else 2)]
+    x, y = ({k: (draw(), draw() if k[0] != D[4] else 1.0) for k in rng.sample(keys, len(keys) - 3)} for _ in range(2))
+    frame = lambda t: spark.createDataFrame([(*k, *v) for k, v in t.items()], "date date, symbol string, f double, g double")
+    out = X.feature_parity(frame(x), frame(y), ["f", "g"])
+    got = {r.feature: (r.n, r.median_diff, r.spearman, r.verdict) for r in out.collect()}
+    mean_rank = lambda v, all_v: sum(w < v for w in all_v) + (sum(w == v for w in all_v) + 1) / 2
+    for i, name in enumerate(("f", "g")):
+        met = [(k[0], x[k][i], y[k][i]) for k in x if k in y and x[k][i] is not None and y[k][i] is not None]
+        rhos = []
+        for d in {m[0] for m in met}:
+            a, b = ([m[c] for m in met if m[0] == d] for c in (1, 2))
+            if len(a) >= 3 and min(a) < max(a) and min(b) < max(b):
+                rhos.append(np.corrcoef([mean_rank(v, a) for v in a], [mean_rank(v, b) for v in b])[0, 1])
+        assert got[name] == (len(met), pytest.approx(np.median([abs(a - b) for _, a, b in met])), pytest.approx(np.mean(rhos)), "MISMATCH")
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"[+-] Exchange hashpartitioning", plan)) <= 6  # two of the join, by date, by difference, two by feature
+
+
+def test_derived_tables_leave_no_shuffle_files(spark):
+    top = spark.conf.get("spark.local.dir")
+    files = lambda: set(glob.glob(f"{top}/**/shuffle_*", recursive=True))
+    before, kept = files(), dict(fixtures._stored)
+    fixtures._stored.clear()
+    try:
+        assert fixtures.price_history(spark, DIR).count() and fixtures.bars_1m(spark, DIR).count()
+        left = [f for f in files() - before if f.endswith(".data") and os.path.getsize(f) > 10_000]
+    finally:
+        fixtures._stored.update(kept)
+    assert not left
+
+
 def test_extremes_equal_sliding_windows(spark):
     rng = random.Random(4)
     rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=d), s, None if rng.random() < 0.3 else rng.random()) for s in ("a", "b") for d in range(70)]
