@@ -234,6 +234,16 @@ def test_derived_tables_leave_no_shuffle_files(spark):
     assert not left
 
 
+def test_broker_matches_deal_each_side_once(spark):
+    terms = "symbol string, side string, qty long, limit_price double"
+    i = spark.createDataFrame([(1, "a", "buy", 5, 1.0), (2, "a", "buy", 6, 1.0), (3, None, "buy", 5, 1.0)], f"intent_id long, {terms}")
+    o = spark.createDataFrame([(k, "a", "buy", 5, 1.0) for k in (10, 11, 12, 13)] + [(14, "a", "sell", 5, 1.0), (15, None, "buy", 5, 1.0)], f"broker_id long, {terms}")
+    gone = lambda *ids: spark.createDataFrame([(k,) for k in ids], "broker_id long")
+    assert sorted(tuple(r) for r in G.broker_matches(i, o, gone(11, 11, None), gone(12)).collect()) == [(1, 10), (1, 13)]
+    plan = QUERIES["g3_broker_matches"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # one for each side; the others are small enough to be sent
+
+
 def test_extremes_equal_sliding_windows(spark):
     rng = random.Random(4)
     rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=d), s, None if rng.random() < 0.3 else rng.random()) for s in ("a", "b") for d in range(70)]
