@@ -200,6 +200,32 @@ def test_sector_clusters_use_whole_rows_of_every_year(spark):
     assert alone == {"a": [1, 0, 0, 0, 0], "b": [0, 1, 0, c, 0], "c": [0, 0, 1, 0, 0], "d": [0, c, 0, 1, 0], "e": [0, 0, 0, 0, 1]}
 
 
+def returns(spark, names, seed=3):
+    rng = random.Random(seed)
+    days = [dt.date(2021, 1, 1) + dt.timedelta(d) for d in range(40)]
+    common = {d: [rng.gauss(0, 1) for _ in range(3)] for d in days}
+    r = {s: {d: common[d][i % 3] + rng.gauss(0, 0.3) for d in rng.sample(days, rng.randint(1, 30))} for i, s in enumerate(names)}
+    r[names[0]] = dict.fromkeys(days, 0.5)
+    return r, spark.createDataFrame([(d, s, v) for s, of in r.items() for d, v in of.items()], "date date, symbol string, r double")
+
+
+def correlation(a, b):
+    met = sorted(a.keys() & b.keys())
+    x, y = (np.array([t[d] for d in met]) for t in (a, b))
+    return len(met), float(np.corrcoef(x, y)[0, 1]) if len(met) > 1 and np.ptp(x) > 0 and np.ptp(y) > 0 else None
+
+
+def test_correlations_of_many_blocks_by_loops(spark, monkeypatch):
+    monkeypatch.setattr(X, "BLOCK_NAMES", 6)
+    r, df = returns(spark, [f"{i:02}" for i in range(40)])
+    out = X.return_correlations(df.union(spark.createDataFrame([(dt.date(2021, 1, 1), None, 1.0)], df.schema)), 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan  # no copies of returns for each block
+    got = {(x.a, x.b): (x.n, x.corr) for x in out.collect()}
+    want = {(a, b): correlation(r[a], r[b]) for a in r for b in r if a < b}
+    assert got == {k: (n, c if c is None else pytest.approx(c)) for k, (n, c) in want.items() if n >= 3} and (None in {c for _, c in got.values()})
+
+
 def test_feature_parity_by_loops_in_few_shuffles(spark):
     rng = random.Random(8)
     draw = lambda: rng.choice([None, 0.0, 1.0, 2.0, rng.random()])
