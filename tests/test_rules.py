@@ -226,6 +226,26 @@ def test_correlations_of_many_blocks_by_loops(spark, monkeypatch):
     assert got == {k: (n, c if c is None else pytest.approx(c)) for k, (n, c) in want.items() if n >= 3} and (None in {c for _, c in got.values()})
 
 
+def test_clusters_without_a_stored_matrix(spark, monkeypatch):
+    monkeypatch.setattr(X, "BLOCK_NAMES", 6)
+    names = [f"{i:02}" for i in range(40)]
+    r, df = returns(spark, names)
+    want = np.array([[1.0 if a == b else correlation(r[a], r[b])[1] or 0.0 for b in names] for a in names])
+    values, top = np.random.default_rng(1).normal(size=(40, 2)), spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    for kept, tiles in ((0, False), (6000, True), (1 << 20, True)):
+        at = f"{top}/matrix-{kept}"
+        matrix = X.CorrelationMatrix(df, at, kept)
+        got = matrix.times(values, squares=True)
+        assert matrix.symbols == names and np.allclose(got[:, :2], want @ values) and np.allclose(got[:, 2], (want**2).sum(1))
+        size = sum(os.path.getsize(f) for f in glob.glob(f"{at}/tiles/*.parquet"))
+        assert os.path.isdir(f"{at}/tiles") == tiles and len(matrix.parts) == (2 if kept == 6000 else 1) and (size > 0) == tiles
+    before = set(os.listdir(top))
+    found = [{x.symbol: x.cluster for x in X.row_clusters(df, 3, 7, kept_bytes=kept).collect()} for kept in (0, 1 << 20)]
+    assert found[0] == found[1] and set(os.listdir(top)) == before
+    panel = df.withColumn("close", F.exp("r")).withColumn("prev_close", F.lit(1.0)).union(spark.createDataFrame([(dt.date(2022, 1, 3), "00", 0.0, 1.0, 1.0)], "date date, symbol string, r double, close double, prev_close double"))
+    assert X.sector_clusters(panel, k=3, least=2).count() == 80 and set(os.listdir(top)) == before
+
+
 def test_feature_parity_by_loops_in_few_shuffles(spark):
     rng = random.Random(8)
     draw = lambda: rng.choice([None, 0.0, 1.0, 2.0, rng.random()])
